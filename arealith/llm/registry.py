@@ -8,6 +8,7 @@ from importlib import import_module
 NAMES = {
     "op1_mixing": "mixing",
     "op7_sentencepiece": "pieces",
+    "op10_quality": "quality",
 }
 
 
