@@ -9,6 +9,7 @@ NAMES = {
     "op1_mixing": "mixing",
     "op4_language": "language",
     "op5_toxicity": "toxicity",
+    "op6_prob_minhash": "neardup",
     "op7_sentencepiece": "pieces",
     "op10_quality": "quality",
 }
