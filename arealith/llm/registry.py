@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name and the module of ``arealith.llm.queries`` that holds it (function ``run``, optional ``SQL``).
 NAMES = {
     "op1_mixing": "mixing",
+    "op2_warc": "warc",
     "op4_language": "language",
     "op5_toxicity": "toxicity",
     "op6_prob_minhash": "neardup",
