@@ -12,6 +12,7 @@ NAMES = {
     "op5_toxicity": "toxicity",
     "op6_prob_minhash": "neardup",
     "op7_sentencepiece": "pieces",
+    "op8_chat": "chat",
     "op9_grid_join": "vectors",
     "op10_quality": "quality",
 }
