@@ -8,6 +8,7 @@ from importlib import import_module
 NAMES = {
     "op1_mixing": "mixing",
     "op2_warc": "warc",
+    "op3_jpeg": "media",
     "op4_language": "language",
     "op5_toxicity": "toxicity",
     "op6_prob_minhash": "neardup",
