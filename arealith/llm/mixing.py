@@ -158,19 +158,19 @@ def with_key(docs: DataFrame, rows: int) -> DataFrame:
 
 
 def index_documents(docs: DataFrame, keep: Sequence[str] = (), **options) -> tuple[DataFrame, MixPlan]:
-    """Documents with ``size``, ``_source`` (number) and ``_start`` (first word in the source's stream), and the plan."""
+    """Documents with ``_size``, ``_source`` (number) and ``_start`` (first word in the source's stream), and the plan."""
     rows = docs.count()
     cols = ["doc_id", "source", *keep]
-    sized = with_key(docs.select(*cols, word_count().alias("size")), rows)
-    totals = sized.groupBy("_key", "_bucket").agg(F.sum("size").alias("_words"))
+    sized = with_key(docs.select(*cols, word_count().alias("_size")), rows)
+    totals = sized.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words"))
     by_source = totals.groupBy("_key").agg(F.sum("_words").alias("words")).collect()  # a row for each source
     plan = plan_mix({None if r._key == "n" else r._key[1:]: r.words for r in by_source}, **options)
     number = docs.sparkSession.createDataFrame([("n" if s is None else f"s{s}", i) for i, s in enumerate(plan.sources)] or [("n", 0)], "_key string, _source int")
     before = F.sum("_words").over(Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     base = totals.select("_key", "_bucket", F.coalesce(before, F.lit(0)).alias("_base")).join(number, "_key")
-    within = F.sum("size").over(Window.partitionBy("_key", "_bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("_size").over(Window.partitionBy("_key", "_bucket").orderBy("doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1))
     placed = sized.withColumn("_within", F.coalesce(within, F.lit(0))).join(base, ["_key", "_bucket"])
-    return placed.select(*cols, "size", "_source", (F.col("_base") + F.col("_within")).alias("_start")), plan
+    return placed.select(*cols, "_size", "_source", (F.col("_base") + F.col("_within")).alias("_start")), plan
 
 
 def drawn(plan: MixPlan, source: np.ndarray, start: np.ndarray, size: np.ndarray) -> pd.DataFrame:
@@ -198,20 +198,20 @@ def drawn(plan: MixPlan, source: np.ndarray, start: np.ndarray, size: np.ndarray
 def draw_blocks(indexed: DataFrame, plan: MixPlan, batch_words: int = 8_000_000) -> DataFrame:
     """The mix itself: a row for each drawn piece of a document, with its shard and its place in it.
 
-    ``(doc_id, _source, _start, size, shard, slot_key, epoch, first_word, words)``; a shard's order is
+    ``(doc_id, _source, _start, _size, shard, slot_key, epoch, first_word, words)``; a shard's order is
     that of ``slot_key``. Batches are cut so that no more than ``batch_words`` words are drawn from at once.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            part = (whole["size"].cumsum() // batch_words).to_numpy()
+            part = (whole["_size"].cumsum() // batch_words).to_numpy()
             for _, pdf in whole.groupby(part):
-                d = drawn(plan, pdf["_source"].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64))
-                out = pdf[["doc_id", "_source", "_start", "size"]].iloc[d["row"].to_numpy()].reset_index(drop=True)
+                d = drawn(plan, pdf["_source"].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64))
+                out = pdf[["doc_id", "_source", "_start", "_size"]].iloc[d["row"].to_numpy()].reset_index(drop=True)
                 yield pd.concat([out, d.drop(columns="row").rename(columns={"key": "slot_key"})], axis=1)
 
-    cols = indexed.select("doc_id", "_source", "_start", "size").filter("size > 0")
-    return cols.mapInPandas(run, "doc_id long, _source int, _start long, size long, shard long, slot_key long, epoch int, first_word long, words long")
+    cols = indexed.select("doc_id", "_source", "_start", "_size").filter("_size > 0")
+    return cols.mapInPandas(run, "doc_id long, _source int, _start long, _size long, shard long, slot_key long, epoch int, first_word long, words long")
 
 
 def mix_shards(draws: DataFrame) -> DataFrame:
@@ -224,11 +224,11 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     indexed, plan = index_documents(docs, **options)
     spark = docs.sparkSession
     facts = spark.createDataFrame([(i, s, float(t)) for i, (s, t) in enumerate(zip(plan.size, plan.target, strict=True))] or [(0, 0, 0.0)], "_source int, source_size long, target double")
-    cols = ["doc_id", "_source", "_start", "size"]
-    none = indexed.filter("size = 0").select("doc_id", "_source", "size", F.lit(0).cast("long").alias("taken"))
-    rows = indexed.filter("size > 0").select(*cols, F.lit(0).cast("long").alias("words")).union(draw_blocks(indexed, plan).select(*cols, "words"))
-    taken = rows.groupBy(*cols).agg(F.sum("words").alias("taken")).select("doc_id", "_source", "size", "taken")
-    return taken.union(none).join(F.broadcast(facts), "_source").select("doc_id", "size", "source_size", "target", "taken")
+    cols = ["doc_id", "_source", "_start", "_size"]
+    none = indexed.filter("_size = 0").select("doc_id", "_source", "_size", F.lit(0).cast("long").alias("taken"))
+    rows = indexed.filter("_size > 0").select(*cols, F.lit(0).cast("long").alias("words")).union(draw_blocks(indexed, plan).select(*cols, "words"))
+    taken = rows.groupBy(*cols).agg(F.sum("words").alias("taken")).select("doc_id", "_source", "_size", "taken")
+    return taken.union(none).join(F.broadcast(facts), "_source").select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -246,9 +246,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for _, pdf in whole.groupby((whole["size"].cumsum() // 2_000_000).to_numpy()):
-                d = drawn(plan, pdf["_source"].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64))
-                texts, sizes, rows, cut = pdf["text"].to_numpy(), pdf["size"].to_numpy(), [], []
+            for _, pdf in whole.groupby((whole["_size"].cumsum() // 2_000_000).to_numpy()):
+                d = drawn(plan, pdf["_source"].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64))
+                texts, sizes, rows, cut = pdf["text"].to_numpy(), pdf["_size"].to_numpy(), [], []
                 for (row, _), g in d.sort_values(["row", "epoch", "first_word"]).groupby(["row", "epoch"], sort=False):
                     text = texts[row]
                     first, count = g["first_word"].to_numpy(), g["words"].to_numpy()
@@ -265,4 +265,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                     out["n_chars"] = pd.Series([len(t) for t in cut], dtype="int64")
                 yield out[names]
 
-    return indexed.filter("size > 0").mapInPandas(run, docs.schema)
+    return indexed.filter("_size > 0").mapInPandas(run, docs.schema)
