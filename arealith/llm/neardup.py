@@ -11,7 +11,8 @@ once these pairs are verified and joined to components, the nodes outside a buck
 component are paired with all nodes of other components in that bucket. Every two nodes of a bucket
 so end up linked through verified links or compared with each other, at a cost that is linear in the
 size of a group of copies. Candidates that cannot reach the threshold by their counts of shingles, or
-whose one-bit registers disagree far beyond chance, are left out before texts are fetched.
+whose registers (four bits of each of 400) agree less than six standard deviations below the threshold's
+mean, are left out before texts are fetched.
 
 *Verification* is exact: the Jaccard similarity of the distinct shingles of the whole texts, at least
 ``threshold``. A class is a connected component of verified links; its id is its smallest doc_id.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arealith.llm.arrowtools import lists, slices, utf8
@@ -37,7 +38,9 @@ from arealith.llm.textarrays import VISIBLE, mix64, rows_of, span_hash, words
 from arealith.operators.components import connected_components
 from arealith.sources.tables import cut, stored
 
-WIDTH, BANDS, ROWS = 5, 30, 5
+WIDTH, BANDS, ROWS = 5, 50, 8
+#: Ids that are broadcast at most (8 MB).
+MOST_BROADCAST = 1_000_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,11 +98,12 @@ def prob_min_hash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, same1, same2, shingles, bits1, bits2, bands)`` of every text with a word.
+    """``(doc_id, same1, same2, shingles, bands, r0, r1, ...)`` of every text with a word.
 
-    ``same*`` is a 128-bit fingerprint of the words in order, ``bits*`` one bit each of 128 registers.
+    ``same*`` is a 128-bit fingerprint of the words in order, ``r*`` four bits of each register, sixteen to a number.
     """
     m = bands * per_band
+    parts = registers(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -121,27 +125,44 @@ def sketches(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS, width: i
         for j in range(per_band):
             keys = mix64(keys * np.uint64(0xD6E8FEB86659FD93) + sig[:, j::per_band] + np.uint64(j))
         keys = mix64(keys + np.arange(1, bands + 1, dtype=np.uint64) * _G).view(np.int64)
-        bits = np.packbits((mix64(sig[:, :128] + np.uint64(9)) & np.uint64(1)).astype(np.uint8), axis=1)
-        bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
+        four = np.pad((mix64(sig + np.uint64(9)) & np.uint64(15)).astype(np.uint8), ((0, 0), (0, -m % 16)))
+        four = (four[:, ::2] << 4 | four[:, 1::2]).view(np.int64)
         have = np.flatnonzero(np.diff(first) > 0)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(have)), *(pa.array(x[have]) for x in same), pa.array(np.bincount(row, minlength=n)[have]), pa.array(bits[have, 0]), pa.array(bits[have, 1]), lists(keys[have].ravel(), np.full(len(have), bands), pa.int64())],
-            names=["doc_id", "same1", "same2", "shingles", "bits1", "bits2", "bands"],
+            [batch.column("doc_id").take(pa.array(have)), *(pa.array(x[have]) for x in same), pa.array(np.bincount(row, minlength=n)[have]), lists(keys[have].ravel(), np.full(len(have), bands), pa.int64()), *(pa.array(four[have, k]) for k in range(len(parts)))],
+            names=["doc_id", "same1", "same2", "shingles", "bands", *parts],
         )
 
     cols = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").alias("_text"))
-    return cols.mapInArrow(run, "doc_id long, same1 long, same2 long, shingles long, bits1 long, bits2 long, bands array<long>")
+    return cols.mapInArrow(run, "doc_id long, same1 long, same2 long, shingles long, bands array<long>, " + ", ".join(f"{r} long" for r in parts))
 
 
-def possible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that may reach the threshold by their counts of shingles and their one-bit registers."""
-    facts = nodes.select("node", "shingles", "bits1", "bits2")
-    for side in ("a", "b"):
-        pairs = pairs.join(facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns)), F.col(side) == F.col(f"{side}_node")).drop(f"{side}_node")
-    alike = 128 - F.bit_count(F.col("a_bits1").bitwiseXOR(F.col("b_bits1"))) - F.bit_count(F.col("a_bits2").bitwiseXOR(F.col("b_bits2")))
-    mean = 128 * (0.5 + threshold / 2)
-    least = mean - 7 * (mean * (0.5 - threshold / 2)) ** 0.5
-    return pairs.filter((F.least("a_shingles", "b_shingles") >= threshold * F.greatest("a_shingles", "b_shingles")) & (alike >= least)).select("a", "b")
+def registers(m: int) -> list[str]:
+    return [f"r{k}" for k in range(-(-m // 16))]
+
+
+def may_reach(threshold: float, m: int) -> Column:
+    """Whether two nodes (columns a_*, b_*) may reach the threshold by their shingles' counts and their registers."""
+    differ = F.lit(0)
+    for r in registers(m):
+        x = F.col(f"a_{r}").bitwiseXOR(F.col(f"b_{r}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    share = threshold + (1 - threshold) / 16  # registers that differ agree in four bits once in sixteen times
+    least = m * share - 6 * (m * share * (1 - share)) ** 0.5
+    return (F.least("a_shingles", "b_shingles") >= threshold * F.greatest("a_shingles", "b_shingles")) & (m - differ >= least)
+
+
+def named(nodes: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    return nodes.select(*(F.col(c).alias(f"{side}_{c}") for c in columns))
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, threshold: float, m: int) -> DataFrame:
+    """Pairs (a, b) of nodes that may reach the threshold."""
+    for side in "ab":
+        pairs = pairs.join(named(nodes, side, ["node", "shingles", *registers(m)]), F.col(side) == F.col(f"{side}_node"))
+    return pairs.filter(may_reach(threshold, m)).select("a", "b")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame, side: str, share: int = 256) -> DataFrame:
@@ -158,7 +179,9 @@ def with_texts(pairs: DataFrame, texts: DataFrame, side: str, share: int = 256)
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) whose whole texts' distinct shingles have at least that Jaccard similarity."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    if wanted.count() <= MOST_BROADCAST:  # else all texts are shuffled once
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     both = with_texts(with_texts(pairs, texts, "b"), texts, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
 
@@ -189,33 +212,40 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, width: int = W
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, per_band: int = ROWS, width: int = WIDTH) -> DataFrame:
     """``(doc_id, class_id, kept)`` for every row of ``docs``; one document of each class is kept."""
     marks = stored(sketches(docs, bands, per_band, width), "sketches")
-    # Equal words: equal sketches, so any of them will do. Stored tables let Spark split a join's hot keys.
-    same = marks.groupBy("same1", "same2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("shingles", "bits1", "bits2", "bands")))
-    same = stored(same, "nodes")
-    nodes = same.groupBy("node").agg(F.min(F.struct(*(c for c in same.columns if c != "node"))).alias("s")).select("node", "s.*")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node")
+    m = bands * per_band
+    members = stored(marks.groupBy("same1", "same2").agg(F.min("doc_id").alias("node")), "members")
+    # One row for each node; stored tables let Spark split a join's hot keys.
+    own = marks.join(members, ["same1", "same2"]).filter("doc_id = node")
+    facts = ["shingles", "bands", *registers(m)]
+    nodes = stored(own.groupBy("node").agg(F.min(F.struct("same1", *facts)).alias("s")).select("node", *(f"s.{c}" for c in facts)), "nodes")
+    keyed = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     shared = stored(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
     buckets = stored(keyed.join(shared, "key"), "buckets")
 
-    stars = possible(buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes, threshold)
-    links = stored(verified(stars, docs, threshold, width).select("a", "b"), "links")
+    stars = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = stored(verified(possible(stars, nodes, threshold, m), docs, threshold, width).select("a", "b"), "links")
     parts = connected_components(links, "a", "b")
 
     # What the stars left open: nodes of a bucket outside its largest component, against all of other components.
-    placed = buckets.select("key", "node").join(parts.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = cut(placed)
+    placed = cut(buckets.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "band", "node", "pivot", F.coalesce("component", "node").alias("component")))
     groups = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = cut(placed.join(cut(mixed.select("key", "largest")), "key"))
-    few = open_.filter("component <> largest").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-    every = open_.select("key", F.col("node").alias("y"), F.col("component").alias("cy"), "largest")
-    # A pair of two small components is taken once, from its smaller node.
-    rest = few.join(every, "key").filter("cx <> cy and (cy = largest or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    seen = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    more = stored(verified(possible(rest.join(seen, ["a", "b"], "left_anti"), nodes, threshold), docs, threshold, width).select("a", "b"), "more-links")
+    open_ = placed.join(cut(mixed.select("key", "largest")), "key")
+    short = F.transform("bands", lambda k: k.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("short")  # enough to tell a band's keys apart
+    open_ = stored(open_.join(nodes.select("node", "shingles", short, *registers(m)), "node"), "open")
+    cols = ["key", "band", "node", "component", "pivot", "shingles", "short", *registers(m)]
+    few, every = named(open_.filter("component <> largest"), "a", cols), named(open_, "b", [*cols, "largest"])
+    # A pair of two small components is taken from its smaller node, and every pair in the first band that it shares.
+    once = (F.col("b_component") == F.col("b_largest")) | (F.col("a_node") < F.col("b_node"))
+    new = (F.col("a_node") != F.col("b_pivot")) & (F.col("b_node") != F.col("b_pivot"))
+    before = F.arrays_zip(F.slice("a_short", 1, F.col("a_band")).alias("x"), F.slice("b_short", 1, F.col("a_band")).alias("y"))
+    first = ~F.exists(before, lambda z: z["x"] == z["y"])
+    rest = few.join(every, (F.col("a_key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & once & new & may_reach(threshold, m) & first)
+    rest = rest.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    more = stored(verified(rest, docs, threshold, width).select("a", "b"), "more-links")
     classes = connected_components(links.union(more), "a", "b")
 
-    of_text = marks.select("doc_id", "same1", "same2").join(same.select("same1", "same2", "node"), ["same1", "same2"]).groupBy("doc_id").agg(F.min("node").alias("node"))
+    of_text = marks.select("doc_id", "same1", "same2").join(members, ["same1", "same2"]).groupBy("doc_id").agg(F.min("node").alias("node"))
     of_doc = of_text.join(classes.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
     out = docs.select("doc_id").join(of_doc, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
