@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from arealith.plans import statistics
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+PARTS = [statistics]
+flagship = statistics.flagship
 
 
 def queries():
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
