@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arealith.plans import statistics
+from arealith.plans import basics, statistics
 
-PARTS = [statistics]
+PARTS = [basics, statistics]
 flagship = statistics.flagship
 
 
