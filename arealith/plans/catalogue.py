@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arealith.plans import basics, statistics
+from arealith.plans import basics, content, places, statistics
 
-PARTS = [basics, statistics]
+PARTS = [basics, statistics, places, content]
 flagship = statistics.flagship
 
 
