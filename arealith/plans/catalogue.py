@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arealith.plans import basics, content, places, statistics
+from arealith.plans import basics, content, modelled, places, statistics
 
-PARTS = [basics, statistics, places, content]
+PARTS = [basics, statistics, places, content, modelled]
 flagship = statistics.flagship
 
 
