@@ -165,12 +165,14 @@ def possible(pairs: DataFrame, nodes: DataFrame, threshold: float, m: int) -> Da
     return pairs.filter(may_reach(threshold, m)).select("a", "b")
 
 
-def with_texts(pairs: DataFrame, texts: DataFrame, side: str, share: int = 256) -> DataFrame:
-    """Adds the text of one side of each pair. A node in many pairs is copied once for every ``share`` of
-    them, and its pairs are dealt over the copies, so no task gets all pairs of one node."""
+def copies_of(pairs: DataFrame, side: str, share: int = 256) -> DataFrame:
+    """How many copies of a node's text its pairs are dealt over: one for every ``share`` of them."""
+    return cut(pairs.groupBy(side).agg(F.ceil(F.count("*") / share).cast("int").alias("slots")))
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame, side: str, copies: DataFrame) -> DataFrame:
+    """Adds the text of one side of each pair; no task gets all pairs of one node."""
     other = "b" if side == "a" else "a"
-    slots = F.ceil(F.count("*") / share).cast("int")
-    copies = cut(pairs.groupBy(side).agg(slots.alias("slots")))
     dealt = pairs.join(copies, side).withColumn("slot", F.pmod(F.xxhash64(other), F.col("slots")).cast("int")).drop("slots")
     spread = copies.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
     return dealt.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).join(spread, side), [side, "slot"]).drop("slot")
@@ -183,7 +185,8 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, width: int = W
     if wanted.count() <= MOST_BROADCAST:  # else all texts are shuffled once
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    both = with_texts(with_texts(pairs, texts, "b"), texts, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    copies = {side: copies_of(pairs, side) for side in "ab"}
+    both = with_texts(with_texts(pairs, texts, "b", copies["b"]), texts, "a", copies["a"]).select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
 
     def sets(texts: pa.Array) -> list[np.ndarray]:
         h, first = word_hashes(texts)
