@@ -11,7 +11,7 @@ once these pairs are verified and joined to components, the nodes outside a buck
 component are paired with all nodes of other components in that bucket. Every two nodes of a bucket
 so end up linked through verified links or compared with each other, at a cost that is linear in the
 size of a group of copies. Candidates that cannot reach the threshold by their counts of shingles, or
-whose registers (four bits of each of 400) agree less than six standard deviations below the threshold's
+whose registers (four bits of each of 400) agree less than five standard deviations below the threshold's
 mean, are left out before texts are fetched.
 
 *Verification* is exact: the Jaccard similarity of the distinct shingles of the whole texts, at least
@@ -150,7 +150,7 @@ def may_reach(threshold: float, m: int) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
     share = threshold + (1 - threshold) / 16  # registers that differ agree in four bits once in sixteen times
-    least = m * share - 6 * (m * share * (1 - share)) ** 0.5
+    least = m * share - 5 * (m * share * (1 - share)) ** 0.5
     return (F.least("a_shingles", "b_shingles") >= threshold * F.greatest("a_shingles", "b_shingles")) & (m - differ >= least)
 
 
