@@ -134,7 +134,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
 def train_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, parts: int = 4, held: int = 2) -> Trees:
     """Trees fitted on labelled documents outside the held-out fold."""
     rows = gathered(labelled_texts(docs, labels, "quality", fold(parts) != held, most), lambda t: [r.tobytes() for r in statistics(t)])
-    x = np.array([np.frombuffer(v) for _, v in rows]).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(v) for _, v in rows]) if rows else np.zeros((0, 1))
     return grow(x, np.array([float(y) for y, _ in rows]))
 
 
