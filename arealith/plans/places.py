@@ -155,13 +155,13 @@ def _(spark, sf):
     return rounded(S.global_moran(v, w).crossJoin(F.broadcast(alone)).select(F.lit("30 km").alias("weights"), "n", "i", "isolates"), "i")
 
 
-@query("centroids", f"WITH {NATIONS} SELECT id AS code, 131.0 + 2 * c AS x, 31.0 + 2 * r AS y FROM v")
+@query("centroids", f"WITH {NATIONS} SELECT id AS code, (131 + 2 * c)::DOUBLE AS x, (31 + 2 * r)::DOUBLE AS y FROM v")
 def _(spark, sf):
     c = G.centroid(F.get(F.get("parts", F.lit(0)), F.lit(0)))
     return rounded(_polygons(spark, sf).select("code", c.alias("p")).select("code", "p.x", "p.y"), "x", "y")
 
 
-@query("bounding_boxes", f"WITH {NATIONS} SELECT id AS code, 130.0 + 2 * c AS x0, 132.0 + 2 * c AS x1, 30.0 + 2 * r AS y0, 32.0 + 2 * r AS y1 FROM v")
+@query("bounding_boxes", f"WITH {NATIONS} SELECT id AS code, (130 + 2 * c)::DOUBLE AS x0, (132 + 2 * c)::DOUBLE AS x1, (30 + 2 * r)::DOUBLE AS y0, (32 + 2 * r)::DOUBLE AS y1 FROM v")
 def _(spark, sf):
     return _polygons(spark, sf).select("code", G.bounds(F.col("parts")).alias("b")).select("code", "b.*")
 
@@ -175,7 +175,7 @@ def _vertices(spark, sf):
 _VERT = f"{SUPPLIERS}, ve AS (SELECT id, c + dx + 0.00005::DOUBLE * (id % 3) AS x, r + dy AS y FROM v, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))"
 
 
-@query("snap_sensitivity", f"WITH {_VERT}, pr AS (SELECT DISTINCT a.id AS src, b.id AS dst, s FROM ve a JOIN ve b ON a.id <> b.id, (VALUES (0.0), (0.0001), (0.001)) t(s) WHERE abs(a.x - b.x) < 0.01 AND a.y = b.y AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= s * s) SELECT round(s, 6)::DOUBLE AS snap, count(*) AS edges FROM pr GROUP BY s")
+@query("snap_sensitivity", f"WITH {_VERT}, pr AS (SELECT DISTINCT a.id AS src, b.id AS dst, s FROM ve a JOIN ve b ON a.id <> b.id, (VALUES (0.0), (0.0001), (0.001)) t(s) WHERE abs(a.x - b.x) < 0.01 AND a.y = b.y AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= s * s) SELECT round(t.s, 6)::DOUBLE AS snap, count(pr.src) AS edges FROM (VALUES (0.0), (0.0001), (0.001)) t(s) LEFT JOIN pr ON pr.s = t.s GROUP BY t.s")
 def _(spark, sf):
     v = _vertices(spark, sf)
     out = None
