@@ -85,3 +85,82 @@ def write_audit(audit: DataFrame, path: str, fail: bool = True) -> None:
     audit.write.option("header", True).csv(path)
     if fail and not audit.isEmpty():
         raise ValueError(f"checks failed, see {path}")
+
+
+def geojson_stream(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
+    """``(path, feature)``: features of huge collections as JSON texts, decoded chunk by chunk in bounded memory.
+
+    A file is read by one task; its content comes in through Spark, so any store works.
+    """
+
+    def features(text: Iterator[str]) -> Iterator[str]:
+        import json
+
+        decoder, held, inside = json.JSONDecoder(), "", False
+        for part in text:
+            held += part
+            if not inside:
+                at = held.find('"features"')
+                at = held.find("[", at) if at >= 0 else -1
+                if at < 0:
+                    continue
+                held, inside = held[at + 1 :], True
+            while True:
+                held = held.lstrip(" \t\r\n,")
+                if not held or held[0] == "]":
+                    break
+                try:
+                    _, end = decoder.raw_decode(held)
+                except ValueError:
+                    break  # not whole yet
+                yield held[:end]
+                held = held[end:]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                wrapped = io.TextIOWrapper(io.BytesIO(data), "utf-8-sig")
+                rows: list[str] = []
+                for f in features(iter(lambda: wrapped.read(chunk), "")):
+                    rows.append(f)
+                    if len(rows) == 5000:
+                        yield pd.DataFrame({"path": name, "feature": rows})
+                        rows = []
+                yield pd.DataFrame({"path": [name] * len(rows), "feature": rows})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, feature string")
+
+
+_CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(spark: SparkSession, path: str, sheet: int = 1, first_row: int = 1) -> DataFrame:
+    """``(path, row, cells)`` of a workbook's sheet from a row on; cells map column letters to texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xml.etree.ElementTree import iterparse
+
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    shared = []
+                    if "xl/sharedStrings.xml" in z.namelist():
+                        for _, e in iterparse(z.open("xl/sharedStrings.xml")):
+                            if e.tag == f"{_CELL}si":
+                                shared.append("".join(t.text or "" for t in e.iter(f"{_CELL}t")))
+                    rows: list[tuple] = []
+                    for _, e in iterparse(z.open(f"xl/worksheets/sheet{sheet}.xml")):
+                        if e.tag != f"{_CELL}row":
+                            continue
+                        if int(e.get("r")) >= first_row:
+                            cells = {}
+                            for c in e.iter(f"{_CELL}c"):
+                                v = c.find(f"{_CELL}v")
+                                text = "".join(t.text or "" for t in c.iter(f"{_CELL}t")) if c.get("t") == "inlineStr" else (v.text if v is not None else None)
+                                if text is not None:
+                                    cells["".join(x for x in c.get("r") if x.isalpha())] = shared[int(text)] if c.get("t") == "s" else text
+                            rows.append((name, int(e.get("r")), cells))
+                        e.clear()
+                    yield pd.DataFrame(rows, columns=["path", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells map<string,string>")

@@ -149,3 +149,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = spark.table("seen").agg(F.sum("n")).first()[0]
     assert got == src.count()
+
+
+def test_feature_stream_and_sheets(spark, tmp_path):
+    import json
+
+    feats = [{"type": "Feature", "properties": {"k": f"[{i}], \"features\": é"}, "geometry": None} for i in range(50)]
+    (tmp_path / "big.json").write_text(json.dumps({"type": "FeatureCollection", "features": feats}, ensure_ascii=False), encoding="utf-8")
+    got = files.geojson_stream(spark, str(tmp_path / "big.json"), chunk=37).collect()
+    assert [json.loads(r.feature) for r in got] == feats
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>code</t></si><si><r><t>na</t></r><r><t>me</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>01</t></is></c><c r="B2"><v>5</v></c></row></sheetData></worksheet>')
+    rows = files.sheet_rows(spark, str(tmp_path / "b.xlsx")).orderBy("row").collect()
+    assert [r.cells for r in rows] == [{"A": "code", "B": "name"}, {"A": "01", "B": "5"}]
