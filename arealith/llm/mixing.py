@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arealith.sources.tables import cut
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,6 +164,8 @@ def index_documents(docs: DataFrame, keep: Sequence[str] = (), **options) -> tup
     rows = docs.count()
     cols = ["doc_id", "source", *keep]
     sized = with_key(docs.select(*cols, word_count().alias("_size")), rows)
+    if not keep:  # small rows: texts are then read once
+        sized = cut(sized)
     totals = sized.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words"))
     by_source = totals.groupBy("_key").agg(F.sum("_words").alias("words")).collect()  # a row for each source
     plan = plan_mix({None if r._key == "n" else r._key[1:]: r.words for r in by_source}, **options)
