@@ -222,3 +222,18 @@ def _(spark, sf):
 @query("elderly_share", "SELECT c_nationkey AS id, round(10.0 * avg(CASE WHEN c_acctbal > 5000 THEN 1.0 ELSE 0.0 END), 6) AS share10 FROM customer GROUP BY 1")
 def _(spark, sf):
     return rounded(table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("id")).agg((10.0 * F.avg(F.when(F.col("c_acctbal") > 5000, 1.0).otherwise(0.0))).alias("share10")), "share10")
+
+
+@query("route_rows", "SELECT CASE WHEN p_size % 10 = 1 THEN 'nation' WHEN p_size % 10 IN (0, 2, 3) THEN 'municipality' WHEN p_size % 10 IN (4, 9) THEN 'skipped' ELSE 'error' END AS level, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1")
+def _(spark, sf):
+    k = F.col("p_size") % 10
+    level = F.when(k == 1, "nation").when(k.isin(0, 2, 3), "municipality").when(k.isin(4, 9), "skipped").otherwise("error")
+    return table(spark, sf, "part").groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id"))
+
+
+@query("explode_mapping", "WITH g AS (SELECT s_nationkey AS area, string_agg(CAST(s_suppkey AS VARCHAR), ', ' ORDER BY s_suppkey) AS members FROM supplier GROUP BY 1), m AS (SELECT area, CAST(trim(unnest(string_split(members, ','))) AS BIGINT) AS member FROM g), t AS (SELECT l_suppkey AS member, count(*) AS n FROM lineitem GROUP BY 1) SELECT area, count(*) AS members, coalesce(sum(n), 0)::BIGINT AS lines, count(*) - count(DISTINCT member) AS repeated FROM m LEFT JOIN t USING (member) GROUP BY area")
+def _(spark, sf):
+    lists = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("area")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ", ").alias("members"))
+    m = lists.select("area", F.explode(F.split("members", ",")).alias("m")).select("area", F.trim("m").cast("long").alias("member"))
+    t = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("member")).agg(F.count("*").alias("n"))
+    return m.join(t, "member", "left").groupBy("area").agg(F.count("*").alias("members"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), (F.count("*") - F.countDistinct("member")).alias("repeated"))

@@ -221,3 +221,28 @@ n AS (SELECT a, b, count(*) AS side, bool_or(id = b) AS back FROM t GROUP BY a,
 SELECT a, b, least(side, total - side) AS small, greatest(side, total - side) AS large FROM n, w WHERE NOT back""")
 def _(spark, sf):
     return bridges(_joined(spark, sf))
+
+
+@query("linkage_checks", f"""WITH {_LINK} SELECT 'one row for each roster row' AS "check", (SELECT count(*) FROM ro) AS expected, (SELECT count(DISTINCT id) FROM lk) AS actual
+UNION ALL SELECT 'matched and unmatched add up', (SELECT count(*) FROM ro), (SELECT count(*) FROM lk WHERE status = 'matched') + (SELECT count(*) FROM lk WHERE status = 'unmatched')
+UNION ALL SELECT 'matched rows have a reference', (SELECT count(*) FROM lk WHERE status = 'matched'), (SELECT count(ref_id) FROM lk)
+UNION ALL SELECT 'references are known', (SELECT count(ref_id) FROM lk), (SELECT count(*) FROM lk JOIN p ON p.id = ref_id)
+UNION ALL SELECT 'contested come in groups', (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM lk WHERE ref_id IS NOT NULL GROUP BY ref_id HAVING count(*) > 1)), (SELECT count(*) FROM lk WHERE contested)""")
+def _(spark, sf):
+    k = cut(_link(spark, sf))
+    p = _parts(spark, sf)
+    count = lambda d: d.agg(F.count("*").alias("n"))
+    groups = k.filter("ref_id is not null").groupBy("ref_id").agg(F.count("*").alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    roster, matched = count(p.filter("id % 2 = 1")), count(k.filter("status = 'matched'"))
+    checks = [
+        ("one row for each roster row", roster, k.agg(F.countDistinct("id").alias("n"))),
+        ("matched and unmatched add up", roster, count(k.filter("status in ('matched', 'unmatched')"))),
+        ("matched rows have a reference", matched, count(k.filter("ref_id is not null"))),
+        ("references are known", count(k.filter("ref_id is not null")), count(k.join(p.select(F.col("id").alias("ref_id")), "ref_id", "left_semi"))),
+        ("contested come in groups", groups, count(k.filter("contested"))),
+    ]
+    out = None
+    for name, a, b in checks:
+        one = a.select(F.lit(name).alias("check"), F.col("n").alias("expected")).crossJoin(F.broadcast(b.select(F.col("n").alias("actual"))))
+        out = one if out is None else out.union(one)
+    return out

@@ -209,3 +209,20 @@ def flagship(spark, sf):
 
 QUERIES["flagship"] = flagship
 SQL["flagship"] = f"SELECT s.*, g.gi, CASE WHEN g.gi IS NULL THEN 'isolated' WHEN g.gi > 1.96 THEN 'hot' WHEN g.gi < -1.96 THEN 'cold' ELSE 'not significant' END AS label FROM ({SQL['lisa']}) s JOIN ({SQL['gi_star']}) g ON g.id = s.id"
+
+_I = lambda x: f"(SELECT sum(z * lag) / sum(z * z) FROM (SELECT a.id, any_value(a.z) AS z, avg(b.z) AS lag FROM (SELECT id, x - avg(x) OVER () AS z FROM {x}) a JOIN e ON src = a.id JOIN (SELECT id, x - avg(x) OVER () AS z FROM {x}) b ON b.id = dst GROUP BY a.id))"
+
+
+@query("sweep_monotone", f"""WITH {SUPPLIERS}, {QUEEN}, s AS (SELECT src, dst FROM e UNION ALL SELECT id, id FROM v), x1 AS (SELECT src AS id, avg(x) AS x FROM s JOIN v ON v.id = dst GROUP BY src), x2 AS (SELECT src AS id, avg(x) AS x FROM s JOIN x1 ON x1.id = dst GROUP BY src),
+ i AS (SELECT 0 AS passes, {_I('v')} AS i UNION ALL SELECT 1, {_I('x1')} UNION ALL SELECT 2, {_I('x2')})
+SELECT passes, round(i, 6) AS i, coalesce(round(i, 9) > lag(round(i, 9)) OVER (ORDER BY passes), true) AS rises FROM i""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    v = supplier_values(spark, sf)
+    e, w, out = queen(v), queen_weights(v), None
+    for passes in range(3):
+        one = S.global_moran(S.smoothed(v.select("id", "x"), e, passes), w).select(F.lit(passes).alias("passes"), "i")
+        out = one if out is None else out.union(one)
+    rises = F.round("i", 9) > F.lag(F.round("i", 9)).over(Window.orderBy("passes"))  # a row for each pass
+    return rounded(out.withColumn("rises", F.coalesce(rises, F.lit(True))), "i")
