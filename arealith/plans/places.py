@@ -51,7 +51,7 @@ def _(spark, sf):
 
 
 def _link(spark, sf):
-    p = _parts(spark, sf)
+    p = cut(_parts(spark, sf))  # every tier reads it
     roster = p.filter("id % 2 = 1").select("id", "block", "norm")
     ref = p.filter("id % 2 = 0").select("id", "block", "norm", F.when(F.col("id") % 4 == 0, 1).otherwise(2).alias("source"))
     return L.tiered_linkage(roster, ref, p.filter("id % 35 = 7 and id % 2 = 1").select("id", (F.col("id") - 1).alias("ref_id")), TYPES)
