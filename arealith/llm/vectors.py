@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,23 +108,24 @@ def grid_blocks(distinct: DataFrame, axes: dict[int, np.ndarray], epsilon: float
 def pair_counts(pairs: DataFrame, cosine: float) -> DataFrame:
     """Each pair of blocks: ``(node, links, low)`` for its vectors that have a link within the pair."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                ia, ib = np.frombuffer(r.a_ids, np.int64), np.frombuffer(r.b_ids, np.int64)
-                wa, wb = np.frombuffer(r.a_weights, np.int64), np.frombuffer(r.b_weights, np.int64)
-                x, y = np.frombuffer(r.a_vectors).reshape(len(ia), -1), np.frombuffer(r.b_vectors).reshape(len(ib), -1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # blocks are read where they lie in the batch, without copies
+            for a, b, *blobs in zip(*(batch.column(c) for c in ("a", "b", "a_ids", "b_ids", "a_weights", "b_weights", "a_vectors", "b_vectors")), strict=True):
+                ia, ib, wa, wb = (np.frombuffer(x.as_buffer(), np.int64) for x in blobs[:4])
+                x, y = (np.frombuffer(v.as_buffer()).reshape(len(i), -1) for v, i in zip(blobs[4:], (ia, ib), strict=True))
                 linked = links_of(x, y, cosine)
-                own = r.a == r.b
+                own = a.as_py() == b.as_py()
                 if own:
                     np.fill_diagonal(linked, False)
                 low_a, low_b = connected(linked, ia, ib)
-                out = [pd.DataFrame({"node": ia, "links": linked @ wb, "low": low_a})[linked.any(1)]]
+                here = linked.any(1)
+                out = [(ia[here], (linked @ wb)[here], low_a[here])]
                 if not own:
-                    out.append(pd.DataFrame({"node": ib, "links": wa @ linked, "low": low_b})[linked.any(0)])
-                yield pd.concat(out)
+                    there = linked.any(0)
+                    out.append((ib[there], (wa @ linked)[there], low_b[there]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["node", "links", "low"])
 
-    return pairs.mapInPandas(run, "node long, links long, low long")
+    return pairs.mapInArrow(run, "node long, links long, low long")
 
 
 def interval_pairs(blocks: DataFrame, epsilon: float, dims: int, fan: int = 8) -> DataFrame:
