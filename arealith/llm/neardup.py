@@ -1,9 +1,10 @@
-"""Near-duplicate texts: ProbMinHash of weighted word shingles, banding, exact verification, classes.
+"""Near-duplicate texts: ProbMinHash of word shingles, banding, exact verification, classes.
 
-*Sketch.* A text's shingles are its distinct runs of five lower-cased words, weighed by 1 + ln(count).
-Every shingle sends a Poisson stream of arrivals, of rate equal to its weight, to random registers; a
-register keeps its earliest arrival. A stream ends as soon as its next arrival is later than every
-register's (early termination). Two texts agree in a register with their probability Jaccard.
+*Sketch.* A text's shingles are its distinct runs of five lower-cased words, all of weight one, however
+often they occur. Every shingle sends a Poisson stream of arrivals, of rate equal to its weight, to random
+registers; a register keeps its earliest arrival. A stream ends as soon as its next arrival is later than
+every register's (early termination). Two texts agree in a register with their probability Jaccard, which
+for equal weights is the plain Jaccard similarity that verification computes.
 
 *Candidates.* Texts with the same words are one node (its smallest doc_id). Nodes that agree in all
 registers of a band share a bucket. Within a bucket all nodes are paired with the smallest one only;
@@ -119,8 +120,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS, width: i
         for salt in (3, 5):
             total = np.r_[np.uint64(0), np.cumsum(mix64(h ^ mix64(place * _G + np.uint64(salt))))]
             same.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-        row, s, count = shingles(h, first, width)
-        sig = prob_min_hash(row, s, 1 + np.log(count), n, m)
+        row, s, _ = shingles(h, first, width)
+        sig = prob_min_hash(row, s, np.ones(len(row)), n, m)  # equal weights: a register agrees with the plain Jaccard
         keys = np.zeros((n, bands), np.uint64)
         for j in range(per_band):
             keys = mix64(keys * np.uint64(0xD6E8FEB86659FD93) + sig[:, j::per_band] + np.uint64(j))

@@ -83,6 +83,22 @@ def test_large_group_of_copies(spark):
     assert {r.class_id for r in got.select("class_id").distinct().collect()} == {0}
 
 
+def test_lines_repeated_on_one_side(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(2, 51):
+        base = [f"a{k}_{j}" for j in range(104)]
+        line = [f"b{k}_{j}" for j in range(16)]
+        often = base + line * k  # similarity 100 / 120 for every k
+        rows += [(10 * k, " ".join(base), "", ""), (10 * k + 1, " ".join(often), "", "")]
+        inner = base[:20] * rng.randrange(2, 9) + base  # a repeated run of the text's own words
+        rows += [(10 * k + 2, " ".join(inner), "", ""), (10 * k + 3, " ".join(base[:70] + line * k), "", "")]
+    got = near_duplicates(spark.createDataFrame(rows, COLS).repartition(5)).collect()
+    want = classes(rows)
+    assert all(want[10 * k + 1] == 10 * k for k in range(2, 51))
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_empty_documents(spark):
     assert near_duplicates(spark.createDataFrame([], COLS)).count() == 0
 
