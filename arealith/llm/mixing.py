@@ -6,7 +6,8 @@ keyed pseudo-random subset for the rest. The draws of a source are permuted, and
 the output shards splits the quotas of all sources by multivariate-hypergeometric draws, so each
 shard holds a known number of draws and the draws of two shards are disjoint. A tree node's draw
 depends on the seed and the node alone: tasks walk the tree by themselves and no table of quotas by
-shard exists anywhere. Within a shard, rows are ordered by a keyed hash.
+shard exists anywhere. Within a shard, rows are ordered by a keyed hash. The mix as documents gives each
+document and pass over it to the shard and place of its first drawn piece.
 
 Only one row for each *source* reaches the driver. Word offsets within a source are prefix sums in
 two steps (hash buckets of a source, then rows within a bucket), so a source that holds a third of
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from arealith.sources.tables import cut
 
@@ -218,21 +220,26 @@ def draw_blocks(indexed: DataFrame, plan: MixPlan, batch_words: int = 8_000_000)
     return cols.mapInPandas(run, "doc_id long, _source int, _start long, _size long, shard long, slot_key long, epoch int, first_word long, words long")
 
 
-def mix_shards(draws: DataFrame) -> DataFrame:
+def mix_shards(draws: DataFrame, shard: str = "shard", order: Sequence[str] = ("slot_key", "first_word")) -> DataFrame:
     """Local shuffle: every shard's draws in one partition, in the order of their keyed hash."""
-    return draws.repartition(F.col("shard")).sortWithinPartitions("shard", "slot_key", "first_word")
+    return draws.repartition(F.col(shard)).sortWithinPartitions(shard, *order)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """For each document the words that the mix takes of it, with its source's size and target."""
+    """For each document the words that the mix takes of it, with its source's size and target.
+
+    ``shard`` is that of the first piece of its first pass, null for a document of which nothing is drawn.
+    """
     indexed, plan = index_documents(docs, **options)
     spark = docs.sparkSession
     facts = spark.createDataFrame([(i, s, float(t)) for i, (s, t) in enumerate(zip(plan.size, plan.target, strict=True))] or [(0, 0, 0.0)], "_source int, source_size long, target double")
     cols = ["doc_id", "_source", "_start", "_size"]
-    none = indexed.filter("_size = 0").select("doc_id", "_source", "_size", F.lit(0).cast("long").alias("taken"))
-    rows = indexed.filter("_size > 0").select(*cols, F.lit(0).cast("long").alias("words")).union(draw_blocks(indexed, plan).select(*cols, "words"))
-    taken = rows.groupBy(*cols).agg(F.sum("words").alias("taken")).select("doc_id", "_source", "_size", "taken")
-    return taken.union(none).join(F.broadcast(facts), "_source").select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
+    none = indexed.filter("_size = 0").select("doc_id", "_source", "_size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("shard"))
+    undrawn = [F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("shard"), F.lit(None).cast("long").alias("place")]
+    place = F.shiftleft(F.col("epoch").cast("long"), 56) + F.col("first_word")
+    rows = indexed.filter("_size > 0").select(*cols, *undrawn).union(draw_blocks(indexed, plan).select(*cols, "words", "shard", place))
+    taken = rows.groupBy(*cols).agg(F.sum("words").alias("taken"), F.min_by("shard", "place").alias("shard")).select("doc_id", "_source", "_size", "taken", "shard")
+    return taken.union(none).join(F.broadcast(facts), "_source").select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", "shard")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -240,19 +247,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Returns the columns of ``docs`` (text and n_chars changed); a document of which nothing is drawn has no row.
     A text drawn whole keeps every character; otherwise drawn runs of words keep their own white space
-    and are joined by a line break.
+    and are joined by a line break. Each is dealt to the shard of its first drawn piece: a shard's rows are
+    in one partition, in the order of that piece's keyed hash (within a block, of the source's stream).
     """
     import re
 
     names = docs.columns
     indexed, plan = index_documents(docs, keep=[c for c in names if c not in ("doc_id", "source")], **options)
     word = re.compile("[^ \t-\r]+")
+    marks = ["_shard", "_slot", "_source", "_start"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for _, pdf in whole.groupby((whole["_size"].cumsum() // 2_000_000).to_numpy()):
                 d = drawn(plan, pdf["_source"].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64))
                 texts, sizes, rows, cut = pdf["text"].to_numpy(), pdf["_size"].to_numpy(), [], []
+                dealt = []
                 for (row, _), g in d.sort_values(["row", "epoch", "first_word"]).groupby(["row", "epoch"], sort=False):
                     text = texts[row]
                     first, count = g["first_word"].to_numpy(), g["words"].to_numpy()
@@ -263,10 +273,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                         text = "\n".join(text[at[a, 0] : at[b - 1, 1]] for a, b in zip(first[new], (first + count)[last], strict=True))
                     rows.append(row)
                     cut.append(text)
+                    dealt.append((g["shard"].iat[0], g["key"].iat[0]))
                 out = pdf.iloc[rows].reset_index(drop=True)
                 out["text"] = pd.Series(cut, dtype=object)
                 if "n_chars" in names:
                     out["n_chars"] = pd.Series([len(t) for t in cut], dtype="int64")
-                yield out[names]
+                out["_shard"], out["_slot"] = np.array(dealt, np.int64).reshape(-1, 2).T
+                yield out[[*names, *marks]]
 
-    return indexed.filter("_size > 0").mapInPandas(run, docs.schema)
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in marks)])
+    return mix_shards(indexed.filter("_size > 0").mapInPandas(run, schema), "_shard", marks[1:]).select(*names)

@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from arealith.llm.mixing import index_documents, mix64, mix_report, permute
 from arealith.llm.neardup import near_duplicates
 from arealith.llm.pieces import load
 from arealith.llm.queries.pieces import model_path
@@ -46,3 +50,54 @@ def test_no_labels_and_empty_tables(spark, tmp_path):
     assert P.run(spark, sf).count() >= 1
     sf = write(spark, tmp_path / "none", [], [])
     assert P.run(spark, sf).count() == 0
+
+
+def test_mix_equals_brute_force_in_the_order_of_its_shards(spark, tmp_path):
+    rng = random.Random(4)
+    docs = []
+    for i in range(260):
+        text = " ".join(f"d{i}w{j}" for j in range(rng.choice([1, 8, 90, 700])))
+        docs.append((i, text, "en", f"s{rng.randrange(9)}", len(text)))
+    sf = write(spark, tmp_path, docs, [])
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    indexed, plan = index_documents(d)
+    stream = {}
+    for r in sorted(indexed.collect(), key=lambda r: (r["_source"], r["_start"])):
+        stream.setdefault(r["_source"], []).extend((r.doc_id, j) for j in range(r["_size"]))
+    gold, taken, place = 0x9E3779B97F4A7C15, {}, {}
+    key = lambda a, k: mix64(np.array([(a + gold * k) % 2**64], np.uint64))
+    for s, every in stream.items():
+        n, w, quota = plan.blocks[s], plan.block[s], np.array([plan.quota[s]])
+        for epoch in range(4):
+            for b in range(n):
+                at = epoch * n + int(permute(np.array([b]), np.array([n]), key(plan.seed * 64 + epoch, s + 1))[0])
+                if at < plan.quota[s]:
+                    slot = permute(np.array([at]), quota, key(plan.seed * 64 + 63, s + 1))
+                    shard = int(plan.shard_of(np.array([s]), slot)[0])
+                    for o, (i, j) in enumerate(every[b * w : (b + 1) * w], b * w):
+                        taken.setdefault((i, epoch), []).append(j)
+                        place.setdefault((i, epoch), (j, shard, int(key(int(slot[0]), s + 7).view(np.int64)[0]), s, o))
+                        if j <= place[i, epoch][0]:
+                            place[i, epoch] = (j, shard, int(key(int(slot[0]), s + 7).view(np.int64)[0]), s, o)
+    want = {}
+    for (i, epoch), js in taken.items():
+        js = sorted(js)
+        text = "".join(("" if k == 0 else " " if j == js[k - 1] + 1 else "\n") + f"d{i}w{j}" for k, j in enumerate(js))
+        want.setdefault(place[i, epoch][1], []).append((*place[i, epoch][2:], i, text))
+    assert plan.shards >= 3 and len(want) == plan.shards
+    want = {shard: [x[-2:] for x in sorted(rows)] for shard, rows in want.items()}
+    dict(P.STAGES)["mix"](spark, d, sf).write.parquet(f"{sf}/mixed")
+    files = {}
+    for r in spark.read.parquet(f"{sf}/mixed").withColumn("file", F.input_file_name()).collect():
+        files.setdefault(r.file, []).append((r.doc_id, r.text))
+    found = set()
+    for rows in files.values():
+        while rows:  # a file is its shards one after another
+            shard = next(k for k in sorted(want) if k not in found and rows[: len(want[k])] == want[k])
+            found.add(shard)
+            rows = rows[len(want[shard]) :]
+    assert found == set(want)
+    first = {}
+    for (i, epoch), (_, shard, *_) in sorted(place.items()):
+        first.setdefault(i, shard)
+    assert {r.doc_id: r.shard for r in mix_report(d).collect()} == {i: first.get(i) for i in range(260)}
