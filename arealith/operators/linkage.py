@@ -144,8 +144,9 @@ def prefix_proposals(names: DataFrame, pool: DataFrame, least: int = 4, top: int
 def fuzzy_proposals(names: DataFrame, pool: DataFrame, least: float = 0.68, top: int = 3) -> DataFrame:
     """The most similar distinct names of a block by the ratio of matching blocks of characters, in Arrow batches.
 
-    Candidates share a pair of neighbouring characters and may reach the ratio by their lengths; names of
-    equal form are compared once.
+    A ratio implies 2 * (characters in common, with counts) >= ratio * (summed lengths). Candidates meet on one of their
+    rarest characters, as many of them as such a pair must share one of, once for each pair, and then pass that bound;
+    names of equal form are compared once.
     """
     @pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -153,14 +154,27 @@ def fuzzy_proposals(names: DataFrame, pool: DataFrame, least: float = 0.68, top:
 
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    def grams(d: DataFrame, name: str) -> DataFrame:
-        k = F.sequence(F.lit(1), F.greatest(F.length("norm") - 1, F.lit(1)))
-        pairs = F.array_distinct(F.transform(k, lambda n: F.substring(F.col("norm"), n, F.lit(2))))
-        return d.select("block", "norm").distinct().select("block", F.col("norm").alias(name), F.explode(pairs).alias("g"))
+    def marked(d: DataFrame) -> DataFrame:
+        """A mark for each character and its number in the name."""
+        every = F.transform(F.sequence(F.lit(1), F.length("norm")), lambda n: F.substring(F.col("norm"), n, F.lit(1)))
+        d = d.filter(F.length("norm") > 0).select("block", "norm").distinct().select("block", "norm", F.posexplode(every).alias("at", "c"))
+        number = F.row_number().over(Window.partitionBy("block", "norm", "c").orderBy("at"))
+        return d.select("block", "norm", F.concat("c", number.cast("string")).alias("mark"))
+
+    left, right = marked(names), marked(pool)
+    often = left.union(right).groupBy("block", "mark").agg(F.count("*").alias("n"))
+
+    def heads(d: DataFrame, name: str) -> DataFrame:
+        marks = d.join(often, ["block", "mark"]).groupBy("block", "norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "mark"))), lambda m: m["mark"]).alias("marks"))
+        # A partner is at least least / (2 - least) as long, so at least that share of the name's characters is common.
+        must = F.greatest(F.ceil(F.size("marks") * (least / (2 - least)) - 1e-9), F.lit(1))
+        head = F.slice("marks", F.lit(1), (F.size("marks") - must + 1).cast("int"))
+        return marks.select("block", F.col("norm").alias(name), F.col("marks").alias(f"{name}_marks"), head.alias(f"{name}_head")).withColumn("mark", F.explode(f"{name}_head"))
 
-    near = grams(names, "a").join(grams(pool, "b"), ["block", "g"]).select("block", "a", "b").distinct()
     la, lb = F.length("a"), F.length("b")
-    near = near.filter((F.col("a") != F.col("b")) & (2 * F.least(la, lb) >= least * (la + lb))).withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
+    near = heads(left, "a").join(heads(right, "b"), ["block", "mark"]).filter((F.col("a") != F.col("b")) & (2 * F.least(la, lb) >= least * (la + lb) - 1e-9))
+    near = near.filter(F.col("mark") == F.get(F.array_intersect("a_head", "b_head"), F.lit(0)))
+    near = near.filter(2 * F.size(F.array_intersect("a_marks", "b_marks")) >= least * (la + lb) - 1e-9).select("block", "a", "b").withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
     w = Window.partitionBy("block", "a").orderBy(F.col("ratio").desc(), "b")
     best = near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top)
     return names.select("id", "block", F.col("norm").alias("a")).join(best, ["block", "a"]).select("id", "rank", F.col("b").alias("candidate"), F.round("ratio", 6).alias("ratio"))

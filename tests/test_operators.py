@@ -94,6 +94,24 @@ def test_fuzzy_ratio(spark):
     assert [(r.ratio, r.candidate) for r in sorted(got, key=lambda r: r.rank)] == [w for w in want if w[0] >= 0.68]
 
 
+def test_fuzzy_proposals_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 12)))
+    names = [(1, "x", "abc"), (2, "x", "river"), (3, "x", ""), (4, "x", None)] + [(10 + k, "xyz"[k % 3], word("abcde1\U0001F600")) for k in range(60)]
+    pool = [(1, "x", "axbxc"), (2, "x", "rxixvxexr")] + [(10 + k, "xyz"[k % 3], word("abcdef12\U0001F600")) for k in range(90)]
+    schema = "id long, block string, norm string"
+    want = set()
+    for i, block, a in names:
+        near = {b: SequenceMatcher(None, a, b).ratio() for _, g, b in pool if a and g == block and a != b}
+        best = sorted((-r, b) for b, r in near.items() if r >= 0.68)[:3]
+        want |= {(i, k + 1, b, round(-r, 6)) for k, (r, b) in enumerate(best)}
+    assert {(1, "axbxc"), (2, "rxixvxexr")} <= {(i, b) for i, _, b, _ in want}
+    got = L.fuzzy_proposals(spark.createDataFrame(names, schema), spark.createDataFrame(pool, schema)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_components_and_bridges(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (8, 9), (7, 7), (None, 3)], "src long, dst long")
     assert {r.id: r.component for r in connected_components(edges).collect()} == {**{k: 1 for k in range(1, 7)}, 8: 8, 9: 8}
