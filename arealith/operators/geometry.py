@@ -84,9 +84,13 @@ def nearest(points: DataFrame, k: int, first_km: float = 50.0, most_lat: float =
     """``(src, dst, km, rank)``: the k nearest others of each point; ties by id.
 
     A point with k others within a radius is settled exactly by it; the rest try the doubled radius.
+    The last radius covers the sphere: points without k others keep all that exist.
     """
     left, km, out = points, first_km, None
-    for _ in range(rounds):
+    sphere = 20_040.0  # more than half of a great circle
+    for n in range(rounds):
+        last = n == rounds - 1 or km >= sphere
+        km = max(km, sphere) if last else km
         near = points.select(F.col("id").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
         dlat = km / 111.0
         dlon = dlat / cos(radians(most_lat))
@@ -95,6 +99,8 @@ def nearest(points: DataFrame, k: int, first_km: float = 50.0, most_lat: float =
         d = great_circle_km(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
         pairs = around.join(grid(near, "lon2", "lat2"), ["cx", "cy"]).filter("id <> dst").select(F.col("id").alias("src"), "dst", d.alias("km")).filter(F.col("km") <= km)
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.round("km", 9), "dst")).cast("long")).filter(F.col("rank") <= k)
+        if last:
+            return ranked if out is None else out.union(ranked)
         full = ranked.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("src")
         got = ranked.join(full, "src", "left_semi")
         out = got if out is None else out.union(got)

@@ -182,3 +182,11 @@ def test_feature_stream_and_sheets(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>01</t></is></c><c r="B2"><v>5</v></c></row></sheetData></worksheet>')
     rows = files.sheet_rows(spark, str(tmp_path / "b.xlsx")).orderBy("row").collect()
     assert [r.cells for r in rows] == [{"A": "code", "B": "name"}, {"A": "01", "B": "5"}]
+
+
+def test_nearest_of_fewer_points_than_asked_for(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 179.0, -60.0)], "id long, lon double, lat double")
+    for rounds in (1, 12):
+        got = {(r.src, r["rank"]): r.dst for r in G.nearest(points, 3, rounds=rounds).collect()}
+        assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 1}
+    assert G.nearest(points.filter("id = 1"), 3).count() == 0
