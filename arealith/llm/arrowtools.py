@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Bytes of rows that one Arrow batch holds at most (a longer row is a batch of its own).
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """The rows; their session's Arrow batches are bounded by bytes, unless the session sets its own bound.
+
+    Spark's own bound is 64 MB or 10,000 rows, whole texts of any length.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH) in ("67108864b", "64m", "64MB"):
+        conf.set(_BATCH, BATCH_BYTES)
+    return rows
+
+
+def spare(name: str, taken: Sequence[str]) -> str:
+    """The name, with as many underscores behind it as keep it apart from those taken (in any case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:

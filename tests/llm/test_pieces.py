@@ -57,3 +57,35 @@ def test_query_shape(spark):
 
 def test_empty_table(spark):
     assert digests(tokenized(spark.createDataFrame([], "doc_id long, text string"), MODEL)).count() == 0
+
+
+def test_small_tables_restart_and_keep_what_is_met_again():
+    rng = random.Random(3)
+    sp = load(MODEL)
+    for most, most_bytes in ((3, 10**6), (40, 10**6), (10**6, 60)):
+        codec = Codec(MODEL, most=most, most_bytes=most_bytes)
+        for _ in range(30):
+            texts = ["".join(rng.choice(["the ", "river ", "\n", "é", f"w{rng.randrange(90)} "]) for _ in range(20)) for _ in range(4)]
+            ids, counts = codec.encode(pa.array(texts))
+            at = 0
+            for t, n in zip(texts, counts):
+                assert ids[at : at + n].tolist() == sp.encode(t, add_eos=True)
+                at += n
+        assert most != 40 or codec.segmented < codec.asked
+
+
+def test_decoding_in_steps():
+    codec, sp = Codec(MODEL), load(MODEL)
+    texts = ["a long river of words\n" * 20, "", "é日 b"]
+    ids, counts = codec.encode(pa.array(texts))
+    for step in (1, 3, 50):
+        assert codec.decode(ids, counts, step).to_pylist() == [sp.decode(sp.encode(t)) for t in texts]
+
+
+def test_columns_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a b", 5, "x", "y")], "doc_id long, text string, ids int, _text string, Decoded string")
+    out = tokenized(d, MODEL, keep=("doc_id", "ids", "_text", "Decoded", "text"))
+    assert out.columns == ["doc_id", "ids", "_text", "Decoded", "text", "ids_", "decoded_"]
+    r = out.first()
+    assert (r.ids, r.text, r["decoded_"]) == (5, "a b", "a b") and list(r["ids_"]) == load(MODEL).encode("a b", add_eos=True)
+    assert tokenized(d, MODEL, decoded=False).columns == ["doc_id", "ids"]
