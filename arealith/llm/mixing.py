@@ -3,19 +3,23 @@
 Every source is one long stream of words (its documents in a hashed order), cut into blocks of equal
 size. A source's target gives an exact quota of block draws: whole passes over its blocks, then a
 keyed pseudo-random subset for the rest. The draws of a source are permuted, and a binary tree over
-the output shards splits the quotas of all sources by multivariate-hypergeometric draws, so each
-shard holds a known number of draws and the draws of two shards are disjoint. A tree node's draw
-depends on the seed and the node alone: tasks walk the tree by themselves and no table of quotas by
-shard exists anywhere. Within a shard, rows are ordered by a keyed hash. The mix as documents gives each
-document and pass over it to the shard and place of its first drawn piece.
-
-Only one row for each *source* reaches the driver. Word offsets within a source are prefix sums in
-two steps (hash buckets of a source, then rows within a bucket), so a source that holds a third of
-all rows is spread over as many tasks as it has buckets.
+the output shards splits the quotas of all sources by multivariate-hypergeometric draws: the shard whose
+quotas hold a draw's place takes it, and what no shard takes is not in the mix. Draws are exact at any size
+(`hypergeometric`). A tree node's draw depends on the seed and the node alone, so no table of quotas by
+shard exists anywhere: the tasks that draw blocks walk the tree's top, the draws are shuffled to its
+subtrees, and only there are the levels below drawn, each node in one place. Within a shard, rows are
+ordered by a keyed hash. The mix as documents gives each document and pass over it to the shard and place of
+its first drawn piece.
+
+Only one row for each *source* reaches the driver, and tasks hold an entry for each source. Word offsets
+within a source are prefix sums in two steps (hash buckets of a source, then rows within a bucket), so a
+source that holds a third of all rows is spread over as many tasks as it has buckets; rows of one doc_id or
+of none are spread by their texts.
 
 Defined results: null text has no words; the null source is a source of its own, last in order;
 empty tables give no rows; repeated rows are separate documents; ties in the hashed order fall to
-doc_id, then size. Columns besides doc_id, text and source are ignored unless named in ``keep``.
+doc_id, size, then hashes of the text and of the other columns kept. A very long text is one row: cutting it
+holds the positions of its words. Further columns may have any name; the report does not read them.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from arealith.llm.arrowtools import bounded
 from arealith.sources.tables import cut
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -83,27 +88,43 @@ def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Exact below 10^9 items (numpy's bound); above, a rounded normal of equal mean and variance, kept in its support."""
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, most: int = 1_000_000_000) -> int:
+    """How many of ``n`` items drawn without replacement are good; exact for any number of items.
+
+    numpy draws it below ``most`` items. Above, give every item a uniform key: the items with keys below n / (good + bad)
+    are a binomial number of good and of bad ones, drawn in parts below ``most``. Those that miss the n are then
+    drawn from the rest, or those too many taken back, again without replacement: about sqrt(n) items, so a few
+    rounds end at numbers that are drawn one by one.
+    """
     low, high = max(0, n - bad), min(good, n)
     if low == high:
         return low
-    if good + bad < 1_000_000_000:
+    if good + bad < most:
         return int(rng.hypergeometric(good, bad, n))
-    total = good + bad
-    p = good / total
-    sd = (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5
-    return int(min(high, max(low, round(n * p + sd * rng.standard_normal()))))
-
-
-def split_quota(quota: Sequence[int], n: int, key: Sequence[int]) -> list[int]:
+    if n <= 64:
+        taken = 0
+        for k in range(n):
+            taken += int(rng.integers(good + bad - k)) < good - taken
+        return taken
+    if n > (good + bad) // 2:  # the items left over are drawn in their place
+        return good - hypergeometric(rng, good, bad, good + bad - n, most)
+    p = n / (good + bad)
+    g, b = (sum(int(rng.binomial(min(most, k - at), p)) for at in range(0, k, most)) for k in (good, bad))
+    if g + b <= n:
+        return g + hypergeometric(rng, good - g, bad - b, n - g - b, most)
+    return g - hypergeometric(rng, g, b, g + b - n, most)
+
+
+def split_quota(quota: Sequence[int], n: int, key: Sequence[int]) -> np.ndarray:
     """How many of ``n`` items drawn without replacement fall to each source (a tree node's draw)."""
-    rng, left, out = np.random.default_rng(key), sum(quota), []
-    for q in quota:
-        k = hypergeometric(rng, q, left - q, n)
-        out.append(k)
-        left, n = left - q, n - k
-    return out
+    rng, left = np.random.default_rng(key), int(sum(quota))
+    if left < 1_000_000_000:
+        return rng.multivariate_hypergeometric(quota, n, method="marginals").astype(np.int64)
+    out = []
+    for q in map(int, quota):
+        out.append(hypergeometric(rng, q, left - q, n))
+        left, n = left - q, n - out[-1]
+    return np.array(out, np.int64)
 
 
 @dataclass(frozen=True)
@@ -119,26 +140,39 @@ class MixPlan:
     shards: int
     seed: int
 
-    def shard_of(self, source: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Walk the splitting tree: the output shard of a source's draw number ``place``."""
-        shard, place = np.zeros(len(source), np.int64), place.copy()
-        total = sum(self.quota)
-        stack = [(0, self.shards, self.quota, np.arange(len(source)))]
+    @property
+    def depth(self) -> int:
+        """Levels of the tree that all drawing tasks walk: 8,192 subtrees at most, and 2^20 quotas in all."""
+        return int(np.log2(min(8192, max(1, 2**20 // max(1, len(self.quota))))))
+
+    def shard_of(self, source: np.ndarray, place: np.ndarray, depth: int = 64, nodes: dict | None = None) -> np.ndarray:
+        """Walk the splitting tree: the output shard of a source's draw number ``place``, -1 beyond its quota.
+
+        With a ``depth``, the first shard of the subtree at that level. ``nodes`` keeps nodes' draws for a task.
+        """
+        nodes = {} if nodes is None else nodes
+        if len(nodes) * len(self.quota) > 2**21:
+            nodes.clear()
+        shard, place = np.full(len(source), -1, np.int64), place.astype(np.int64)
+        quota = np.array(self.quota, np.int64)
+        total = int(quota.sum())
+        stack = [(0, self.shards, quota, np.flatnonzero(place < quota[source]), 0)]
         while stack:
-            lo, hi, quota, rows = stack.pop()
+            lo, hi, quota, rows, level = stack.pop()
             if not len(rows):
                 continue
-            if hi - lo == 1:
+            if hi - lo == 1 or level == depth:
                 shard[rows] = lo
                 continue
             mid = (lo + hi) // 2
-            room = total * mid // self.shards - total * lo // self.shards
-            left = np.array(split_quota(quota, room, (self.seed, lo, hi)), np.int64)
+            if (lo, hi) not in nodes:
+                nodes[lo, hi] = split_quota(quota, total * mid // self.shards - total * lo // self.shards, (self.seed, lo, hi))
+            left = nodes[lo, hi]
             goes = place[rows] < left[source[rows]]
-            stay, go = rows[goes], rows[~goes]
+            go = rows[~goes]
             place[go] -= left[source[go]]
-            stack.append((lo, mid, left.tolist(), stay))
-            stack.append((mid, hi, [q - k for q, k in zip(quota, left.tolist(), strict=True)], go))
+            stack.append((lo, mid, left, rows[goes], level + 1))
+            stack.append((mid, hi, quota - left, go, level + 1))
         return shard
 
 
@@ -155,17 +189,18 @@ def plan_mix(sizes: dict, weights: Sequence[float] = (5, 2, 1), repeats: int = 3
     return MixPlan(sources, size, target, block, blocks, quota, max(1, -(-sum(quota) // shard_blocks)), seed)
 
 
-def with_key(docs: DataFrame, rows: int) -> DataFrame:
-    """Adds the source's key and a bucket: about 20,000 rows of a source each, 1,024 buckets at least."""
-    n = max(1024, rows // 20_000)
-    return docs.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-
-
 def index_documents(docs: DataFrame, keep: Sequence[str] = (), **options) -> tuple[DataFrame, MixPlan]:
-    """Documents with ``_size``, ``_source`` (number) and ``_start`` (first word in the source's stream), and the plan."""
-    rows = docs.count()
+    """Documents with ``_size``, ``_source`` (number) and ``_start`` (first word in the source's stream), and the plan.
+
+    ``keep`` names further columns, none of which may begin with an underscore. About 20,000 rows of a source share a
+    bucket, 1,024 buckets at least.
+    """
+    buckets = max(1024, docs.count() // 20_000)
     cols = ["doc_id", "source", *keep]
-    sized = with_key(docs.select(*cols, word_count().alias("_size")), rows)
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_key")
+    tie = F.xxhash64("text", *(c for c in keep if c != "text")).alias("_tie")
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("_bucket")
+    sized = docs.select(*cols, word_count().alias("_size"), key, bucket, tie)
     if not keep:  # small rows: texts are then read once
         sized = cut(sized)
     totals = sized.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words"))
@@ -174,13 +209,13 @@ def index_documents(docs: DataFrame, keep: Sequence[str] = (), **options) -> tup
     number = docs.sparkSession.createDataFrame([("n" if s is None else f"s{s}", i) for i, s in enumerate(plan.sources)] or [("n", 0)], "_key string, _source int")
     before = F.sum("_words").over(Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     base = totals.select("_key", "_bucket", F.coalesce(before, F.lit(0)).alias("_base")).join(number, "_key")
-    within = F.sum("_size").over(Window.partitionBy("_key", "_bucket").orderBy("doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("_size").over(Window.partitionBy("_key", "_bucket").orderBy("doc_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1))
     placed = sized.withColumn("_within", F.coalesce(within, F.lit(0))).join(base, ["_key", "_bucket"])
     return placed.select(*cols, "_size", "_source", (F.col("_base") + F.col("_within")).alias("_start")), plan
 
 
-def drawn(plan: MixPlan, source: np.ndarray, start: np.ndarray, size: np.ndarray) -> pd.DataFrame:
-    """All draws that touch the given spans of the source streams: row (position), shard, key, epoch, first word, words."""
+def drawn(plan: MixPlan, source: np.ndarray, start: np.ndarray, size: np.ndarray, nodes: dict | None = None) -> pd.DataFrame:
+    """All draws that touch the given spans of the source streams: row (position), subtree, place, key, epoch, first word, words."""
     block, blocks, quota = (np.array(x, np.int64) for x in (plan.block, plan.blocks, plan.quota))
     w = block[source]
     first = start // w
@@ -191,33 +226,49 @@ def drawn(plan: MixPlan, source: np.ndarray, start: np.ndarray, size: np.ndarray
     for epoch in range(int((quota // np.maximum(blocks, 1)).max(initial=0)) + 1):
         seed = mix64(np.uint64(plan.seed * 64 + epoch) + _GOLD * (s.astype(np.uint64) + np.uint64(1)))
         place = epoch * blocks[s] + permute(b, blocks[s], seed)
-        take = np.flatnonzero(place < quota[s])
-        r, at = row[take], s[take]
+        inner = np.flatnonzero(place < quota[s])  # passes are shuffled together within the quota
+        place[inner] = permute(place[inner], quota[s[inner]], mix64(np.uint64(plan.seed * 64 + 63) + _GOLD * (s[inner].astype(np.uint64) + np.uint64(1))))
+        subtree = plan.shard_of(s, place, plan.depth, nodes)
+        take = np.flatnonzero(subtree >= 0)
+        r, at, place = row[take], s[take], place[take]
         lo = np.maximum(b[take] * w[r], start[r])
         hi = np.minimum((b[take] + 1) * w[r], start[r] + size[r])
-        shuffled = permute(place[take], quota[at], mix64(np.uint64(plan.seed * 64 + 63) + _GOLD * (at.astype(np.uint64) + np.uint64(1))))
-        key = mix64(shuffled.astype(np.uint64) + _GOLD * (at.astype(np.uint64) + np.uint64(7))).view(np.int64)
-        found.append(pd.DataFrame({"row": r, "shard": plan.shard_of(at, shuffled), "key": key, "epoch": epoch, "first_word": lo - start[r], "words": hi - lo}))
+        key = mix64(place.astype(np.uint64) + _GOLD * (at.astype(np.uint64) + np.uint64(7))).view(np.int64)
+        found.append(pd.DataFrame({"row": r, "subtree": subtree[take], "place": place, "key": key, "epoch": epoch, "first_word": lo - start[r], "words": hi - lo}))
     return pd.concat(found, ignore_index=True)
 
 
+def with_shards(draws: DataFrame, plan: MixPlan, source: str = "_source", subtree: str = "subtree", place: str = "place") -> DataFrame:
+    """Adds ``shard``: draws meet at their subtree, whose levels are drawn there and nowhere else."""
+
+    @F.pandas_udf("long")
+    def shard_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        nodes: dict = {}
+        for s, at in parts:
+            yield pd.Series(plan.shard_of(s.to_numpy(np.int64), at.to_numpy(np.int64), nodes=nodes))
+
+    return draws.repartition(F.col(subtree)).withColumn("shard", shard_of(F.col(source).cast("long"), F.col(place)))
+
+
 def draw_blocks(indexed: DataFrame, plan: MixPlan, batch_words: int = 8_000_000) -> DataFrame:
     """The mix itself: a row for each drawn piece of a document, with its shard and its place in it.
 
-    ``(doc_id, _source, _start, _size, shard, slot_key, epoch, first_word, words)``; a shard's order is
+    ``(doc_id, _source, _start, _size, slot_key, epoch, first_word, words, shard)``; a shard's order is
     that of ``slot_key``. Batches are cut so that no more than ``batch_words`` words are drawn from at once.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes: dict = {}
         for whole in batches:
             part = (whole["_size"].cumsum() // batch_words).to_numpy()
             for _, pdf in whole.groupby(part):
-                d = drawn(plan, pdf["_source"].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64))
+                d = drawn(plan, pdf["_source"].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64), nodes)
                 out = pdf[["doc_id", "_source", "_start", "_size"]].iloc[d["row"].to_numpy()].reset_index(drop=True)
                 yield pd.concat([out, d.drop(columns="row").rename(columns={"key": "slot_key"})], axis=1)
 
     cols = indexed.select("doc_id", "_source", "_start", "_size").filter("_size > 0")
-    return cols.mapInPandas(run, "doc_id long, _source int, _start long, _size long, shard long, slot_key long, epoch int, first_word long, words long")
+    found = cols.mapInPandas(run, "doc_id long, _source int, _start long, _size long, subtree long, place long, slot_key long, epoch int, first_word long, words long")
+    return with_shards(found, plan).drop("subtree", "place")
 
 
 def mix_shards(draws: DataFrame, shard: str = "shard", order: Sequence[str] = ("slot_key", "first_word")) -> DataFrame:
@@ -226,11 +277,11 @@ def mix_shards(draws: DataFrame, shard: str = "shard", order: Sequence[str] = ("
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """For each document the words that the mix takes of it, with its source's size and target.
+    """For each document the words that the shards take of it, with its source's size and target.
 
     ``shard`` is that of the first piece of its first pass, null for a document of which nothing is drawn.
     """
-    indexed, plan = index_documents(docs, **options)
+    indexed, plan = index_documents(docs.select("doc_id", "source", "text"), **options)
     spark = docs.sparkSession
     facts = spark.createDataFrame([(i, s, float(t)) for i, (s, t) in enumerate(zip(plan.size, plan.target, strict=True))] or [(0, 0, 0.0)], "_source int, source_size long, target double")
     cols = ["doc_id", "_source", "_start", "_size"]
@@ -252,17 +303,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     import re
 
-    names = docs.columns
-    indexed, plan = index_documents(docs, keep=[c for c in names if c not in ("doc_id", "source")], **options)
+    names, fields = docs.columns, {f.name: f for f in docs.schema}
+    own = {c: c if c in ("doc_id", "source", "text", "n_chars") else f"k{i}" for i, c in enumerate(names)}
+    safe = docs.select(*(F.col(c).alias(own[c]) for c in names))
+    rest = [own[c] for c in names if c not in ("doc_id", "source")]
+    indexed, plan = index_documents(safe, keep=rest, **options)
     word = re.compile("[^ \t-\r]+")
-    marks = ["_shard", "_slot", "_source", "_start"]
+    marks = ["_subtree", "_place", "_slot", "_source", "_start"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes: dict = {}
         for whole in batches:
             for _, pdf in whole.groupby((whole["_size"].cumsum() // 2_000_000).to_numpy()):
-                d = drawn(plan, pdf["_source"].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64))
-                texts, sizes, rows, cut = pdf["text"].to_numpy(), pdf["_size"].to_numpy(), [], []
-                dealt = []
+                d = drawn(plan, pdf["_source"].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64), nodes)
+                texts, sizes, rows, cut, dealt = pdf["text"].to_numpy(), pdf["_size"].to_numpy(), [], [], []
                 for (row, _), g in d.sort_values(["row", "epoch", "first_word"]).groupby(["row", "epoch"], sort=False):
                     text = texts[row]
                     first, count = g["first_word"].to_numpy(), g["words"].to_numpy()
@@ -273,13 +327,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                         text = "\n".join(text[at[a, 0] : at[b - 1, 1]] for a, b in zip(first[new], (first + count)[last], strict=True))
                     rows.append(row)
                     cut.append(text)
-                    dealt.append((g["shard"].iat[0], g["key"].iat[0]))
+                    dealt.append((g["subtree"].iat[0], g["place"].iat[0], g["key"].iat[0]))
                 out = pdf.iloc[rows].reset_index(drop=True)
                 out["text"] = pd.Series(cut, dtype=object)
                 if "n_chars" in names:
                     out["n_chars"] = pd.Series([len(t) for t in cut], dtype="int64")
-                out["_shard"], out["_slot"] = np.array(dealt, np.int64).reshape(-1, 2).T
-                yield out[[*names, *marks]]
+                out["_subtree"], out["_place"], out["_slot"] = np.array(dealt, np.int64).reshape(-1, 3).T
+                yield out[[*own.values(), *marks]]
 
-    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in marks)])
-    return mix_shards(indexed.filter("_size > 0").mapInPandas(run, schema), "_shard", marks[1:]).select(*names)
+    schema = StructType([*(StructField(own[c], fields[c].dataType) for c in names), *(StructField(c, LongType()) for c in marks)])
+    found = bounded(indexed).filter("_size > 0").mapInPandas(run, schema)
+    dealt = with_shards(found, plan, subtree="_subtree", place="_place")  # a shard lies in one partition, as its subtree does
+    return dealt.sortWithinPartitions("shard", *marks[2:]).select(*own.values()).toDF(*names)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from arealith.llm.mixing import draw_blocks, index_documents, mix_report, mix_shards, mixed_documents, permute, plan_mix, split_quota, water_fill
+from arealith.llm.mixing import draw_blocks, hypergeometric, index_documents, mix_report, mix_shards, mixed_documents, permute, plan_mix, split_quota, water_fill
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long, size string"
 
@@ -58,6 +58,46 @@ def test_large_quotas_stay_exact():
     assert sum(k) == 10**10 and all(0 <= a <= b for a, b in zip(k, q))
 
 
+def test_exact_draws_above_the_library_s_bound():
+    """The rule for large numbers, with a low bound, has the exact distribution."""
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((300, 200, 120), (300, 200, 400), (90, 900, 300), (5, 2000, 1000)):
+        got = np.bincount([hypergeometric(rng, good, bad, n, most=100) for _ in range(4000)], minlength=n + 1)
+        p = np.array([comb(good, k) * comb(bad, n - k) / comb(good + bad, n) if k <= good and n - k <= bad else 0.0 for k in range(n + 1)])
+        usual = np.flatnonzero(p * 4000 >= 8)
+        chi = ((got[usual] - 4000 * p[usual]) ** 2 / (4000 * p[usual])).sum()
+        assert chi < len(usual) + 5 * (2 * len(usual)) ** 0.5 and got[p == 0].sum() == 0
+    k = [hypergeometric(rng, 6 * 10**9, 4 * 10**9, 5 * 10**9) for _ in range(40)]
+    sd = (5e9 * 0.6 * 0.4 * 0.5) ** 0.5
+    assert abs(np.mean(k) - 3e9) < 5 * sd / 40**0.5 and 0.6 * sd < np.std(k) < 1.4 * sd
+
+
+def test_subtrees_lead_to_the_same_shards():
+    plan = plan_mix({"a": 90_000, "b": 9_000, None: 30_000}, shard_blocks=3)
+    s = np.repeat(np.arange(3), np.array(plan.quota) + 5)
+    place = np.concatenate([np.arange(q + 5) for q in plan.quota])
+    shard, nodes = plan.shard_of(s, place), {}
+    assert (shard < 0).sum() == 15 and shard.max() == plan.shards - 1
+    for depth in range(9):
+        top = plan.shard_of(s, place, depth, nodes)
+        first = np.unique(top)
+        assert (first[np.searchsorted(first, shard, side="right") - 1] == top).all() and len(first) <= 2**depth + 1
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    long = "w " * 60_000
+    rows = [(7, f"t{k} " * (k % 5 + 1), "en", "s", 1, k, "a", "b", 5) for k in range(80)] + [(None, long, "en", "s", 1, 1, "a", "b", 5)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _size long, _bucket string, _Source string, _start int").repartition(5)
+    out = mixed_documents(d)
+    got = out.collect()
+    assert out.columns == d.columns and {r["_size"] for r in got} <= set(range(80)) and {r["_bucket"] for r in got} == {"a"}
+    size = sum(len(words(r[1])) for r in rows)
+    assert abs(sum(len(words(r.text)) for r in got) - size) <= 0.02 * size
+    assert sorted(map(str, mixed_documents(d.repartition(2)).collect())) == sorted(map(str, got))
+
+
 def test_report(spark):
     df, rows = corpus(spark)
     got = mix_report(df).collect()
