@@ -1,4 +1,8 @@
-"""What the classifiers share: folds, the bounded sample of labelled rows, and scoring over whole texts."""
+"""What the classifiers share: folds, the bounded sample of labelled rows, and scoring over whole texts.
+
+A null id has fold 0, which op4 and op10 count to training and op5 holds out; rows without an id are never
+learned from, whatever their fold.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arealith.llm.arrowtools import slices
+from arealith.llm.arrowtools import bounded, slices, spare
 
 
 def fold(parts: int, key: str = "doc_id") -> Column:
@@ -31,7 +35,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     return docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(sample_of(ids, most)), "doc_id")
 
 
-def gathered(texts: DataFrame, vectors: Callable[[pa.Array], list[bytes]], batch_bytes: int = 2_000_000) -> list:
+def gathered(texts: DataFrame, vectors: Callable[[pa.Array], list[bytes]], batch_bytes: int = 1_000_000) -> list:
     """(label, vector bytes) of the sample, computed in tasks; the driver gets vectors, never texts.
 
     Sorted, so that training sees the same order in every run.
@@ -43,19 +47,24 @@ def gathered(texts: DataFrame, vectors: Callable[[pa.Array], list[bytes]], batch
                 yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(vectors(batch.column("_text")), pa.binary())], names=["label", "vector"])
 
     kind = texts.schema["label"].dataType.simpleString()
-    rows = texts.select("label", "_text").mapInArrow(run, f"label {kind}, vector binary").toArrow()
+    rows = bounded(texts).select("label", "_text").mapInArrow(run, f"label {kind}, vector binary").toArrow()
     return sorted(zip(rows["label"].to_pylist(), rows["vector"].to_pylist(), strict=True), key=lambda r: (r[1], str(r[0])))
 
 
-def scored(docs: DataFrame, score: Callable[[pa.Array], dict[str, pa.Array | np.ndarray]], columns: str, keep: list[str], batch_bytes: int = 4_000_000) -> DataFrame:
-    """``keep`` columns and those that ``score`` makes of the texts of a batch."""
+def scored(docs: DataFrame, score: Callable[[pa.Array], dict[str, pa.Array | np.ndarray]], columns: str, keep: list[str], batch_bytes: int = 1_000_000) -> DataFrame:
+    """``keep`` columns and those that ``score`` makes of the texts of a batch.
+
+    A new column whose name ``keep`` has already gets an underscore behind it.
+    """
+    rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col("text").alias("text"))
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text", batch_bytes):
-                made = score(batch.column("_text"))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(v) for v in made.values())], names=[*keep, *made])
+            for batch in slices(whole, "text", batch_bytes):
+                made = score(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(v) for v in made.values())], names=[*kept, *made])
 
-    cols = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_text")
-    return cols.mapInArrow(run, f"{schema}, {columns}")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    names = [*keep, *(spare(c.split()[0], keep) for c in columns.split(", "))]
+    return bounded(rows).mapInArrow(run, schema + columns).toDF(*names)

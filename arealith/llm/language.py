@@ -5,10 +5,15 @@ Each language gets a codeword; every bit of the code has a binary classifier ove
 A text's margins are decoded to the codeword of least loss, each bit weighed by how well its
 classifier does on the sample; a text whose best two codewords are close is flagged ambiguous.
 
+The sample is ``MOST_LABELLED`` texts a language, and ``MOST_IN_ALL`` in all: with more than eight languages each has
+an equal share of these, so neither the driver's memory nor the fit grows with their number.
+
 Defined results: ``und`` with score 0 for a null text and for one without a letter; with no learned
-language every text is ``und``; with one, every text with a letter is of that language; repeated rows
-and ties (first in order of the languages' names) decode alike. Columns besides doc_id and text are
-not read when predicting.
+language (as from an empty table) every text is ``und``; with one, every text with a letter is of that
+language; repeated rows and ties (first in order of the languages' names) decode alike; an empty table has no
+rows. A very long text is read whole, as a slice of its own (some 40 bytes of memory for each of its bytes).
+Columns besides doc_id and text are not read when predicting; a kept column of the name of a new one stays, and the new
+one gets an underscore.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from arealith.llm.arrowtools import utf8
 from arealith.llm.labelled import fold, gathered, sample_of, scored
 from arealith.llm.textarrays import row_sums
 
-#: Bound of the sample: so many texts a language.
-MOST_LABELLED = 600
+#: Bounds of the sample: so many texts a language, and in all.
+MOST_LABELLED, MOST_IN_ALL = 600, 4_800
 #: Hashed n-grams: size of the table.
 SLOTS = 4096
 UNDETERMINED = "und"
@@ -125,24 +130,28 @@ def fit(x: np.ndarray, languages: list[str], l2: float = 0.02) -> CodeModel:
     y = book[label]
     mean = x.mean(0)
     scale = 1 / np.sqrt(mean + 1e-5)  # frequent n-grams do not drown the others
-    z = ((x - mean) * scale).astype(np.float64)
+    z = (x - mean) * scale
     share = 1 / np.bincount(label)[label]  # each language counts alike
     root = np.sqrt(share / share.mean())[:, None]
     centre = (y * root**2).mean(0) / (root**2).mean()
-    zr = z * root
-    kernel = zr @ zr.T
-    dual = np.linalg.solve(kernel + l2 * max(np.trace(kernel) / len(z), 1e-9) * np.eye(len(z)), (y - centre) * root)
-    w = zr.T @ dual * scale[:, None]
+    z *= root.astype(np.float32)
+    goal = (y - centre) * root
+    ridge = l2 * max(float(np.einsum("ij,ij->", z, z)) / len(z), 1e-9)
+    if len(z) <= z.shape[1]:  # the smaller of the two systems; both have the same solution
+        w = z.T @ np.linalg.solve((z @ z.T).astype(np.float64) + ridge * np.eye(len(z)), goal)
+    else:
+        w = np.linalg.solve((z.T @ z).astype(np.float64) + ridge * np.eye(z.shape[1]), z.T @ goal)
+    w = w * scale[:, None]
     bias = centre - mean @ w
     right = (np.sign(x @ w + bias) == y).mean(0)
     return CodeModel(names, book, np.vstack([w, np.zeros((1, w.shape[1]))]).astype(np.float32), bias, np.maximum(right, 0.01) / np.maximum(right, 0.01).mean())
 
 
-def train_language(docs: DataFrame, parts: int = 4, held: int = 2, most: int = MOST_LABELLED) -> CodeModel:
-    """Fitted on a bounded sample: about ``most`` texts a language with the smallest hashed ids."""
+def train_language(docs: DataFrame, parts: int = 4, held: int = 2, most: int = MOST_LABELLED, in_all: int = MOST_IN_ALL) -> CodeModel:
+    """Fitted on a bounded sample: about ``most`` texts a language with the smallest hashed ids, ``in_all`` together."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(parts) != held))
     sizes = known.groupBy("lang").count().collect()  # a row for each language
-    spread = 2**31
+    spread, most = 2**31, min(most, max(1, in_all // max(len(sizes), 1)))
     below = F.create_map(*[v for r in sizes for v in (F.lit(r["lang"]), F.lit(min(spread, int(spread * most / r["count"]))))]) if sizes else F.lit(None).cast("map<string,int>")
     chosen = known.select("doc_id", F.col("lang").alias("label")).filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(spread)) < below[F.col("lang")])
     bound = 2 * most * max(len(sizes), 1)
@@ -154,4 +163,4 @@ def train_language(docs: DataFrame, parts: int = 4, held: int = 2, most: int = M
 
 def predict_language(docs: DataFrame, model: CodeModel, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` and ``ambiguous`` for every whole text."""
-    return scored(docs, model.predict, "lang_pred string, score double, ambiguous boolean", keep, batch_bytes=2_000_000)
+    return scored(docs, model.predict, "lang_pred string, score double, ambiguous boolean", keep)
