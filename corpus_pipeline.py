@@ -8,8 +8,9 @@ whose classifier has no labelled row to learn from rejects nothing.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealith.llm.mixing import mixed_documents
@@ -21,12 +22,17 @@ from arealith.llm.toxicity import score_toxicity, train_toxicity
 from arealith.sources.tables import shared_dir, table
 
 
+def filtered(docs: DataFrame, scored: DataFrame, stays: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``docs`` whose score (the last column of ``scored``) lets them stay."""
+    return scored.filter(stays(F.col(scored.columns[-1]))).select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.7."""
     trees = train_quality(docs, table(spark, sf_dir, "labels"))
     if not trees.trained:
         return docs
-    return score_quality(docs, trees, [*docs.columns]).filter("score >= 0.7").select(*docs.columns)
+    return filtered(docs, score_quality(docs, trees, [*docs.columns]), lambda score: score >= 0.7)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     if not model.trained:
         return docs
-    return score_toxicity(docs, model, [*docs.columns]).filter("score < 0.5").select(*docs.columns)
+    return filtered(docs, score_toxicity(docs, model, [*docs.columns]), lambda score: score < 0.5)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document's pieces, with their number."""
-    ids = tokenized(docs, model_path(), keep=("doc_id", "lang", "source"))
+    ids = tokenized(docs, model_path(), keep=("doc_id", "lang", "source"), decoded=False)
     return ids.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 

@@ -45,6 +45,27 @@ def test_stages_take_effect(spark, tmp_path):
     assert P.run(spark, sf).count() == len(got)
 
 
+def test_clashing_columns_repeated_ids_and_long_texts(spark, tmp_path):
+    rng = random.Random(6)
+    more = "score string, _text string, _size int, _key int, _bucket int, _source string, _start int, ids string, node long, component int, label int, k0 int"
+    docs = []
+    for i in range(150):
+        text = "BUY NOW!! " * 30 if i % 6 == 1 else " ".join(f"w{rng.randrange(90)}" for _ in range(60)) + (" vile scum" if i % 6 == 2 else "")
+        docs.append((i, text, "en", f"s{i % 3}", 1, "x", "y", 1, 2, 3, "z", 4, "q", 5, 6, 7, 8))
+    docs += [docs[3], (4, "other text of one id", *docs[4][2:]), (500, "long " + "word more " * 100_000, *docs[0][2:]), (None, None, *docs[0][2:])]
+    path = str(tmp_path)
+    spark.createDataFrame(docs, f"doc_id long, text string, lang string, source string, n_chars long, {more}").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 6 != 1), int(i % 6 == 2)) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    rows = spark.read.parquet(f"{path}/documents.parquet")
+    names = rows.columns
+    for name, stage in P.STAGES:
+        stage(spark, rows, path).write.parquet(f"{path}/{name}")
+        rows = spark.read.parquet(f"{path}/{name}")
+        assert name == "tokens" or (rows.columns == names and {r["_size"] for r in rows.collect()} == {1})
+    ids = {r.doc_id for r in rows.collect()}
+    assert ids and not any(i % 6 in (1, 2) for i in ids if i is not None and i < 150)
+
+
 def test_no_labels_and_empty_tables(spark, tmp_path):
     sf = write(spark, tmp_path, [(1, "a b c d e f", "en", None, 11), (None, None, None, None, None)], [])
     assert P.run(spark, sf).count() >= 1
