@@ -137,5 +137,47 @@ def test_vectors_equal_brute_force(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {r[0]: (want.get(r[0], 0), find(r[0])) for r in rows}
 
 
+def pairs_of(rows):
+    """Brute force: each row's links and the smallest id reachable, rows told apart by position."""
+    n, up = len(rows), list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = [0] * n
+    for p in range(n):
+        for q in range(p):
+            (_, x, l), (_, y, m) = rows[p], rows[q]
+            if l == m and len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+                links[p], links[q] = links[p] + 1, links[q] + 1
+                up[max(find(p), find(q))] = min(find(p), find(q))
+    low = {}
+    for p, r in enumerate(rows):
+        low[find(p)] = min(low.get(find(p), r[0]), r[0])
+    return sorted((r[0], links[p], low[find(p)]) for p, r in enumerate(rows))
+
+
+def test_one_id_on_several_vectors_and_labels_of_any_type(spark):
+    one = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (2, [0.999, 0.01, 0.0]), (9, [0.01, 0.999, 0.0]), (9, [0.01, 0.999, 0.0])]
+    for kind, label in (("long", 2**40), ("long", 2**40 + 2**32), ("string", "x"), ("int", 1)):
+        rows = [(i, v, label) for i, v in one]
+        got = near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == pairs_of(rows) == [(2, 1, 2), (5, 1, 2), (5, 2, 5), (9, 2, 5), (9, 2, 5)]
+    apart = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1 + 2**32)]
+    assert {r.n_links for r in near_vectors(spark.createDataFrame(apart, "vec_id long, embedding array<double>, label long")).collect()} == {0}
+
+
+def test_dense_groups_over_many_tiles(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(3, 12))
+    rows = [(int(i), [float(x) for x in centre[i % 3] + rng.normal(size=12) * (0.002 if i % 3 == 0 else 0.06)], int(i % 2)) for i in rng.permutation(420)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    for block, tile in ((8, 2), (16, 32), (4, 1)):
+        got = near_vectors(d, block=block, tile=tile).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == pairs_of(rows)
+
+
 def test_empty_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
