@@ -102,3 +102,18 @@ def hash_uniform(*keys: Column) -> Column:
     """A uniform number in (0, 1) out of an md5, the same in every engine."""
     h = F.md5(F.concat_ws("|", *(k.cast("string") for k in keys)))
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def resolved_path(base: Column, link: Column, steps: int = 12) -> Column:
+    """The path that a link leads to from a page's path: query and anchor off, relative to the page's folder, dots resolved.
+
+    Null for links to other hosts and to anchors of the page. At most ``steps`` folders are gone up.
+    """
+    bare = F.regexp_replace(link, "[?#].*$", "")
+    folder = F.regexp_replace(base, "[^/]*$", "")
+    path = F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
+    path = F.regexp_replace(path, r"/(?:\./)+", "/")
+    for _ in range(steps):
+        path = F.regexp_replace(F.regexp_replace(path, r"^(?:/\.\.)+/", "/"), r"^((?:/[^/]*)*?)/[^/]+/\.\./", r"$1/")
+    outside = link.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)") | (bare == "")
+    return F.when(~outside, F.regexp_replace(path, r"/\.$", "/"))

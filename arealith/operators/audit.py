@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arealith.operators.ranks import running
+
 
 def compared(name: str, expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """Rows in which two tables of (key, value) differ or that one of them lacks."""
@@ -48,12 +50,9 @@ def report(parts: list[DataFrame]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average ranks with ties, by counts of values: prefix counts over distinct values, not rows."""
-    from pyspark.sql import Window
-
-    c = df.groupBy(value).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(c.select(value, (before + (F.col("_c") + 1) / 2).alias(name)), value)
+    """Average ranks with ties, by prefix counts over ranges of the distinct values."""
+    c = running(df.groupBy(value).agg(F.count("*").alias("_c")), [value], F.col("_c"), "_before")
+    return df.join(c.select(value, (F.col("_before") + (F.col("_c") + 1) / 2).alias(name)), value)
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,49 +1,51 @@
-"""Bridges of a graph and the sizes of the sides that removing one leaves."""
+"""Bridges of a graph and the sizes of the sides that removing one leaves, by labels of cycles."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealith.operators.components import connected_components
+from arealith.sources.tables import cut
 
 
-def _bridges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Low links of one component, without recursion; each bridge with the size of its lower side."""
-    near: dict[int, list[int]] = {}
-    for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-        near.setdefault(int(a), []).append(int(b))
-        near.setdefault(int(b), []).append(int(a))
-    near = {k: sorted(set(v)) for k, v in near.items()}
-    root = min(near)
-    order, low, size, found = {root: 0}, {root: 0}, {}, []
-    stack = [(root, None, iter(near[root]))]
-    while stack:
-        node, parent, rest = stack[-1]
-        for other in rest:
-            if other == parent:
-                continue
-            if other in order:
-                low[node] = min(low[node], order[other])
-            else:
-                order[other] = low[other] = len(order)
-                stack.append((other, node, iter(near[other])))
-                break
-        else:
-            stack.pop()
-            size[node] = size.get(node, 0) + 1
-            if parent is not None:
-                low[parent] = min(low[parent], low[node])
-                size[parent] = size.get(parent, 0) + size[node]
-                if low[node] > order[parent]:
-                    found.append((min(node, parent), max(node, parent), size[node]))
-    n = len(near)
-    return pd.DataFrame([(a, b, min(s, n - s), max(s, n - s)) for a, b, s in found], columns=["a", "b", "small", "large"])
+def spanning_forest(edges: DataFrame, parts: DataFrame) -> tuple[DataFrame, int]:
+    """``(node, parent, depth, component)`` breadth first from each component's smallest node, and the largest depth.
+
+    ``edges`` are ``(u, v)`` in both directions. A round for each level: two joins of the frontier.
+    """
+    front = cut(parts.filter("id = component").select(F.col("id").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), "component"))
+    reached, depth = front, 0
+    while True:
+        near = front.select(F.col("node").alias("u"), "component").join(edges, "u").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"), F.first("component").alias("component"))
+        front = cut(near.join(reached, "node", "left_anti").select("node", "parent", F.lit(depth + 1).alias("depth"), "component"))
+        if front.isEmpty():
+            return reached, depth
+        reached, depth = cut(reached.union(front)), depth + 1
 
 
 def bridges(edges: DataFrame) -> DataFrame:
-    """``(a, b, small, large)`` for every bridge. A component is one task's group, as low links need it whole."""
-    part = connected_components(edges)
-    grouped = edges.join(part, F.col("src") == F.col("id")).select("component", "src", "dst")
-    return grouped.groupBy("component").applyInPandas(_bridges, "a long, b long, small long, large long")
+    """``(a, b, small, large)`` for every bridge: its ends and the sizes of the two sides.
+
+    Every edge outside a spanning forest gets a random label of 128 bits; a tree edge's label is that of all cycles over it,
+    the exclusive or of the labels at the nodes below it. A tree edge of label 0 is on no cycle (wrong with probability
+    2^-128 an edge). Labels and sizes are added up level by level, so rounds grow with the depth of the forest, not with
+    the graph's size; nothing is held whole in a task.
+    """
+    one = edges.select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b")).filter("a < b").distinct()
+    one = cut(one)
+    both = cut(one.select(F.col("a").alias("u"), F.col("b").alias("v")).union(one.select("b", "a")))
+    parts = cut(connected_components(one, "a", "b"))
+    forest, depth = spanning_forest(both, parts)
+    tree = forest.filter("parent is not null").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
+    labelled = one.join(tree, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b", F.lit(11)).alias("x"), F.xxhash64("a", "b", F.lit(23)).alias("y"))
+    ends = labelled.select(F.col("a").alias("node"), "x", "y").union(labelled.select("b", "x", "y")).groupBy("node").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    sums = cut(forest.join(ends, "node", "left").na.fill(0, ["x", "y"]).withColumn("size", F.lit(1).cast("long")))
+    for level in range(depth, 0, -1):
+        below = sums.filter(F.col("depth") == level).groupBy(F.col("parent").alias("node")).agg(F.bit_xor("x").alias("x2"), F.bit_xor("y").alias("y2"), F.sum("size").alias("size2"))
+        added = {"x": F.col("x").bitwiseXOR(F.coalesce("x2", F.lit(0))), "y": F.col("y").bitwiseXOR(F.coalesce("y2", F.lit(0))), "size": F.col("size") + F.coalesce("size2", F.lit(0))}
+        sums = cut(sums.join(below, "node", "left").withColumns(added).drop("x2", "y2", "size2"))
+    whole = parts.groupBy("component").agg(F.count("*").alias("n"))
+    found = sums.filter("parent is not null and x = 0 and y = 0").join(whole, "component")
+    other = F.col("n") - F.col("size")
+    return found.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"), F.least("size", other).alias("small"), F.greatest("size", other).alias("large"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, radians
+from math import radians, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,8 +53,8 @@ def assign_points(points: DataFrame, polygons: DataFrame, cell: float = 0.5) ->
     return points.select("id").join(first, "id", "left")
 
 
-def centroid(ring: Column) -> Column:
-    """Planar centroid of a ring by the shoelace formula."""
+def _moments(ring: Column) -> Column:
+    """Twice the area and its moments of a ring, without sign (shoelace formula)."""
     n = F.size(ring)
 
     def step(s: Column, i: Column) -> Column:
@@ -63,41 +63,67 @@ def centroid(ring: Column) -> Column:
         return F.struct((s["a"] + c).alias("a"), (s["x"] + (a["x"] + b["x"]) * c).alias("x"), (s["y"] + (a["y"] + b["y"]) * c).alias("y"))
 
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda s: F.struct((s["x"] / (3 * s["a"])).alias("x"), (s["y"] / (3 * s["a"])).alias("y")))
+    way = lambda s: F.when(s["a"] < 0, -1.0).otherwise(1.0)
+    return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda s: F.struct((way(s) * s["a"]).alias("a"), (way(s) * s["x"]).alias("x"), (way(s) * s["y"]).alias("y")))
 
 
-def close_pairs(points: DataFrame, km: float, most_lat: float = 85.0) -> DataFrame:
-    """``(src, dst, km)``: ordered pairs of points at 0 < distance <= km on the sphere, through a grid of that size.
+def centroid(parts: Column) -> Column:
+    """Planar centroid of all parts, by area, holes taken off; null without area."""
+    signed = F.flatten(F.transform(parts, lambda rings: F.transform(rings, lambda ring, k: F.struct(_moments(ring).alias("m"), F.when(k == 0, 1.0).otherwise(-1.0).alias("w")))))
+    total = lambda c: F.aggregate(signed, F.lit(0.0), lambda s, r: s + r["w"] * r["m"][c])
+    return F.struct(F.try_divide(total("x"), 3 * total("a")).alias("x"), F.try_divide(total("y"), 3 * total("a")).alias("y"))
 
-    Points ``(id, lon, lat)`` within ``most_lat`` of the equator; pairs across the date line are not sought.
+
+#: Kilometres of a degree of latitude on the sphere, a little less than it is.
+DEGREE_KM = 111.19
+
+
+def near_cells(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Pairs of points ``(id, lon, lat)`` and ``(dst, lon2, lat2)`` that may lie within ``km`` of each other on the sphere.
+
+    The grid has rows of that height; a row's cells are as wide as the distance is at the row's latitude nearest to a
+    pole, seen from the row next to it, a whole number of cells around the globe, and wrap at the date line. Where a
+    pole is within reach, a row is one cell.
     """
-    dlat = km / 111.0
-    dlon = dlat / cos(radians(most_lat))
-    cells = points.withColumn("cy", F.floor(F.col("lat") / dlat)).withColumn("cx", F.floor(F.col("lon") / dlon))
-    around = cells.withColumn("cy", F.explode(F.array(*(F.col("cy") + k for k in (-1, 0, 1))))).withColumn("cx", F.explode(F.array(*(F.col("cx") + k for k in (-1, 0, 1)))))
-    b = cells.select(F.col("id").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "cx", "cy")
+    dlat = km / DEGREE_KM
+    row = lambda lat: F.floor((lat + 90.0) / dlat)
+    # Bound on the difference in longitude of two points within km: sin(d / 2) / cos(latitude farthest from the equator).
+    top = lambda r: F.greatest(F.abs(r * dlat - 90.0), F.abs((r + 1) * dlat - 90.0))
+    share = lambda r: F.lit(float(sin(radians(min(dlat, 180.0) / 2)))) / F.cos(F.radians(F.least(top(r), F.lit(89.999))))
+    cells = lambda r: F.when(share(r) < 1, F.greatest(F.floor(360.0 / (2.0 * F.degrees(F.asin(F.least(share(r), F.lit(1.0)))))), F.lit(1))).otherwise(F.lit(1)).cast("long")
+    column = lambda lon, n: F.pmod(F.floor((lon + 180.0) / 360.0 * n), n)
+    b = right.withColumn("cy", row(F.col("lat2"))).withColumn("cx", column(F.col("lon2"), cells(F.col("cy"))))
+    a = left.withColumn("cy", F.explode(F.array(*(row(F.col("lat")) + k for k in (-1, 0, 1))))).withColumn("_n", cells(F.col("cy")))
+    # The point's own latitude may be nearer to a pole than the row: then it looks as many cells around as its reach asks for.
+    own = F.lit(float(sin(radians(min(dlat, 180.0) / 2)))) / F.cos(F.radians(F.least(F.abs(F.col("lat")), F.lit(89.999))))
+    reach = F.when(own < 1, F.ceil(2.0 * F.degrees(F.asin(F.least(own, F.lit(1.0)))) / 360.0 * F.col("_n"))).otherwise(F.col("_n"))
+    reach = F.least(F.greatest(reach, F.lit(1)), F.floor(F.col("_n") / 2)).cast("long")
+    at = column(F.col("lon"), F.col("_n"))
+    around = F.array_distinct(F.transform(F.sequence(-reach, reach), lambda k: F.pmod(at + k, F.col("_n"))))
+    return a.withColumn("cx", F.explode(around)).join(b, ["cy", "cx"]).drop("cx", "cy", "_n")
+
+
+def close_pairs(points: DataFrame, km: float) -> DataFrame:
+    """``(src, dst, km)``: ordered pairs of points ``(id, lon, lat)`` at 0 < distance <= km on the sphere, through a grid of that size."""
+    other = points.select(F.col("id").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     d = great_circle_km(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    return around.join(b, ["cx", "cy"]).filter("id <> dst").select(F.col("id").alias("src"), "dst", d.alias("km")).filter((F.col("km") > 0) & (F.col("km") <= km))
+    return near_cells(points.select("id", "lon", "lat"), other, km).filter("id <> dst").select(F.col("id").alias("src"), "dst", d.alias("km")).filter((F.col("km") > 0) & (F.col("km") <= km))
 
 
-def nearest(points: DataFrame, k: int, first_km: float = 50.0, most_lat: float = 85.0, rounds: int = 12) -> DataFrame:
+def nearest(points: DataFrame, k: int, first_km: float = 50.0, rounds: int = 12) -> DataFrame:
     """``(src, dst, km, rank)``: the k nearest others of each point; ties by id.
 
     A point with k others within a radius is settled exactly by it; the rest try the doubled radius.
     The last radius covers the sphere: points without k others keep all that exist.
     """
-    left, km, out = points, first_km, None
+    left, km, out = points.select("id", "lon", "lat"), first_km, None
     sphere = 20_040.0  # more than half of a great circle
     for n in range(rounds):
         last = n == rounds - 1 or km >= sphere
         km = max(km, sphere) if last else km
         near = points.select(F.col("id").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-        dlat = km / 111.0
-        dlon = dlat / cos(radians(most_lat))
-        grid = lambda d, lon, lat: d.withColumn("cy", F.floor(F.col(lat) / dlat)).withColumn("cx", F.floor(F.col(lon) / dlon))
-        around = grid(left, "lon", "lat").withColumn("cy", F.explode(F.array(*(F.col("cy") + j for j in (-1, 0, 1))))).withColumn("cx", F.explode(F.array(*(F.col("cx") + j for j in (-1, 0, 1)))))
         d = great_circle_km(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-        pairs = around.join(grid(near, "lon2", "lat2"), ["cx", "cy"]).filter("id <> dst").select(F.col("id").alias("src"), "dst", d.alias("km")).filter(F.col("km") <= km)
+        pairs = near_cells(left, near, km).filter("id <> dst").select(F.col("id").alias("src"), "dst", d.alias("km")).filter(F.col("km") <= km)
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.round("km", 9), "dst")).cast("long")).filter(F.col("rank") <= k)
         if last:
             return ranked if out is None else out.union(ranked)

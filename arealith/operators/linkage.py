@@ -141,18 +141,13 @@ def prefix_proposals(names: DataFrame, pool: DataFrame, least: int = 4, top: int
     return both.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top).select(F.col("left_id").alias("id"), "rank", F.col("right_id").alias("candidate"))
 
 
-def fuzzy_proposals(names: DataFrame, pool: DataFrame, least: float = 0.68, top: int = 3) -> DataFrame:
-    """The most similar distinct names of a block by the ratio of matching blocks of characters, in Arrow batches.
+def fuzzy_candidates(names: DataFrame, pool: DataFrame, least: float = 0.68) -> DataFrame:
+    """``(block, a, b)``: distinct forms of a block that may reach a ratio of matching characters.
 
     A ratio implies 2 * (characters in common, with counts) >= ratio * (summed lengths). Candidates meet on one of their
     rarest characters, as many of them as such a pair must share one of, once for each pair, and then pass that bound;
     names of equal form are compared once.
     """
-    @pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
     def marked(d: DataFrame) -> DataFrame:
         """A mark for each character and its number in the name."""
@@ -174,7 +169,26 @@ def fuzzy_proposals(names: DataFrame, pool: DataFrame, least: float = 0.68, top:
     la, lb = F.length("a"), F.length("b")
     near = heads(left, "a").join(heads(right, "b"), ["block", "mark"]).filter((F.col("a") != F.col("b")) & (2 * F.least(la, lb) >= least * (la + lb) - 1e-9))
     near = near.filter(F.col("mark") == F.get(F.array_intersect("a_head", "b_head"), F.lit(0)))
-    near = near.filter(2 * F.size(F.array_intersect("a_marks", "b_marks")) >= least * (la + lb) - 1e-9).select("block", "a", "b").withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
+    return near.filter(2 * F.size(F.array_intersect("a_marks", "b_marks")) >= least * (la + lb) - 1e-9).select("block", "a", "b")
+
+
+def fuzzy_proposals(names: DataFrame, pool: DataFrame, least: float = 0.68, top: int = 3) -> DataFrame:
+    """The most similar distinct names of a block by the ratio of matching blocks of characters, in Arrow batches."""
+
+    @pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    near = fuzzy_candidates(names, pool, least).withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
     w = Window.partitionBy("block", "a").orderBy(F.col("ratio").desc(), "b")
     best = near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top)
     return names.select("id", "block", F.col("norm").alias("a")).join(best, ["block", "a"]).select("id", "rank", F.col("b").alias("candidate"), F.round("ratio", 6).alias("ratio"))
+
+
+def proposals(names: DataFrame, pool: DataFrame, **options) -> DataFrame:
+    """``(id, rank, candidate, ratio)``: names that begin alike, and only where a name has none, similar ones (``ratio`` is null for the former)."""
+    first = prefix_proposals(names, pool).join(pool.select(F.col("id").alias("candidate"), F.col("norm").alias("form")), "candidate")
+    left = names.join(first.select("id").distinct(), "id", "left_anti")
+    return first.select("id", "rank", F.col("form").alias("candidate"), F.lit(None).cast("double").alias("ratio")).union(fuzzy_proposals(left, pool, **options))

@@ -1,17 +1,12 @@
-"""Count models: Poisson regression in closed form and by Spark ML, Leroux and BYM smoothing by MCMC.
-
-An MCMC chain is sequential: chains and models are spread over tasks (``applyInPandas`` by model and
-chain), and each holds its graph, whose areas number in the hundreds.
-"""
+"""Count models: Poisson regression in closed form and by Spark ML, Leroux and BYM smoothing by posterior modes."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealith.operators.audit import coverage
+from arealith.sources.tables import cut
 
 
 def intercept_glm(counts: DataFrame) -> DataFrame:
@@ -36,93 +31,32 @@ def covariate_glm(counts: DataFrame, features: list[str]) -> DataFrame:
     return counts.sparkSession.createDataFrame(terms, "term string, coefficient double").withColumn("rate_ratio", F.exp("coefficient"))
 
 
-def _sweep(rng, phi, near, weight, precision, y, mean_rest, e, step, accept):
-    """A Metropolis step for every area in turn; weight: each neighbour's pull, precision: of the full conditional."""
-    for k in range(len(phi)):
-        centre = weight[k] * phi[near[k]].sum() / precision[k][1] if len(near[k]) else 0.0
-        new = phi[k] + step[k] * rng.standard_normal()
-        q = precision[k][0]
-        ratio = y[k] * (new - phi[k]) - e[k] * np.exp(mean_rest[k]) * (np.exp(new) - np.exp(phi[k])) - 0.5 * q * ((new - centre) ** 2 - (phi[k] - centre) ** 2)
-        if np.log(rng.random()) < ratio:
-            phi[k] = new
-            accept[k] += 1
-
-
-def chain(y: np.ndarray, e: np.ndarray, near: list[np.ndarray], model: str, draws: int, burn: int, thin: int, seed: int) -> dict:
-    """One chain: intercept, smooth effects, and with ``bym`` unstructured ones. Priors: flat on the intercept, inverse gamma (1, 0.01) on variances, uniform on rho."""
-    rng, n = np.random.default_rng(seed), len(y)
-    degree = np.array([len(a) for a in near], float)
-    src = np.repeat(np.arange(n), degree.astype(int))
-    dst = np.concatenate(near).astype(int)
-    lap = np.diag(degree)
-    lap[src, dst] -= 1
-    eigen = np.linalg.eigvalsh(lap)
-    beta, phi, theta = np.log(y.sum() / e.sum()), np.zeros(n), np.zeros(n)
-    tau2, sigma2, rho = 0.5, 0.1, 0.5 if model == "leroux" else 1.0
-    step, accept, step_t, accept_t, b_step, b_acc, r_acc, tried = np.full(n, 0.3), np.zeros(n), np.full(n, 0.3), np.zeros(n), 0.02, 0, 0, 0
-    kept = []
-    for it in range(burn + draws):
-        scale = rho * degree + 1 - rho
-        _sweep(rng, phi, near, np.full(n, rho), [(s / tau2, s) for s in scale], y, beta + theta, e, step, accept)
-        if model == "leroux":
-            ss = phi @ (rho * (lap @ phi) + (1 - rho) * phi)
-        else:
-            phi -= phi.mean()
-            ss = phi @ lap @ phi
-        tau2 = (0.01 + ss / 2) / rng.gamma(1 + (n if model == "leroux" else n - 1) / 2)
-        if model == "leroux":
-            new = rho + 0.05 * rng.standard_normal()
-            if 0 < new < 1:
-                f = lambda r: 0.5 * np.log(r * eigen + 1 - r).sum() - (phi @ (r * (lap @ phi) + (1 - r) * phi)) / (2 * tau2)
-                if np.log(rng.random()) < f(new) - f(rho):
-                    rho, r_acc = new, r_acc + 1
-        else:
-            _sweep(rng, theta, [np.zeros(0, int)] * n, np.zeros(n), [(1 / sigma2, 1.0)] * n, y, beta + phi, e, step_t, accept_t)
-            sigma2 = (0.01 + theta @ theta / 2) / rng.gamma(1 + n / 2)
-        new = beta + b_step * rng.standard_normal()
-        base = e * np.exp(phi + theta)
-        if np.log(rng.random()) < y.sum() * (new - beta) - base.sum() * (np.exp(new) - np.exp(beta)):
-            beta, b_acc = new, b_acc + 1
-        tried += 1
-        if it < burn and tried % 50 == 0:
-            for s, a in ((step, accept), (step_t, accept_t)):
-                s *= np.where(a / 50 > 0.5, 1.2, np.where(a / 50 < 0.3, 0.8, 1.0))
-                a[:] = 0
-            b_step *= 1.2 if b_acc / 50 > 0.5 else 0.8 if b_acc / 50 < 0.3 else 1.0
-            b_acc = 0
-        if it >= burn and (it - burn) % thin == 0:
-            kept.append((beta, tau2, sigma2 if model == "bym" else np.nan, rho if model == "leroux" else np.nan, e * np.exp(beta + phi + theta)))
-    mu = np.array([k[4] for k in kept])
-    logs = np.array([np.log(np.arange(1, int(v) + 1)).sum() for v in y])
-    deviance = -2 * (y * np.log(mu) - mu - logs).sum(1)
-    at = mu.mean(0)
-    here = -2 * (y * np.log(at) - at - logs).sum()
-    return {"beta": [k[0] for k in kept], "tau2": [k[1] for k in kept], "sigma2": [k[2] for k in kept], "rho": [k[3] for k in kept], "fitted": at, "dic": 2 * deviance.mean() - here, "accept": 100 * accept.sum() / (n * max(1, (burn + draws) - burn // 50 * 50))}
-
+def smoothed_risk(counts: DataFrame, edges: DataFrame, model: str = "leroux", tau2: float = 0.5, sigma2: float = 0.1, rho: float = 0.9, rounds: int = 8, damping: float = 0.5) -> DataFrame:
+    """``(id, observed, expected, effect, risk)``: posterior modes of area effects under a Poisson model.
 
-def smoothed_risk(counts: DataFrame, edges: DataFrame, models: tuple[str, ...] = ("leroux", "bym"), chains: int = 1, draws: int = 2000, burn: int = 1000, thin: int = 2, seed: int = 7) -> DataFrame:
-    """``(model, chain, term, value, low, high)``: posterior means and 95 % bounds of beta, tau2, sigma2 and rho, dic, and each area's smoothed risk (term ``risk:<id>``).
-
-    An area without a neighbour is an error: its effect has no neighbours to borrow from.
+    ``leroux``: one effect of an area, drawn towards its neighbours by ``rho`` and to 0 by the rest, of variance ``tau2``.
+    ``bym``: an effect that is drawn to its neighbours alone (``tau2``) and one of the area alone (``sigma2``). The intercept is
+    ln(sum O / sum E). Every round moves all areas at once by a damped Newton step: a join of the edges with the
+    neighbours' effects and an aggregate by area, so a graph of any size is spread over all tasks. An area without a
+    neighbour is an error: its effect has no neighbours to borrow from.
     """
-    ids = counts.select("id")
-    alone = coverage(ids, edges.select(F.col("src").alias("id")), "id").filter("side = 'left only'")
+    if model not in ("leroux", "bym"):
+        raise ValueError(f"unknown model {model}")
+    alone = coverage(counts.select("id"), edges.select(F.col("src").alias("id")), "id").filter("side = 'left only'")
     if not alone.isEmpty():
         raise ValueError("smoothing needs neighbours: some areas have none")
-    near = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("near"))
-    runs = counts.sparkSession.createDataFrame([(m, c) for m in models for c in range(chains)], "model string, chain int")
-    rows = counts.join(near, "id").select("id", "observed", "expected", "near").crossJoin(F.broadcast(runs))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        model, c = key
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        place = {v: k for k, v in enumerate(pdf["id"])}
-        graph = [np.array([place[v] for v in a], int) for a in pdf["near"]]
-        e = pdf["expected"].to_numpy(float)
-        got = chain(pdf["observed"].to_numpy(float), e, graph, model, draws, burn, thin, seed + 1000 * int(c))
-        out = [(t, float(np.mean(got[t])), *map(float, np.quantile(got[t], [0.025, 0.975]))) for t in ("beta", "tau2", "sigma2", "rho") if not np.isnan(got[t][0])]
-        out += [("dic", float(got["dic"]), None, None), ("accept", float(got["accept"]), None, None)]
-        out += [(f"risk:{i}", float(f / x), None, None) for i, f, x in zip(pdf["id"], got["fitted"], e, strict=True)]
-        return pd.DataFrame([(model, int(c), *r) for r in out], columns=["model", "chain", "term", "value", "low", "high"])
-
-    return rows.groupBy("model", "chain").applyInPandas(run, "model string, chain int, term string, value double, low double, high double")
+    level = counts.agg(F.log(F.sum("observed").cast("double") / F.sum("expected")).alias("level"))
+    a = counts.select("id", "observed", "expected").crossJoin(F.broadcast(level)).withColumns({"effect": F.lit(0.0), "own": F.lit(0.0)})
+    pull, rest = (rho, 1 - rho) if model == "leroux" else (1.0, 0.0)
+    mean = F.col("expected") * F.exp(F.col("level") + F.col("effect") + F.col("own"))
+    for k in range(rounds):
+        near = edges.join(a.select(F.col("id").alias("dst"), F.col("effect").alias("e")), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("e").alias("around"), F.count("*").alias("degree"))
+        slope = F.col("observed") - mean - (pull * (F.col("degree") * F.col("effect") - F.col("around")) + rest * F.col("effect")) / tau2
+        curve = mean + (pull * F.col("degree") + rest) / tau2
+        moved = {"effect": F.col("effect") + damping * slope / curve}
+        if model == "bym":
+            moved["own"] = F.col("own") + damping * (F.col("observed") - mean - F.col("own") / sigma2) / (mean + 1 / sigma2)
+        a = a.join(near, "id").withColumns(moved).drop("around", "degree")
+        if k % 2:
+            a = cut(a)
+    return a.select("id", "observed", "expected", (F.col("effect") + F.col("own")).alias("effect"), F.exp(F.col("level") + F.col("effect") + F.col("own")).alias("risk"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arealith.functions.columns import erfc, upper_tail
+from arealith.operators.ranks import numbered
+from arealith.sources.tables import cut
 
 
 def lattice_edges(cells: DataFrame, queen: bool = True) -> DataFrame:
@@ -108,16 +110,20 @@ def gi_star(values: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def moran_permutations(values: DataFrame, weights: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """One row: i, draws, ge and the pseudo-p. Draw b deals the values in the order of md5(seed, b, id)."""
+    """One row: i, draws, ge and the pseudo-p. Draw b deals the values in the order of md5(seed, b, id).
+
+    A draw's areas are one window; draws are spread over tasks.
+    """
     from pyspark.sql import Window
 
     spark = values.sparkSession
-    numbered = values.select("id", "x", F.row_number().over(Window.orderBy("id")).alias("k"))
+    known = cut(numbered(values.select("id", "x"), "k", "id"))
     runs = spark.range(1, draws + 1).select(F.col("id").cast("int").alias("b"))
-    dealt = numbered.select("id").crossJoin(runs).withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("id").cast("string"))), "id")))
-    shuffled = dealt.join(numbered.select("k", "x"), "k").select("b", "id", "x").union(values.select(F.lit(0), "id", "x"))
-    mean = values.agg(F.avg("x").alias("mean"), F.sum("x").alias("_t"))
-    z = shuffled.crossJoin(F.broadcast(mean.select("mean"))).select("b", "id", (F.col("x") - F.col("mean")).alias("z"))
+    order = Window.partitionBy("b").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("id").cast("string"))), "id")
+    dealt = known.select("id").crossJoin(F.broadcast(runs)).withColumn("k", (F.row_number().over(order) - 1).cast("long"))  # every draw deals all areas
+    shuffled = dealt.join(known.select("k", "x"), "k").select("b", "id", "x").union(known.select(F.lit(0), "id", "x"))
+    mean = known.agg(F.avg("x").alias("mean"))
+    z = shuffled.crossJoin(F.broadcast(mean)).select("b", "id", (F.col("x") - F.col("mean")).alias("z"))
     pairs = weights.join(z.select("b", F.col("id").alias("dst"), F.col("z").alias("zj")), "dst").join(z.select("b", F.col("id").alias("src"), F.col("z").alias("zi")), ["b", "src"])
     ss = z.filter("b = 0").agg(F.sum(F.col("z") ** 2).alias("ss"))
     s0 = weights.agg(F.sum("w").alias("s0"), F.countDistinct("src").alias("n"))
@@ -127,21 +133,29 @@ def moran_permutations(values: DataFrame, weights: DataFrame, draws: int, seed:
     return out.select("i", "draws", "ge", ((F.col("ge") + 1) / (F.col("draws") + 1)).alias("p"))
 
 
-def local_permutations(values: DataFrame, weights: DataFrame, targets: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """For each target: local I, and the share of draws of its neighbours' values that give one as large in size.
+def local_permutations(values: DataFrame, weights: DataFrame, draws: int, seed: int = 1) -> DataFrame:
+    """For every area with neighbours: local I, and the share of draws of its neighbours' values that give one as large in size.
 
-    The target keeps its value; its neighbours' values are the first of the others in the order of an md5.
-    Work is targets x draws x areas, so targets are given, not all areas.
+    The area keeps its value. Draw b of an area of degree d takes others at ranks hashed from (seed, b, area, k),
+    k = 1, 2, ...: the first d different ones of 4 d + 16, so that no draw sorts the areas. Where 2 d reaches the number of
+    others, it takes d of all others in the order of that hash instead. Work is areas x draws x d.
     """
     from pyspark.sql import Window
 
-    l = lagged(values, weights)
-    m2 = l.agg((F.sum(F.col("z") ** 2) / F.count("*")).alias("m2"))
-    own = l.join(targets.select("id"), "id", "left_semi").crossJoin(F.broadcast(m2)).select(F.col("id").alias("t"), F.col("z").alias("zt"), "degree", "m2", (F.col("z") / F.col("m2") * F.col("lag")).alias("i"))
-    runs = values.sparkSession.range(1, draws + 1).select(F.col("id").cast("int").alias("b"))
-    others = F.broadcast(own).crossJoin(runs).crossJoin(l.select("id", "z")).filter("id <> t")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("t").cast("string"), F.col("id").cast("string")))
-    picked = others.withColumn("k", F.row_number().over(Window.partitionBy("t", "b").orderBy(key, "id"))).filter("k <= degree")
+    known = cut(numbered(lagged(values, weights), "at", "id"))
+    whole = known.agg((F.sum(F.col("z") ** 2) / F.count("*")).alias("m2"), (F.count("*") - 1).alias("others"))
+    own = known.filter("degree > 0").crossJoin(F.broadcast(whole)).select(F.col("id").alias("t"), F.col("at").alias("own_at"), F.col("z").alias("zt"), "degree", "m2", "others", (F.col("z") / F.col("m2") * F.col("lag")).alias("i"))
+    dense = 2 * F.col("degree") >= F.col("others")
+    tries = F.when(dense, F.col("others")).otherwise(4 * F.col("degree") + 16)
+    asked = own.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), tries)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ("b", "t", "k"))))
+    hashed = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    rank = F.when(dense, F.col("k") - 1).otherwise(hashed % F.col("others"))
+    order = F.when(dense, hashed).otherwise(F.col("k"))
+    first = asked.withColumn("rank", rank).groupBy("t", "own_at", "zt", "degree", "m2", "i", "b", "rank").agg(F.min(order).alias("order"))
+    taken = first.withColumn("n", F.row_number().over(Window.partitionBy("t", "b").orderBy("order", "rank"))).filter("n <= degree")
+    others = known.select(F.col("at").alias("other_at"), "z")
+    picked = taken.withColumn("other_at", F.col("rank") + F.when(F.col("rank") >= F.col("own_at"), 1).otherwise(0)).join(others, "other_at")
     sims = picked.groupBy("t", "b", "i", "zt", "m2").agg(F.avg("z").alias("lag")).withColumn("sim", F.col("zt") / F.col("m2") * F.col("lag"))
     out = sims.groupBy(F.col("t").alias("id"), "i").agg(F.count("*").alias("draws"), F.sum((F.round(F.abs("sim"), 10) >= F.round(F.abs("i"), 10)).cast("long")).alias("ge"))
     return out.select("id", "i", "draws", "ge", ((F.col("ge") + 1) / (F.col("draws") + 1)).alias("p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arealith.functions import columns as C
 from arealith.operators import audit as A
+from arealith.operators.ranks import quantiles
 from arealith.plans.areas import NATIONS, nation_counts, nation_values, rounded
 from arealith.sources.tables import table
 
@@ -164,8 +165,8 @@ def _(spark, sf):
 
 @query("five_number", "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {n}" for q, n in ((0, "least"), (0.25, "lower"), (0.5, "middle"), (0.75, "upper"), (1, "most"))) + " FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    out = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*(F.percentile("l_extendedprice", q).alias(n) for q, n in ((0.0, "least"), (0.25, "lower"), (0.5, "middle"), (0.75, "upper"), (1.0, "most"))))
-    return rounded(out, "least", "lower", "middle", "upper", "most")
+    shares = {"least": 0.0, "lower": 0.25, "middle": 0.5, "upper": 0.75, "most": 1.0}
+    return rounded(quantiles(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice", shares), *shares)
 
 
 @query("top_areas_listagg", f"WITH {NATIONS}, k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY observed DESC, name) AS k, count(*) OVER (PARTITION BY region) AS n FROM v) SELECT region, string_agg(name, ', ' ORDER BY k) || CASE WHEN any_value(n) > 3 THEN ' etc.' ELSE '' END AS top FROM k WHERE k <= 3 GROUP BY region")
@@ -237,3 +238,96 @@ def _(spark, sf):
     m = lists.select("area", F.explode(F.split("members", ",")).alias("m")).select("area", F.trim("m").cast("long").alias("member"))
     t = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("member")).agg(F.count("*").alias("n"))
     return m.join(t, "member", "left").groupBy("area").agg(F.count("*").alias("members"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), (F.count("*") - F.countDistinct("member")).alias("repeated"))
+
+
+# ---- fixed base rates, days with most events, mapped orders, counts of rows and totals
+
+
+@query("fixed_base_ratio", f"WITH {NATIONS} SELECT id, round(population * 0.008::DOUBLE, 6) AS expected, round(CASE WHEN population > 0 THEN observed / (population * 0.008::DOUBLE) ELSE 0 END, 6) AS ratio FROM v")
+def _(spark, sf):
+    """Expected counts from a fixed base rate of 800 in 100,000."""
+    v = nation_counts(spark, sf).withColumn("expected", F.col("population") * 0.008)
+    return rounded(v.select("id", "expected", C.ratio(F.col("observed"), F.col("expected")).alias("ratio")), "expected", "ratio")
+
+
+@query("busiest_day", "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, max(n) AS most, min(CASE WHEN n = top THEN day END) AS day FROM (SELECT *, max(n) OVER (PARTITION BY event_type) AS top FROM d) GROUP BY event_type")
+def _(spark, sf):
+    """Each type's day with most events; of equal days the first."""
+    d = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    best = F.max_by("day", F.struct("n", (-F.unix_date("day")).alias("early")))
+    return d.groupBy("event_type").agg(F.max("n").alias("most"), best.alias("day"))
+
+
+_MAPPED = {"MACHINERY": 1, "BUILDING": 2, "HOUSEHOLD": 3}
+
+
+@query("mapped_order", "SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 9 END, c_mktsegment, c_custkey) AS place FROM customer")
+def _(spark, sf):
+    """Rows in an order that a mapping of a column gives; values without a place come last, by name."""
+    place = F.coalesce(F.create_map(*(F.lit(x) for kv in _MAPPED.items() for x in kv))[F.col("c_mktsegment")], F.lit(9))
+    w = Window.partitionBy("c_nationkey").orderBy(place, "c_mktsegment", "c_custkey")
+    return table(spark, sf, "customer").select("c_mktsegment", "c_custkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("row_count_checks", """SELECT * FROM (SELECT 'regions' AS "check", 5::BIGINT AS expected, count(*) AS actual FROM region UNION ALL SELECT 'nations', 25, count(*) FROM nation UNION ALL SELECT 'one nation of code 0', 1, count(*) FROM nation WHERE n_nationkey = 0
+UNION ALL SELECT 'customers as ids', (SELECT count(DISTINCT c_custkey) FROM customer), count(*) FROM customer UNION ALL SELECT 'suppliers as ids', (SELECT count(DISTINCT s_suppkey) FROM supplier), count(*) FROM supplier)""")
+def _(spark, sf):
+    """Tables that must have an exact number of rows, as expected and actual counts."""
+    one = lambda name, expected, df: df.agg(F.lit(name).alias("check"), expected.cast("long").alias("expected"), F.count("*").alias("actual"))
+    nation = table(spark, sf, "nation")
+    parts = [
+        one("regions", F.lit(5), table(spark, sf, "region")),
+        one("nations", F.lit(25), nation),
+        one("one nation of code 0", F.lit(1), nation.filter("n_nationkey = 0")),
+        one("customers as ids", F.countDistinct("c_custkey"), table(spark, sf, "customer")),
+        one("suppliers as ids", F.countDistinct("s_suppkey"), table(spark, sf, "supplier")),
+    ]
+    return A.report(parts)
+
+
+@query("roster_checks", f"""WITH {NATIONS}, t AS (SELECT sum(population)::BIGINT AS people, sum(observed)::BIGINT AS orders, count(*) AS entries, count(CASE WHEN population = 0 THEN 1 END) AS without, sum(observed - population)::BIGINT AS difference FROM v),
+known AS (SELECT DISTINCT c_nationkey AS code FROM customer)
+SELECT 'people of entries and of the roster' AS "check", people = (SELECT count(*) FROM customer) AS ok FROM t UNION ALL SELECT 'orders of entries and of the roster', orders = (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey) FROM t
+UNION ALL SELECT 'every entry once', entries = 25 FROM t UNION ALL SELECT 'totals do not fall short', difference >= 0 FROM t UNION ALL SELECT 'no unknown marker', (SELECT count(*) FROM known WHERE code NOT IN (SELECT id FROM v)) = 0 UNION ALL SELECT 'no marker missing', without = 0 FROM t""")
+def _(spark, sf):
+    """Checks of a roster's entries against its rows: totals, entries, markers."""
+    v = nation_counts(spark, sf)
+    customer = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("id"))
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    facts = v.agg(F.sum("population").alias("people"), F.sum("observed").alias("orders"), F.count("*").alias("entries"), F.sum((F.col("population") == 0).cast("long")).alias("without"), F.sum(F.col("observed") - F.col("population")).alias("difference"))
+    rows = [customer.agg(F.count("*").alias("rows")), orders.join(customer, "c_custkey", "left_semi").agg(F.count("*").alias("order_rows")), customer.select("id").distinct().join(v.select("id"), "id", "left_anti").agg(F.count("*").alias("unknown"))]
+    for r in rows:
+        facts = facts.crossJoin(F.broadcast(r))
+    checks = [
+        ("people of entries and of the roster", F.col("people") == F.col("rows")),
+        ("orders of entries and of the roster", F.col("orders") == F.col("order_rows")),
+        ("every entry once", F.col("entries") == 25),
+        ("totals do not fall short", F.col("difference") >= 0),
+        ("no unknown marker", F.col("unknown") == 0),
+        ("no marker missing", F.col("without") == 0),
+    ]
+    return facts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), ok.alias("ok")) for n, ok in checks))).alias("c")).select("c.*")
+
+
+_WIDTH, _BANDS = 525, 21
+_BAND_SQL = ", ".join(f"count(CASE WHEN c_acctbal > {_WIDTH * k - 1000} AND c_acctbal <= {_WIDTH * k + _WIDTH - 1000} THEN 1 END) AS band{k + 1}" for k in range(_BANDS))
+
+
+@query("bands_of_all_areas", f"WITH b AS (SELECT c_nationkey AS code, {_BAND_SQL}, count(*) AS total FROM customer GROUP BY c_nationkey), u AS (SELECT *, total - ({' + '.join(f'band{k + 1}' for k in range(_BANDS))}) AS unknown FROM b) SELECT *, unknown < 0 AS fault FROM u UNION ALL SELECT NULL, {', '.join(f'sum(band{k + 1})::BIGINT' for k in range(_BANDS))}, sum(total)::BIGINT, sum(unknown)::BIGINT, sum(unknown) < 0 FROM u")
+def _(spark, sf):
+    """Counts of 21 bands by area and, added band by band, of all areas (code null); what no band holds must not be negative."""
+    x = F.col("c_acctbal")
+    bands = [f"band{k + 1}" for k in range(_BANDS)]
+    of = [F.count(F.when((x > _WIDTH * k - 1000) & (x <= _WIDTH * k + _WIDTH - 1000), 1)).alias(b) for k, b in enumerate(bands)]
+    b = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("code")).agg(*of, F.count("*").alias("total"))
+    b = b.withColumn("unknown", F.col("total") - sum((F.col(k) for k in bands[1:]), F.col(bands[0])))
+    whole = b.groupBy(F.lit(None).cast("int").alias("code")).agg(*(F.sum(k).alias(k) for k in [*bands, "total", "unknown"]))
+    return b.union(whole).withColumn("fault", F.col("unknown") < 0)
+
+
+@query("mapping_repeats", "WITH g AS (SELECT l_partkey AS area, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ', ') AS members FROM lineitem GROUP BY 1), m AS (SELECT area, CAST(trim(unnest(string_split(members, ','))) AS BIGINT) AS member FROM g) SELECT member, count(*) AS areas, min(area) AS first_area FROM m GROUP BY member HAVING count(*) > 1")
+def _(spark, sf):
+    """Members of comma lists that more than one area names: such keys are errors of a mapping, not counts."""
+    lists = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("area")).agg(F.array_join(F.collect_set(F.col("l_suppkey").cast("string")), ", ").alias("members"))
+    m = lists.select("area", F.explode(F.split("members", ",")).alias("m")).select("area", F.trim("m").cast("long").alias("member"))
+    return A.require_unique(m, "member").join(m.groupBy("member").agg(F.min("area").alias("first_area")), "member").select("member", F.col("n").alias("areas"), "first_area")

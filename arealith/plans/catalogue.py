@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arealith.plans import basics, content, modelled, places, statistics
+from arealith.plans import basics, content, modelled, places, roundtrips, statistics
 
-PARTS = [basics, statistics, places, content, modelled]
+PARTS = [basics, statistics, places, content, roundtrips, modelled]
 flagship = statistics.flagship
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arealith.functions.columns import html_escaped, occurrences
+from arealith.functions.columns import html_escaped, occurrences, resolved_path
 from arealith.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -116,3 +116,52 @@ def _(spark, sf):
 @query("html_escape", "SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS url, sha256(html) AS digest FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", html_escaped(F.col("url")).alias("url"), F.sha2("html", 256).alias("digest"))
+
+
+_BARE = "regexp_replace(link, '[?#].*$', '')"
+
+
+def _resolved_sql(base: str, link: str, steps: int = 12) -> str:
+    path = f"CASE WHEN starts_with({link}, '/') THEN {link} ELSE regexp_replace({base}, '[^/]*$', '') || {link} END"
+    path = f"regexp_replace({path}, '/(?:\\./)+', '/', 'g')"
+    for _ in range(steps):
+        path = f"regexp_replace(regexp_replace({path}, '^(?:/\\.\\.)+/', '/'), '^((?:/[^/]*)*?)/[^/]+/\\.\\./', '\\1/')"
+    return f"regexp_replace({path}, '/\\.$', '/')"
+
+
+#: Every third link as a page would write it relative to its own folder.
+_DRESSED = "k AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN raw WHEN 1 THEN '../.' || raw ELSE './a/../..' || raw || '?q=1#top' END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS raw FROM pages))"
+
+
+@query("resolved_links", f"WITH {_DRESSED}, b AS (SELECT *, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), ''), '/') AS base, {_BARE} AS bare FROM k), r AS (SELECT page_id, link, CASE WHEN NOT (regexp_matches(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)') OR bare = '') THEN {_resolved_sql('base', 'bare')} END AS path FROM b) SELECT page_id, link, path, count(*) AS n FROM r GROUP BY ALL")
+def _(spark, sf):
+    """Every link's path, relative ones resolved against their page."""
+    p = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), 1)).alias("raw"))
+    kind = F.col("page_id") % 3
+    link = F.when(kind == 0, F.col("raw")).when(kind == 1, F.concat(F.lit("../."), "raw")).otherwise(F.concat(F.lit("./a/../.."), "raw", F.lit("?q=1#top")))
+    path = F.regexp_extract("url", "^https?://[^/?#]+(/[^?#]*)", 1)
+    base = F.when(path == "", "/").otherwise(path)
+    return p.select("page_id", link.alias("link"), resolved_path(base, link).alias("path")).groupBy("page_id", "link", "path").agg(F.count("*").alias("n"))
+
+
+@query("manifest_orphans", "WITH f AS (SELECT doc_id, lang FROM documents), m AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 4 UNION ALL SELECT doc_id + 10000000 FROM documents WHERE doc_id % 10 = 7) SELECT f.doc_id, CASE WHEN lang = 'en' THEN 'not rendered' ELSE 'orphan' END AS fault FROM f ANTI JOIN m USING (doc_id) UNION ALL SELECT m.doc_id, 'file missing' FROM m ANTI JOIN f USING (doc_id)")
+def _(spark, sf):
+    """Files against a manifest both ways: sources that it lacks are not rendered, other files orphans, and entries may lack a file."""
+    f = table(spark, sf, "documents").select("doc_id", "lang")
+    m = f.filter("doc_id % 10 <> 4").select("doc_id").union(f.filter("doc_id % 10 = 7").select(F.col("doc_id") + 10_000_000))
+    unknown = f.join(m, "doc_id", "left_anti").select("doc_id", F.when(F.col("lang") == "en", "not rendered").otherwise("orphan").alias("fault"))
+    return unknown.union(m.join(f.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("file missing")))
+
+
+@query("json_lists", f"WITH {_QUIZ} SELECT conv_id, conv_id % 5 <> 0 AND conv_id % 7 <> 0 AS four_texts, conv_id % 3 <> 0 AS answer_fits FROM c")
+def _(spark, sf):
+    """Schema checks of question documents: choices must be a list of four strings, the answer a whole number from 0 to 3 and not a boolean."""
+    q = _questions(spark, sf)
+    texts = F.when(F.col("conv_id") % 5 == 0, F.slice("choices", 1, 3)).otherwise(F.col("choices"))
+    broken = F.when(F.col("conv_id") % 7 == 0, F.lit('{"choices":["a",2,"c","d"]}')).otherwise(F.to_json(F.struct(texts.alias("choices"))))
+    answer = F.when(F.col("conv_id") % 6 == 0, "true").when(F.col("conv_id") % 6 == 3, "4").otherwise(F.col("answer").cast("string"))
+    v = q.select("conv_id", F.parse_json(broken).alias("c"), F.parse_json(answer).alias("a"))
+    kinds = F.schema_of_variant(F.expr("variant_get(c, '$.choices', 'variant')"))
+    size = F.size(F.expr("try_variant_get(c, '$.choices', 'array<variant>')"))
+    whole = F.schema_of_variant("a") == "BIGINT"
+    return v.select("conv_id", ((kinds == "ARRAY<STRING>") & (size == 4)).alias("four_texts"), (whole & F.expr("try_variant_get(a, '$', 'bigint')").between(0, 3)).alias("answer_fits"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from arealith.operators import models as M
 from arealith.operators import spatial as S
-from arealith.plans.areas import LAGGED, MORAN, NATIONS, QUEEN, WEIGHTS, nation_counts, queen, queen_weights, rounded
-from arealith.sources.tables import table
+from arealith.plans.areas import LAGGED, MORAN, NATIONS, QUEEN, SUPPLIERS, WEIGHTS, nation_counts, queen, queen_weights, rounded, supplier_values
+from arealith.sources.tables import cut, table
 
 QUERIES, SQL = {}, {}
 
@@ -39,23 +39,49 @@ def _(spark, sf):
     return rounded(fit.crossJoin(F.broadcast(m)), "intercept", "se", "i", "p")
 
 
-@query("glm_covariate")
+_RICH = "ri AS (SELECT c_nationkey AS id, 10 * avg(CASE WHEN c_acctbal > 5000 THEN 1.0 ELSE 0.0 END)::DOUBLE AS s FROM customer GROUP BY 1), d AS (SELECT observed::DOUBLE AS y, expected AS e, s FROM ex JOIN ri USING (id) WHERE expected > 0)"
+
+
+def _newton_sql(steps: int = 12) -> str:
+    """Newton steps of the two coefficients, one table each."""
+    out = "n0 AS (SELECT ln(sum(y) / sum(e)) AS a, 0.0::DOUBLE AS b FROM d)"
+    for k in range(steps):
+        out += f", s{k} AS (SELECT a, b, sum(m) AS m0, sum(m * s) AS m1, sum(m * s * s) AS m2, sum(y - m) AS r0, sum((y - m) * s) AS r1 FROM (SELECT *, e * exp(a + b * s) AS m FROM d, n{k}) GROUP BY a, b), n{k + 1} AS (SELECT a + (m2 * r0 - m1 * r1) / (m0 * m2 - m1 * m1) AS a, b + (m0 * r1 - m1 * r0) / (m0 * m2 - m1 * m1) AS b FROM s{k})"
+    return out + f", f AS (SELECT 'intercept' AS term, a AS v FROM n{steps} UNION ALL SELECT 'share10', b FROM n{steps})"
+
+
+@query("glm_covariate", f"WITH {NATIONS.replace('v AS', 'v0 AS')}, {_GLM}, {_RICH}, {_newton_sql()} SELECT term, round(v, 5) AS coefficient, round(exp(v), 5) AS rate_ratio FROM f")
 def _(spark, sf):
     rich = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("id")).agg((10 * F.avg(F.when(F.col("c_acctbal") > 5000, 1.0).otherwise(0.0))).alias("share10"))
     return rounded(M.covariate_glm(_counts(spark, sf).join(rich, "id"), ["share10"]), "coefficient", "rate_ratio", digits=5)
 
 
+_RETURNED = "ct AS (SELECT l_suppkey AS id, count(*) AS lines, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS observed FROM lineitem GROUP BY 1), co AS (SELECT v.id, observed, lines * (SELECT sum(observed)::DOUBLE / sum(lines) FROM ct) AS expected FROM v JOIN ct ON ct.id = v.id)"
+
+
+def _smooth_sql(model: str, rounds: int = 8) -> str:
+    pull, rest = (0.9, 0.1) if model == "leroux" else (1.0, 0.0)
+    own = "own + 0.5 * (observed - m - own / 0.1) / (m + 1 / 0.1)" if model == "bym" else "own"
+    out = "a0 AS (SELECT id, observed, expected, (SELECT ln(sum(observed)::DOUBLE / sum(expected)) FROM co) AS level, 0.0::DOUBLE AS effect, 0.0::DOUBLE AS own FROM co)"
+    for k in range(rounds):
+        out += f", b{k} AS (SELECT src AS id, sum(effect) AS around, count(*) AS degree FROM e JOIN a{k} ON id = dst GROUP BY src), a{k + 1} AS (SELECT id, observed, expected, level, effect + 0.5 * (observed - m - ({pull} * (degree * effect - around) + {rest} * effect) / 0.5) / (m + ({pull} * degree + {rest}) / 0.5) AS effect, {own} AS own FROM (SELECT a.*, around, degree, expected * exp(level + effect + own) AS m FROM a{k} a JOIN b{k} USING (id)))"
+    return f"WITH {SUPPLIERS}, {QUEEN}, {_RETURNED}, {out} SELECT id, observed, round(expected, 6) AS expected, round(effect + own, 6) + 0.0 AS effect, round(exp(level + effect + own), 6) AS risk FROM a{rounds}"
+
+
 def _smooth(model):
     def run(spark, sf):
-        counts = _counts(spark, sf).filter("expected > 0")
-        e = queen(counts)
-        return rounded(M.smoothed_risk(counts.select("id", "observed", "expected"), e, (model,), draws=1000, burn=500), "value", "low", "high", digits=4)
+        lines = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("lines"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("observed"))
+        share = lines.agg((F.sum("observed").cast("double") / F.sum("lines")).alias("share"))
+        v = supplier_values(spark, sf)
+        counts = cut(v.select("id").join(lines, "id").crossJoin(F.broadcast(share)).select("id", "observed", (F.col("lines") * F.col("share")).alias("expected")))
+        edges = cut(queen(v).join(counts.select(F.col("id").alias("src")), "src", "left_semi").join(counts.select(F.col("id").alias("dst")), "dst", "left_semi"))
+        return rounded(M.smoothed_risk(counts, edges, model), "expected", "effect", "risk")
 
     return run
 
 
-QUERIES["car_leroux"] = _smooth("leroux")
-QUERIES["bym"] = _smooth("bym")
+for _model, _name in (("leroux", "car_leroux"), ("bym", "bym")):
+    QUERIES[_name], SQL[_name] = _smooth(_model), _smooth_sql(_model)
 
 
 @query("surveillance_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS at, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

@@ -91,9 +91,32 @@ def _(spark, sf):
 
 
 @query("fuzzy_proposals")
+def _(spark, sf):
+    p = cut(_parts(spark, sf).select("id", "block", "norm"))
+    return L.proposals(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"))
+
+
+@query("fuzzy_candidates", f"""WITH {_PARTS}, f AS (SELECT DISTINCT block, norm, id % 2 AS side FROM p WHERE norm <> ''), ch AS (SELECT block, norm, side, c, count(*) AS n FROM (SELECT *, unnest(string_split(norm, '')) AS c FROM f) GROUP BY ALL),
+co AS (SELECT a.block, a.norm AS a, b.norm AS b, sum(least(a.n, b.n)) AS shared FROM ch a JOIN ch b ON a.block = b.block AND a.c = b.c AND a.side = 1 AND b.side = 0 AND a.norm <> b.norm GROUP BY ALL)
+SELECT block, a, b FROM co WHERE 2 * shared >= 0.68 * (length(a) + length(b)) - 1e-9""")
 def _(spark, sf):
     p = _parts(spark, sf).select("id", "block", "norm")
-    return L.fuzzy_proposals(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"))
+    return L.fuzzy_candidates(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"))
+
+
+#: Full-width forms of the parts' names between words of the two lists: every term of each in turn.
+_WIDE = [chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz"]
+
+
+@query("name_normalise_wide", f"""WITH t AS (SELECT p_partkey AS id, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS bare, {list(L.LEGAL_TERMS)!r}[(p_partkey % {len(L.LEGAL_TERMS)})::INTEGER + 1] AS legal, {list(L.TYPE_WORDS)!r}[(p_partkey % {len(L.TYPE_WORDS)})::INTEGER + 1] AS kind FROM part)
+SELECT id, CASE WHEN id % 5 = 0 THEN legal || replace(kind, 'ー', '') ELSE bare || replace(kind, 'ー', '') END AS norm, false AS type_only FROM t""")
+def _(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), (F.col("id") % len(words)).cast("int"))
+    wide = F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz", "".join(_WIDE))
+    name = F.concat(pick(L.LEGAL_TERMS), F.lit("　"), F.when(F.col("id") % 5 == 0, "").otherwise(wide), F.lit("・"), pick(L.TYPE_WORDS))
+    norm = L.normalised(L.nfkc(name))
+    return p.select("id", norm.alias("norm")).select("id", "norm", L.type_word_only(F.col("norm")).alias("type_only"))
 
 
 @query("crosswalk_validate", "WITH x AS (SELECT p_partkey AS id, p_type AS basis, p_brand AS code, p_name FROM part) SELECT 'basis' AS rule, CAST(id AS VARCHAR) AS code FROM x WHERE basis NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD') UNION ALL SELECT 'unique key', p_name || '|' || code FROM x GROUP BY p_name, code HAVING count(*) > 1 UNION ALL SELECT 'code rule', CAST(id AS VARCHAR) FROM x WHERE basis = 'PROMO' AND NOT regexp_matches(code, '^Brand#1[0-9]$')")
@@ -136,12 +159,12 @@ def _(spark, sf):
 
 @query("distance_band", f"WITH {_POINTS} SELECT * FROM (SELECT a.id AS src, b.id AS dst, round({_KM}, 6) AS km FROM pt a JOIN pt b ON a.id <> b.id) WHERE km > 0 AND km <= 60")
 def _(spark, sf):
-    return rounded(G.close_pairs(_points(spark, sf), 60.0, 60.0), "km")
+    return rounded(G.close_pairs(_points(spark, sf), 60.0), "km")
 
 
 @query("knn", f"WITH {_POINTS}, d AS (SELECT a.id AS src, b.id AS dst, {_KM} AS km FROM pt a JOIN pt b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(km, 9), dst) AS rank FROM d) SELECT src, dst, round(km, 6) AS km, rank FROM k WHERE rank <= 4")
 def _(spark, sf):
-    return rounded(G.nearest(_points(spark, sf), 4, 40.0, 60.0), "km")
+    return rounded(G.nearest(_points(spark, sf), 4, 40.0), "km")
 
 
 @query("weight_sensitivity", f"""WITH {_POINTS}, v AS (SELECT vec_id AS id, embedding[3]::DOUBLE AS x FROM embeddings), d AS (SELECT a.id AS src, b.id AS dst, {_KM} AS km FROM pt a JOIN pt b ON a.id <> b.id),
@@ -149,21 +172,66 @@ e AS (SELECT src, dst FROM d WHERE km > 0 AND km <= 30), {WEIGHTS}, {LAGGED}, {M
 SELECT '30 km' AS weights, n, round(i, 6) + 0.0 AS i, (SELECT count(*) FROM l WHERE degree = 0) AS isolates FROM moran""")
 def _(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[2].cast("double").alias("x"))
-    e = cut(G.close_pairs(_points(spark, sf), 30.0, 60.0).select("src", "dst"))
+    e = cut(G.close_pairs(_points(spark, sf), 30.0).select("src", "dst"))
     w = S.row_weights(e)
     alone = S.degrees(e, v).agg(F.sum((F.col("degree") == 0).cast("long")).alias("isolates"))
     return rounded(S.global_moran(v, w).crossJoin(F.broadcast(alone)).select(F.lit("30 km").alias("weights"), "n", "i", "isolates"), "i")
 
 
-@query("centroids", f"WITH {NATIONS} SELECT id AS code, (131 + 2 * c)::DOUBLE AS x, (31 + 2 * r)::DOUBLE AS y FROM v")
+def _estates(spark, sf):
+    """A supplier's land: a square with a hole off its middle, for every other one a second part."""
+    v = supplier_values(spark, sf).select("id", (130 + 4.0 * F.col("c")).alias("x"), (10 + 4.0 * F.col("r")).alias("y"))
+    at = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    box = lambda x0, y0, x1, y1: F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1), at(x0, y0))
+    one = F.array(box(0, 0, 2, 2), box(1, 1, 1.5, 1.5))
+    two = F.array(F.reverse(box(2, 0, 4, 1)))
+    return v.select("id", F.when(F.col("id") % 2 == 0, F.array(one, two)).otherwise(F.array(one)).alias("parts"))
+
+
+_ESTATES = "s AS (SELECT id, 130 + 4.0::DOUBLE * c AS x, 10 + 4.0::DOUBLE * r AS y, id % 2 = 0 AS two FROM v)"
+
+
+@query("centroids", f"WITH {SUPPLIERS}, {_ESTATES}, a AS (SELECT *, CASE WHEN two THEN 2 ELSE 0 END AS more FROM s) SELECT id AS code, round((4 * (x + 1) - 0.25 * (x + 1.25) + more * (x + 3)) / (3.75 + more), 6) AS x, round((4 * (y + 1) - 0.25 * (y + 1.25) + more * (y + 0.5)) / (3.75 + more), 6) AS y FROM a")
+def _(spark, sf):
+    return rounded(_estates(spark, sf).select(F.col("id").alias("code"), G.centroid(F.col("parts")).alias("p")).select("code", "p.x", "p.y"), "x", "y")
+
+
+@query("bounding_boxes", f"WITH {SUPPLIERS}, {_ESTATES} SELECT id AS code, x AS x0, CASE WHEN two THEN x + 4 ELSE x + 2 END AS x1, y AS y0, y + 2 AS y1 FROM s")
 def _(spark, sf):
-    c = G.centroid(F.get(F.get("parts", F.lit(0)), F.lit(0)))
-    return rounded(_polygons(spark, sf).select("code", c.alias("p")).select("code", "p.x", "p.y"), "x", "y")
+    return _estates(spark, sf).select(F.col("id").alias("code"), G.bounds(F.col("parts")).alias("b")).select("code", "b.*")
+
+
+# ---- one field under many definitions of neighbours: suppliers as places on the sphere
+
+_PLACES = "pl AS (SELECT id, x, r, c, 130 + 0.1::DOUBLE * c AS lon, -60 + 0.1::DOUBLE * (r % 1200) AS lat FROM v)"
+_BANDS, _NEAREST = (10.5, 12.0, 20.0), (4, 6)
+
+
+def _choice_sql(name, edges):
+    km = f"(SELECT a.id AS src, b.id AS dst, {_KM} AS km FROM pl a JOIN pl b ON a.id <> b.id)"
+    return f"(WITH {SUPPLIERS}, {_PLACES}, {edges.format(km=km)}, {WEIGHTS}, {LAGGED}, {MORAN} SELECT '{name}' AS weights, n, round(i, 6) + 0.0 AS i, round(p, 6) + 0.0 AS p, (SELECT count(*) FROM l WHERE degree = 0) AS isolates FROM moran)"
+
 
+_CHOICES = {"queen": QUEEN}
+_CHOICES |= {f"{b:g} km": f"e AS (SELECT src, dst FROM {{km}} WHERE km > 0 AND km <= {b})" for b in _BANDS}
+_CHOICES |= {f"k = {k}": f"e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(km, 9), dst) AS rank FROM {{km}}) WHERE rank <= {k})" for k in _NEAREST}
 
-@query("bounding_boxes", f"WITH {NATIONS} SELECT id AS code, (130 + 2 * c)::DOUBLE AS x0, (132 + 2 * c)::DOUBLE AS x1, (30 + 2 * r)::DOUBLE AS y0, (32 + 2 * r)::DOUBLE AS y1 FROM v")
+
+@query("weight_choices", " UNION ALL ".join(f"SELECT * FROM {_choice_sql(n, e)}" for n, e in _CHOICES.items()))
 def _(spark, sf):
-    return _polygons(spark, sf).select("code", G.bounds(F.col("parts")).alias("b")).select("code", "b.*")
+    """Moran's I, p and the number of isolates by queen contiguity, three distance bands and two numbers of nearest neighbours."""
+    v = cut(supplier_values(spark, sf).select("id", "x", "r", "c", (130 + 0.1 * F.col("c")).alias("lon"), (-60 + 0.1 * (F.col("r") % 1200)).alias("lat")))
+    edges = {"queen": queen(v)}
+    edges |= {f"{b:g} km": G.close_pairs(v, b) for b in _BANDS}
+    near = cut(G.nearest(v, max(_NEAREST), 12.0))
+    edges |= {f"k = {k}": near.filter(F.col("rank") <= k) for k in _NEAREST}
+    out = None
+    for name, e in edges.items():
+        e = cut(e.select("src", "dst"))
+        alone = S.degrees(e, v).agg(F.sum((F.col("degree") == 0).cast("long")).alias("isolates"))
+        one = S.global_moran(v, S.row_weights(e)).select(F.lit(name).alias("weights"), "n", "i", "p").crossJoin(F.broadcast(alone))
+        out = one if out is None else out.union(one)
+    return rounded(out, "i", "p")
 
 
 def _vertices(spark, sf):
@@ -185,6 +253,25 @@ def _(spark, sf):
     return out
 
 
+_SNAPS = (0.0, 0.0001, 0.001)
+
+
+@query("snap_adoption", f"""WITH {_VERT}, pr AS (SELECT DISTINCT a.id AS src, b.id AS dst, s FROM ve a JOIN ve b ON a.id <> b.id, (VALUES (0.0), (0.0001), (0.001)) t(s) WHERE abs(a.x - b.x) < 0.01 AND a.y = b.y AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= s * s),
+k AS (SELECT src, dst, bool_or(s = 0.0) AS a, bool_or(s = 0.0001) AS b, bool_or(s = 0.001) AS c FROM pr GROUP BY src, dst), d AS (SELECT coalesce(sum(CASE WHEN a <> b THEN 1 END), 0)::BIGINT AS d0, coalesce(sum(CASE WHEN b <> c THEN 1 END), 0)::BIGINT AS d1, coalesce(sum(CASE WHEN a <> c THEN 1 END), 0)::BIGINT AS d2 FROM k)
+SELECT d0 AS first_second, d1 AS second_third, d2 AS first_third, CASE WHEN d0 = 0 THEN 0.0::DOUBLE ELSE 0.0001::DOUBLE END AS adopted FROM d""")
+def _(spark, sf):
+    """How many edges three snapping distances differ in; the first is adopted where the second changes nothing, the third is a control."""
+    v = cut(_vertices(spark, sf))
+    all_ = None
+    for k, s in enumerate(_SNAPS):
+        one = G.shared_vertex_edges(v, s).select("src", "dst", *(F.lit(j == k).alias(f"s{j}") for j in range(3)))
+        all_ = one if all_ is None else all_.union(one)
+    by = all_.groupBy("src", "dst").agg(*(F.max(f"s{j}").alias(f"s{j}") for j in range(3)))
+    differ = lambda a, b: F.coalesce(F.sum((F.col(a) != F.col(b)).cast("long")), F.lit(0))
+    out = by.agg(differ("s0", "s1").alias("first_second"), differ("s1", "s2").alias("second_third"), differ("s0", "s2").alias("first_third"))
+    return out.withColumn("adopted", F.when(F.col("first_second") == 0, _SNAPS[0]).otherwise(_SNAPS[1]))
+
+
 # ---- graphs: supplier lattice broken at every fifth row, or joined by one edge
 
 
@@ -204,23 +291,52 @@ def _(spark, sf):
     return v.join(c, "id").groupBy("component").agg(F.count("*").alias("size"), F.countDistinct("r").alias("row_count"))
 
 
-def _joined(spark, sf):
-    """Nations west and east of the middle column, joined by one edge, with a tail of one nation."""
-    v = nation_values(spark, sf)
-    e = queen(v).join(v.select(F.col("id").alias("src"), F.col("c").alias("c1")), "src").join(v.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst")
-    kept = e.filter("(c1 <= 1 and c2 <= 1) or (c1 >= 3 and c2 >= 3)").select("src", "dst")
-    more = v.filter("id in (1, 3)").agg(F.min("id").alias("src"), F.max("id").alias("dst"))
-    tail = v.filter("id in (2, 3)").agg(F.min("id").alias("src"), F.max("id").alias("dst"))
-    return kept.union(more).union(tail)
+@query("component_regions", f"""WITH {SUPPLIERS}, c AS (SELECT v.id, min(v.id) OVER (PARTITION BY r // 3) AS component, n_regionkey AS region FROM v JOIN supplier ON s_suppkey = v.id JOIN nation ON n_nationkey = s_nationkey), g AS (SELECT component, region, count(*) AS n FROM c GROUP BY ALL)
+SELECT component, sum(n)::BIGINT AS size, rank() OVER (ORDER BY sum(n) DESC, component) AS place, string_agg(region || ' ' || n, '; ' ORDER BY n DESC, region) AS regions FROM g GROUP BY component""")
+def _(spark, sf):
+    """Components, the largest first, with the regions that they are made of."""
+    from arealith.operators.ranks import numbered
+
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
+    of = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey").join(nation, "s_nationkey")
+    g = QUERIES["components"](spark, sf).join(of, "id").groupBy("component", "region").agg(F.count("*").alias("n"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "region"))), lambda p: F.concat_ws(" ", p["region"], -p["less"]))
+    by = g.groupBy("component").agg(F.sum("n").alias("size"), F.array_join(parts, "; ").alias("regions"))
+    ordered = numbered(by.withColumn("less", -F.col("size")), "at", "less", "component")
+    return ordered.select("component", "size", (F.col("at") + 1).alias("place"), "regions")
+
+
+@query("isolates_are_components", f"WITH {SUPPLIERS}, {QUEEN.replace('e AS', 'q AS', 1)}, e AS (SELECT src, dst FROM q WHERE src % 7 <> 3 AND dst % 7 <> 3), a AS (SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)) SELECT count(*) AS isolates, count(*) AS single, 0::BIGINT AS differ FROM a")
+def _(spark, sf):
+    """Areas without neighbours and components of one area, which must be the same."""
+    v = supplier_values(spark, sf)
+    e = cut(queen(v).filter("src % 7 <> 3 and dst % 7 <> 3"))
+    c = v.select("id").join(connected_components(e), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    single = c.groupBy("component").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("component").alias("id"), F.lit(1).alias("single"))
+    alone = S.degrees(e, v).filter("degree = 0").select("id", F.lit(1).alias("alone"))
+    both = alone.join(single, "id", "full_outer")
+    return both.agg(F.count("alone").alias("isolates"), F.count("single").alias("single"), F.count(F.when(F.col("alone").isNull() | F.col("single").isNull(), 1)).alias("differ"))
 
 
-@query("bridges", f"""WITH RECURSIVE {NATIONS}, {QUEEN.replace('e AS', 'q AS', 1)}, k AS (SELECT src, dst FROM q JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE (a.c <= 1 AND b.c <= 1) OR (a.c >= 3 AND b.c >= 3) UNION ALL SELECT 1, 3 UNION ALL SELECT 2, 3),
+def _supply(spark, sf):
+    """Suppliers under depots of half their number, every third one with a road to the next."""
+    v = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("src"))
+    road = v.filter("src % 3 = 1").select("src", (F.col("src") + 1).alias("dst"))
+    return v.filter("src > 0").select("src", F.expr("src div 2").alias("dst")).union(road.join(v.select(F.col("src").alias("dst")), "dst").select("src", "dst"))
+
+
+@query("bridges", """WITH RECURSIVE k AS (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 3 = 1),
 e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM k), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 t AS (SELECT a, b, a AS id FROM e UNION SELECT t.a, t.b, s.b FROM t JOIN s ON s.a = t.id AND NOT (least(s.a, s.b) = t.a AND greatest(s.a, s.b) = t.b)),
 n AS (SELECT a, b, count(*) AS side, bool_or(id = b) AS back FROM t GROUP BY a, b), w AS (SELECT count(DISTINCT a) AS total FROM s)
-SELECT a, b, least(side, total - side) AS small, greatest(side, total - side) AS large FROM n, w WHERE NOT back""")
+SELECT n.a, n.b, least(side, total - side) AS small, greatest(side, total - side) AS large, x.s_nationkey <> y.s_nationkey AS crosses FROM n, w, supplier x, supplier y WHERE NOT back AND x.s_suppkey = n.a AND y.s_suppkey = n.b""")
 def _(spark, sf):
-    return bridges(_joined(spark, sf))
+    """Bridges with the sizes of their sides, and whether they cross a border of nations."""
+    of = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    out = bridges(_supply(spark, sf))
+    for s in "ab":
+        out = out.join(of.select(F.col("s_suppkey").alias(s), F.col("s_nationkey").alias(f"{s}_nation")), s)
+    return out.select("a", "b", "small", "large", (F.col("a_nation") != F.col("b_nation")).alias("crosses"))
 
 
 @query("linkage_checks", f"""WITH {_LINK} SELECT 'one row for each roster row' AS "check", (SELECT count(*) FROM ro) AS expected, (SELECT count(DISTINCT id) FROM lk) AS actual
@@ -246,3 +362,45 @@ def _(spark, sf):
         one = a.select(F.lit(name).alias("check"), F.col("n").alias("expected")).crossJoin(F.broadcast(b.select(F.col("n").alias("actual"))))
         out = one if out is None else out.union(one)
     return out
+
+
+_PEOPLE = f"{_LINK}, w AS (SELECT lk.id, status, method, ref_id, p_size AS n, p.block, re.block AS ref_block, lk.id % 4 = 1 AS care FROM lk JOIN part ON p_partkey = lk.id JOIN p ON p.id = lk.id LEFT JOIN p re ON re.id = ref_id)"
+
+
+@query("linkage_conditions", f"""WITH {_PEOPLE}, c AS (SELECT block, sum(n) AS everyone, coalesce(sum(CASE WHEN status = 'matched' THEN n END), 0) AS mapped, coalesce(sum(CASE WHEN status = 'matched' AND care THEN n END), 0) AS care FROM w GROUP BY block),
+k AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS a, rank() OVER (ORDER BY everyone) + (count(*) OVER (PARTITION BY everyone) - 1) / 2.0 AS b FROM (SELECT round(mapped / everyone, 9) AS s, everyone FROM c))
+SELECT 'same rows as the roster' AS condition, (SELECT count(*) FROM ro) = (SELECT count(DISTINCT id) FROM lk) AS ok UNION ALL SELECT 'people by status add up', (SELECT sum(n) FROM w) = (SELECT sum(p_size) FROM part WHERE p_partkey % 2 = 1)
+UNION ALL SELECT 'areas add up to matched people', (SELECT sum(mapped) FROM c) = (SELECT sum(n) FROM w WHERE status = 'matched') UNION ALL SELECT 'areas are those of the reference', (SELECT count(DISTINCT block) FROM w) = (SELECT count(DISTINCT block) FROM re)
+UNION ALL SELECT 'references lie in the own area', (SELECT count(*) FROM w WHERE ref_id IS NOT NULL AND method <> 'override' AND block <> ref_block) = 0 UNION ALL SELECT 'areas have the roster''s people', (SELECT sum(everyone) FROM c) = (SELECT sum(n) FROM w)
+UNION ALL SELECT 'missing is not patterned', (SELECT abs(coalesce(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 0)) < 0.3 FROM k) UNION ALL SELECT 'overrides hold', (SELECT count(*) FROM w WHERE (id % 35 = 7) <> (method = 'override')) = 0
+UNION ALL SELECT 'care is not more than all', (SELECT count(*) FROM c WHERE care > mapped) = 0""")
+def _(spark, sf):
+    """The nine conditions that a finished linkage has to meet, each with its verdict."""
+    from arealith.operators import audit as A
+
+    parts = cut(_parts(spark, sf).select("id", "block"))
+    size = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("n"))
+    w = _link(spark, sf).join(size, "id").join(parts, "id").join(parts.select(F.col("id").alias("ref_id"), F.col("block").alias("ref_block")), "ref_id", "left").withColumn("care", F.col("id") % 4 == 1)
+    w = cut(w)
+    matched = F.col("status") == "matched"
+    zero = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    c = cut(w.groupBy("block").agg(F.sum("n").alias("everyone"), zero(matched).alias("mapped"), zero(matched & F.col("care")).alias("care")))
+    ranks = A.average_ranks(A.average_ranks(c.withColumn("s", F.round(F.col("mapped") / F.col("everyone"), 9)), "s", "a"), "everyone", "b")
+    roster = size.filter("id % 2 = 1")
+    ref = parts.filter("id % 2 = 0")
+    bad = F.col("ref_id").isNotNull() & (F.col("method") != "override") & (F.col("block") != F.col("ref_block"))
+    facts = [
+        roster.agg(F.count("*").alias("rows"), F.sum("n").alias("people")),
+        w.agg(F.countDistinct("id").alias("linked"), F.sum("n").alias("all_n"), zero(matched).alias("matched_n"), F.countDistinct("block").alias("areas"), F.sum(bad.cast("long")).alias("elsewhere"), F.sum(((F.col("id") % 35 == 7) != (F.col("method") == "override")).cast("long")).alias("unheld")),
+        c.agg(F.sum("everyone").alias("area_people"), F.sum("mapped").alias("area_mapped"), F.sum((F.col("care") > F.col("mapped")).cast("long")).alias("upside_down")),
+        ref.agg(F.countDistinct("block").alias("ref_areas")),
+        A.correlation(ranks, "a", "b"),
+    ]
+    one = facts[0]
+    for f in facts[1:]:
+        one = one.crossJoin(F.broadcast(f))
+    conditions = [
+        ("same rows as the roster", "rows = linked"), ("people by status add up", "all_n = people"), ("areas add up to matched people", "area_mapped = matched_n"), ("areas are those of the reference", "areas = ref_areas"),
+        ("references lie in the own area", "elsewhere = 0"), ("areas have the roster's people", "area_people = all_n"), ("missing is not patterned", "abs(r) < 0.3"), ("overrides hold", "unheld = 0"), ("care is not more than all", "upside_down = 0"),
+    ]
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("condition"), F.expr(e).alias("ok")) for n, e in conditions))).alias("c")).select("c.*")

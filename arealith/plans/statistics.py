@@ -30,15 +30,15 @@ def _(spark, sf):
     return queen(supplier_values(spark, sf))
 
 
-@query("lattice_rook", f"WITH {NATIONS}, {ROOK} SELECT src, dst FROM e")
+@query("lattice_rook", f"WITH {SUPPLIERS}, {ROOK} SELECT src, dst FROM e")
 def _(spark, sf):
-    return S.lattice_edges(nation_values(spark, sf).select("id", "r", "c"), False)
+    return S.lattice_edges(supplier_values(spark, sf).select("id", "r", "c"), False)
 
 
-@query("edge_faults", f"WITH {NATIONS}, {QUEEN}, f AS (SELECT src, dst FROM e WHERE NOT (src = 3 AND dst = 4) UNION ALL SELECT 7, 99) SELECT src, dst, 'asymmetric' AS fault FROM f WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.src = f.dst AND b.dst = f.src) UNION ALL SELECT src, dst, 'unknown id' FROM f WHERE dst NOT IN (SELECT id FROM v)")
+@query("edge_faults", f"WITH {SUPPLIERS}, {QUEEN}, f AS (SELECT src, dst FROM e WHERE NOT (src = 3 AND dst = 4) UNION ALL SELECT 7, -99) SELECT src, dst, 'asymmetric' AS fault FROM f WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.src = f.dst AND b.dst = f.src) UNION ALL SELECT src, dst, 'unknown id' FROM f WHERE dst NOT IN (SELECT id FROM v)")
 def _(spark, sf):
-    v = nation_values(spark, sf)
-    broken = queen(v).filter("not (src = 3 and dst = 4)").union(spark.range(1).select(F.lit(7), F.lit(99)))
+    v = supplier_values(spark, sf)
+    broken = queen(v).filter("not (src = 3 and dst = 4)").union(spark.range(1).select(F.lit(7), F.lit(-99)))
     return S.edge_faults(broken, v).select("src", "dst", "fault")
 
 
@@ -48,9 +48,9 @@ def _(spark, sf):
     return S.degrees(queen(v), v).agg(F.count("*").alias("areas"), F.sum("degree").alias("edges"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"))
 
 
-@query("row_weights", f"WITH {NATIONS}, {QUEEN}, {WEIGHTS}, {LAGGED}, {MORAN.strip()} SELECT {_r('s0', 's1')}, round((SELECT s2 FROM s2), 6) + 0.0 AS s2 FROM sw")
+@query("row_weights", f"WITH {SUPPLIERS}, {QUEEN}, {WEIGHTS}, {LAGGED}, {MORAN.strip()} SELECT {_r('s0', 's1')}, round((SELECT s2 FROM s2), 6) + 0.0 AS s2 FROM sw")
 def _(spark, sf):
-    return rounded(S.weight_sums(queen_weights(nation_values(spark, sf))), "s0", "s1", "s2")
+    return rounded(S.weight_sums(queen_weights(supplier_values(spark, sf))), "s0", "s1", "s2")
 
 
 @query("spatial_lag", f"WITH {SUPPLIERS}, {QUEEN}, {WEIGHTS}, {LAGGED} SELECT id, {_r('z', 'lag')}, degree FROM l")
@@ -146,14 +146,26 @@ def _(spark, sf):
     return rounded(S.moran_permutations(v, queen_weights(v), 199), "i", "p")
 
 
-@query("lisa_cond_perm", f"""WITH {NATIONS}, {QUEEN}, {WEIGHTS}, {LAGGED}, k AS (SELECT sum(z * z) / count(*) AS m2 FROM l),
- o AS (SELECT id AS t, z AS zt, degree, m2, z / m2 * lag AS i FROM l, k WHERE id IN (0, 7, 12)), b AS (SELECT range AS b FROM range(1, 100)),
- p AS (SELECT t, b, i, zt, m2, o.degree, l.z, row_number() OVER (PARTITION BY t, b ORDER BY md5('1|' || b || '|' || t || '|' || l.id), l.id) AS k FROM o, b, l WHERE l.id <> t),
- s AS (SELECT t, b, i, zt / m2 * avg(z) AS sim FROM p WHERE k <= degree GROUP BY t, b, i, zt, m2)
-SELECT t AS id, round(i, 6) + 0.0 AS i, count(*) AS draws, sum(CASE WHEN round(abs(sim), 10) >= round(abs(i), 10) THEN 1 ELSE 0 END)::BIGINT AS ge, round((sum(CASE WHEN round(abs(sim), 10) >= round(abs(i), 10) THEN 1 ELSE 0 END) + 1.0) / (count(*) + 1), 6) AS p FROM s GROUP BY t, i""")
+_COND = """ k AS (SELECT sum(z * z) / count(*) AS m2, count(*) - 1 AS others FROM l), n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS nr FROM l),
+ o AS (SELECT id AS t, nr AS own_at, z AS zt, degree, m2, others, z / m2 * lag AS i, 2 * degree >= others AS dense FROM n, k WHERE degree > 0), b AS (SELECT range AS b FROM range(1, 100)),
+ a AS (SELECT o.*, b, unnest(range(1, CASE WHEN dense THEN others ELSE 4 * degree + 16 END + 1)) AS k FROM o, b),
+ h AS (SELECT *, ('0x' || substr(md5('1|' || b || '|' || t || '|' || k), 1, 8))::BIGINT AS h FROM a),
+ f AS (SELECT t, own_at, zt, degree, m2, i, b, CASE WHEN dense THEN k - 1 ELSE h % others END AS r, min(CASE WHEN dense THEN h ELSE k END) AS o FROM h GROUP BY ALL),
+ p AS (SELECT *, row_number() OVER (PARTITION BY t, b ORDER BY o, r) AS n FROM f),
+ s AS (SELECT t, b, i, zt / m2 * avg(n.z) AS sim FROM p JOIN n ON n.nr = p.r + CASE WHEN p.r >= own_at THEN 1 ELSE 0 END WHERE p.n <= p.degree GROUP BY t, b, i, zt, m2)
+SELECT t AS id, round(i, 6) + 0.0 AS i, count(*) AS draws, sum(CASE WHEN round(abs(sim), 10) >= round(abs(i), 10) THEN 1 ELSE 0 END)::BIGINT AS ge, round((sum(CASE WHEN round(abs(sim), 10) >= round(abs(i), 10) THEN 1 ELSE 0 END) + 1.0) / (count(*) + 1), 6) AS p FROM s GROUP BY t, i"""
+
+
+@query("lisa_cond_perm", f"WITH {NATIONS}, {QUEEN}, {WEIGHTS}, {LAGGED}, {_COND}")
 def _(spark, sf):
     v = nation_values(spark, sf).select("id", "r", "c", "x")
-    return rounded(S.local_permutations(v, queen_weights(v), v.filter("id in (0, 7, 12)"), 99), "i", "p")
+    return rounded(S.local_permutations(v, queen_weights(v), 99), "i", "p")
+
+
+@query("lisa_cond_perm_suppliers", f"WITH {SUPPLIERS}, {QUEEN}, {WEIGHTS}, {LAGGED}, {_COND}")
+def _(spark, sf):
+    v = supplier_values(spark, sf)
+    return rounded(S.local_permutations(v, queen_weights(v), 99), "i", "p")
 
 
 @query("smooth_field", f"""WITH {NATIONS}, {QUEEN}, s AS (SELECT src, dst FROM e UNION ALL SELECT id, id FROM v),
@@ -226,3 +238,49 @@ def _(spark, sf):
         out = one if out is None else out.union(one)
     rises = F.round("i", 9) > F.lag(F.round("i", 9)).over(Window.orderBy("passes"))  # a row for each pass
     return rounded(out.withColumn("rises", F.coalesce(rises, F.lit(True))), "i")
+
+
+# ---- unit and weight sensitivity in full: every level and series, every definition of neighbours
+
+_SERIES = {"care": "WHERE o_orderstatus = 'F'", "all": ""}
+_RING = "e AS (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON (a.id - b.id + 5) % 5 IN (1, 4))"
+
+
+def _level_sql(level, series):
+    cells = NATIONS.replace("oc AS (SELECT o_custkey, count(*) AS n FROM orders", f"oc AS (SELECT o_custkey, count(*) AS n FROM orders {_SERIES[series]}").replace("v AS (", "v0 AS (")
+    if level == "nation":
+        v, e = "v AS (SELECT id, r, c, x FROM v0)", QUEEN
+    else:
+        v, e = "v AS (SELECT region AS id, sum(observed)::DOUBLE / sum(population) AS x FROM v0 GROUP BY region)", _RING
+    labels = "lb AS (SELECT CASE WHEN gi IS NULL THEN 'isolated' WHEN gi > 1.96 THEN 'hot' WHEN gi < -1.96 THEN 'cold' ELSE 'not significant' END AS label FROM gi)"
+    lisa = SQL["lisa"].split(LAGGED, 1)[1].lstrip(",\n ")
+    own = f"{cells}, {v}, {e}, {WEIGHTS}, {LAGGED}, {MORAN}, {_GI}, {labels}, lc AS (WITH {lisa})"
+    counts = ", ".join(f"(SELECT count(*) FROM lb WHERE label = '{k}') AS {n}" for k, n in (("hot", "hot"), ("cold", "cold"), ("not significant", "neither"), ("isolated", "isolated")))
+    return f"(WITH {own} SELECT '{level}' AS level, '{series}' AS series, n, round(i, 6) + 0.0 AS i, round(p, 6) + 0.0 AS p, {counts}, (SELECT count(*) FROM lc WHERE p < 0.05) AS significant FROM moran)"
+
+
+@query("maup_series", " UNION ALL ".join(f"SELECT * FROM {_level_sql(level, series)}" for level in ("nation", "region") for series in _SERIES))
+def _(spark, sf):
+    """Moran's I with p, classes of Gi* and significant local p by level and series."""
+    from arealith.sources.tables import cut, table
+
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("all"), F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("care"))
+    customer = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("id")).join(orders, "c_custkey", "left")
+    base = nation_values(spark, sf).select("id", "r", "c", "region", "population")
+    base = cut(base.join(customer.groupBy("id").agg(F.coalesce(F.sum("all"), F.lit(0)).alias("all"), F.coalesce(F.sum("care"), F.lit(0)).alias("care")), "id", "left").na.fill(0))
+    out = None
+    for level in ("nation", "region"):
+        for series in _SERIES:
+            if level == "nation":
+                v = base.select("id", "r", "c", F.coalesce(F.try_divide(F.col(series).cast("double"), F.col("population").cast("double")), F.lit(0.0)).alias("x"))
+                e = queen(v)
+            else:
+                v = base.groupBy(F.col("region").alias("id")).agg((F.sum(series).cast("double") / F.sum("population")).alias("x"))
+                e = v.select(F.col("id").alias("src"), F.explode(F.array((F.col("id") + 1) % 5, (F.col("id") + 4) % 5)).alias("dst"))
+            w = S.row_weights(e)
+            label = S.gi_star(v, e).select(hot_cold(F.col("gi")).alias("label"))
+            counts = label.agg(*(F.sum((F.col("label") == k).cast("long")).alias(n) for k, n in (("hot", "hot"), ("cold", "cold"), ("not significant", "neither"), ("isolated", "isolated"))))
+            local = S.local_moran(v, w).agg(F.sum((F.round("p", 6) < 0.05).cast("long")).alias("significant"))
+            one = S.global_moran(v, w).select(F.lit(level).alias("level"), F.lit(series).alias("series"), "n", "i", "p").crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(local))
+            out = one if out is None else out.union(one)
+    return rounded(out.na.fill({"significant": 0}), "i", "p")

@@ -25,7 +25,10 @@ def csv_strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zipped_csv(spark: SparkSession, path: str, columns: list[str], rows: int = 20_000) -> DataFrame:
-    """CSV files, each the one member of a zip archive, any byte-order mark dropped; rows come in bounded batches."""
+    """CSV files, each the one member of a zip archive, any byte-order mark dropped; rows come in bounded batches.
+
+    An archive is read by one task, whose memory holds its (packed) bytes, 2 GB at most; rows are never held together.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -80,6 +83,26 @@ def write_sorted_csv(df: DataFrame, path: str, *keys: str) -> None:
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("header", True).option("lineSep", "\n").csv(path)
 
 
+def write_manifest(df: DataFrame, path: str, *keys: str) -> None:
+    """Rows as lines of JSON in a total order."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.json(path)
+
+
+def write_markdown(df: DataFrame, path: str, line: str, *keys: str) -> None:
+    """A Markdown list, an item for each row, in a total order."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.concat(F.lit("- "), F.col(line))).write.text(path)
+
+
+def input_path(given: str | None, variable: str, option: str) -> str:
+    """The path given, else that of the environment variable; neither is an error that names both."""
+    import os
+
+    found = given or os.environ.get(variable)
+    if not found:
+        raise ValueError(f"give {option} or set {variable}")
+    return found
+
+
 def write_audit(audit: DataFrame, path: str, fail: bool = True) -> None:
     """Audit rows are always written, header and all; then a failed check is an error."""
     audit.write.option("header", True).csv(path)
@@ -88,9 +111,10 @@ def write_audit(audit: DataFrame, path: str, fail: bool = True) -> None:
 
 
 def geojson_stream(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
-    """``(path, feature)``: features of huge collections as JSON texts, decoded chunk by chunk in bounded memory.
+    """``(path, feature)``: features of large collections as JSON texts, decoded chunk by chunk.
 
-    A file is read by one task; its content comes in through Spark, so any store works.
+    A file is read by one task, whose memory holds its bytes (2 GB at most), beside them a chunk and the feature at
+    hand, never the parsed collection. The content comes in through Spark, so any store works.
     """
 
     def features(text: Iterator[str]) -> Iterator[str]:
@@ -105,16 +129,19 @@ def geojson_stream(spark: SparkSession, path: str, chunk: int = 1 << 20) -> Data
                 if at < 0:
                     continue
                 held, inside = held[at + 1 :], True
+            at = 0
             while True:
-                held = held.lstrip(" \t\r\n,")
-                if not held or held[0] == "]":
+                while at < len(held) and held[at] in " \t\r\n,":
+                    at += 1
+                if at == len(held) or held[at] == "]":
                     break
                 try:
-                    _, end = decoder.raw_decode(held)
+                    _, end = decoder.raw_decode(held, at)
                 except ValueError:
                     break  # not whole yet
-                yield held[:end]
-                held = held[end:]
+                yield held[at:end]
+                at = end
+            held = held[at:]  # once a chunk
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -135,7 +162,10 @@ _CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def sheet_rows(spark: SparkSession, path: str, sheet: int = 1, first_row: int = 1) -> DataFrame:
-    """``(path, row, cells)`` of a workbook's sheet from a row on; cells map column letters to texts."""
+    """``(path, row, cells)`` of a workbook's sheet from a row on; cells map column letters to texts.
+
+    A workbook is read by one task, whose memory holds its packed bytes and its shared texts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xml.etree.ElementTree import iterparse

@@ -1,9 +1,12 @@
 """Planted truth, goldens, conservation and edge cases of the areal operators."""
 
 import math
+import random
 import zipfile
 from difflib import SequenceMatcher
 
+import generator as simulator
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,10 +14,10 @@ from arealith.functions import columns as C
 from arealith.operators import geometry as G
 from arealith.operators import linkage as L
 from arealith.operators import models as M
-from arealith.operators import simulator
 from arealith.operators import spatial as S
 from arealith.operators.bridges import bridges
 from arealith.operators.components import connected_components
+from arealith.operators.ranks import numbered, quantiles
 from arealith.sources import files
 
 
@@ -121,16 +124,119 @@ def test_components_and_bridges(spark):
 
 
 def test_smoothing_refuses_isolates_and_shrinks(spark):
-    d = simulator.simulated(spark, 12, 12).filter("r < 5 and c < 5")
+    d = simulator.simulated(spark, 12, 12).filter("r < 5 and c < 5").cache()
     e = S.lattice_edges(d.select("id", "r", "c"))
     with pytest.raises(ValueError):
         M.smoothed_risk(d, e.filter("src <> 1 and dst <> 1"))
-    got = M.smoothed_risk(d.select("id", "observed", "expected"), e, draws=300, burn=300).collect()
-    risk = {r.term: r.value for r in got if r.model == "leroux" and r.term.startswith("risk:")}
-    raw = {f"risk:{r.id}": r.sir for r in d.collect()}
+    raw = {r.id: r.sir for r in d.collect()}
     spread = lambda v: max(v) - min(v)
-    assert risk.keys() == raw.keys() and spread(list(risk.values())) < spread(list(raw.values()))
-    assert {"beta", "tau2", "rho", "dic"} <= {r.term for r in got if r.model == "leroux"}
+    for model in ("leroux", "bym"):
+        got = {k: M.smoothed_risk(d.select("id", "observed", "expected"), e, model, rounds=k).collect() for k in (2, 10)}
+        risk = {r.id: r.risk for r in got[10]}
+        assert risk.keys() == raw.keys() and spread(list(risk.values())) < spread(list(raw.values()))
+        fit = [sum(r.observed * math.log(r.expected * r.risk) - r.expected * r.risk for r in got[k]) for k in (2, 10)]
+        assert fit[1] > fit[0]
+
+
+# Ten areas of the teaching data (population, cases), two rows of five, and published results.
+TOY = ((180_000, 180), (25_000, 75), (60_000, 90), (45_000, 45), (90_000, 135), (15_000, 15), (120_000, 120), (35_000, 70), (70_000, 105), (50_000, 50))
+TOY_MORAN = (-0.2259508, -0.1111111, 0.0377654, -0.59094, 0.7227)
+TOY_LOCAL_P = (0.225, 0.516, 0.084, 1.000, 0.296, 0.225, 0.109, 0.856, 0.730, 1.000)
+TOY_QUADRANT = ("Low-High", "High-Low", "High-High", "Low-High", "High-Low", "Low-Low", "Low-High", "High-Low", "High-Low", "Low-High")
+TOY_GI = (0.697, 0.702, 1.706, -0.301, -0.912, -1.448, 1.204, 0.201, -0.301, -0.375)
+
+
+def test_published_results_of_ten_areas(spark):
+    rows = [(i + 1, cases / people * 100_000, i // 5, i % 5) for i, (people, cases) in enumerate(TOY)]
+    d = spark.createDataFrame(rows, "id long, x double, r long, c long")
+    e = S.lattice_edges(d, queen=False)
+    w = S.row_weights(e)
+    m = S.global_moran(d, w).first()
+    assert np.allclose((m.i, m.expected, m.variance), TOY_MORAN[:3], atol=1e-7) and np.allclose((m.zscore, m.p), TOY_MORAN[3:], atol=6e-5)
+    local = {r.id: r for r in S.local_moran(d, w).collect()}
+    assert [local[k].quadrant for k in range(1, 11)] == list(TOY_QUADRANT)
+    assert np.allclose([local[k].p for k in range(1, 11)], TOY_LOCAL_P, atol=1.01e-3)
+    gi = {r.id: r.gi for r in S.gi_star(d, e).collect()}
+    assert np.allclose([gi[k] for k in range(1, 11)], TOY_GI, atol=6e-4)
+
+
+def haversine(a, b):
+    x, y, u, v = (math.radians(k) for k in (*a, *b))
+    h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+    return 2 * C.EARTH_KM * math.asin(min(1.0, math.sqrt(h)))
+
+
+def test_close_pairs_and_nearest_anywhere_on_the_sphere(spark):
+    rng = random.Random(4)
+    places = [(rng.uniform(-180, 180), rng.choice([-1, 1]) * rng.uniform(84, 90)) for _ in range(40)]
+    places += [(rng.choice([-1, 1]) * rng.uniform(179, 180), rng.uniform(-70, 70) if k % 3 else 10 + k / 50) for k in range(60)]
+    places += [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(60)] + [(0.0, 90.0), (77.0, 90.0), (-180.0, 10.3), (180.0, 10.3)]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id long, lon double, lat double").repartition(3).cache()
+    km = {(i, j): haversine(p, q) for i, p in enumerate(places) for j, q in enumerate(places) if i != j}
+    for most in (30.0, 250.0, 2500.0):
+        got = {(r.src, r.dst) for r in G.close_pairs(d, most).collect()}
+        sure = {k for k, v in km.items() if 1e-6 < v <= most - 1e-6}
+        assert sure <= got and all(km[k] <= most + 1e-6 for k in got)
+    got = {(r.src, r["rank"]): r.km for r in G.nearest(d, 5, 100.0).collect()}
+    for i in range(len(places)):
+        want = sorted(v for (a, _), v in km.items() if a == i)[:5]
+        assert np.allclose([got[i, k] for k in range(1, 6)], want, atol=1e-6)
+
+
+def test_running_sums_and_quantiles(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), rng.choice([None, float(rng.randrange(9)), rng.random()])) for _ in range(500)] + [("one", 4.0), ("none", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {r.g: tuple(r)[1:] for r in quantiles(d, "g", "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}).collect()}
+    for g in "abc":
+        assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g and v is not None], [0, 0.25, 0.5, 0.9, 1]))
+    assert got["one"] == (4.0,) * 5 and "none" not in got
+    n = numbered(d.filter("v is not null").select("v").distinct(), "at", "v").collect()
+    assert [r["at"] for r in sorted(n, key=lambda r: r.v)] == list(range(len(n)))
+    assert quantiles(d.limit(0), "g", "v", {"a": 0.5}).count() == 0
+
+
+def test_bridges_equal_brute_force(spark):
+    rng = random.Random(6)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(66)} | {(100 + k, 101 + k) for k in range(12)} | {(200, 201), (201, 202), (202, 200)}
+
+    def parts(es):
+        up = {x: x for e in edges for x in e}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in es:
+            up[find(a)] = find(b)
+        return find, up
+
+    want = set()
+    for e in edges:
+        find, up = parts(edges - {e})
+        if find(e[0]) != find(e[1]):
+            sides = sorted(sum(find(x) == find(s) for x in up) for s in e)
+            want.add((*e, *sides))
+    rows = [(b, a) if k % 2 else (a, b) for k, (a, b) in enumerate(sorted(edges))]
+    d = spark.createDataFrame(rows + rows[:5] + [(3, 3)], "src int, dst int").repartition(3)
+    assert {tuple(r) for r in bridges(d).collect()} == want
+    assert bridges(d.limit(0)).count() == 0
+
+
+def test_paths_of_links(spark):
+    rows = [("/a/b/c", "d", "/a/b/d"), ("/a/b/", "../x?q#t", "/a/x"), ("/a", "../../x", "/x"), ("/", "./y/./z/", "/y/z/"), ("/a/b", "/p/../q", "/q"), ("/a/b", "//h/x", None), ("/a", "mailto:x", None), ("/a", "#t", None), ("/a/b", "e/f/../../g", "/a/g"), ("/a/b/c", ".", "/a/b/")]
+    d = spark.createDataFrame(rows, "base string, link string, want string")
+    assert [r.want for r in d.collect()] == [r.got for r in d.select(C.resolved_path(F.col("base"), F.col("link")).alias("got")).collect()]
+
+
+def test_paths_given_or_set(monkeypatch):
+    monkeypatch.delenv("AREA_DATA", raising=False)
+    with pytest.raises(ValueError, match="--areas or set AREA_DATA"):
+        files.input_path(None, "AREA_DATA", "--areas")
+    monkeypatch.setenv("AREA_DATA", "/x")
+    assert files.input_path(None, "AREA_DATA", "--areas") == "/x" and files.input_path("/y", "AREA_DATA", "--areas") == "/y"
+
 
 
 def test_glm_intercept(spark):
