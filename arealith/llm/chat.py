@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arealith.llm.arrowtools import lists, slices
+from arealith.llm.arrowtools import bounded, lists, slices
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.DOTALL)
@@ -47,9 +47,9 @@ def unescaped(text: str) -> str:
 def rendered(turns: DataFrame) -> DataFrame:
     """``(conv_id, formatted)``: every conversation under the template."""
     role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
-    one = F.concat(F.lit(START), escaped(role), F.lit(SEP), escaped(text), F.lit(END))
-    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text"), one.alias("one")).alias("t"))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["one"]), "").alias("formatted"))
+    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
+    one = lambda t: F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP), escaped(t["text"]), F.lit(END))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), one), "").alias("formatted"))
 
 
 @lru_cache(maxsize=2)
@@ -96,7 +96,7 @@ def formatted_chats(turns: DataFrame, model: str) -> DataFrame:
                     names=["conv_id", "formatted", "ids", "starts", "ends", "loss"],
                 )
 
-    return rendered(turns).mapInArrow(run, "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>")
+    return bounded(rendered(turns)).mapInArrow(run, "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>")
 
 
 def loss_runs(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> list[str]:

@@ -1,7 +1,8 @@
 """Media columns: payloads stored as progressive JPEG images, and images decoded to RGB tensors and features.
 
-Defined results: null is an empty payload (576 bytes 255); equal payloads give equal images, tensors and
-features; empty tables give no rows; further columns are kept where they are named.
+Defined results: null is an empty payload (576 bytes 255); equal payloads (ties, repeated rows) give equal images,
+tensors and features; a null id is kept as null; empty tables give no rows; a very long text is an image of its own
+slice; further columns are kept where they are named, a new column of such a name gets an underscore.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealith.llm import jpeg
-from arealith.llm.arrowtools import slices
+from arealith.llm.arrowtools import bounded, slices, spare
 
 
 def stored_images(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -27,11 +28,12 @@ def stored_images(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = (
             for batch in slices(whole, "_data", 1_500_000):
                 data = [d or b"" for d in batch.column("_data").to_pylist()]
                 media = jpeg.encode([jpeg.pad(d) for d in data], [len(d) for d in data])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(media, pa.binary())], names=[*keep, "media"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(media, pa.binary())], names=[*kept, "media"])
 
-    cols = rows.select(*keep, F.col(text).cast("binary").alias("_data"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_data")
-    return cols.mapInArrow(run, f"{schema}, media binary")
+    cols = rows.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text).cast("binary").alias("_data"))
+    kept = cols.columns[:-1]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cols.schema[:-1])
+    return bounded(cols).mapInArrow(run, schema + "media binary").toDF(*keep, spare("media", keep))
 
 
 def features_of(tensor: np.ndarray) -> str:
@@ -41,7 +43,7 @@ def features_of(tensor: np.ndarray) -> str:
     return f"{w}x{h};{mean[0]},{mean[1]},{mean[2]};{zlib.crc32(tensor.tobytes()):08x}"
 
 
-def decoded_images(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), tensors: bool = True) -> DataFrame:
+def decoded_images(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), tensors: bool = True, media: str = "media") -> DataFrame:
     """``keep`` columns, width, height, ``rgb`` (row by row; null if not wanted), feature, and the payload's facts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,9 +57,10 @@ def decoded_images(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), tensors
                     data, n = jpeg.payload(im, coef)
                     out.append((im.width, im.height, tensor.tobytes() if tensors else None, features_of(tensor), n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(f), hashlib.sha256(f).hexdigest()))
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                names = ["width", "height", "rgb", "feature", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[*kept, *names])
 
-    cols = rows.select(*keep, "media")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "media")
-    return cols.mapInArrow(run, f"{schema}, width int, height int, rgb binary, feature string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
+    names = ["width", "height", "rgb", "feature", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    cols = rows.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(media).alias("media"))
+    kept = cols.columns[:-1]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cols.schema[:-1])
+    return bounded(cols).mapInArrow(run, f"{schema}width int, height int, rgb binary, feature string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string").toDF(*keep, *(spare(n, keep) for n in names))
