@@ -20,8 +20,10 @@ mean, are left out before texts are fetched.
 
 Defined results: a text of one to four words has one shingle, all of it; null texts and texts without
 a word are never linked; a null doc_id is a class of its own; rows that repeat a doc_id are one
-document (of different texts under one id, the least stands for it in verification); empty tables
-give no rows. Columns besides doc_id and text are not read.
+document (of different texts under one id, the least stands for it in verification); ties and repeated rows
+fall into one class; empty tables give no rows. A very long text is a slice of its own: its sketch holds some 150
+bytes for each of its words, its verification its distinct shingles twice. Columns besides doc_id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arealith.llm.arrowtools import lists, slices, utf8
+from arealith.llm.arrowtools import bounded, lists, slices, utf8
 from arealith.llm.textarrays import VISIBLE, mix64, rows_of, span_hash, words
 from arealith.operators.components import connected_components
-from arealith.sources.tables import cut, stored
+from arealith.sources.tables import stored
 
 WIDTH, BANDS, ROWS = 5, 50, 8
 #: Ids that are broadcast at most (8 MB).
@@ -109,7 +111,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS, width: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for whole in batches:
-                for batch in slices(whole, "_text", 3_000_000):
+                for batch in slices(whole, "_text", 1_000_000):
                     yield sketch(batch)
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,7 +137,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS, width: i
         )
 
     cols = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").alias("_text"))
-    return cols.mapInArrow(run, "doc_id long, same1 long, same2 long, shingles long, bands array<long>, " + ", ".join(f"{r} long" for r in parts))
+    return bounded(cols).mapInArrow(run, "doc_id long, same1 long, same2 long, shingles long, bands array<long>, " + ", ".join(f"{r} long" for r in parts))
 
 
 def registers(m: int) -> list[str]:
@@ -168,7 +170,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, threshold: float, m: int) -> Da
 
 def copies_of(pairs: DataFrame, side: str, share: int = 256) -> DataFrame:
     """How many copies of a node's text its pairs are dealt over: one for every ``share`` of them."""
-    return cut(pairs.groupBy(side).agg(F.ceil(F.count("*") / share).cast("int").alias("slots")))
+    return stored(pairs.groupBy(side).agg(F.ceil(F.count("*") / share).cast("int").alias("slots")), "slots")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame, side: str, copies: DataFrame) -> DataFrame:
@@ -181,8 +183,8 @@ def with_texts(pairs: DataFrame, texts: DataFrame, side: str, copies: DataFrame)
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) whose whole texts' distinct shingles have at least that Jaccard similarity."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    pairs = stored(pairs, "pairs")
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     if wanted.count() <= MOST_BROADCAST:  # else all texts are shuffled once
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -210,7 +212,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, width: int = W
                 out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
                 yield out.filter(pc.greater_equal(out.column("similarity"), threshold))
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return bounded(both).mapInArrow(run, "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, per_band: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -231,10 +233,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     parts = connected_components(links, "a", "b")
 
     # What the stars left open: nodes of a bucket outside its largest component, against all of other components.
-    placed = cut(buckets.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "band", "node", "pivot", F.coalesce("component", "node").alias("component")))
+    placed = stored(buckets.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "band", "node", "pivot", F.coalesce("component", "node").alias("component")), "placed")
     groups = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = placed.join(cut(mixed.select("key", "largest")), "key")
+    open_ = placed.join(stored(mixed.select("key", "largest"), "mixed"), "key")
     short = F.transform("bands", lambda k: k.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("short")  # enough to tell a band's keys apart
     open_ = stored(open_.join(nodes.select("node", "shingles", short, *registers(m)), "node"), "open")
     cols = ["key", "band", "node", "component", "pivot", "shingles", "short", *registers(m)]

@@ -99,6 +99,37 @@ def test_lines_repeated_on_one_side(spark):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_given_documents_against_all_pairs(spark):
+    """All pairs of whole texts at 0.8 or more on the given table, through lists of documents by shingle."""
+    import re
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    shingled, by = {}, {}
+    for i, t in rows:
+        w = re.findall(r"[^ \t-\r]+", (t or "").lower())
+        shingled[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for s in shingled[i]:
+            by.setdefault(s, []).append(i)
+    up = {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, own in shingled.items():
+        common = {}
+        for s in own:
+            for j in by[s]:
+                common[j] = common.get(j, 0) + 1
+        for j, k in common.items():
+            if j < i and k >= 0.8 * (len(own) + len(shingled[j]) - k):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert got == {i: find(i) for i in up} and len(set(got.values())) < len(rows)
+
+
 def test_empty_documents(spark):
     assert near_duplicates(spark.createDataFrame([], COLS)).count() == 0
 
