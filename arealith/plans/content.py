@@ -30,20 +30,20 @@ _LINKS = "k AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"
 
 
 @query("page_links", f"WITH {_LINKS} SELECT page_id, count(*) AS links, sum(CASE WHEN regexp_matches(link, '^(https?:)?//') THEN 1 ELSE 0 END)::BIGINT AS external, sum(CASE WHEN starts_with(link, '#') THEN 1 ELSE 0 END)::BIGINT AS anchors, count(DISTINCT link) AS distinct_links FROM k GROUP BY page_id")
-def _(spark, sf):
+def query_page_links(spark, sf):
     is_ = lambda c: F.sum(c.cast("long"))
     return _links(spark, sf).groupBy("page_id").agg(F.count("*").alias("links"), is_(F.col("link").rlike("^(https?:)?//")).alias("external"), is_(F.col("link").startswith("#")).alias("anchors"), F.countDistinct("link").alias("distinct_links"))
 
 
 @query("broken_links", f"WITH {_LINKS}, t AS (SELECT page_id, link FROM k WHERE starts_with(link, '/') AND NOT starts_with(link, '//')), s AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages) SELECT page_id, link, CASE WHEN ends_with(link, '/') THEN 'directory' ELSE 'broken' END AS fault, count(*) AS n FROM t WHERE split_part(split_part(link, '#', 1), '?', 1) NOT IN (SELECT path FROM s WHERE path IS NOT NULL) GROUP BY ALL")
-def _(spark, sf):
+def query_broken_links(spark, sf):
     t = _links(spark, sf).filter("startswith(link, '/') and not startswith(link, '//')").withColumn("path", F.substring_index(F.substring_index("link", "#", 1), "?", 1))
     known = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path")).distinct()
     return t.join(known, "path", "left_anti").groupBy("page_id", "link", F.when(F.col("link").endswith("/"), "directory").otherwise("broken").alias("fault")).agg(F.count("*").alias("n"))
 
 
 @query("manifest_check", "WITH n AS (SELECT doc_id, source, sha256(replace(text, chr(13) || chr(10), chr(10))) AS now FROM documents), m AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 3 THEN 'stale' ELSE now END AS noted FROM n WHERE doc_id % 10 <> 4) SELECT coalesce(n.doc_id, m.doc_id) AS doc_id, CASE WHEN m.doc_id IS NULL THEN 'missing' ELSE 'mismatch' END AS fault FROM n LEFT JOIN m ON m.doc_id = n.doc_id WHERE m.doc_id IS NULL OR m.noted <> n.now")
-def _(spark, sf):
+def query_manifest_check(spark, sf):
     now = table(spark, sf, "documents").select("doc_id", F.sha2(F.replace("text", F.lit("\r\n"), F.lit("\n")), 256).alias("now"))
     noted = now.filter("doc_id % 10 <> 4").select("doc_id", F.when(F.col("doc_id") % 10 == 3, "stale").otherwise(F.col("now")).alias("noted"))
     both = now.join(noted, "doc_id", "left")
@@ -51,13 +51,13 @@ def _(spark, sf):
 
 
 @query("json_props", "SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most, sum(CASE WHEN json_extract_string(props, '$.missing') IS NULL THEN 1 ELSE 0 END)::BIGINT AS without FROM events GROUP BY event_type")
-def _(spark, sf):
+def query_json_props(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.from_json("props", "k bigint, missing string").alias("p"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("total"), F.max("p.k").alias("most"), F.sum(F.col("p.missing").isNull().cast("long")).alias("without"))
 
 
 @query("json_types", "SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'number' ELSE 'other' END AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 0 AND 3 AS in_range FROM events")
-def _(spark, sf):
+def query_json_types(spark, sf):
     kind = F.schema_of_variant(F.parse_json("props"))
     e = table(spark, sf, "events")
     return e.select("event_id", F.when(kind.contains("k: BIGINT"), "number").otherwise("other").alias("kind"), F.get_json_object("props", "$.k").cast("bigint").between(0, 3).alias("in_range"))
@@ -80,7 +80,7 @@ def _questions(spark, sf):
 @query("quiz_lint_rules", f"""WITH {_QUIZ}, f AS (SELECT file, count(*) AS n, sum(CASE WHEN own > other THEN 1 ELSE 0 END) AS l1, {", ".join(f"sum(CASE WHEN answer = {k} THEN 1 ELSE 0 END) AS a{k}" for k in range(4))} FROM q GROUP BY file)
 SELECT 'L1' AS rule, file AS item FROM f WHERE l1 > greatest(1, floor(0.4 * n)) UNION ALL SELECT 'L2', conv_id FROM q WHERE mean > 0 AND (own / mean < 0.8 OR own / mean > 1.3) UNION ALL SELECT 'L3', conv_id FROM q WHERE shortest > 0 AND longest::DOUBLE / shortest > 1.5
 UNION ALL SELECT 'P', file FROM f WHERE (n >= 8 AND (least(a0, a1, a2, a3) = 0 OR greatest(a0, a1, a2, a3) > ceil(0.4 * n))) OR (n < 8 AND greatest(a0, a1, a2, a3) > ceil(0.6 * n))""")
-def _(spark, sf):
+def query_quiz_lint_rules(spark, sf):
     q = _questions(spark, sf)
     count = [F.sum((F.col("answer") == k).cast("long")).alias(f"a{k}") for k in range(4)]
     f = q.groupBy("file").agg(F.count("*").alias("n"), F.sum((F.col("own") > F.col("other")).cast("long")).alias("l1"), *count)
@@ -100,7 +100,7 @@ def _(spark, sf):
 
 
 @query("word_bias", f"WITH {_QUIZ}, w AS (SELECT file, answer, i - 1 AS k, len(regexp_extract_all(lower(choices[i]), '\\b(?:in|the|of)\\b')) AS n, (length(choices[i]) - length(replace(choices[i], 'th', ''))) // 2 AS th FROM q, range(1, 5) r(i)) SELECT file, sum(CASE WHEN k = answer THEN n ELSE 0 END)::BIGINT AS correct, sum(CASE WHEN k <> answer THEN n ELSE 0 END)::BIGINT AS wrong, sum(th)::BIGINT AS th FROM w GROUP BY file")
-def _(spark, sf):
+def query_word_bias(spark, sf):
     w = _questions(spark, sf).select("file", "answer", F.posexplode("choices").alias("k", "text"))
     n = F.regexp_count(F.lower("text"), F.lit(r"\b(?:in|the|of)\b"))
     own = F.col("k") == F.col("answer")
@@ -108,13 +108,13 @@ def _(spark, sf):
 
 
 @query("pass_gate", "WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS ok, min(event_id) AS first FROM events GROUP BY ALL) SELECT user_id, min(day) AS passed_on, count(*) AS passes, count(*) >= 2 AS certificate FROM s WHERE ok >= ceil(n * 0.8) GROUP BY user_id")
-def _(spark, sf):
+def query_pass_gate(spark, sf):
     s = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum((F.col("event_type") != "error").cast("long")).alias("ok"))
     return s.filter(F.col("ok") >= F.ceil(F.col("n") * 0.8)).groupBy("user_id").agg(F.min("day").alias("passed_on"), F.count("*").alias("passes"), (F.count("*") >= 2).alias("certificate"))
 
 
 @query("html_escape", "SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS url, sha256(html) AS digest FROM pages")
-def _(spark, sf):
+def query_html_escape(spark, sf):
     return table(spark, sf, "pages").select("page_id", html_escaped(F.col("url")).alias("url"), F.sha2("html", 256).alias("digest"))
 
 
@@ -134,7 +134,7 @@ _DRESSED = "k AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN raw WHEN 1 T
 
 
 @query("resolved_links", f"WITH {_DRESSED}, b AS (SELECT *, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), ''), '/') AS base, {_BARE} AS bare FROM k), r AS (SELECT page_id, link, CASE WHEN NOT (regexp_matches(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)') OR bare = '') THEN {_resolved_sql('base', 'bare')} END AS path FROM b) SELECT page_id, link, path, count(*) AS n FROM r GROUP BY ALL")
-def _(spark, sf):
+def query_resolved_links(spark, sf):
     """Every link's path, relative ones resolved against their page."""
     p = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), 1)).alias("raw"))
     kind = F.col("page_id") % 3
@@ -145,7 +145,7 @@ def _(spark, sf):
 
 
 @query("manifest_orphans", "WITH f AS (SELECT doc_id, lang FROM documents), m AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 4 UNION ALL SELECT doc_id + 10000000 FROM documents WHERE doc_id % 10 = 7) SELECT f.doc_id, CASE WHEN lang = 'en' THEN 'not rendered' ELSE 'orphan' END AS fault FROM f ANTI JOIN m USING (doc_id) UNION ALL SELECT m.doc_id, 'file missing' FROM m ANTI JOIN f USING (doc_id)")
-def _(spark, sf):
+def query_manifest_orphans(spark, sf):
     """Files against a manifest both ways: sources that it lacks are not rendered, other files orphans, and entries may lack a file."""
     f = table(spark, sf, "documents").select("doc_id", "lang")
     m = f.filter("doc_id % 10 <> 4").select("doc_id").union(f.filter("doc_id % 10 = 7").select(F.col("doc_id") + 10_000_000))
@@ -154,7 +154,7 @@ def _(spark, sf):
 
 
 @query("json_lists", f"WITH {_QUIZ} SELECT conv_id, conv_id % 5 <> 0 AND conv_id % 7 <> 0 AS four_texts, conv_id % 3 <> 0 AS answer_fits FROM c")
-def _(spark, sf):
+def query_json_lists(spark, sf):
     """Schema checks of question documents: choices must be a list of four strings, the answer a whole number from 0 to 3 and not a boolean."""
     q = _questions(spark, sf)
     texts = F.when(F.col("conv_id") % 5 == 0, F.slice("choices", 1, 3)).otherwise(F.col("choices"))

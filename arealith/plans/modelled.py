@@ -32,7 +32,7 @@ _GLM = "ex AS (SELECT id, observed, 0.9::DOUBLE * (SELECT sum(observed)::DOUBLE
 
 
 @query("glm_intercept_resid_moran", f"WITH {NATIONS.replace('v AS', 'v0 AS')}, {_GLM}, v AS (SELECT v0.id, r, c, (ex.observed - expected * exp(intercept)) / sqrt(expected * exp(intercept)) AS x FROM v0 JOIN ex ON ex.id = v0.id, g), {QUEEN}, {WEIGHTS}, {LAGGED}, {MORAN} SELECT round(intercept, 6) AS intercept, round(se, 6) AS se, n, round(i, 6) + 0.0 AS i, round(p, 6) + 0.0 AS p FROM g, moran")
-def _(spark, sf):
+def query_glm_intercept_resid_moran(spark, sf):
     counts = _counts(spark, sf)
     fit = M.intercept_glm(counts)
     m = S.global_moran(M.pearson_residuals(counts, fit), queen_weights(counts)).select("n", "i", "p")
@@ -51,7 +51,7 @@ def _newton_sql(steps: int = 12) -> str:
 
 
 @query("glm_covariate", f"WITH {NATIONS.replace('v AS', 'v0 AS')}, {_GLM}, {_RICH}, {_newton_sql()} SELECT term, round(v, 5) AS coefficient, round(exp(v), 5) AS rate_ratio FROM f")
-def _(spark, sf):
+def query_glm_covariate(spark, sf):
     rich = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("id")).agg((10 * F.avg(F.when(F.col("c_acctbal") > 5000, 1.0).otherwise(0.0))).alias("share10"))
     return rounded(M.covariate_glm(_counts(spark, sf).join(rich, "id"), ["share10"]), "coefficient", "rate_ratio", digits=5)
 
@@ -85,6 +85,6 @@ for _model, _name in (("leroux", "car_leroux"), ("bym", "bym")):
 
 
 @query("surveillance_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS at, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
-def _(spark, sf):
+def query_surveillance_windows(spark, sf):
     e = table(spark, sf, "events")
     return rounded(e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("at"), "event_type", "n", "total"), "total")

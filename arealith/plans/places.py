@@ -46,7 +46,7 @@ p AS (SELECT id, block, name, p_type, CASE WHEN {_WITHOUT("after", TYPES)} = ''
 
 
 @query("name_normalise", f"WITH {_PARTS} SELECT id, name, norm, {_WITHOUT('norm', TYPES)} = '' AS type_only FROM p")
-def _(spark, sf):
+def query_name_normalise(spark, sf):
     return _parts(spark, sf).select("id", "name", "norm", L.type_word_only(F.col("norm"), TYPES).alias("type_only"))
 
 
@@ -69,29 +69,29 @@ lk AS (SELECT id, status, method, ref_id, ref_id IS NOT NULL AND count(*) OVER (
 
 
 @query("tiered_linkage", f"WITH {_LINK} SELECT * FROM lk")
-def _(spark, sf):
+def query_tiered_linkage(spark, sf):
     return _link(spark, sf)
 
 
 @query("linkage_stage_report", f"WITH {_LINK} SELECT method AS stage, count(*) AS roster_rows, count(DISTINCT ref_id) AS refs, sum(CASE WHEN contested THEN 1 ELSE 0 END)::BIGINT AS contested FROM lk GROUP BY method")
-def _(spark, sf):
+def query_linkage_stage_report(spark, sf):
     return _link(spark, sf).groupBy(F.col("method").alias("stage")).agg(F.count("*").alias("roster_rows"), F.countDistinct("ref_id").alias("refs"), F.sum(F.col("contested").cast("long")).alias("contested"))
 
 
 @query("resolve_codes", f"WITH {_PARTS}, c AS (SELECT block, norm, count(DISTINCT p_type) AS n, min(p_type) AS code FROM p WHERE id % 2 = 0 GROUP BY ALL) SELECT p.id, CASE WHEN n = 1 THEN code END AS code, CASE WHEN n IS NULL THEN 'not found' WHEN n > 1 THEN 'several codes' ELSE '' END AS reason FROM p LEFT JOIN c USING (block, norm) WHERE id % 2 = 1")
-def _(spark, sf):
+def query_resolve_codes(spark, sf):
     p = _parts(spark, sf)
     return L.resolved_codes(p.filter("id % 2 = 1").select("id", "block", "norm"), p.filter("id % 2 = 0").select("block", "norm", F.col("p_type").alias("code")))
 
 
 @query("prefix_proposals", f"WITH {_PARTS}, q AS (SELECT a.id, b.id AS candidate, row_number() OVER (PARTITION BY a.id ORDER BY length(b.norm), b.norm, b.id) AS rank FROM p a JOIN p b ON a.block = b.block AND a.norm <> b.norm AND a.id % 2 = 1 AND b.id % 2 = 0 AND least(length(a.norm), length(b.norm)) >= 4 AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm))) SELECT * FROM q WHERE rank <= 3")
-def _(spark, sf):
+def query_prefix_proposals(spark, sf):
     p = _parts(spark, sf).select("id", "block", "norm")
     return L.prefix_proposals(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"))
 
 
 @query("fuzzy_proposals")
-def _(spark, sf):
+def query_fuzzy_proposals(spark, sf):
     p = cut(_parts(spark, sf).select("id", "block", "norm"))
     return L.proposals(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"))
 
@@ -99,7 +99,7 @@ def _(spark, sf):
 @query("fuzzy_candidates", f"""WITH {_PARTS}, f AS (SELECT DISTINCT block, norm, id % 2 AS side FROM p WHERE norm <> ''), ch AS (SELECT block, norm, side, c, count(*) AS n FROM (SELECT *, unnest(string_split(norm, '')) AS c FROM f) GROUP BY ALL),
 co AS (SELECT a.block, a.norm AS a, b.norm AS b, sum(least(a.n, b.n)) AS shared FROM ch a JOIN ch b ON a.block = b.block AND a.c = b.c AND a.side = 1 AND b.side = 0 AND a.norm <> b.norm GROUP BY ALL)
 SELECT block, a, b FROM co WHERE 2 * shared >= 0.68 * (length(a) + length(b)) - 1e-9""")
-def _(spark, sf):
+def query_fuzzy_candidates(spark, sf):
     p = _parts(spark, sf).select("id", "block", "norm")
     return L.fuzzy_candidates(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"))
 
@@ -110,7 +110,7 @@ _WIDE = [chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz"]
 
 @query("name_normalise_wide", f"""WITH t AS (SELECT p_partkey AS id, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS bare, {list(L.LEGAL_TERMS)!r}[(p_partkey % {len(L.LEGAL_TERMS)})::INTEGER + 1] AS legal, {list(L.TYPE_WORDS)!r}[(p_partkey % {len(L.TYPE_WORDS)})::INTEGER + 1] AS kind FROM part)
 SELECT id, CASE WHEN id % 5 = 0 THEN legal || replace(kind, 'ー', '') ELSE bare || replace(kind, 'ー', '') END AS norm, false AS type_only FROM t""")
-def _(spark, sf):
+def query_name_normalise_wide(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
     pick = lambda words: F.get(F.array(*map(F.lit, words)), (F.col("id") % len(words)).cast("int"))
     wide = F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz", "".join(_WIDE))
@@ -120,7 +120,7 @@ def _(spark, sf):
 
 
 @query("crosswalk_validate", "WITH x AS (SELECT p_partkey AS id, p_type AS basis, p_brand AS code, p_name FROM part) SELECT 'basis' AS rule, CAST(id AS VARCHAR) AS code FROM x WHERE basis NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD') UNION ALL SELECT 'unique key', p_name || '|' || code FROM x GROUP BY p_name, code HAVING count(*) > 1 UNION ALL SELECT 'code rule', CAST(id AS VARCHAR) FROM x WHERE basis = 'PROMO' AND NOT regexp_matches(code, '^Brand#1[0-9]$')")
-def _(spark, sf):
+def query_crosswalk_validate(spark, sf):
     x = table(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
     one = x.filter(~F.col("p_type").isin("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD")).select(F.lit("basis").alias("rule"), key.alias("code"))
@@ -153,24 +153,24 @@ ri AS (SELECT code, x AS x0, x + 2 AS x1, y AS y0, y + 2 AS y1 FROM sq UNION ALL
 ed AS (SELECT code, x0 AS ax, y0 AS ay, x1 AS gx, y0 AS gy FROM ri UNION ALL SELECT code, x1, y0, x1, y1 FROM ri UNION ALL SELECT code, x1, y1, x0, y1 FROM ri UNION ALL SELECT code, x0, y1, x0, y0 FROM ri),
 h AS (SELECT pt.id, code FROM pt JOIN ed ON ((ay > lat) <> (gy > lat)) AND lon < (gx - ax) * (lat - ay) / (gy - ay) + ax GROUP BY pt.id, code HAVING count(*) % 2 = 1)
 SELECT pt.id, min(code) AS code FROM pt LEFT JOIN h ON h.id = pt.id GROUP BY pt.id""")
-def _(spark, sf):
+def query_pip_assign(spark, sf):
     return G.assign_points(_points(spark, sf).select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), _polygons(spark, sf))
 
 
 @query("distance_band", f"WITH {_POINTS} SELECT * FROM (SELECT a.id AS src, b.id AS dst, round({_KM}, 6) AS km FROM pt a JOIN pt b ON a.id <> b.id) WHERE km > 0 AND km <= 60")
-def _(spark, sf):
+def query_distance_band(spark, sf):
     return rounded(G.close_pairs(_points(spark, sf), 60.0), "km")
 
 
 @query("knn", f"WITH {_POINTS}, d AS (SELECT a.id AS src, b.id AS dst, {_KM} AS km FROM pt a JOIN pt b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(km, 9), dst) AS rank FROM d) SELECT src, dst, round(km, 6) AS km, rank FROM k WHERE rank <= 4")
-def _(spark, sf):
+def query_knn(spark, sf):
     return rounded(G.nearest(_points(spark, sf), 4, 40.0), "km")
 
 
 @query("weight_sensitivity", f"""WITH {_POINTS}, v AS (SELECT vec_id AS id, embedding[3]::DOUBLE AS x FROM embeddings), d AS (SELECT a.id AS src, b.id AS dst, {_KM} AS km FROM pt a JOIN pt b ON a.id <> b.id),
 e AS (SELECT src, dst FROM d WHERE km > 0 AND km <= 30), {WEIGHTS}, {LAGGED}, {MORAN}
 SELECT '30 km' AS weights, n, round(i, 6) + 0.0 AS i, (SELECT count(*) FROM l WHERE degree = 0) AS isolates FROM moran""")
-def _(spark, sf):
+def query_weight_sensitivity(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[2].cast("double").alias("x"))
     e = cut(G.close_pairs(_points(spark, sf), 30.0).select("src", "dst"))
     w = S.row_weights(e)
@@ -192,12 +192,12 @@ _ESTATES = "s AS (SELECT id, 130 + 4.0::DOUBLE * c AS x, 10 + 4.0::DOUBLE * r AS
 
 
 @query("centroids", f"WITH {SUPPLIERS}, {_ESTATES}, a AS (SELECT *, CASE WHEN two THEN 2 ELSE 0 END AS more FROM s) SELECT id AS code, round((4 * (x + 1) - 0.25 * (x + 1.25) + more * (x + 3)) / (3.75 + more), 6) AS x, round((4 * (y + 1) - 0.25 * (y + 1.25) + more * (y + 0.5)) / (3.75 + more), 6) AS y FROM a")
-def _(spark, sf):
+def query_centroids(spark, sf):
     return rounded(_estates(spark, sf).select(F.col("id").alias("code"), G.centroid(F.col("parts")).alias("p")).select("code", "p.x", "p.y"), "x", "y")
 
 
 @query("bounding_boxes", f"WITH {SUPPLIERS}, {_ESTATES} SELECT id AS code, x AS x0, CASE WHEN two THEN x + 4 ELSE x + 2 END AS x1, y AS y0, y + 2 AS y1 FROM s")
-def _(spark, sf):
+def query_bounding_boxes(spark, sf):
     return _estates(spark, sf).select(F.col("id").alias("code"), G.bounds(F.col("parts")).alias("b")).select("code", "b.*")
 
 
@@ -218,7 +218,7 @@ _CHOICES |= {f"k = {k}": f"e AS (SELECT src, dst FROM (SELECT *, row_number() OV
 
 
 @query("weight_choices", " UNION ALL ".join(f"SELECT * FROM {_choice_sql(n, e)}" for n, e in _CHOICES.items()))
-def _(spark, sf):
+def query_weight_choices(spark, sf):
     """Moran's I, p and the number of isolates by queen contiguity, three distance bands and two numbers of nearest neighbours."""
     v = cut(supplier_values(spark, sf).select("id", "x", "r", "c", (130 + 0.1 * F.col("c")).alias("lon"), (-60 + 0.1 * (F.col("r") % 1200)).alias("lat")))
     edges = {"queen": queen(v)}
@@ -244,7 +244,7 @@ _VERT = f"{SUPPLIERS}, ve AS (SELECT id, c + dx + 0.00005::DOUBLE * (id % 3) AS
 
 
 @query("snap_sensitivity", f"WITH {_VERT}, pr AS (SELECT DISTINCT a.id AS src, b.id AS dst, s FROM ve a JOIN ve b ON a.id <> b.id, (VALUES (0.0), (0.0001), (0.001)) t(s) WHERE abs(a.x - b.x) < 0.01 AND a.y = b.y AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= s * s) SELECT round(t.s, 6)::DOUBLE AS snap, count(pr.src) AS edges FROM (VALUES (0.0), (0.0001), (0.001)) t(s) LEFT JOIN pr ON pr.s = t.s GROUP BY t.s")
-def _(spark, sf):
+def query_snap_sensitivity(spark, sf):
     v = _vertices(spark, sf)
     out = None
     for s in (0.0, 0.0001, 0.001):
@@ -259,7 +259,7 @@ _SNAPS = (0.0, 0.0001, 0.001)
 @query("snap_adoption", f"""WITH {_VERT}, pr AS (SELECT DISTINCT a.id AS src, b.id AS dst, s FROM ve a JOIN ve b ON a.id <> b.id, (VALUES (0.0), (0.0001), (0.001)) t(s) WHERE abs(a.x - b.x) < 0.01 AND a.y = b.y AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= s * s),
 k AS (SELECT src, dst, bool_or(s = 0.0) AS a, bool_or(s = 0.0001) AS b, bool_or(s = 0.001) AS c FROM pr GROUP BY src, dst), d AS (SELECT coalesce(sum(CASE WHEN a <> b THEN 1 END), 0)::BIGINT AS d0, coalesce(sum(CASE WHEN b <> c THEN 1 END), 0)::BIGINT AS d1, coalesce(sum(CASE WHEN a <> c THEN 1 END), 0)::BIGINT AS d2 FROM k)
 SELECT d0 AS first_second, d1 AS second_third, d2 AS first_third, CASE WHEN d0 = 0 THEN 0.0::DOUBLE ELSE 0.0001::DOUBLE END AS adopted FROM d""")
-def _(spark, sf):
+def query_snap_adoption(spark, sf):
     """How many edges three snapping distances differ in; the first is adopted where the second changes nothing, the third is a control."""
     v = cut(_vertices(spark, sf))
     all_ = None
@@ -276,7 +276,7 @@ def _(spark, sf):
 
 
 @query("components", f"WITH RECURSIVE {SUPPLIERS}, {QUEEN.replace('e AS', 'q AS', 1)}, e AS (SELECT src, dst FROM q JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.r // 3 = b.r // 3), t AS (SELECT id, id AS root FROM v UNION SELECT e.dst, t.root FROM t JOIN e ON e.src = t.id) SELECT id, min(root) AS component FROM t GROUP BY id")
-def _(spark, sf):
+def query_components(spark, sf):
     v = supplier_values(spark, sf)
     row = v.select("id", "r")
     e = queen(v).join(row.withColumnRenamed("id", "src"), "src").join(row.select(F.col("id").alias("dst"), F.col("r").alias("r2")), "dst").filter("r div 3 = r2 div 3")
@@ -285,7 +285,7 @@ def _(spark, sf):
 
 
 @query("component_sizes", f"WITH {SUPPLIERS}, c AS (SELECT id, min(id) OVER (PARTITION BY r // 3) AS component, r FROM v) SELECT component, count(*) AS size, count(DISTINCT r) AS row_count FROM c GROUP BY component")
-def _(spark, sf):
+def query_component_sizes(spark, sf):
     v = supplier_values(spark, sf)
     c = QUERIES["components"](spark, sf)
     return v.join(c, "id").groupBy("component").agg(F.count("*").alias("size"), F.countDistinct("r").alias("row_count"))
@@ -293,7 +293,7 @@ def _(spark, sf):
 
 @query("component_regions", f"""WITH {SUPPLIERS}, c AS (SELECT v.id, min(v.id) OVER (PARTITION BY r // 3) AS component, n_regionkey AS region FROM v JOIN supplier ON s_suppkey = v.id JOIN nation ON n_nationkey = s_nationkey), g AS (SELECT component, region, count(*) AS n FROM c GROUP BY ALL)
 SELECT component, sum(n)::BIGINT AS size, rank() OVER (ORDER BY sum(n) DESC, component) AS place, string_agg(region || ' ' || n, '; ' ORDER BY n DESC, region) AS regions FROM g GROUP BY component""")
-def _(spark, sf):
+def query_component_regions(spark, sf):
     """Components, the largest first, with the regions that they are made of."""
     from arealith.operators.ranks import numbered
 
@@ -307,7 +307,7 @@ def _(spark, sf):
 
 
 @query("isolates_are_components", f"WITH {SUPPLIERS}, {QUEEN.replace('e AS', 'q AS', 1)}, e AS (SELECT src, dst FROM q WHERE src % 7 <> 3 AND dst % 7 <> 3), a AS (SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)) SELECT count(*) AS isolates, count(*) AS single, 0::BIGINT AS differ FROM a")
-def _(spark, sf):
+def query_isolates_are_components(spark, sf):
     """Areas without neighbours and components of one area, which must be the same."""
     v = supplier_values(spark, sf)
     e = cut(queen(v).filter("src % 7 <> 3 and dst % 7 <> 3"))
@@ -330,7 +330,7 @@ e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM k), s A
 t AS (SELECT a, b, a AS id FROM e UNION SELECT t.a, t.b, s.b FROM t JOIN s ON s.a = t.id AND NOT (least(s.a, s.b) = t.a AND greatest(s.a, s.b) = t.b)),
 n AS (SELECT a, b, count(*) AS side, bool_or(id = b) AS back FROM t GROUP BY a, b), w AS (SELECT count(DISTINCT a) AS total FROM s)
 SELECT n.a, n.b, least(side, total - side) AS small, greatest(side, total - side) AS large, x.s_nationkey <> y.s_nationkey AS crosses FROM n, w, supplier x, supplier y WHERE NOT back AND x.s_suppkey = n.a AND y.s_suppkey = n.b""")
-def _(spark, sf):
+def query_bridges(spark, sf):
     """Bridges with the sizes of their sides, and whether they cross a border of nations."""
     of = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     out = bridges(_supply(spark, sf))
@@ -344,7 +344,7 @@ UNION ALL SELECT 'matched and unmatched add up', (SELECT count(*) FROM ro), (SEL
 UNION ALL SELECT 'matched rows have a reference', (SELECT count(*) FROM lk WHERE status = 'matched'), (SELECT count(ref_id) FROM lk)
 UNION ALL SELECT 'references are known', (SELECT count(ref_id) FROM lk), (SELECT count(*) FROM lk JOIN p ON p.id = ref_id)
 UNION ALL SELECT 'contested come in groups', (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM lk WHERE ref_id IS NOT NULL GROUP BY ref_id HAVING count(*) > 1)), (SELECT count(*) FROM lk WHERE contested)""")
-def _(spark, sf):
+def query_linkage_checks(spark, sf):
     k = cut(_link(spark, sf))
     p = _parts(spark, sf)
     count = lambda d: d.agg(F.count("*").alias("n"))
@@ -374,7 +374,7 @@ UNION ALL SELECT 'areas add up to matched people', (SELECT sum(mapped) FROM c) =
 UNION ALL SELECT 'references lie in the own area', (SELECT count(*) FROM w WHERE ref_id IS NOT NULL AND method <> 'override' AND block <> ref_block) = 0 UNION ALL SELECT 'areas have the roster''s people', (SELECT sum(everyone) FROM c) = (SELECT sum(n) FROM w)
 UNION ALL SELECT 'missing is not patterned', (SELECT abs(coalesce(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 0)) < 0.3 FROM k) UNION ALL SELECT 'overrides hold', (SELECT count(*) FROM w WHERE (id % 35 = 7) <> (method = 'override')) = 0
 UNION ALL SELECT 'care is not more than all', (SELECT count(*) FROM c WHERE care > mapped) = 0""")
-def _(spark, sf):
+def query_linkage_conditions(spark, sf):
     """The nine conditions that a finished linkage has to meet, each with its verdict."""
     from arealith.operators import audit as A
 

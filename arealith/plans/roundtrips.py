@@ -30,7 +30,7 @@ def _folder(spark, name):
 
 
 @query("csv_typed", "SELECT s_suppkey, lpad(s_nationkey::VARCHAR, 4, '0') AS code, s_name, round(s_acctbal, 2) AS balance FROM supplier")
-def _(spark, sf):
+def query_csv_typed(spark, sf):
     """A sorted CSV under an explicit schema: codes keep their leading zeros."""
     path = _folder(spark, "csv")
     s = table(spark, sf, "supplier").select("s_suppkey", F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("code"), "s_name", F.round("s_acctbal", 2).alias("balance"))
@@ -39,7 +39,7 @@ def _(spark, sf):
 
 
 @query("csv_texts", "SELECT s_suppkey::VARCHAR AS s_suppkey, lpad(s_nationkey::VARCHAR, 4, '0') AS code FROM supplier")
-def _(spark, sf):
+def query_csv_texts(spark, sf):
     """The same as texts, two columns of it."""
     path = _folder(spark, "csv")
     s = table(spark, sf, "supplier").select("s_suppkey", F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("code"), F.concat_ws(', "', "s_name", F.lit("x")).alias("name"))
@@ -68,20 +68,20 @@ def _collection(spark, sf):
 
 
 @query("geojson_attributes", "SELECT s_suppkey::VARCHAR AS code, 'area ' || s_suppkey AS name, 'MultiPolygon' AS kind FROM supplier")
-def _(spark, sf):
+def query_geojson_attributes(spark, sf):
     p = files.geojson_features(spark, _collection(spark, sf))
     return p.select(F.col("properties")["code"].alias("code"), F.col("properties")["name"].alias("name"), "kind")
 
 
 @query("geojson_geometry", f"WITH {SUPPLIERS}, {_SQUARES} SELECT id::VARCHAR AS code, x AS x0, x + 1 AS x1, y AS y0, y + 1 AS y1, x + 0.5 AS mid_x, y + 0.5 AS mid_y FROM q")
-def _(spark, sf):
+def query_geojson_geometry(spark, sf):
     p = files.geojson_features(spark, _collection(spark, sf)).select(F.col("properties")["code"].alias("code"), "parts")
     box = p.select("code", G.bounds(F.col("parts")).alias("b"), G.centroid(F.col("parts")).alias("m"))
     return rounded(box.select("code", "b.*", F.col("m.x").alias("mid_x"), F.col("m.y").alias("mid_y")), "mid_x", "mid_y")
 
 
 @query("geojson_streamed", "SELECT s_suppkey::VARCHAR AS code, 5::BIGINT AS vertices FROM supplier")
-def _(spark, sf):
+def query_geojson_streamed(spark, sf):
     """The collection parsed feature by feature."""
     f = files.geojson_stream(spark, _collection(spark, sf), chunk=4096)
     at = F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<array<array<array<double>>>>")
@@ -89,7 +89,7 @@ def _(spark, sf):
 
 
 @query("json_manifest", "SELECT doc_id, source, sha256(text) AS digest, length(text) AS chars FROM documents WHERE text IS NOT NULL")
-def _(spark, sf):
+def query_json_manifest(spark, sf):
     """A manifest of documents as lines of JSON, written in the order of ids and read back under its schema."""
     path = _folder(spark, "manifest")
     d = table(spark, sf, "documents").filter("text is not null").select("doc_id", "source", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("chars"))
@@ -98,7 +98,7 @@ def _(spark, sf):
 
 
 @query("markdown_report", "SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS link FROM pages) WHERE link <> '' AND NOT regexp_matches(link, '[)\\s]') GROUP BY ALL")
-def _(spark, sf):
+def query_markdown_report(spark, sf):
     """Diagnostics as a Markdown list of links, one file line each, and the links read from it."""
     path = _folder(spark, "markdown")
     k = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), 1)).alias("link")).filter("link <> '' and not link rlike '[)\\\\s]'")
@@ -109,7 +109,7 @@ def _(spark, sf):
 
 
 @query("audit_written", "SELECT 'balance' AS \"check\", o_custkey::VARCHAR AS code FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 500000 * 1.0")
-def _(spark, sf):
+def query_audit_written(spark, sf):
     """An audit's rows are on file also where it ends in an error."""
     path = _folder(spark, "audit")
     big = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t")).filter("t > 500000").select(F.lit("balance").alias("check"), F.col("o_custkey").cast("string").alias("code"))

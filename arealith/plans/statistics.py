@@ -26,47 +26,47 @@ def _r(*names, digits=6):
 
 
 @query("lattice_queen", f"WITH {SUPPLIERS}, {QUEEN} SELECT src, dst FROM e")
-def _(spark, sf):
+def query_lattice_queen(spark, sf):
     return queen(supplier_values(spark, sf))
 
 
 @query("lattice_rook", f"WITH {SUPPLIERS}, {ROOK} SELECT src, dst FROM e")
-def _(spark, sf):
+def query_lattice_rook(spark, sf):
     return S.lattice_edges(supplier_values(spark, sf).select("id", "r", "c"), False)
 
 
 @query("edge_faults", f"WITH {SUPPLIERS}, {QUEEN}, f AS (SELECT src, dst FROM e WHERE NOT (src = 3 AND dst = 4) UNION ALL SELECT 7, -99) SELECT src, dst, 'asymmetric' AS fault FROM f WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.src = f.dst AND b.dst = f.src) UNION ALL SELECT src, dst, 'unknown id' FROM f WHERE dst NOT IN (SELECT id FROM v)")
-def _(spark, sf):
+def query_edge_faults(spark, sf):
     v = supplier_values(spark, sf)
     broken = queen(v).filter("not (src = 3 and dst = 4)").union(spark.range(1).select(F.lit(7), F.lit(-99)))
     return S.edge_faults(broken, v).select("src", "dst", "fault")
 
 
 @query("degree_summary", f"WITH {SUPPLIERS}, {QUEEN}, d AS (SELECT v.id, count(e.dst) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id) SELECT count(*) AS areas, sum(degree)::BIGINT AS edges, round(avg(degree), 6) AS mean_degree, min(degree) AS min_degree, max(degree) AS max_degree FROM d")
-def _(spark, sf):
+def query_degree_summary(spark, sf):
     v = supplier_values(spark, sf)
     return S.degrees(queen(v), v).agg(F.count("*").alias("areas"), F.sum("degree").alias("edges"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"))
 
 
 @query("row_weights", f"WITH {SUPPLIERS}, {QUEEN}, {WEIGHTS}, {LAGGED}, {MORAN.strip()} SELECT {_r('s0', 's1')}, round((SELECT s2 FROM s2), 6) + 0.0 AS s2 FROM sw")
-def _(spark, sf):
+def query_row_weights(spark, sf):
     return rounded(S.weight_sums(queen_weights(supplier_values(spark, sf))), "s0", "s1", "s2")
 
 
 @query("spatial_lag", f"WITH {SUPPLIERS}, {QUEEN}, {WEIGHTS}, {LAGGED} SELECT id, {_r('z', 'lag')}, degree FROM l")
-def _(spark, sf):
+def query_spatial_lag(spark, sf):
     v = supplier_values(spark, sf)
     return rounded(S.lagged(v, queen_weights(v)).select("id", "z", "lag", "degree"), "z", "lag")
 
 
 @query("global_moran", f"WITH {NATIONS}, {QUEEN}, {WEIGHTS}, {LAGGED}, {MORAN} SELECT n, {_r('i', 'expected', 'variance', 'zscore', 'p')} FROM moran")
-def _(spark, sf):
+def query_global_moran(spark, sf):
     v = nation_values(spark, sf)
     return rounded(S.global_moran(v, queen_weights(v)), "i", "expected", "variance", "zscore", "p")
 
 
 @query("global_moran_suppliers", f"WITH {SUPPLIERS}, {QUEEN}, {WEIGHTS}, {LAGGED}, {MORAN} SELECT n, {_r('i', 'expected', 'variance', 'zscore', 'p')} FROM moran")
-def _(spark, sf):
+def query_global_moran_suppliers(spark, sf):
     v = supplier_values(spark, sf)
     return rounded(S.global_moran(v, queen_weights(v)), "i", "expected", "variance", "zscore", "p")
 
@@ -76,7 +76,7 @@ _CUT = QUEEN.replace("e AS", "q AS", 1) + ", " + _CUT
 
 
 @query("moran_isolates", f"WITH {NATIONS}, {_CUT}, {WEIGHTS}, {LAGGED}, {MORAN} SELECT n, {_r('i', 'expected', 'variance', 'p')}, round(i * 25.0 / n, 6) + 0.0 AS i_unadjusted FROM moran")
-def _(spark, sf):
+def query_moran_isolates(spark, sf):
     v = nation_values(spark, sf)
     w = S.row_weights(queen(v).filter("src not in (0, 24) and dst not in (0, 24)"))
     whole = S.global_moran(v, w, adjust_n=False).select(F.col("i").alias("i_unadjusted"))
@@ -98,13 +98,13 @@ _LISA_S = SQL["lisa"].replace(NATIONS, SUPPLIERS)
 
 
 @query("lisa_suppliers", _LISA_S)
-def _(spark, sf):
+def query_lisa_suppliers(spark, sf):
     v = supplier_values(spark, sf)
     return rounded(S.local_moran(v, queen_weights(v)), "x", "i", "p").select("id", "x", "i", "quadrant", "p")
 
 
 @query("sig_count", f"SELECT count(*) AS areas, sum(CASE WHEN p < 0.05 THEN 1 ELSE 0 END)::BIGINT AS significant FROM ({_LISA_S})")
-def _(spark, sf):
+def query_sig_count(spark, sf):
     v = supplier_values(spark, sf)
     return S.local_moran(v, queen_weights(v)).agg(F.count("*").alias("areas"), F.sum(F.when(F.round("p", 6) < 0.05, 1).otherwise(0)).alias("significant"))
 
@@ -116,19 +116,19 @@ gi AS (SELECT id, x, CASE WHEN c > 1 THEN (around - mean * c) / (s * sqrt((n * c
 
 
 @query("gi_star", f"WITH {NATIONS}, {QUEEN}, {_GI} SELECT id, {_r('x', 'gi')} FROM gi")
-def _(spark, sf):
+def query_gi_star(spark, sf):
     v = nation_values(spark, sf)
     return rounded(S.gi_star(v, queen(v)), "x", "gi")
 
 
 @query("gi_labels", f"WITH {SUPPLIERS}, {QUEEN}, {_GI} SELECT id, round(gi, 6) + 0.0 AS gi, CASE WHEN gi IS NULL THEN 'isolated' WHEN gi > 1.96 THEN 'hot' WHEN gi < -1.96 THEN 'cold' ELSE 'not significant' END AS label FROM gi")
-def _(spark, sf):
+def query_gi_labels(spark, sf):
     v = supplier_values(spark, sf)
     return rounded(S.gi_star(v, queen(v)).select("id", "gi", hot_cold(F.col("gi")).alias("label")), "gi")
 
 
 @query("gi_counterfactual", f"WITH {NATIONS.replace('v AS', 'v0 AS')}, v AS (SELECT id, r, c, CASE WHEN id = 12 THEN x * 10 ELSE 100 END AS x FROM v0), {QUEEN}, {_GI} SELECT id, {_r('x', 'gi')} FROM gi")
-def _(spark, sf):
+def query_gi_counterfactual(spark, sf):
     v = nation_values(spark, sf).withColumn("x", F.when(F.col("id") == 12, F.col("x") * 10).otherwise(100.0))
     return rounded(S.gi_star(v, queen(v)), "x", "gi")
 
@@ -141,7 +141,7 @@ def _(spark, sf):
  i AS (SELECT zi.b, (SELECT count(DISTINCT src) / sum(w) FROM w) * sum(w * zi.z * zj.z) / (SELECT sum(z * z) FROM z WHERE b = 0) AS i FROM w JOIN z zi ON zi.id = src JOIN z zj ON zj.id = dst AND zj.b = zi.b GROUP BY zi.b),
  o AS (SELECT i AS own FROM i WHERE b = 0)
 SELECT round(any_value(own), 6) AS i, count(*) AS draws, sum(CASE WHEN round(i, 10) >= round(own, 10) THEN 1 ELSE 0 END)::BIGINT AS ge, round((sum(CASE WHEN round(i, 10) >= round(own, 10) THEN 1 ELSE 0 END) + 1.0) / (count(*) + 1), 6) AS p FROM i, o WHERE b > 0""")
-def _(spark, sf):
+def query_moran_permutation(spark, sf):
     v = nation_values(spark, sf).select("id", "r", "c", "x")
     return rounded(S.moran_permutations(v, queen_weights(v), 199), "i", "p")
 
@@ -157,13 +157,13 @@ SELECT t AS id, round(i, 6) + 0.0 AS i, count(*) AS draws, sum(CASE WHEN round(a
 
 
 @query("lisa_cond_perm", f"WITH {NATIONS}, {QUEEN}, {WEIGHTS}, {LAGGED}, {_COND}")
-def _(spark, sf):
+def query_lisa_cond_perm(spark, sf):
     v = nation_values(spark, sf).select("id", "r", "c", "x")
     return rounded(S.local_permutations(v, queen_weights(v), 99), "i", "p")
 
 
 @query("lisa_cond_perm_suppliers", f"WITH {SUPPLIERS}, {QUEEN}, {WEIGHTS}, {LAGGED}, {_COND}")
-def _(spark, sf):
+def query_lisa_cond_perm_suppliers(spark, sf):
     v = supplier_values(spark, sf)
     return rounded(S.local_permutations(v, queen_weights(v), 99), "i", "p")
 
@@ -171,7 +171,7 @@ def _(spark, sf):
 @query("smooth_field", f"""WITH {NATIONS}, {QUEEN}, s AS (SELECT src, dst FROM e UNION ALL SELECT id, id FROM v),
  a AS (SELECT src AS id, avg(x) AS x FROM s JOIN v ON v.id = dst GROUP BY src), b AS (SELECT src AS id, avg(x) AS x FROM s JOIN a ON a.id = dst GROUP BY src)
 SELECT id, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) + 0.0 AS x FROM b""")
-def _(spark, sf):
+def query_smooth_field(spark, sf):
     v = nation_values(spark, sf)
     return rounded(S.standardised(S.smoothed(v, queen(v), 2)), "x")
 
@@ -180,7 +180,7 @@ def _(spark, sf):
  rv AS (SELECT id, observed::DOUBLE / population AS x FROM g), re AS (SELECT a.id AS src, b.id AS dst FROM rv a JOIN rv b ON (a.id - b.id + 5) % 5 IN (1, 4)),
  rz AS (SELECT id, x - avg(x) OVER () AS z FROM rv), rl AS (SELECT a.id, any_value(a.z) AS z, avg(b.z) AS lag FROM rz a JOIN re ON src = a.id JOIN rz b ON b.id = dst GROUP BY a.id)
 SELECT 'nation' AS level, n, round(i, 6) + 0.0 AS i FROM moran UNION ALL SELECT 'region', count(*), round(sum(z * lag) / sum(z * z), 6) + 0.0 FROM rl""")
-def _(spark, sf):
+def query_maup_two_levels(spark, sf):
     v = nation_values(spark, sf)
     up = v.groupBy(F.col("region").alias("id")).agg((F.sum("observed").cast("double") / F.sum("population")).alias("x"))
     ring = up.select(F.col("id").alias("src"), F.explode(F.array((F.col("id") + 1) % 5, (F.col("id") + 4) % 5)).alias("dst"))
@@ -190,7 +190,7 @@ def _(spark, sf):
 
 
 @query("numerator_sensitivity", "WITH s AS (SELECT c_nationkey AS id, o_orderstatus AS series, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL), p AS (SELECT c_nationkey AS id, count(*) AS population FROM customer GROUP BY ALL), t AS (SELECT series, s.id, n::DOUBLE / population AS rate FROM s JOIN p USING (id)) SELECT series, id, round(rate, 6) AS rate, round(rate / avg(rate) OVER (PARTITION BY series), 6) AS against_mean, rank() OVER (PARTITION BY series ORDER BY round(rate, 9) DESC) AS place FROM t")
-def _(spark, sf):
+def query_numerator_sensitivity(spark, sf):
     from pyspark.sql import Window
 
     from arealith.sources.tables import table
@@ -204,7 +204,7 @@ def _(spark, sf):
 
 
 @query("truth_crosstab", "SELECT source, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END)::BIGINT AS clean, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS toxic, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) > count(*) / 2.0 AS mostly_good FROM labels JOIN documents USING (doc_id) GROUP BY source")
-def _(spark, sf):
+def query_truth_crosstab(spark, sf):
     from arealith.sources.tables import table
 
     m = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
@@ -228,7 +228,7 @@ _I = lambda x: f"(SELECT sum(z * lag) / sum(z * z) FROM (SELECT a.id, any_value(
 @query("sweep_monotone", f"""WITH {SUPPLIERS}, {QUEEN}, s AS (SELECT src, dst FROM e UNION ALL SELECT id, id FROM v), x1 AS (SELECT src AS id, avg(x) AS x FROM s JOIN v ON v.id = dst GROUP BY src), x2 AS (SELECT src AS id, avg(x) AS x FROM s JOIN x1 ON x1.id = dst GROUP BY src),
  i AS (SELECT 0 AS passes, {_I('v')} AS i UNION ALL SELECT 1, {_I('x1')} UNION ALL SELECT 2, {_I('x2')})
 SELECT passes, round(i, 6) AS i, coalesce(round(i, 9) > lag(round(i, 9)) OVER (ORDER BY passes), true) AS rises FROM i""")
-def _(spark, sf):
+def query_sweep_monotone(spark, sf):
     from pyspark.sql import Window
 
     v = supplier_values(spark, sf)
@@ -260,7 +260,7 @@ def _level_sql(level, series):
 
 
 @query("maup_series", " UNION ALL ".join(f"SELECT * FROM {_level_sql(level, series)}" for level in ("nation", "region") for series in _SERIES))
-def _(spark, sf):
+def query_maup_series(spark, sf):
     """Moran's I with p, classes of Gi* and significant local p by level and series."""
     from arealith.sources.tables import cut, table
 

@@ -296,3 +296,17 @@ def test_nearest_of_fewer_points_than_asked_for(spark):
         got = {(r.src, r["rank"]): r.dst for r in G.nearest(points, 3, rounds=rounds).collect()}
         assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 1}
     assert G.nearest(points.filter("id = 1"), 3).count() == 0
+
+
+def test_scratch_tables_go_when_their_result_is_written(spark, tmp_path):
+    import os
+
+    from arealith.sources.tables import scratch, shared_dir, stored
+
+    with scratch(spark):
+        d = stored(spark.range(5), "gone")
+        d.write.parquet(str(tmp_path / "out"))
+    stays = stored(spark.range(3), "stays")
+    names = os.listdir(shared_dir(spark).removeprefix("file:"))
+    assert not any(n.startswith("gone-") for n in names) and any(n.startswith("stays-") for n in names)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5 and stays.count() == 3
