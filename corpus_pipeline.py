@@ -19,7 +19,7 @@ from arealith.llm.pieces import tokenized
 from arealith.llm.quality import score_quality, train_quality
 from arealith.llm.queries.pieces import model_path
 from arealith.llm.toxicity import score_toxicity, train_toxicity
-from arealith.sources.tables import shared_dir, table
+from arealith.sources.tables import scratch, shared_dir, table
 
 
 def filtered(docs: DataFrame, scored: DataFrame, stays: Callable[[Column], Column]) -> DataFrame:
@@ -68,10 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; a stage's own tables go when it is written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
     return docs

@@ -190,5 +190,15 @@ def test_round_trip_and_equal_values(spark):
         assert len(r.rgb) == r.width * r.height * 3
 
 
+def test_null_ids_ties_and_columns_of_any_name(spark):
+    rows = [(None, "a text", "m"), (None, "a text", "m"), (1, "a text", "m"), (2, None, "m")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, media string")
+    images = stored_images(d, keep=("doc_id", "media"))
+    assert images.columns == ["doc_id", "media", "media_"]
+    out = decoded_images(images, keep=("doc_id", "media"), tensors=False, media="media_")
+    got = [(r.doc_id, r.media, r.payload_sha256, r.feature) for r in out.collect()]
+    assert len(got) == 4 and len({g[2:] for g in got if g[0] != 2}) == 1 and {g[1] for g in got} == {"m"} and sum(g[0] is None for g in got) == 2
+
+
 def test_empty_table(spark):
     assert decoded_images(stored_images(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
