@@ -8,7 +8,8 @@ so no token crosses a turn's text.
 Control strings inside texts and roles are broken up reversibly: of every ``<``, any number of
 backslashes and ``|``, one backslash more stands between in the rendered form.
 
-A conversation is one training example and so one row: its text must fit in memory of a task.
+A conversation is one training example and so one row, encoded whole: some 130 bytes of a task's memory for each of
+its characters.
 
 Defined results: null text and null role are empty; a null conv_id is a conversation of its own;
 turns are ordered by turn (null first), then role and text, so ties and repeated rows have a fixed
