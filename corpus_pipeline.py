@@ -44,10 +44,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates; rows without an id stay."""
+    """One document of each class of near-duplicates; rows without an id stay.
+
+    Of rows that repeat an id, the one whose text and columns have the least hashes stays, in every run.
+    """
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.filter("doc_id is null")).select(*docs.columns)
+    order = F.struct(F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("row"))
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    named = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return named.union(docs.filter("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,16 @@ def test_clashing_columns_repeated_ids_and_long_texts(spark, tmp_path):
     assert ids and not any(i % 6 in (1, 2) for i in ids if i is not None and i < 150)
 
 
+def test_of_rows_with_one_id_the_same_one_stays(spark, tmp_path):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcdef"]
+    docs = [(i % 3, t, "en", s, len(t)) for i, t in enumerate(texts) for s in ("s1", None)] + [(None, "x", None, None, 1)] * 2
+    sf = write(spark, tmp_path, docs, [])
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    dedup = dict(P.STAGES)["near duplicates"]
+    runs = [sorted(dedup(spark, d.repartition(n).sort(F.desc("text") if n > 2 else "text"), sf).collect(), key=repr) for n in (1, 2, 7)]
+    assert runs[0] == runs[1] == runs[2] and sorted(r.doc_id for r in runs[0] if r.doc_id is not None) == [0, 1, 2] and len(runs[0]) == 5
+
+
 def test_no_labels_and_empty_tables(spark, tmp_path):
     sf = write(spark, tmp_path, [(1, "a b c d e f", "en", None, 11), (None, None, None, None, None)], [])
     assert P.run(spark, sf).count() >= 1
