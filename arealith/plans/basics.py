@@ -29,7 +29,10 @@ def query_nation_rate(spark, sf):
     return rounded(nation_counts(spark, sf).select("id", "name", C.rate(F.col("observed"), F.col("population")).alias("rate")), "rate")
 
 
-_SIR = "t AS (SELECT sum(observed)::DOUBLE / sum(population) AS crude FROM v), s AS (SELECT id, region, population, observed, crude * population AS expected, CASE WHEN crude * population > 0 THEN observed / (crude * population) ELSE 0 END AS sir FROM v, t)"
+_SIR = """t AS (SELECT sum(observed)::DOUBLE / sum(population) AS crude
+FROM v),
+s AS (SELECT id, region, population, observed, crude * population AS expected, CASE WHEN crude * population > 0 THEN observed / (crude * population) ELSE 0 END AS sir
+FROM v, t)"""
 
 
 def _sir(spark, sf):
@@ -58,14 +61,24 @@ def query_sir_bins(spark, sf):
     return rounded(b.groupBy("bin").agg(F.count("*").alias("n"), F.avg("sir").alias("mean_sir"), F.avg(F.when(F.col("sir") > 1, 100.0).otherwise(0.0)).alias("share_above")), "mean_sir", "share_above")
 
 
-@query("care_all_series", "SELECT n_nationkey AS id, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS care, count(o_orderkey) AS total FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+@query("care_all_series", """SELECT n_nationkey AS id, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS care, count(o_orderkey) AS total
+FROM nation
+LEFT
+JOIN customer ON c_nationkey = n_nationkey
+LEFT
+JOIN orders ON o_custkey = c_custkey
+GROUP BY ALL""")
 def query_care_all_series(spark, sf):
     by = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("care"), F.count("*").alias("total"))
     got = by.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("care").alias("care"), F.sum("total").alias("total"))
     return table(spark, sf, "nation").join(got, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_nationkey").alias("id"), F.coalesce("care", F.lit(0)).alias("care"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
-@query("zero_fill_parts", "SELECT p_partkey, count(l_orderkey) AS lines, round(coalesce(sum(l_quantity), 0), 6) AS quantity FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' GROUP BY p_partkey")
+@query("zero_fill_parts", """SELECT p_partkey, count(l_orderkey) AS lines, round(coalesce(sum(l_quantity), 0), 6) AS quantity
+FROM part
+LEFT
+JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R'
+GROUP BY p_partkey""")
 def query_zero_fill_parts(spark, sf):
     sold = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
     out = table(spark, sf, "part").select("p_partkey").join(sold, F.col("p_partkey") == F.col("l_partkey"), "left").na.fill({"lines": 0, "quantity": 0.0})
@@ -87,7 +100,8 @@ def query_coord_classify(spark, sf):
     return t.select("id", C.coordinate_class(F.col("lat"), F.col("lon")).alias("class"))
 
 
-@query("code_prefixes", "SELECT s_suppkey AS id, lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS code, substring(lpad(CAST(s_suppkey AS VARCHAR), 4, '0'), 1, 2) AS parent, CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN s_suppkey ELSE 0 END AS cell, regexp_replace(s_name, '^[^0-9]*', '') AS tail FROM supplier")
+@query("code_prefixes", """SELECT s_suppkey AS id, lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS code, substring(lpad(CAST(s_suppkey AS VARCHAR), 4, '0'), 1, 2) AS parent, CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN s_suppkey ELSE 0 END AS cell, regexp_replace(s_name, '^[^0-9]*', '') AS tail
+FROM supplier""")
 def query_code_prefixes(spark, sf):
     k = F.col("s_suppkey")
     cell = F.when(k % 3 == 0, "-").when(k % 3 == 1, k.cast("string"))
@@ -115,21 +129,49 @@ def query_band_rollup(spark, sf):
     return b.withColumn("unknown", F.col("total") - known).withColumn("upper", F.col("band4") + F.col("band5"))
 
 
-@query("two_part_total", "SELECT l_linestatus AS code, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS returned, count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS kept, count(*) AS total, count(*) - count(CASE WHEN l_returnflag = 'R' THEN 1 END) - count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS diff FROM lineitem GROUP BY 1")
+@query("two_part_total", """SELECT l_linestatus AS code, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS returned, count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS kept, count(*) AS total, count(*) - count(CASE WHEN l_returnflag = 'R' THEN 1 END) - count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS diff
+FROM lineitem
+GROUP BY 1""")
 def query_two_part_total(spark, sf):
     r = F.col("l_returnflag") == "R"
     t = table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("code")).agg(F.count(F.when(r, 1)).alias("returned"), F.count(F.when(~r, 1)).alias("kept"), F.count("*").alias("total"))
     return t.withColumn("diff", F.col("total") - F.col("returned") - F.col("kept"))
 
 
-@query("rel_diff_gate", "WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS s FROM lineitem GROUP BY 1), t AS (SELECT o_orderkey AS code, o_totalprice AS reference, coalesce(s, 0) AS value FROM orders LEFT JOIN l ON l_orderkey = o_orderkey), d AS (SELECT code, CASE WHEN value = 0 AND reference = 0 THEN 0 WHEN reference = 0 THEN NULL ELSE abs(value - reference) / abs(reference) END AS diff FROM t) SELECT code, round(diff, 6) AS diff FROM d WHERE round(diff, 9) > 0.005")
+@query("rel_diff_gate", """WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS s
+FROM lineitem
+GROUP BY 1),
+t AS (SELECT o_orderkey AS code, o_totalprice AS reference, coalesce(s, 0) AS value
+FROM orders
+LEFT
+JOIN l ON l_orderkey = o_orderkey),
+d AS (SELECT code, CASE WHEN value = 0 AND reference = 0 THEN 0 WHEN reference = 0 THEN NULL ELSE abs(value - reference) / abs(reference) END AS diff
+FROM t)
+SELECT code, round(diff, 6) AS diff
+FROM d
+WHERE round(diff, 9) > 0.005""")
 def query_rel_diff_gate(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("s"))
     t = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("code"), C.relative_difference(F.coalesce("s", F.lit(0.0)), F.col("o_totalprice")).alias("diff"))
     return rounded(t.filter(F.round("diff", 9) > 0.005), "diff")
 
 
-@query("reconciliation", "WITH a AS (SELECT c_nationkey AS code, count(*) AS orders FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1), b AS (SELECT c_nationkey AS code, count(DISTINCT l_orderkey) AS with_lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity > 10 GROUP BY 1) SELECT n_nationkey AS code, coalesce(orders, 0) AS expected, coalesce(with_lines, 0) AS actual, coalesce(orders, 0) - coalesce(with_lines, 0) AS diff, CASE WHEN coalesce(orders, 0) < coalesce(with_lines, 0) THEN 'negative' ELSE '' END AS note FROM nation LEFT JOIN a ON a.code = n_nationkey LEFT JOIN b ON b.code = n_nationkey")
+@query("reconciliation", """WITH a AS (SELECT c_nationkey AS code, count(*) AS orders
+FROM orders
+JOIN customer ON c_custkey = o_custkey
+GROUP BY 1),
+b AS (SELECT c_nationkey AS code, count(DISTINCT l_orderkey) AS with_lines
+FROM lineitem
+JOIN orders ON o_orderkey = l_orderkey
+JOIN customer ON c_custkey = o_custkey
+WHERE l_quantity > 10
+GROUP BY 1)
+SELECT n_nationkey AS code, coalesce(orders, 0) AS expected, coalesce(with_lines, 0) AS actual, coalesce(orders, 0) - coalesce(with_lines, 0) AS diff, CASE WHEN coalesce(orders, 0) < coalesce(with_lines, 0) THEN 'negative' ELSE '' END AS note
+FROM nation
+LEFT
+JOIN a ON a.code = n_nationkey
+LEFT
+JOIN b ON b.code = n_nationkey""")
 def query_reconciliation(spark, sf):
     owner = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("code"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
@@ -147,7 +189,14 @@ def query_audit_rows(spark, sf):
     return A.compared("orders by customer", by(o), by(o.filter("o_orderstatus <> 'P'")), "k", "n")
 
 
-@query("coverage_audit", "SELECT c_custkey AS k, 'left only' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right only' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("coverage_audit", """SELECT c_custkey AS k, 'left only' AS side
+FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey
+FROM orders)
+UNION ALL SELECT DISTINCT o_custkey, 'right only'
+FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey
+FROM customer)""")
 def query_coverage_audit(spark, sf):
     return A.coverage(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
 
@@ -157,7 +206,10 @@ def query_parent_check(spark, sf):
     return A.one_parent(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("child"), "l_suppkey"), "child", "l_suppkey")
 
 
-@query("spearman", f"WITH {NATIONS}, r AS (SELECT rank() OVER (ORDER BY population) + (count(*) OVER (PARTITION BY population) - 1) / 2.0 AS a, rank() OVER (ORDER BY observed) + (count(*) OVER (PARTITION BY observed) - 1) / 2.0 AS b FROM v) SELECT round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS r FROM r")
+@query("spearman", f"""WITH {NATIONS}, r AS (SELECT rank() OVER (ORDER BY population) + (count(*) OVER (PARTITION BY population) - 1) / 2.0 AS a, rank() OVER (ORDER BY observed) + (count(*) OVER (PARTITION BY observed) - 1) / 2.0 AS b
+FROM v)
+SELECT round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS r
+FROM r""")
 def query_spearman(spark, sf):
     v = nation_counts(spark, sf).select("id", "population", "observed")
     return rounded(A.correlation(A.average_ranks(A.average_ranks(v, "population", "a"), "observed", "b"), "a", "b"), "r")
@@ -169,13 +221,23 @@ def query_five_number(spark, sf):
     return rounded(quantiles(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice", shares), *shares)
 
 
-@query("top_areas_listagg", f"WITH {NATIONS}, k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY observed DESC, name) AS k, count(*) OVER (PARTITION BY region) AS n FROM v) SELECT region, string_agg(name, ', ' ORDER BY k) || CASE WHEN any_value(n) > 3 THEN ' etc.' ELSE '' END AS top FROM k WHERE k <= 3 GROUP BY region")
+@query("top_areas_listagg", f"""WITH {NATIONS}, k AS (SELECT *, row_number() OVER (PARTITION BY region
+ORDER BY observed DESC, name) AS k, count(*) OVER (PARTITION BY region) AS n
+FROM v)
+SELECT region, string_agg(name, ', '
+ORDER BY k) || CASE WHEN any_value(n) > 3 THEN ' etc.' ELSE '' END AS top
+FROM k
+WHERE k <= 3
+GROUP BY region""")
 def query_top_areas_listagg(spark, sf):
     g = nation_counts(spark, sf).groupBy("region").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("observed")).alias("o"), "name"))), 1, 3).alias("t"), F.count("*").alias("n"))
     return g.select("region", F.concat(F.array_join("t.name", ", "), F.when(F.col("n") > 3, " etc.").otherwise("")).alias("top"))
 
 
-@query("rank_min", "SELECT s_suppkey, s_nationkey, rank() OVER (PARTITION BY s_nationkey ORDER BY round(s_acctbal, 0) DESC) AS place, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY round(s_acctbal, 0) DESC) AS dense FROM supplier")
+@query("rank_min", """SELECT s_suppkey, s_nationkey, rank() OVER (PARTITION BY s_nationkey
+ORDER BY round(s_acctbal, 0) DESC) AS place, dense_rank() OVER (PARTITION BY s_nationkey
+ORDER BY round(s_acctbal, 0) DESC) AS dense
+FROM supplier""")
 def query_rank_min(spark, sf):
     w = Window.partitionBy("s_nationkey").orderBy(F.round("s_acctbal", 0).desc())
     return table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.rank().over(w).cast("long").alias("place"), F.dense_rank().over(w).cast("long").alias("dense"))
@@ -187,7 +249,12 @@ def query_topk_per_group(spark, sf):
     return table(spark, sf, "supplier").withColumn("k", F.row_number().over(w).cast("long")).filter("k <= 2").select("s_nationkey", "s_suppkey", "s_acctbal", "k")
 
 
-@query("top_and_bottom", "(SELECT 'top' AS side, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 8) UNION ALL (SELECT 'bottom', o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 8)")
+@query("top_and_bottom", """(SELECT 'top' AS side, o_orderkey, o_totalprice
+FROM orders
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 8)
+UNION ALL (SELECT 'bottom', o_orderkey, o_totalprice
+FROM orders
+ORDER BY o_totalprice, o_orderkey LIMIT 8)""")
 def query_top_and_bottom(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     top = o.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(8).select(F.lit("top").alias("side"), "*")
@@ -207,13 +274,17 @@ def query_set_ops(spark, sf):
     return out
 
 
-@query("ordered_labels", f"WITH {NATIONS} SELECT id, name, row_number() OVER (ORDER BY round(x, 9), name) AS place, CASE WHEN round(x, 9) > lag(round(x, 9)) OVER (ORDER BY round(x, 9), name) THEN true ELSE false END AS rises FROM v")
+@query("ordered_labels", f"""WITH {NATIONS} SELECT id, name, row_number() OVER (ORDER BY round(x, 9), name) AS place, CASE WHEN round(x, 9) > lag(round(x, 9)) OVER (ORDER BY round(x, 9), name) THEN true ELSE false END AS rises
+FROM v""")
 def query_ordered_labels(spark, sf):
     w = Window.orderBy(F.round("x", 9), "name")  # areas: one row for each nation
     return nation_values(spark, sf).select("id", "name", F.row_number().over(w).cast("long").alias("place"), F.coalesce(F.round("x", 9) > F.lag(F.round("x", 9)).over(w), F.lit(False)).alias("rises"))
 
 
-@query("shrinkage", f"WITH {NATIONS}, {_SIR}, p AS (SELECT *, (observed + 10) / (expected + 10) AS rr FROM s) SELECT id, round(CASE WHEN round(sir, 9) <> 1 THEN abs(rr - 1) / abs(sir - 1) END, 6) AS shrinkage, round(greatest(0.9, least(1.1, sir)), 6) AS clamped FROM p")
+@query("shrinkage", f"""WITH {NATIONS}, {_SIR}, p AS (SELECT *, (observed + 10) / (expected + 10) AS rr
+FROM s)
+SELECT id, round(CASE WHEN round(sir, 9) <> 1 THEN abs(rr - 1) / abs(sir - 1) END, 6) AS shrinkage, round(greatest(0.9, least(1.1, sir)), 6) AS clamped
+FROM p""")
 def query_shrinkage(spark, sf):
     s = _sir(spark, sf).withColumn("rr", (F.col("observed") + 10) / (F.col("expected") + 10))
     out = s.select("id", F.when(F.round("sir", 9) != 1, F.abs(F.col("rr") - 1) / F.abs(F.col("sir") - 1)).alias("shrinkage"), C.clamp(F.col("sir"), 0.9, 1.1).alias("clamped"))
@@ -225,14 +296,29 @@ def query_elderly_share(spark, sf):
     return rounded(table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("id")).agg((10.0 * F.avg(F.when(F.col("c_acctbal") > 5000, 1.0).otherwise(0.0))).alias("share10")), "share10")
 
 
-@query("route_rows", "SELECT CASE WHEN p_size % 10 = 1 THEN 'nation' WHEN p_size % 10 IN (0, 2, 3) THEN 'municipality' WHEN p_size % 10 IN (4, 9) THEN 'skipped' ELSE 'error' END AS level, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1")
+@query("route_rows", """SELECT CASE WHEN p_size % 10 = 1 THEN 'nation' WHEN p_size % 10 IN (0, 2, 3) THEN 'municipality' WHEN p_size % 10 IN (4, 9) THEN 'skipped' ELSE 'error' END AS level, count(*) AS n, min(p_partkey) AS first_id
+FROM part
+GROUP BY 1""")
 def query_route_rows(spark, sf):
     k = F.col("p_size") % 10
     level = F.when(k == 1, "nation").when(k.isin(0, 2, 3), "municipality").when(k.isin(4, 9), "skipped").otherwise("error")
     return table(spark, sf, "part").groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id"))
 
 
-@query("explode_mapping", "WITH g AS (SELECT s_nationkey AS area, string_agg(CAST(s_suppkey AS VARCHAR), ', ' ORDER BY s_suppkey) AS members FROM supplier GROUP BY 1), m AS (SELECT area, CAST(trim(unnest(string_split(members, ','))) AS BIGINT) AS member FROM g), t AS (SELECT l_suppkey AS member, count(*) AS n FROM lineitem GROUP BY 1) SELECT area, count(*) AS members, coalesce(sum(n), 0)::BIGINT AS lines, count(*) - count(DISTINCT member) AS repeated FROM m LEFT JOIN t USING (member) GROUP BY area")
+@query("explode_mapping", """WITH g AS (SELECT s_nationkey AS area, string_agg(CAST(s_suppkey AS VARCHAR), ', '
+ORDER BY s_suppkey) AS members
+FROM supplier
+GROUP BY 1),
+m AS (SELECT area, CAST(trim(unnest(string_split(members, ','))) AS BIGINT) AS member
+FROM g),
+t AS (SELECT l_suppkey AS member, count(*) AS n
+FROM lineitem
+GROUP BY 1)
+SELECT area, count(*) AS members, coalesce(sum(n), 0)::BIGINT AS lines, count(*) - count(DISTINCT member) AS repeated
+FROM m
+LEFT
+JOIN t USING (member)
+GROUP BY area""")
 def query_explode_mapping(spark, sf):
     lists = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("area")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ", ").alias("members"))
     m = lists.select("area", F.explode(F.split("members", ",")).alias("m")).select("area", F.trim("m").cast("long").alias("member"))
@@ -243,14 +329,21 @@ def query_explode_mapping(spark, sf):
 # ---- fixed base rates, days with most events, mapped orders, counts of rows and totals
 
 
-@query("fixed_base_ratio", f"WITH {NATIONS} SELECT id, round(population * 0.008::DOUBLE, 6) AS expected, round(CASE WHEN population > 0 THEN observed / (population * 0.008::DOUBLE) ELSE 0 END, 6) AS ratio FROM v")
+@query("fixed_base_ratio", f"""WITH {NATIONS} SELECT id, round(population * 0.008::DOUBLE, 6) AS expected, round(CASE WHEN population > 0 THEN observed / (population * 0.008::DOUBLE) ELSE 0 END, 6) AS ratio
+FROM v""")
 def query_fixed_base_ratio(spark, sf):
     """Expected counts from a fixed base rate of 800 in 100,000."""
     v = nation_counts(spark, sf).withColumn("expected", F.col("population") * 0.008)
     return rounded(v.select("id", "expected", C.ratio(F.col("observed"), F.col("expected")).alias("ratio")), "expected", "ratio")
 
 
-@query("busiest_day", "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, max(n) AS most, min(CASE WHEN n = top THEN day END) AS day FROM (SELECT *, max(n) OVER (PARTITION BY event_type) AS top FROM d) GROUP BY event_type")
+@query("busiest_day", """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n
+FROM events
+GROUP BY ALL)
+SELECT event_type, max(n) AS most, min(CASE WHEN n = top THEN day END) AS day
+FROM (SELECT *, max(n) OVER (PARTITION BY event_type) AS top
+FROM d)
+GROUP BY event_type""")
 def query_busiest_day(spark, sf):
     """Each type's day with most events; of equal days the first."""
     d = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
@@ -261,7 +354,9 @@ def query_busiest_day(spark, sf):
 _MAPPED = {"MACHINERY": 1, "BUILDING": 2, "HOUSEHOLD": 3}
 
 
-@query("mapped_order", "SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 9 END, c_mktsegment, c_custkey) AS place FROM customer")
+@query("mapped_order", """SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_nationkey
+ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 9 END, c_mktsegment, c_custkey) AS place
+FROM customer""")
 def query_mapped_order(spark, sf):
     """Rows in an order that a mapping of a column gives; values without a place come last, by name."""
     place = F.coalesce(F.create_map(*(F.lit(x) for kv in _MAPPED.items() for x in kv))[F.col("c_mktsegment")], F.lit(9))
@@ -313,7 +408,15 @@ _WIDTH, _BANDS = 525, 21
 _BAND_SQL = ", ".join(f"count(CASE WHEN c_acctbal > {_WIDTH * k - 1000} AND c_acctbal <= {_WIDTH * k + _WIDTH - 1000} THEN 1 END) AS band{k + 1}" for k in range(_BANDS))
 
 
-@query("bands_of_all_areas", f"WITH b AS (SELECT c_nationkey AS code, {_BAND_SQL}, count(*) AS total FROM customer GROUP BY c_nationkey), u AS (SELECT *, total - ({' + '.join(f'band{k + 1}' for k in range(_BANDS))}) AS unknown FROM b) SELECT *, unknown < 0 AS fault FROM u UNION ALL SELECT NULL, {', '.join(f'sum(band{k + 1})::BIGINT' for k in range(_BANDS))}, sum(total)::BIGINT, sum(unknown)::BIGINT, sum(unknown) < 0 FROM u")
+@query("bands_of_all_areas", f"""WITH b AS (SELECT c_nationkey AS code, {_BAND_SQL}, count(*) AS total
+FROM customer
+GROUP BY c_nationkey),
+u AS (SELECT *, total - ({' + '.join(f'band{k + 1}' for k in range(_BANDS))}) AS unknown
+FROM b)
+SELECT *, unknown < 0 AS fault
+FROM u
+UNION ALL SELECT NULL, {', '.join(f'sum(band{k + 1})::BIGINT' for k in range(_BANDS))}, sum(total)::BIGINT, sum(unknown)::BIGINT, sum(unknown) < 0
+FROM u""")
 def query_bands_of_all_areas(spark, sf):
     """Counts of 21 bands by area and, added band by band, of all areas (code null); what no band holds must not be negative."""
     x = F.col("c_acctbal")
@@ -325,7 +428,14 @@ def query_bands_of_all_areas(spark, sf):
     return b.union(whole).withColumn("fault", F.col("unknown") < 0)
 
 
-@query("mapping_repeats", "WITH g AS (SELECT l_partkey AS area, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ', ') AS members FROM lineitem GROUP BY 1), m AS (SELECT area, CAST(trim(unnest(string_split(members, ','))) AS BIGINT) AS member FROM g) SELECT member, count(*) AS areas, min(area) AS first_area FROM m GROUP BY member HAVING count(*) > 1")
+@query("mapping_repeats", """WITH g AS (SELECT l_partkey AS area, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ', ') AS members
+FROM lineitem
+GROUP BY 1),
+m AS (SELECT area, CAST(trim(unnest(string_split(members, ','))) AS BIGINT) AS member
+FROM g)
+SELECT member, count(*) AS areas, min(area) AS first_area
+FROM m
+GROUP BY member HAVING count(*) > 1""")
 def query_mapping_repeats(spark, sf):
     """Members of comma lists that more than one area names: such keys are errors of a mapping, not counts."""
     lists = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("area")).agg(F.array_join(F.collect_set(F.col("l_suppkey").cast("string")), ", ").alias("members"))

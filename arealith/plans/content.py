@@ -29,20 +29,41 @@ def _links(spark, sf):
 _LINKS = "k AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS link FROM pages)"
 
 
-@query("page_links", f"WITH {_LINKS} SELECT page_id, count(*) AS links, sum(CASE WHEN regexp_matches(link, '^(https?:)?//') THEN 1 ELSE 0 END)::BIGINT AS external, sum(CASE WHEN starts_with(link, '#') THEN 1 ELSE 0 END)::BIGINT AS anchors, count(DISTINCT link) AS distinct_links FROM k GROUP BY page_id")
+@query("page_links", f"""WITH {_LINKS} SELECT page_id, count(*) AS links, sum(CASE WHEN regexp_matches(link, '^(https?:)?//') THEN 1 ELSE 0 END)::BIGINT AS external, sum(CASE WHEN starts_with(link, '#') THEN 1 ELSE 0 END)::BIGINT AS anchors, count(DISTINCT link) AS distinct_links
+FROM k
+GROUP BY page_id""")
 def query_page_links(spark, sf):
     is_ = lambda c: F.sum(c.cast("long"))
     return _links(spark, sf).groupBy("page_id").agg(F.count("*").alias("links"), is_(F.col("link").rlike("^(https?:)?//")).alias("external"), is_(F.col("link").startswith("#")).alias("anchors"), F.countDistinct("link").alias("distinct_links"))
 
 
-@query("broken_links", f"WITH {_LINKS}, t AS (SELECT page_id, link FROM k WHERE starts_with(link, '/') AND NOT starts_with(link, '//')), s AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages) SELECT page_id, link, CASE WHEN ends_with(link, '/') THEN 'directory' ELSE 'broken' END AS fault, count(*) AS n FROM t WHERE split_part(split_part(link, '#', 1), '?', 1) NOT IN (SELECT path FROM s WHERE path IS NOT NULL) GROUP BY ALL")
+@query("broken_links", f"""WITH {_LINKS}, t AS (SELECT page_id, link
+FROM k
+WHERE starts_with(link, '/') AND NOT starts_with(link, '//')),
+s AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path
+FROM pages)
+SELECT page_id, link, CASE WHEN ends_with(link, '/') THEN 'directory' ELSE 'broken' END AS fault, count(*) AS n
+FROM t
+WHERE split_part(split_part(link, '#', 1), '?', 1) NOT IN (SELECT path
+FROM s
+WHERE path IS NOT NULL)
+GROUP BY ALL""")
 def query_broken_links(spark, sf):
     t = _links(spark, sf).filter("startswith(link, '/') and not startswith(link, '//')").withColumn("path", F.substring_index(F.substring_index("link", "#", 1), "?", 1))
     known = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path")).distinct()
     return t.join(known, "path", "left_anti").groupBy("page_id", "link", F.when(F.col("link").endswith("/"), "directory").otherwise("broken").alias("fault")).agg(F.count("*").alias("n"))
 
 
-@query("manifest_check", "WITH n AS (SELECT doc_id, source, sha256(replace(text, chr(13) || chr(10), chr(10))) AS now FROM documents), m AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 3 THEN 'stale' ELSE now END AS noted FROM n WHERE doc_id % 10 <> 4) SELECT coalesce(n.doc_id, m.doc_id) AS doc_id, CASE WHEN m.doc_id IS NULL THEN 'missing' ELSE 'mismatch' END AS fault FROM n LEFT JOIN m ON m.doc_id = n.doc_id WHERE m.doc_id IS NULL OR m.noted <> n.now")
+@query("manifest_check", """WITH n AS (SELECT doc_id, source, sha256(replace(text, chr(13) || chr(10), chr(10))) AS now
+FROM documents),
+m AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 3 THEN 'stale' ELSE now END AS noted
+FROM n
+WHERE doc_id % 10 <> 4)
+SELECT coalesce(n.doc_id, m.doc_id) AS doc_id, CASE WHEN m.doc_id IS NULL THEN 'missing' ELSE 'mismatch' END AS fault
+FROM n
+LEFT
+JOIN m ON m.doc_id = n.doc_id
+WHERE m.doc_id IS NULL OR m.noted <> n.now""")
 def query_manifest_check(spark, sf):
     now = table(spark, sf, "documents").select("doc_id", F.sha2(F.replace("text", F.lit("\r\n"), F.lit("\n")), 256).alias("now"))
     noted = now.filter("doc_id % 10 <> 4").select("doc_id", F.when(F.col("doc_id") % 10 == 3, "stale").otherwise(F.col("now")).alias("noted"))
@@ -50,13 +71,16 @@ def query_manifest_check(spark, sf):
     return both.filter(F.col("noted").isNull() | (F.col("noted") != F.col("now"))).select("doc_id", F.when(F.col("noted").isNull(), "missing").otherwise("mismatch").alias("fault"))
 
 
-@query("json_props", "SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most, sum(CASE WHEN json_extract_string(props, '$.missing') IS NULL THEN 1 ELSE 0 END)::BIGINT AS without FROM events GROUP BY event_type")
+@query("json_props", """SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most, sum(CASE WHEN json_extract_string(props, '$.missing') IS NULL THEN 1 ELSE 0 END)::BIGINT AS without
+FROM events
+GROUP BY event_type""")
 def query_json_props(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.from_json("props", "k bigint, missing string").alias("p"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("total"), F.max("p.k").alias("most"), F.sum(F.col("p.missing").isNull().cast("long")).alias("without"))
 
 
-@query("json_types", "SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'number' ELSE 'other' END AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 0 AND 3 AS in_range FROM events")
+@query("json_types", """SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'number' ELSE 'other' END AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 0 AND 3 AS in_range
+FROM events""")
 def query_json_types(spark, sf):
     kind = F.schema_of_variant(F.parse_json("props"))
     e = table(spark, sf, "events")
@@ -107,7 +131,13 @@ def query_word_bias(spark, sf):
     return w.groupBy("file").agg(F.sum(F.when(own, n).otherwise(0)).cast("long").alias("correct"), F.sum(F.when(~own, n).otherwise(0)).cast("long").alias("wrong"), F.sum(occurrences(F.col("text"), "th")).alias("th"))
 
 
-@query("pass_gate", "WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS ok, min(event_id) AS first FROM events GROUP BY ALL) SELECT user_id, min(day) AS passed_on, count(*) AS passes, count(*) >= 2 AS certificate FROM s WHERE ok >= ceil(n * 0.8) GROUP BY user_id")
+@query("pass_gate", """WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS ok, min(event_id) AS first
+FROM events
+GROUP BY ALL)
+SELECT user_id, min(day) AS passed_on, count(*) AS passes, count(*) >= 2 AS certificate
+FROM s
+WHERE ok >= ceil(n * 0.8)
+GROUP BY user_id""")
 def query_pass_gate(spark, sf):
     s = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum((F.col("event_type") != "error").cast("long")).alias("ok"))
     return s.filter(F.col("ok") >= F.ceil(F.col("n") * 0.8)).groupBy("user_id").agg(F.min("day").alias("passed_on"), F.count("*").alias("passes"), (F.count("*") >= 2).alias("certificate"))
@@ -133,7 +163,13 @@ def _resolved_sql(base: str, link: str, steps: int = 12) -> str:
 _DRESSED = "k AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN raw WHEN 1 THEN '../.' || raw ELSE './a/../..' || raw || '?q=1#top' END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS raw FROM pages))"
 
 
-@query("resolved_links", f"WITH {_DRESSED}, b AS (SELECT *, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), ''), '/') AS base, {_BARE} AS bare FROM k), r AS (SELECT page_id, link, CASE WHEN NOT (regexp_matches(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)') OR bare = '') THEN {_resolved_sql('base', 'bare')} END AS path FROM b) SELECT page_id, link, path, count(*) AS n FROM r GROUP BY ALL")
+@query("resolved_links", f"""WITH {_DRESSED}, b AS (SELECT *, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), ''), '/') AS base, {_BARE} AS bare
+FROM k),
+r AS (SELECT page_id, link, CASE WHEN NOT (regexp_matches(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)') OR bare = '') THEN {_resolved_sql('base', 'bare')} END AS path
+FROM b)
+SELECT page_id, link, path, count(*) AS n
+FROM r
+GROUP BY ALL""")
 def query_resolved_links(spark, sf):
     """Every link's path, relative ones resolved against their page."""
     p = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), 1)).alias("raw"))
@@ -144,7 +180,20 @@ def query_resolved_links(spark, sf):
     return p.select("page_id", link.alias("link"), resolved_path(base, link).alias("path")).groupBy("page_id", "link", "path").agg(F.count("*").alias("n"))
 
 
-@query("manifest_orphans", "WITH f AS (SELECT doc_id, lang FROM documents), m AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 4 UNION ALL SELECT doc_id + 10000000 FROM documents WHERE doc_id % 10 = 7) SELECT f.doc_id, CASE WHEN lang = 'en' THEN 'not rendered' ELSE 'orphan' END AS fault FROM f ANTI JOIN m USING (doc_id) UNION ALL SELECT m.doc_id, 'file missing' FROM m ANTI JOIN f USING (doc_id)")
+@query("manifest_orphans", """WITH f AS (SELECT doc_id, lang
+FROM documents),
+m AS (SELECT doc_id
+FROM documents
+WHERE doc_id % 10 <> 4
+UNION ALL SELECT doc_id + 10000000
+FROM documents
+WHERE doc_id % 10 = 7)
+SELECT f.doc_id, CASE WHEN lang = 'en' THEN 'not rendered' ELSE 'orphan' END AS fault
+FROM f ANTI
+JOIN m USING (doc_id)
+UNION ALL SELECT m.doc_id, 'file missing'
+FROM m ANTI
+JOIN f USING (doc_id)""")
 def query_manifest_orphans(spark, sf):
     """Files against a manifest both ways: sources that it lacks are not rendered, other files orphans, and entries may lack a file."""
     f = table(spark, sf, "documents").select("doc_id", "lang")

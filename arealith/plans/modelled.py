@@ -28,10 +28,17 @@ def _counts(spark, sf):
     return v.crossJoin(F.broadcast(crude)).withColumn("expected", 0.9 * F.col("crude") * F.col("population")).drop("crude")
 
 
-_GLM = "ex AS (SELECT id, observed, 0.9::DOUBLE * (SELECT sum(observed)::DOUBLE / sum(population) FROM v0) * population AS expected FROM v0), g AS (SELECT ln(sum(observed) / sum(expected)) AS intercept, 1 / sqrt(sum(observed)) AS se FROM ex)"
+_GLM = """ex AS (SELECT id, observed, 0.9::DOUBLE * (SELECT sum(observed)::DOUBLE / sum(population)
+FROM v0) * population AS expected
+FROM v0),
+g AS (SELECT ln(sum(observed) / sum(expected)) AS intercept, 1 / sqrt(sum(observed)) AS se
+FROM ex)"""
 
 
-@query("glm_intercept_resid_moran", f"WITH {NATIONS.replace('v AS', 'v0 AS')}, {_GLM}, v AS (SELECT v0.id, r, c, (ex.observed - expected * exp(intercept)) / sqrt(expected * exp(intercept)) AS x FROM v0 JOIN ex ON ex.id = v0.id, g), {QUEEN}, {WEIGHTS}, {LAGGED}, {MORAN} SELECT round(intercept, 6) AS intercept, round(se, 6) AS se, n, round(i, 6) + 0.0 AS i, round(p, 6) + 0.0 AS p FROM g, moran")
+@query("glm_intercept_resid_moran", f"""WITH {NATIONS.replace('v AS', 'v0 AS')}, {_GLM}, v AS (SELECT v0.id, r, c, (ex.observed - expected * exp(intercept)) / sqrt(expected * exp(intercept)) AS x
+FROM v0
+JOIN ex ON ex.id = v0.id, g), {QUEEN}, {WEIGHTS}, {LAGGED}, {MORAN} SELECT round(intercept, 6) AS intercept, round(se, 6) AS se, n, round(i, 6) + 0.0 AS i, round(p, 6) + 0.0 AS p
+FROM g, moran""")
 def query_glm_intercept_resid_moran(spark, sf):
     counts = _counts(spark, sf)
     fit = M.intercept_glm(counts)
@@ -39,14 +46,24 @@ def query_glm_intercept_resid_moran(spark, sf):
     return rounded(fit.crossJoin(F.broadcast(m)), "intercept", "se", "i", "p")
 
 
-_RICH = "ri AS (SELECT c_nationkey AS id, 10 * avg(CASE WHEN c_acctbal > 5000 THEN 1.0 ELSE 0.0 END)::DOUBLE AS s FROM customer GROUP BY 1), d AS (SELECT observed::DOUBLE AS y, expected AS e, s FROM ex JOIN ri USING (id) WHERE expected > 0)"
+_RICH = """ri AS (SELECT c_nationkey AS id, 10 * avg(CASE WHEN c_acctbal > 5000 THEN 1.0 ELSE 0.0 END)::DOUBLE AS s
+FROM customer
+GROUP BY 1),
+d AS (SELECT observed::DOUBLE AS y, expected AS e, s
+FROM ex
+JOIN ri USING (id)
+WHERE expected > 0)"""
 
 
 def _newton_sql(steps: int = 12) -> str:
     """Newton steps of the two coefficients, one table each."""
     out = "n0 AS (SELECT ln(sum(y) / sum(e)) AS a, 0.0::DOUBLE AS b FROM d)"
     for k in range(steps):
-        out += f", s{k} AS (SELECT a, b, sum(m) AS m0, sum(m * s) AS m1, sum(m * s * s) AS m2, sum(y - m) AS r0, sum((y - m) * s) AS r1 FROM (SELECT *, e * exp(a + b * s) AS m FROM d, n{k}) GROUP BY a, b), n{k + 1} AS (SELECT a + (m2 * r0 - m1 * r1) / (m0 * m2 - m1 * m1) AS a, b + (m0 * r1 - m1 * r0) / (m0 * m2 - m1 * m1) AS b FROM s{k})"
+        out += f""", s{k} AS (SELECT a, b, sum(m) AS m0, sum(m * s) AS m1, sum(m * s * s) AS m2, sum(y - m) AS r0, sum((y - m) * s) AS r1
+FROM (SELECT *, e * exp(a + b * s) AS m
+FROM d, n{k})
+GROUP BY a, b), n{k + 1} AS (SELECT a + (m2 * r0 - m1 * r1) / (m0 * m2 - m1 * m1) AS a, b + (m0 * r1 - m1 * r0) / (m0 * m2 - m1 * m1) AS b
+FROM s{k})"""
     return out + f", f AS (SELECT 'intercept' AS term, a AS v FROM n{steps} UNION ALL SELECT 'share10', b FROM n{steps})"
 
 
@@ -56,7 +73,13 @@ def query_glm_covariate(spark, sf):
     return rounded(M.covariate_glm(_counts(spark, sf).join(rich, "id"), ["share10"]), "coefficient", "rate_ratio", digits=5)
 
 
-_RETURNED = "ct AS (SELECT l_suppkey AS id, count(*) AS lines, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS observed FROM lineitem GROUP BY 1), co AS (SELECT v.id, observed, lines * (SELECT sum(observed)::DOUBLE / sum(lines) FROM ct) AS expected FROM v JOIN ct ON ct.id = v.id)"
+_RETURNED = """ct AS (SELECT l_suppkey AS id, count(*) AS lines, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS observed
+FROM lineitem
+GROUP BY 1),
+co AS (SELECT v.id, observed, lines * (SELECT sum(observed)::DOUBLE / sum(lines)
+FROM ct) AS expected
+FROM v
+JOIN ct ON ct.id = v.id)"""
 
 
 def _smooth_sql(model: str, rounds: int = 8) -> str:
@@ -64,8 +87,15 @@ def _smooth_sql(model: str, rounds: int = 8) -> str:
     own = "own + 0.5 * (observed - m - own / 0.1) / (m + 1 / 0.1)" if model == "bym" else "own"
     out = "a0 AS (SELECT id, observed, expected, (SELECT ln(sum(observed)::DOUBLE / sum(expected)) FROM co) AS level, 0.0::DOUBLE AS effect, 0.0::DOUBLE AS own FROM co)"
     for k in range(rounds):
-        out += f", b{k} AS (SELECT src AS id, sum(effect) AS around, count(*) AS degree FROM e JOIN a{k} ON id = dst GROUP BY src), a{k + 1} AS (SELECT id, observed, expected, level, effect + 0.5 * (observed - m - ({pull} * (degree * effect - around) + {rest} * effect) / 0.5) / (m + ({pull} * degree + {rest}) / 0.5) AS effect, {own} AS own FROM (SELECT a.*, around, degree, expected * exp(level + effect + own) AS m FROM a{k} a JOIN b{k} USING (id)))"
-    return f"WITH {SUPPLIERS}, {QUEEN}, {_RETURNED}, {out} SELECT id, observed, round(expected, 6) AS expected, round(effect + own, 6) + 0.0 AS effect, round(exp(level + effect + own), 6) AS risk FROM a{rounds}"
+        out += f""", b{k} AS (SELECT src AS id, sum(effect) AS around, count(*) AS degree
+FROM e
+JOIN a{k} ON id = dst
+GROUP BY src), a{k + 1} AS (SELECT id, observed, expected, level, effect + 0.5 * (observed - m - ({pull} * (degree * effect - around) + {rest} * effect) / 0.5) / (m + ({pull} * degree + {rest}) / 0.5) AS effect, {own} AS own
+FROM (SELECT a.*, around, degree, expected * exp(level + effect + own) AS m
+FROM a{k} a
+JOIN b{k} USING (id)))"""
+    return f"""WITH {SUPPLIERS}, {QUEEN}, {_RETURNED}, {out} SELECT id, observed, round(expected, 6) AS expected, round(effect + own, 6) + 0.0 AS effect, round(exp(level + effect + own), 6) AS risk
+FROM a{rounds}"""
 
 
 def _smooth(model):

@@ -73,18 +73,34 @@ def query_tiered_linkage(spark, sf):
     return _link(spark, sf)
 
 
-@query("linkage_stage_report", f"WITH {_LINK} SELECT method AS stage, count(*) AS roster_rows, count(DISTINCT ref_id) AS refs, sum(CASE WHEN contested THEN 1 ELSE 0 END)::BIGINT AS contested FROM lk GROUP BY method")
+@query("linkage_stage_report", f"""WITH {_LINK} SELECT method AS stage, count(*) AS roster_rows, count(DISTINCT ref_id) AS refs, sum(CASE WHEN contested THEN 1 ELSE 0 END)::BIGINT AS contested
+FROM lk
+GROUP BY method""")
 def query_linkage_stage_report(spark, sf):
     return _link(spark, sf).groupBy(F.col("method").alias("stage")).agg(F.count("*").alias("roster_rows"), F.countDistinct("ref_id").alias("refs"), F.sum(F.col("contested").cast("long")).alias("contested"))
 
 
-@query("resolve_codes", f"WITH {_PARTS}, c AS (SELECT block, norm, count(DISTINCT p_type) AS n, min(p_type) AS code FROM p WHERE id % 2 = 0 GROUP BY ALL) SELECT p.id, CASE WHEN n = 1 THEN code END AS code, CASE WHEN n IS NULL THEN 'not found' WHEN n > 1 THEN 'several codes' ELSE '' END AS reason FROM p LEFT JOIN c USING (block, norm) WHERE id % 2 = 1")
+@query("resolve_codes", f"""WITH {_PARTS}, c AS (SELECT block, norm, count(DISTINCT p_type) AS n, min(p_type) AS code
+FROM p
+WHERE id % 2 = 0
+GROUP BY ALL)
+SELECT p.id, CASE WHEN n = 1 THEN code END AS code, CASE WHEN n IS NULL THEN 'not found' WHEN n > 1 THEN 'several codes' ELSE '' END AS reason
+FROM p
+LEFT
+JOIN c USING (block, norm)
+WHERE id % 2 = 1""")
 def query_resolve_codes(spark, sf):
     p = _parts(spark, sf)
     return L.resolved_codes(p.filter("id % 2 = 1").select("id", "block", "norm"), p.filter("id % 2 = 0").select("block", "norm", F.col("p_type").alias("code")))
 
 
-@query("prefix_proposals", f"WITH {_PARTS}, q AS (SELECT a.id, b.id AS candidate, row_number() OVER (PARTITION BY a.id ORDER BY length(b.norm), b.norm, b.id) AS rank FROM p a JOIN p b ON a.block = b.block AND a.norm <> b.norm AND a.id % 2 = 1 AND b.id % 2 = 0 AND least(length(a.norm), length(b.norm)) >= 4 AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm))) SELECT * FROM q WHERE rank <= 3")
+@query("prefix_proposals", f"""WITH {_PARTS}, q AS (SELECT a.id, b.id AS candidate, row_number() OVER (PARTITION BY a.id
+ORDER BY length(b.norm), b.norm, b.id) AS rank
+FROM p a
+JOIN p b ON a.block = b.block AND a.norm <> b.norm AND a.id % 2 = 1 AND b.id % 2 = 0 AND least(length(a.norm), length(b.norm)) >= 4 AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm)))
+SELECT *
+FROM q
+WHERE rank <= 3""")
 def query_prefix_proposals(spark, sf):
     p = _parts(spark, sf).select("id", "block", "norm")
     return L.prefix_proposals(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"))
@@ -119,7 +135,17 @@ def query_name_normalise_wide(spark, sf):
     return p.select("id", norm.alias("norm")).select("id", "norm", L.type_word_only(F.col("norm")).alias("type_only"))
 
 
-@query("crosswalk_validate", "WITH x AS (SELECT p_partkey AS id, p_type AS basis, p_brand AS code, p_name FROM part) SELECT 'basis' AS rule, CAST(id AS VARCHAR) AS code FROM x WHERE basis NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD') UNION ALL SELECT 'unique key', p_name || '|' || code FROM x GROUP BY p_name, code HAVING count(*) > 1 UNION ALL SELECT 'code rule', CAST(id AS VARCHAR) FROM x WHERE basis = 'PROMO' AND NOT regexp_matches(code, '^Brand#1[0-9]$')")
+@query("crosswalk_validate", """WITH x AS (SELECT p_partkey AS id, p_type AS basis, p_brand AS code, p_name
+FROM part)
+SELECT 'basis' AS rule, CAST(id AS VARCHAR) AS code
+FROM x
+WHERE basis NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD')
+UNION ALL SELECT 'unique key', p_name || '|' || code
+FROM x
+GROUP BY p_name, code HAVING count(*) > 1
+UNION ALL SELECT 'code rule', CAST(id AS VARCHAR)
+FROM x
+WHERE basis = 'PROMO' AND NOT regexp_matches(code, '^Brand#1[0-9]$')""")
 def query_crosswalk_validate(spark, sf):
     x = table(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
@@ -162,7 +188,15 @@ def query_distance_band(spark, sf):
     return rounded(G.close_pairs(_points(spark, sf), 60.0), "km")
 
 
-@query("knn", f"WITH {_POINTS}, d AS (SELECT a.id AS src, b.id AS dst, {_KM} AS km FROM pt a JOIN pt b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(km, 9), dst) AS rank FROM d) SELECT src, dst, round(km, 6) AS km, rank FROM k WHERE rank <= 4")
+@query("knn", f"""WITH {_POINTS}, d AS (SELECT a.id AS src, b.id AS dst, {_KM} AS km
+FROM pt a
+JOIN pt b ON a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY src
+ORDER BY round(km, 9), dst) AS rank
+FROM d)
+SELECT src, dst, round(km, 6) AS km, rank
+FROM k
+WHERE rank <= 4""")
 def query_knn(spark, sf):
     return rounded(G.nearest(_points(spark, sf), 4, 40.0), "km")
 
@@ -191,7 +225,10 @@ def _estates(spark, sf):
 _ESTATES = "s AS (SELECT id, 130 + 4.0::DOUBLE * c AS x, 10 + 4.0::DOUBLE * r AS y, id % 2 = 0 AS two FROM v)"
 
 
-@query("centroids", f"WITH {SUPPLIERS}, {_ESTATES}, a AS (SELECT *, CASE WHEN two THEN 2 ELSE 0 END AS more FROM s) SELECT id AS code, round((4 * (x + 1) - 0.25 * (x + 1.25) + more * (x + 3)) / (3.75 + more), 6) AS x, round((4 * (y + 1) - 0.25 * (y + 1.25) + more * (y + 0.5)) / (3.75 + more), 6) AS y FROM a")
+@query("centroids", f"""WITH {SUPPLIERS}, {_ESTATES}, a AS (SELECT *, CASE WHEN two THEN 2 ELSE 0 END AS more
+FROM s)
+SELECT id AS code, round((4 * (x + 1) - 0.25 * (x + 1.25) + more * (x + 3)) / (3.75 + more), 6) AS x, round((4 * (y + 1) - 0.25 * (y + 1.25) + more * (y + 0.5)) / (3.75 + more), 6) AS y
+FROM a""")
 def query_centroids(spark, sf):
     return rounded(_estates(spark, sf).select(F.col("id").alias("code"), G.centroid(F.col("parts")).alias("p")).select("code", "p.x", "p.y"), "x", "y")
 
@@ -209,7 +246,10 @@ _BANDS, _NEAREST = (10.5, 12.0, 20.0), (4, 6)
 
 def _choice_sql(name, edges):
     km = f"(SELECT a.id AS src, b.id AS dst, {_KM} AS km FROM pl a JOIN pl b ON a.id <> b.id)"
-    return f"(WITH {SUPPLIERS}, {_PLACES}, {edges.format(km=km)}, {WEIGHTS}, {LAGGED}, {MORAN} SELECT '{name}' AS weights, n, round(i, 6) + 0.0 AS i, round(p, 6) + 0.0 AS p, (SELECT count(*) FROM l WHERE degree = 0) AS isolates FROM moran)"
+    return f"""(WITH {SUPPLIERS}, {_PLACES}, {edges.format(km=km)}, {WEIGHTS}, {LAGGED}, {MORAN} SELECT '{name}' AS weights, n, round(i, 6) + 0.0 AS i, round(p, 6) + 0.0 AS p, (SELECT count(*)
+FROM l
+WHERE degree = 0) AS isolates
+FROM moran)"""
 
 
 _CHOICES = {"queen": QUEEN}
@@ -243,7 +283,15 @@ def _vertices(spark, sf):
 _VERT = f"{SUPPLIERS}, ve AS (SELECT id, c + dx + 0.00005::DOUBLE * (id % 3) AS x, r + dy AS y FROM v, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))"
 
 
-@query("snap_sensitivity", f"WITH {_VERT}, pr AS (SELECT DISTINCT a.id AS src, b.id AS dst, s FROM ve a JOIN ve b ON a.id <> b.id, (VALUES (0.0), (0.0001), (0.001)) t(s) WHERE abs(a.x - b.x) < 0.01 AND a.y = b.y AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= s * s) SELECT round(t.s, 6)::DOUBLE AS snap, count(pr.src) AS edges FROM (VALUES (0.0), (0.0001), (0.001)) t(s) LEFT JOIN pr ON pr.s = t.s GROUP BY t.s")
+@query("snap_sensitivity", f"""WITH {_VERT}, pr AS (SELECT DISTINCT a.id AS src, b.id AS dst, s
+FROM ve a
+JOIN ve b ON a.id <> b.id, (VALUES (0.0), (0.0001), (0.001)) t(s)
+WHERE abs(a.x - b.x) < 0.01 AND a.y = b.y AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= s * s)
+SELECT round(t.s, 6)::DOUBLE AS snap, count(pr.src) AS edges
+FROM (VALUES (0.0), (0.0001), (0.001)) t(s)
+LEFT
+JOIN pr ON pr.s = t.s
+GROUP BY t.s""")
 def query_snap_sensitivity(spark, sf):
     v = _vertices(spark, sf)
     out = None
@@ -275,7 +323,18 @@ def query_snap_adoption(spark, sf):
 # ---- graphs: supplier lattice broken at every fifth row, or joined by one edge
 
 
-@query("components", f"WITH RECURSIVE {SUPPLIERS}, {QUEEN.replace('e AS', 'q AS', 1)}, e AS (SELECT src, dst FROM q JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.r // 3 = b.r // 3), t AS (SELECT id, id AS root FROM v UNION SELECT e.dst, t.root FROM t JOIN e ON e.src = t.id) SELECT id, min(root) AS component FROM t GROUP BY id")
+@query("components", f"""WITH RECURSIVE {SUPPLIERS}, {QUEEN.replace('e AS', 'q AS', 1)}, e AS (SELECT src, dst
+FROM q
+JOIN v a ON a.id = src
+JOIN v b ON b.id = dst
+WHERE a.r // 3 = b.r // 3),
+t AS (SELECT id, id AS root
+FROM v UNION SELECT e.dst, t.root
+FROM t
+JOIN e ON e.src = t.id)
+SELECT id, min(root) AS component
+FROM t
+GROUP BY id""")
 def query_components(spark, sf):
     v = supplier_values(spark, sf)
     row = v.select("id", "r")
@@ -284,7 +343,11 @@ def query_components(spark, sf):
     return v.select("id").join(c, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-@query("component_sizes", f"WITH {SUPPLIERS}, c AS (SELECT id, min(id) OVER (PARTITION BY r // 3) AS component, r FROM v) SELECT component, count(*) AS size, count(DISTINCT r) AS row_count FROM c GROUP BY component")
+@query("component_sizes", f"""WITH {SUPPLIERS}, c AS (SELECT id, min(id) OVER (PARTITION BY r // 3) AS component, r
+FROM v)
+SELECT component, count(*) AS size, count(DISTINCT r) AS row_count
+FROM c
+GROUP BY component""")
 def query_component_sizes(spark, sf):
     v = supplier_values(spark, sf)
     c = QUERIES["components"](spark, sf)
@@ -306,7 +369,15 @@ def query_component_regions(spark, sf):
     return ordered.select("component", "size", (F.col("at") + 1).alias("place"), "regions")
 
 
-@query("isolates_are_components", f"WITH {SUPPLIERS}, {QUEEN.replace('e AS', 'q AS', 1)}, e AS (SELECT src, dst FROM q WHERE src % 7 <> 3 AND dst % 7 <> 3), a AS (SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)) SELECT count(*) AS isolates, count(*) AS single, 0::BIGINT AS differ FROM a")
+@query("isolates_are_components", f"""WITH {SUPPLIERS}, {QUEEN.replace('e AS', 'q AS', 1)}, e AS (SELECT src, dst
+FROM q
+WHERE src % 7 <> 3 AND dst % 7 <> 3),
+a AS (SELECT id
+FROM v
+WHERE id NOT IN (SELECT src
+FROM e))
+SELECT count(*) AS isolates, count(*) AS single, 0::BIGINT AS differ
+FROM a""")
 def query_isolates_are_components(spark, sf):
     """Areas without neighbours and components of one area, which must be the same."""
     v = supplier_values(spark, sf)
@@ -364,7 +435,12 @@ def query_linkage_checks(spark, sf):
     return out
 
 
-_PEOPLE = f"{_LINK}, w AS (SELECT lk.id, status, method, ref_id, p_size AS n, p.block, re.block AS ref_block, lk.id % 4 = 1 AS care FROM lk JOIN part ON p_partkey = lk.id JOIN p ON p.id = lk.id LEFT JOIN p re ON re.id = ref_id)"
+_PEOPLE = f"""{_LINK}, w AS (SELECT lk.id, status, method, ref_id, p_size AS n, p.block, re.block AS ref_block, lk.id % 4 = 1 AS care
+FROM lk
+JOIN part ON p_partkey = lk.id
+JOIN p ON p.id = lk.id
+LEFT
+JOIN p re ON re.id = ref_id)"""
 
 
 @query("linkage_conditions", f"""WITH {_PEOPLE}, c AS (SELECT block, sum(n) AS everyone, coalesce(sum(CASE WHEN status = 'matched' THEN n END), 0) AS mapped, coalesce(sum(CASE WHEN status = 'matched' AND care THEN n END), 0) AS care FROM w GROUP BY block),

@@ -35,14 +35,32 @@ def query_lattice_rook(spark, sf):
     return S.lattice_edges(supplier_values(spark, sf).select("id", "r", "c"), False)
 
 
-@query("edge_faults", f"WITH {SUPPLIERS}, {QUEEN}, f AS (SELECT src, dst FROM e WHERE NOT (src = 3 AND dst = 4) UNION ALL SELECT 7, -99) SELECT src, dst, 'asymmetric' AS fault FROM f WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.src = f.dst AND b.dst = f.src) UNION ALL SELECT src, dst, 'unknown id' FROM f WHERE dst NOT IN (SELECT id FROM v)")
+@query("edge_faults", f"""WITH {SUPPLIERS}, {QUEEN}, f AS (SELECT src, dst
+FROM e
+WHERE NOT (src = 3 AND dst = 4)
+UNION ALL SELECT 7, -99)
+SELECT src, dst, 'asymmetric' AS fault
+FROM f
+WHERE NOT EXISTS (SELECT 1
+FROM f b
+WHERE b.src = f.dst AND b.dst = f.src)
+UNION ALL SELECT src, dst, 'unknown id'
+FROM f
+WHERE dst NOT IN (SELECT id
+FROM v)""")
 def query_edge_faults(spark, sf):
     v = supplier_values(spark, sf)
     broken = queen(v).filter("not (src = 3 and dst = 4)").union(spark.range(1).select(F.lit(7), F.lit(-99)))
     return S.edge_faults(broken, v).select("src", "dst", "fault")
 
 
-@query("degree_summary", f"WITH {SUPPLIERS}, {QUEEN}, d AS (SELECT v.id, count(e.dst) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id) SELECT count(*) AS areas, sum(degree)::BIGINT AS edges, round(avg(degree), 6) AS mean_degree, min(degree) AS min_degree, max(degree) AS max_degree FROM d")
+@query("degree_summary", f"""WITH {SUPPLIERS}, {QUEEN}, d AS (SELECT v.id, count(e.dst) AS degree
+FROM v
+LEFT
+JOIN e ON e.src = v.id
+GROUP BY v.id)
+SELECT count(*) AS areas, sum(degree)::BIGINT AS edges, round(avg(degree), 6) AS mean_degree, min(degree) AS min_degree, max(degree) AS max_degree
+FROM d""")
 def query_degree_summary(spark, sf):
     v = supplier_values(spark, sf)
     return S.degrees(queen(v), v).agg(F.count("*").alias("areas"), F.sum("degree").alias("edges"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"))
@@ -121,13 +139,16 @@ def query_gi_star(spark, sf):
     return rounded(S.gi_star(v, queen(v)), "x", "gi")
 
 
-@query("gi_labels", f"WITH {SUPPLIERS}, {QUEEN}, {_GI} SELECT id, round(gi, 6) + 0.0 AS gi, CASE WHEN gi IS NULL THEN 'isolated' WHEN gi > 1.96 THEN 'hot' WHEN gi < -1.96 THEN 'cold' ELSE 'not significant' END AS label FROM gi")
+@query("gi_labels", f"""WITH {SUPPLIERS}, {QUEEN}, {_GI} SELECT id, round(gi, 6) + 0.0 AS gi, CASE WHEN gi IS NULL THEN 'isolated' WHEN gi > 1.96 THEN 'hot' WHEN gi < -1.96 THEN 'cold' ELSE 'not significant' END AS label
+FROM gi""")
 def query_gi_labels(spark, sf):
     v = supplier_values(spark, sf)
     return rounded(S.gi_star(v, queen(v)).select("id", "gi", hot_cold(F.col("gi")).alias("label")), "gi")
 
 
-@query("gi_counterfactual", f"WITH {NATIONS.replace('v AS', 'v0 AS')}, v AS (SELECT id, r, c, CASE WHEN id = 12 THEN x * 10 ELSE 100 END AS x FROM v0), {QUEEN}, {_GI} SELECT id, {_r('x', 'gi')} FROM gi")
+@query("gi_counterfactual", f"""WITH {NATIONS.replace('v AS', 'v0 AS')}, v AS (SELECT id, r, c, CASE WHEN id = 12 THEN x * 10 ELSE 100 END AS x
+FROM v0), {QUEEN}, {_GI} SELECT id, {_r('x', 'gi')}
+FROM gi""")
 def query_gi_counterfactual(spark, sf):
     v = nation_values(spark, sf).withColumn("x", F.when(F.col("id") == 12, F.col("x") * 10).otherwise(100.0))
     return rounded(S.gi_star(v, queen(v)), "x", "gi")
@@ -189,7 +210,19 @@ def query_maup_two_levels(spark, sf):
     return rounded(parts[0].unionByName(parts[1]), "i")
 
 
-@query("numerator_sensitivity", "WITH s AS (SELECT c_nationkey AS id, o_orderstatus AS series, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL), p AS (SELECT c_nationkey AS id, count(*) AS population FROM customer GROUP BY ALL), t AS (SELECT series, s.id, n::DOUBLE / population AS rate FROM s JOIN p USING (id)) SELECT series, id, round(rate, 6) AS rate, round(rate / avg(rate) OVER (PARTITION BY series), 6) AS against_mean, rank() OVER (PARTITION BY series ORDER BY round(rate, 9) DESC) AS place FROM t")
+@query("numerator_sensitivity", """WITH s AS (SELECT c_nationkey AS id, o_orderstatus AS series, count(*) AS n
+FROM orders
+JOIN customer ON c_custkey = o_custkey
+GROUP BY ALL),
+p AS (SELECT c_nationkey AS id, count(*) AS population
+FROM customer
+GROUP BY ALL),
+t AS (SELECT series, s.id, n::DOUBLE / population AS rate
+FROM s
+JOIN p USING (id))
+SELECT series, id, round(rate, 6) AS rate, round(rate / avg(rate) OVER (PARTITION BY series), 6) AS against_mean, rank() OVER (PARTITION BY series
+ORDER BY round(rate, 9) DESC) AS place
+FROM t""")
 def query_numerator_sensitivity(spark, sf):
     from pyspark.sql import Window
 
@@ -203,7 +236,10 @@ def query_numerator_sensitivity(spark, sf):
     return rounded(out, "rate", "against_mean")
 
 
-@query("truth_crosstab", "SELECT source, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END)::BIGINT AS clean, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS toxic, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) > count(*) / 2.0 AS mostly_good FROM labels JOIN documents USING (doc_id) GROUP BY source")
+@query("truth_crosstab", """SELECT source, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END)::BIGINT AS clean, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS toxic, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) > count(*) / 2.0 AS mostly_good
+FROM labels
+JOIN documents USING (doc_id)
+GROUP BY source""")
 def query_truth_crosstab(spark, sf):
     from arealith.sources.tables import table
 
@@ -220,9 +256,18 @@ def flagship(spark, sf):
 
 
 QUERIES["flagship"] = flagship
-SQL["flagship"] = f"SELECT s.*, g.gi, CASE WHEN g.gi IS NULL THEN 'isolated' WHEN g.gi > 1.96 THEN 'hot' WHEN g.gi < -1.96 THEN 'cold' ELSE 'not significant' END AS label FROM ({SQL['lisa']}) s JOIN ({SQL['gi_star']}) g ON g.id = s.id"
+SQL["flagship"] = f"""SELECT s.*, g.gi, CASE WHEN g.gi IS NULL THEN 'isolated' WHEN g.gi > 1.96 THEN 'hot' WHEN g.gi < -1.96 THEN 'cold' ELSE 'not significant' END AS label
+FROM ({SQL['lisa']}) s
+JOIN ({SQL['gi_star']}) g ON g.id = s.id"""
 
-_I = lambda x: f"(SELECT sum(z * lag) / sum(z * z) FROM (SELECT a.id, any_value(a.z) AS z, avg(b.z) AS lag FROM (SELECT id, x - avg(x) OVER () AS z FROM {x}) a JOIN e ON src = a.id JOIN (SELECT id, x - avg(x) OVER () AS z FROM {x}) b ON b.id = dst GROUP BY a.id))"
+_I = lambda x: f"""(SELECT sum(z * lag) / sum(z * z)
+FROM (SELECT a.id, any_value(a.z) AS z, avg(b.z) AS lag
+FROM (SELECT id, x - avg(x) OVER () AS z
+FROM {x}) a
+JOIN e ON src = a.id
+JOIN (SELECT id, x - avg(x) OVER () AS z
+FROM {x}) b ON b.id = dst
+GROUP BY a.id))"""
 
 
 @query("sweep_monotone", f"""WITH {SUPPLIERS}, {QUEEN}, s AS (SELECT src, dst FROM e UNION ALL SELECT id, id FROM v), x1 AS (SELECT src AS id, avg(x) AS x FROM s JOIN v ON v.id = dst GROUP BY src), x2 AS (SELECT src AS id, avg(x) AS x FROM s JOIN x1 ON x1.id = dst GROUP BY src),
@@ -256,7 +301,10 @@ def _level_sql(level, series):
     lisa = SQL["lisa"].split(LAGGED, 1)[1].lstrip(",\n ")
     own = f"{cells}, {v}, {e}, {WEIGHTS}, {LAGGED}, {MORAN}, {_GI}, {labels}, lc AS (WITH {lisa})"
     counts = ", ".join(f"(SELECT count(*) FROM lb WHERE label = '{k}') AS {n}" for k, n in (("hot", "hot"), ("cold", "cold"), ("not significant", "neither"), ("isolated", "isolated")))
-    return f"(WITH {own} SELECT '{level}' AS level, '{series}' AS series, n, round(i, 6) + 0.0 AS i, round(p, 6) + 0.0 AS p, {counts}, (SELECT count(*) FROM lc WHERE p < 0.05) AS significant FROM moran)"
+    return f"""(WITH {own} SELECT '{level}' AS level, '{series}' AS series, n, round(i, 6) + 0.0 AS i, round(p, 6) + 0.0 AS p, {counts}, (SELECT count(*)
+FROM lc
+WHERE p < 0.05) AS significant
+FROM moran)"""
 
 
 @query("maup_series", " UNION ALL ".join(f"SELECT * FROM {_level_sql(level, series)}" for level in ("nation", "region") for series in _SERIES))
