@@ -16,6 +16,7 @@ NAMES = {
     "op8_chat": "chat",
     "op9_grid_join": "vectors",
     "op10_quality": "quality",
+    "op11_merkle": "merkle",
 }
 
 
