@@ -17,6 +17,8 @@ NAMES = {
     "op9_grid_join": "vectors",
     "op10_quality": "quality",
     "op11_merkle": "merkle",
+    "op12_suffix_array": "repeats",
+    "op13_dual_tree": "lexical",
 }
 
 
