@@ -47,6 +47,8 @@ LOWER[0x41:0x5B] += 0x20
 BLOCK, SAMPLE = 32_768, 20_000
 #: Items of a node, nodes of the next one; the same of documents.
 ITEMS, DOCS = 8, 16
+#: Doubles hold all whole numbers below this; impacts are below a million.
+EXACT = 2**53
 LAST = np.iinfo(np.int64).max
 
 
@@ -115,7 +117,7 @@ class ItemTree:
             below = self.levels[-1]
             self.levels.append(np.maximum.reduceat(below, np.arange(0, len(below), ITEMS)) if len(below) else below)
         top = self.levels[-1].max(0).sum() if len(leaf) else 0
-        if top * 1_000_000 < 2**53:
+        if top * 1_000_000 < EXACT:
             self.levels = [x.astype(np.float64) for x in self.levels]
         self.empty = ~leaf.any(1)
 

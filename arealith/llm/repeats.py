@@ -181,7 +181,7 @@ def compared(places: DataFrame, length: int) -> DataFrame:
         # Lanes of about the same length go together, since a step takes all lanes that are not at their end.
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         size = offsets[np.r_[first[1:], len(anchor)]] - offsets[first]
-        for same in np.split(order := np.argsort(size, kind="stable"), np.flatnonzero(np.diff(np.cumsum(size[order]) // 1_500_000)) + 1):
+        for same in np.split(order := np.argsort(size, kind="stable"), np.flatnonzero(np.diff(np.cumsum(size[order]) // 1_000_000)) + 1):
             rows = np.concatenate([np.arange(first[k], first[k + 1] if k + 1 < len(first) else len(anchor)) for k in same])
             many = np.diff(offsets)[rows]
             begin = np.r_[0, np.cumsum(many)]
@@ -202,7 +202,7 @@ def compared(places: DataFrame, length: int) -> DataFrame:
             for k in range(0, batch.num_rows, 2_000):
                 held.append(batch.slice(k, 2_000))
                 size += held[-1].column("bytes").nbytes
-                if size < 6_000_000:
+                if size < 4_000_000:
                     continue
                 both = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 anchor = both.column("anchor")
@@ -235,7 +235,7 @@ def offset_hashes(places: DataFrame, length: int, step: int) -> DataFrame:
                     low, high = at - hi + 1, at - lo  # offsets of the last and the first window
                     many = high // step - low // step + 1
                     row = np.repeat(np.arange(len(lo)), many)
-                    part = (low // step)[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    part = (high // step)[row] - np.arange(len(row)) + np.repeat(np.cumsum(many) - many, many)  # places then ascend, as hashing wants
                     far, near = np.minimum(part * step + step - 1, high[row]), np.maximum(part * step, low[row])
                     place = offsets[row] + at[row] - lo[row]
                     core = span_hash(data, place - part * step, place - part * step - step + 1 + length)[0]
@@ -281,7 +281,7 @@ def split_by_content(places: DataFrame, length: int, step: int) -> DataFrame:
     cores = stored(cores.filter("n > 1"), "cores")
     shared = stored(parts.join(cores, "core"), "shared")
     whole = shared.filter("low = high").select(*_TEXT, F.col("first").alias("lo"), F.col("behind").alias("hi"))
-    mixed = shared.filter("low <> high").groupBy(*_TEXT, "lo").agg(F.collect_list("first").alias("first"), F.collect_list("behind").alias("behind"))
+    mixed = shared.filter("low <> high").groupBy(*_TEXT, "lo").agg(*(F.sort_array(F.collect_list(c)).alias(c) for c in ("first", "behind")))
     windows = stored(window_hashes(places.join(mixed, [*_TEXT, "lo"]), length), "windows")
     twice = stored(windows.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "twice")
     ones = windows.join(twice, ["x", "y"]).select(*_TEXT, F.col("start").alias("lo"), (F.col("start") + 1).alias("hi"))
