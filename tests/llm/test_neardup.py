@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -14,6 +15,11 @@ def sets(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
+def alike(x, y):
+    weigh = lambda z: sum(1 + math.log(len("".join(w).encode())) for w in z)
+    return len(x & y) >= 0.8 * len(x | y) or weigh(x & y) >= 0.8 * weigh(x | y)
+
+
 def classes(rows):
     ids = [r[0] for r in rows if r[0] is not None]
     up = {i: i for i in ids}
@@ -23,10 +29,10 @@ def classes(rows):
             x = up[x]
         return x
 
-    s = {r[0]: sets(r[1]) for r in rows if r[0] is not None}
-    for i in ids:
-        for j in ids:
-            if i < j and s[i] and s[j] and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]):
+    s = {i: [sets(r[1]) for r in rows if r[0] == i] for i in set(ids)}
+    for i in s:
+        for j in s:
+            if i < j and any(x and y and alike(x, y) for x in s[i] for y in s[j]):
                 a, b = sorted((find(i), find(j)))
                 up[b] = a
     return {i: find(i) for i in ids}
@@ -68,6 +74,36 @@ def test_classes_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_ids_with_two_texts_link_by_each(spark):
+    rng = random.Random(11)
+    words = [f"u{k}" for k in range(3000)]
+    text = lambda: [rng.choice(words) for _ in range(150)]
+    rows = []
+    for k in range(40):
+        for n, w in enumerate((text(), text())):
+            rows.append((k, " ".join(w), "c", "c"))
+            w[75] = "edited"
+            rows.append((1000 + 2 * k + n, " ".join(w), "c", "c"))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, COLS).repartition(4)).collect()}
+    assert got == classes(rows)
+    assert all(got[1000 + 2 * k + n] == k for k in range(40) for n in (0, 1))
+
+
+def test_weights_reach_links_and_bounds(spark):
+    # Edits of long words only: the plain similarity holds where the weighted one may not, and the reverse for short ones.
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        w = [rng.choice("abcdefgh") * rng.choice([1, 1, 2, 40]) + str(rng.randrange(500)) for _ in range(100)]
+        rows.append((2 * k, " ".join(w), "c", "c"))
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            w[rng.randrange(100)] = rng.choice(["x", "y" * 60])
+        rows.append((2 * k + 1, " ".join(w), "c", "c"))
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, COLS)).collect()}
+    assert got == classes(rows)
+
+
 def test_large_group_of_copies(spark):
     rng = random.Random(2)
     words = [f"v{k}" for k in range(5000)]
