@@ -104,16 +104,33 @@ def hash_uniform(*keys: Column) -> Column:
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def resolved_path(base: Column, link: Column, steps: int = 12) -> Column:
+def resolved_path(base: Column, link: Column) -> Column:
     """The path that a link leads to from a page's path: query and anchor off, relative to the page's folder, dots resolved.
 
-    Null for links to other hosts and to anchors of the page. At most ``steps`` folders are gone up.
+    Null for links to other hosts and to anchors of the page. What would lie above the root is at the root.
     """
     bare = F.regexp_replace(link, "[?#].*$", "")
-    folder = F.regexp_replace(base, "[^/]*$", "")
-    path = F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
-    path = F.regexp_replace(path, r"/(?:\./)+", "/")
-    for _ in range(steps):
-        path = F.regexp_replace(F.regexp_replace(path, r"^(?:/\.\.)+/", "/"), r"^((?:/[^/]*)*?)/[^/]+/\.\./", r"$1/")
     outside = link.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)") | (bare == "")
-    return F.when(~outside, F.regexp_replace(path, r"/\.$", "/"))
+    return F.when(~outside, F.concat(F.lit("/"), F.array_join(_walked(base, bare)["at"], "/")))
+
+
+def leaves_root(base: Column, link: Column) -> Column:
+    """Whether a relative link goes up beyond the root on its way."""
+    return _walked(base, F.regexp_replace(link, "[?#].*$", ""))["out"]
+
+
+def _walked(base: Column, bare: Column) -> Column:
+    """``(at, out)``: the folders and file of a path as a stack, and whether it was ever left at its foot."""
+    path = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.regexp_replace(base, "[^/]*$", ""), bare))
+    steps = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    at = lambda stack, out: F.struct(stack.alias("at"), out.alias("out"))
+    up = lambda s: F.slice(s["at"], F.lit(1), F.greatest(F.size(s["at"]) - 1, F.lit(0)))
+    move = lambda s, x: F.when(x == "..", at(up(s), s["out"] | (F.size(s["at"]) == 0))).when(x == ".", s).otherwise(at(F.concat(s["at"], F.array(x)), s["out"]))
+    # A path that ends with dots is that of a folder.
+    ended = lambda s: F.when(F.element_at(steps, -1).isin(".", ".."), at(F.concat(s["at"], F.array(F.lit(""))), s["out"])).otherwise(s)
+    return F.aggregate(steps, at(F.array().cast("array<string>"), F.lit(False)), move, ended)
+
+
+def unescaped(path: Column) -> Column:
+    """Percent escapes of a path undone; a path with a broken escape stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)

@@ -24,7 +24,9 @@ TYPE_WORDS = (
     "リハビリ科", "アレルギー科", "腫瘍内科", "乳腺外科", "肛門科", "胃腸科",
 )
 
-SYMBOLS = r"[^\p{L}\p{N}]|ー"
+# The marks that names are compared without.
+MARKS = "・･｡｢｣「」『』【】()（）[]｛｝{}<>〈〉《》〔〕、。，．,.!！?？:：;；~～-ー－―_/／\\｜|"
+SYMBOLS = "[" + "".join(f"\\{c}" if ord(c) < 128 else c for c in MARKS) + "]"
 
 
 def nfkc(text: Column) -> Column:
@@ -37,15 +39,15 @@ def nfkc(text: Column) -> Column:
 
 
 def bare(text: Column) -> Column:
-    """Lower case without white space and symbols."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", ""), SYMBOLS, "")
+    """Lower case without white space and marks."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[\s\u3000]+", ""), SYMBOLS, "")
 
 
 def _plain(words: Sequence[str]) -> list[str]:
     import re
     import unicodedata
 
-    out = {re.sub(r"[\W_ー]", "", unicodedata.normalize("NFKC", w).lower()) for w in words}
+    out = {re.sub(rf"\s|{SYMBOLS}", "", unicodedata.normalize("NFKC", w).lower()) for w in words}
     return sorted(out - {""}, key=lambda w: (-len(w), w))
 
 
@@ -94,7 +96,7 @@ def tiered_linkage(roster: DataFrame, reference: DataFrame, overrides: DataFrame
     roster ``(id, block, norm)``; reference ``(id, block, norm, source)``; overrides ``(id, ref_id)`` win.
     Tiers: exact then suffix in source 1, exact then suffix in source 2; the first tier with exactly one
     reference row counts. Two or more in some tier and one in none: ``multiple_candidates_in_block``.
-    References that several rows share are kept and flagged.
+    References that several rows without an override share are kept and flagged; overrides neither count nor are flagged.
     """
     tiers = []
     for source in (1, 2):
@@ -114,8 +116,9 @@ def tiered_linkage(roster: DataFrame, reference: DataFrame, overrides: DataFrame
         F.when(over, "override").when(F.col("t").isNotNull(), F.col("t.method")).when(F.col("most") > 1, "multiple_candidates_in_block").otherwise("no_name_match").alias("method"),
         F.coalesce("override", "t.ref_id").alias("ref_id"),
     )
-    shared = out.filter("ref_id is not null").groupBy("ref_id").agg((F.count("*") > 1).alias("contested"))
-    return out.join(shared, "ref_id", "left").select("id", "status", "method", "ref_id", F.coalesce("contested", F.lit(False)).alias("contested"))
+    shared = out.filter("ref_id is not null and method <> 'override'").groupBy("ref_id").agg((F.count("*") > 1).alias("shared"))
+    contested = F.coalesce("shared", F.lit(False)) & (F.col("method") != "override")
+    return out.join(shared, "ref_id", "left").select("id", "status", "method", "ref_id", contested.alias("contested"))
 
 
 def resolved_codes(names: DataFrame, reference: DataFrame) -> DataFrame:
@@ -126,17 +129,12 @@ def resolved_codes(names: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def prefix_proposals(names: DataFrame, pool: DataFrame, least: int = 4, top: int = 3) -> DataFrame:
-    """The shortest names of a block that a name begins or that begin it, not equal, at least four characters shared."""
-
-    def heads(d: DataFrame, name: str) -> DataFrame:
-        k = F.sequence(F.lit(least), F.greatest(F.length("norm") - 1, F.lit(least)))
-        return d.select(F.col("id").alias(f"{name}_id"), "block", F.explode(F.transform(k, lambda n: F.substring(F.col("norm"), F.lit(1), n))).alias("head"), F.col("norm").alias(f"{name}_norm")).filter(F.length("head") < F.length(f"{name}_norm"))
-
-    def whole(d: DataFrame, name: str) -> DataFrame:
-        return d.filter(F.length("norm") >= least).select(F.col("id").alias(f"{name}_id"), "block", F.col("norm").alias("head"), F.col("norm").alias(f"{name}_norm"))
-
-    cols = ["left_id", "right_id", "right_norm"]
-    both = whole(names, "left").join(heads(pool, "right"), ["block", "head"]).select(*cols).union(heads(names, "left").join(whole(pool, "right"), ["block", "head"]).select(*cols)).distinct()
+    """The shortest names of the pool in a block that begin with a name of at least four characters and are longer."""
+    k = F.sequence(F.lit(least), F.greatest(F.length("norm") - 1, F.lit(least)))
+    heads = F.explode(F.transform(k, lambda n: F.substring(F.col("norm"), F.lit(1), n))).alias("head")
+    longer = pool.select(F.col("id").alias("right_id"), "block", heads, F.col("norm").alias("right_norm")).filter(F.length("head") < F.length("right_norm"))
+    whole = names.filter(F.length("norm") >= least).select(F.col("id").alias("left_id"), "block", F.col("norm").alias("head"))
+    both = whole.join(longer, ["block", "head"]).select("left_id", "right_id", "right_norm")
     w = Window.partitionBy("left_id").orderBy(F.length("right_norm"), "right_norm", "right_id")
     return both.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top).select(F.col("left_id").alias("id"), "rank", F.col("right_id").alias("candidate"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arealith.functions import columns as C
 from arealith.functions.columns import html_escaped, occurrences, resolved_path
 from arealith.sources.tables import table
 
@@ -37,21 +38,79 @@ def query_page_links(spark, sf):
     return _links(spark, sf).groupBy("page_id").agg(F.count("*").alias("links"), is_(F.col("link").rlike("^(https?:)?//")).alias("external"), is_(F.col("link").startswith("#")).alias("anchors"), F.countDistinct("link").alias("distinct_links"))
 
 
-@query("broken_links", f"""WITH {_LINKS}, t AS (SELECT page_id, link
-FROM k
-WHERE starts_with(link, '/') AND NOT starts_with(link, '//')),
-s AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path
-FROM pages)
-SELECT page_id, link, CASE WHEN ends_with(link, '/') THEN 'directory' ELSE 'broken' END AS fault, count(*) AS n
+#: Start tags, and of each the values of its links, in quotes of either kind or bare, in any case.
+_TAG = r"""<[A-Za-z](?:"[^"]*"|'[^']*'|[^'">])*>"""
+_VALUE = r"""(?i)\s(?:href|src)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_OUTER = "^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)"
+_SITE, _PATH = "^https?://([^/?#]+)", "^https?://[^/?#]+(/[^?#]*)"
+
+
+def _site_links(spark, sf):
+    """``(page_id, host, base, link)`` of every link within a page's site.
+
+    Pages are dressed as several authors would write them: relative links with escapes, attributes in single quotes and bare,
+    links above the root, attributes of other names that end alike.
+    """
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", _SITE, 1).alias("host"), F.regexp_extract("url", _PATH, 1).alias("base"), "html")
+    put = lambda new: F.replace("html", F.lit('href="/'), F.lit(new))
+    closed = lambda html, end: F.replace(html, F.lit('">'), F.lit(end))
+    k = F.col("page_id") % 5
+    html = F.when(k == 0, F.col("html")).when(k == 1, closed(put("HREF = '../%2E/"), "'>")).when(k == 2, put('data-src="/no" href="')).when(k == 3, put('href="../../../')).otherwise(closed(put("src=/"), " >"))
+    tags = p.select("page_id", "host", F.when(F.col("base") == "", "/").otherwise(F.col("base")).alias("base"), F.explode(F.regexp_extract_all(html, F.lit(_TAG), 0)).alias("tag"))
+    values = tags.select("page_id", "host", "base", F.explode(F.regexp_extract_all("tag", F.lit(_VALUE), 1)).alias("value"))
+    link = F.replace(F.regexp_replace("value", "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
+    return values.select("page_id", "host", "base", link.alias("link")).filter(~F.col("link").rlike(_OUTER))
+
+
+_QUOTED = lambda pattern: pattern.replace("'", "''")
+_SITE_LINKS = f"""pg AS (SELECT page_id, regexp_extract(url, '{_SITE}', 1) AS host, coalesce(nullif(regexp_extract(url, '{_PATH}', 1), ''), '/') AS base,
+ CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN replace(replace(html, 'href="/', 'HREF = ''../%2E/'), '">', '''>') WHEN 2 THEN replace(html, 'href="/', 'data-src="/no" href="')
+ WHEN 3 THEN replace(html, 'href="/', 'href="../../../') ELSE replace(replace(html, 'href="/', 'src=/'), '">', ' >') END AS html FROM pages),
+tg AS (SELECT page_id, host, base, unnest(regexp_extract_all(html, '{_QUOTED(_TAG)}')) AS tag FROM pg),
+vl AS (SELECT page_id, host, base, unnest(regexp_extract_all(tag, '{_QUOTED(_VALUE)}', 1)) AS value FROM tg),
+k AS (SELECT page_id, host, base, replace(trim(value, '"'''), '&amp;', '&') AS link FROM vl WHERE NOT regexp_matches(trim(value, '"'''), '{_OUTER}')),
+b AS (SELECT *, url_decode(regexp_replace(link, '[?#].*$', '')) AS bare FROM k),
+w AS (SELECT page_id, host, link, string_split(CASE WHEN starts_with(bare, '/') THEN bare[2:] ELSE regexp_replace(base, '[^/]*$', '')[2:] || bare END, '/') AS steps FROM b WHERE bare <> ''),
+u AS (SELECT page_id, host, link, list_transform(range(1, len(steps) + 1), lambda n: len(list_filter(steps[1:n], lambda x: x NOT IN ('.', '..'))) - len(list_filter(steps[1:n], lambda x: x = '..'))) AS heights,
+ list_reduce(list_prepend('', steps), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) || CASE WHEN steps[-1] IN ('.', '..') THEN '/' ELSE '' END AS path FROM w)"""
+
+
+@query("broken_links", f"""WITH {_SITE_LINKS},
+f AS (SELECT DISTINCT regexp_extract(url, '{_SITE}', 1) AS host, coalesce(nullif(regexp_extract(url, '{_PATH}', 1), ''), '/') AS path FROM pages),
+d AS (SELECT DISTINCT host, array_to_string(string_split(path, '/')[1:n], '/') || '/' AS folder FROM (SELECT host, path, unnest(range(1, len(string_split(path, '/')))) AS n FROM f)),
+t AS (SELECT page_id, host, link, path, rtrim(path, '/') || '/' AS folder, list_min(heights) < 0 AS out FROM u)
+SELECT page_id, link, CASE WHEN out THEN 'outside' WHEN EXISTS (FROM d WHERE d.host = t.host AND d.folder = t.folder) THEN 'folder without page' ELSE 'broken' END AS fault, count(*) AS n
 FROM t
-WHERE split_part(split_part(link, '#', 1), '?', 1) NOT IN (SELECT path
-FROM s
-WHERE path IS NOT NULL)
+WHERE out OR NOT EXISTS (FROM f WHERE f.host = t.host AND (f.path = t.path OR f.path = t.folder OR f.path = t.folder || 'index.html'))
 GROUP BY ALL""")
 def query_broken_links(spark, sf):
-    t = _links(spark, sf).filter("startswith(link, '/') and not startswith(link, '//')").withColumn("path", F.substring_index(F.substring_index("link", "#", 1), "?", 1))
-    known = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path")).distinct()
-    return t.join(known, "path", "left_anti").groupBy("page_id", "link", F.when(F.col("link").endswith("/"), "directory").otherwise("broken").alias("fault")).agg(F.count("*").alias("n"))
+    """Links, relative ones resolved and escapes undone, that lead to no page of their site, to a folder without a page, or above the root."""
+    k = _site_links(spark, sf).withColumn("bare", C.unescaped(F.regexp_replace("link", "[?#].*$", ""))).filter("bare <> ''")
+    t = k.select("page_id", "host", "link", C.resolved_path(F.col("base"), F.col("bare")).alias("path"), C.leaves_root(F.col("base"), F.col("bare")).alias("out"))
+    t = t.withColumn("folder", F.concat(F.regexp_replace("path", "/*$", ""), F.lit("/")))
+    path = F.regexp_extract("url", _PATH, 1)
+    files = table(spark, sf, "pages").select(F.regexp_extract("url", _SITE, 1).alias("host"), F.when(path == "", "/").otherwise(path).alias("path")).distinct()
+    parts = F.split("path", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
+    folders = files.select("host", F.explode(above).alias("folder")).distinct().withColumn("known", F.lit(True))
+    # A path is that of a page, or of a folder, with or without its slash, that has one.
+    own = files.withColumn("own", F.lit(True))
+    index = files.filter("path like '%/' or path like '%/index.html'").select("host", F.regexp_replace("path", "index[.]html$", "").alias("folder")).distinct().withColumn("index", F.lit(True))
+    found = t.join(own, ["host", "path"], "left").join(index, ["host", "folder"], "left").join(folders, ["host", "folder"], "left")
+    fault = F.when(F.col("out"), "outside").when(F.col("known"), "folder without page").otherwise("broken")
+    return found.filter("out or (own is null and index is null)").groupBy("page_id", "link", fault.alias("fault")).agg(F.count("*").alias("n"))
+
+
+@query("folder_links", f"""WITH {_SITE_LINKS}, m AS (SELECT page_id, link, rtrim(split_part(split_part(link, '#', 1), '?', 1), '/') AS bare FROM k WHERE NOT starts_with(link, '/') AND NOT regexp_matches(link, '[)\\s]'))
+SELECT page_id, link, count(*) AS n FROM m WHERE bare <> '' AND split_part(bare, '/', -1) NOT IN ('', '.', '..') AND NOT contains(split_part(bare, '/', -1), '.') GROUP BY ALL""")
+def query_folder_links(spark, sf):
+    """Relative links of Markdown texts whose last part has no dot: they are written as a folder's, which no check of files can follow."""
+    k = _site_links(spark, sf).filter("not link rlike '[)\\\\s]'").select("page_id", F.concat(F.lit("see \\[no]("), "link", F.lit(") [its target]("), "link", F.lit(' "title") ')).alias("text"))
+    links = k.select("page_id", F.explode(F.regexp_extract_all("text", F.lit(r'(?<!\\)\[[^\]]*\]\(([^)\s]+)(?:\s+"[^"]*")?\)'), 1)).alias("link"))
+    bare = F.regexp_replace(F.regexp_replace("link", "[?#].*$", ""), "/*$", "")
+    last = F.substring_index(bare, "/", -1)
+    rows = links.filter(~F.col("link").rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#|/)") & (bare != "") & ~last.isin("", ".", "..") & ~F.contains(last, F.lit(".")))
+    return rows.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
 @query("manifest_check", """WITH n AS (SELECT doc_id, source, sha256(replace(text, chr(13) || chr(10), chr(10))) AS now
@@ -151,16 +210,15 @@ def query_html_escape(spark, sf):
 _BARE = "regexp_replace(link, '[?#].*$', '')"
 
 
-def _resolved_sql(base: str, link: str, steps: int = 12) -> str:
-    path = f"CASE WHEN starts_with({link}, '/') THEN {link} ELSE regexp_replace({base}, '[^/]*$', '') || {link} END"
-    path = f"regexp_replace({path}, '/(?:\\./)+', '/', 'g')"
-    for _ in range(steps):
-        path = f"regexp_replace(regexp_replace({path}, '^(?:/\\.\\.)+/', '/'), '^((?:/[^/]*)*?)/[^/]+/\\.\\./', '\\1/')"
-    return f"regexp_replace({path}, '/\\.$', '/')"
+def _resolved_sql(base: str, link: str) -> str:
+    """A fold over the steps of a path, with the path so far as a text."""
+    path = f"(CASE WHEN starts_with({link}, '/') THEN {link}[2:] ELSE regexp_replace({base}, '[^/]*$', '')[2:] || {link} END)"
+    walk = f"list_reduce(list_prepend('', string_split({path}, '/')), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END)"
+    return f"{walk} || CASE WHEN string_split({path}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END"
 
 
-#: Every third link as a page would write it relative to its own folder.
-_DRESSED = "k AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN raw WHEN 1 THEN '../.' || raw ELSE './a/../..' || raw || '?q=1#top' END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS raw FROM pages))"
+#: Links as pages would write them relative to their own folder, deep ones and such as end with dots among them.
+_DRESSED = "k AS (SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN raw WHEN 1 THEN '../.' || raw WHEN 2 THEN './a/../..' || raw || '?q=1#top' WHEN 3 THEN repeat('d/', 16) || repeat('../', 14) || 'z' || raw WHEN 4 THEN 'x/..' ELSE raw || '/y/../.' END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS raw FROM pages))"
 
 
 @query("resolved_links", f"""WITH {_DRESSED}, b AS (SELECT *, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), ''), '/') AS base, {_BARE} AS bare
@@ -173,8 +231,10 @@ GROUP BY ALL""")
 def query_resolved_links(spark, sf):
     """Every link's path, relative ones resolved against their page."""
     p = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), 1)).alias("raw"))
-    kind = F.col("page_id") % 3
-    link = F.when(kind == 0, F.col("raw")).when(kind == 1, F.concat(F.lit("../."), "raw")).otherwise(F.concat(F.lit("./a/../.."), "raw", F.lit("?q=1#top")))
+    kind = F.col("page_id") % 6
+    deep = F.lit("d/" * 16 + "../" * 14 + "z")
+    link = F.when(kind == 0, F.col("raw")).when(kind == 1, F.concat(F.lit("../."), "raw")).when(kind == 2, F.concat(F.lit("./a/../.."), "raw", F.lit("?q=1#top"))).when(kind == 3, F.concat(deep, "raw"))
+    link = link.when(kind == 4, "x/..").otherwise(F.concat("raw", F.lit("/y/../.")))
     path = F.regexp_extract("url", "^https?://[^/?#]+(/[^?#]*)", 1)
     base = F.when(path == "", "/").otherwise(path)
     return p.select("page_id", link.alias("link"), resolved_path(base, link).alias("path")).groupBy("page_id", "link", "path").agg(F.count("*").alias("n"))

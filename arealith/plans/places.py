@@ -33,14 +33,26 @@ LEGAL, TYPES = ("incorporated", "inc", "limited", "ltd"), ("widget", "ring", "bo
 
 def _parts(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"), "p_name", "p_type")
-    k = F.col("id") % 6
-    name = F.when(k == 1, F.concat(F.upper("p_name"), F.lit(" Inc."))).when(k == 3, F.concat(F.lit("The "), F.col("p_name"))).when(k == 5, F.concat(F.substring_index("p_name", " ", -1), F.lit(", Ltd"))).when(k == 2, F.concat(F.col("p_name"), F.lit(" deluxe"))).otherwise(F.col("p_name"))
+    k, n = F.col("id") % 12, F.col("p_name")
+    # Dressed names: legal words, names longer than one of the pool, names with a sign that is kept (&) and with marks that are not.
+    name = (
+        F.when(k == 1, F.concat(F.upper(n), F.lit(" Inc.")))
+        .when(k == 7, F.concat(n, F.lit(" grand")))
+        .when(k.isin(3, 9), F.concat(F.lit("The "), n))
+        .when(k.isin(5, 11), F.concat(F.substring_index(n, " ", -1), F.lit(", Ltd")))
+        .when(k.isin(2, 8), F.concat(n, F.lit(" deluxe")))
+        .when(k == 4, F.replace(n, F.lit(" "), F.lit(" & ")))
+        .when(k == 10, F.replace(n, F.lit(" "), F.lit("-")))
+        .otherwise(n)
+    )
     return p.select("id", "block", name.alias("name"), "p_type", L.normalised(name, LEGAL, TYPES).alias("norm"))
 
 
-_BARE = "regexp_replace(lower(name), '[^a-z0-9]', '', 'g')"
+#: The marks among ASCII signs; & and the like stay.
+_BARE = r"regexp_replace(lower(name), '[\s()\[\]{}<>,.!?:;~_/\\|-]', '', 'g')"
 _WITHOUT = lambda x, words: (lambda f: f(f, x, sorted(words, key=lambda w: (-len(w), w))))(lambda f, x, ws: f(f, f"replace({x}, '{ws[0]}', '')", ws[1:]) if ws else x)
-_PARTS = f"""p0 AS (SELECT p_partkey AS id, p_brand AS block, p_type, CASE p_partkey % 6 WHEN 1 THEN upper(p_name) || ' Inc.' WHEN 3 THEN 'The ' || p_name WHEN 5 THEN split_part(p_name, ' ', -1) || ', Ltd' WHEN 2 THEN p_name || ' deluxe' ELSE p_name END AS name FROM part),
+_PARTS = f"""p0 AS (SELECT p_partkey AS id, p_brand AS block, p_type, CASE WHEN k = 1 THEN upper(p_name) || ' Inc.' WHEN k = 7 THEN p_name || ' grand' WHEN k IN (3, 9) THEN 'The ' || p_name WHEN k IN (5, 11) THEN split_part(p_name, ' ', -1) || ', Ltd'
+ WHEN k IN (2, 8) THEN p_name || ' deluxe' WHEN k = 4 THEN replace(p_name, ' ', ' & ') WHEN k = 10 THEN replace(p_name, ' ', '-') ELSE p_name END AS name FROM (SELECT *, p_partkey % 12 AS k FROM part)),
 p1 AS (SELECT *, {_BARE} AS before, {_WITHOUT(_BARE, LEGAL)} AS after FROM p0),
 p AS (SELECT id, block, name, p_type, CASE WHEN {_WITHOUT("after", TYPES)} = '' THEN before ELSE after END AS norm FROM p1)"""
 
@@ -65,7 +77,7 @@ ti AS (SELECT id, k, count(*) AS n, min(ref) AS ref FROM pa GROUP BY id, k), be
 li AS (SELECT ro.id, CASE WHEN ro.id % 35 = 7 THEN ro.id - 1 ELSE ti.ref END AS ref_id, CASE WHEN ro.id % 35 = 7 OR ti.ref IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS status,
  CASE WHEN ro.id % 35 = 7 THEN 'override' WHEN ti.ref IS NOT NULL THEN ['exact/1', 'suffix/1', 'exact/2', 'suffix/2'][be.k + 1] WHEN most > 1 THEN 'multiple_candidates_in_block' ELSE 'no_name_match' END AS method
  FROM ro LEFT JOIN be ON be.id = ro.id LEFT JOIN ti ON ti.id = be.id AND ti.k = be.k),
-lk AS (SELECT id, status, method, ref_id, ref_id IS NOT NULL AND count(*) OVER (PARTITION BY ref_id) > 1 AS contested FROM li)"""
+lk AS (SELECT id, status, method, ref_id, method <> 'override' AND ref_id IS NOT NULL AND count(CASE WHEN method <> 'override' THEN 1 END) OVER (PARTITION BY ref_id) > 1 AS contested FROM li)"""
 
 
 @query("tiered_linkage", f"WITH {_LINK} SELECT * FROM lk")
@@ -97,7 +109,7 @@ def query_resolve_codes(spark, sf):
 @query("prefix_proposals", f"""WITH {_PARTS}, q AS (SELECT a.id, b.id AS candidate, row_number() OVER (PARTITION BY a.id
 ORDER BY length(b.norm), b.norm, b.id) AS rank
 FROM p a
-JOIN p b ON a.block = b.block AND a.norm <> b.norm AND a.id % 2 = 1 AND b.id % 2 = 0 AND least(length(a.norm), length(b.norm)) >= 4 AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm)))
+JOIN p b ON a.block = b.block AND a.norm <> b.norm AND a.id % 2 = 1 AND b.id % 2 = 0 AND length(a.norm) >= 4 AND starts_with(b.norm, a.norm))
 SELECT *
 FROM q
 WHERE rank <= 3""")
