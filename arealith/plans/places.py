@@ -10,6 +10,7 @@ from arealith.operators import linkage as L
 from arealith.operators import spatial as S
 from arealith.operators.bridges import bridges
 from arealith.operators.components import connected_components
+from arealith.operators.validity import faults
 from arealith.plans.areas import LAGGED, MORAN, NATIONS, QUEEN, SUPPLIERS, WEIGHTS, nation_values, queen, rounded, supplier_values
 from arealith.sources.tables import cut, table
 
@@ -167,6 +168,65 @@ def query_crosswalk_validate(spark, sf):
     return one.union(two).union(three)
 
 
+# ---- validity: a polygon a supplier, sound and with every kind of fault
+
+
+def _drawn():
+    """Rings by the supplier's number modulo 9: vertices as offsets."""
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    return {
+        0: [[square(0, 8)]],
+        1: [[[(0, 0), (8, 8), (8, 0), (0, 8), (0, 0)]]],  # crosses itself
+        2: [[[(0, 0), (8, 0), (8, 8), (0, 8)]]],  # not closed
+        3: [[square(0, 8), square(10, 12)]],  # a hole outside
+        4: [[square(0, 8), [(0, 4), (4, 2), (4, 6), (0, 4)]]],  # a hole that touches its ring: sound
+        5: [[[(0, 0), (8, 0), (8, 8), (4, 8), (4, 12), (4, 8), (0, 8), (0, 0)]]],  # a spike
+        6: [[[(0, 0), (8, 0), (8, 8), (4, 0), (0, 8), (0, 0)]]],  # touches itself
+        7: [[square(0, 8), square(6, 10)], [square(20, 24)]],  # a hole across its ring
+        8: [[[(0, 0), (8, 0), (8, 0), (8, 8), (0, 8), (0, 0)]], [[(20, 0), (24, 0), (20, 0)]]],  # a vertex twice: sound; a part of no area
+    }
+
+
+def _shapes(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"))
+    x, y = (F.col("code") % 10 * 32).cast("double"), (F.floor(F.col("code") / 10) * 32).cast("double")
+    ring = lambda r: F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in r))
+    shape = lambda parts: F.array(*(F.array(*(ring(r) for r in part)) for part in parts))
+    kinds = _drawn()
+    out = F.when(F.col("code") % 9 == 0, shape(kinds[0]))
+    for k in range(1, 9):
+        out = out.when(F.col("code") % 9 == k, shape(kinds[k]))
+    return s.select("code", out.alias("parts"))
+
+
+def _validity_sql() -> str:
+    rows = ", ".join(f"({k}, {p}, {r}, {v}, {x}::DOUBLE, {y}::DOUBLE)" for k, parts in _drawn().items() for p, part in enumerate(parts) for r, ring in enumerate(part) for v, (x, y) in enumerate(ring))
+    turn = lambda p, q, r: f"sign(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+    within = lambda s, p: f"({p}x BETWEEN least({s}ax, {s}ex) AND greatest({s}ax, {s}ex) AND {p}y BETWEEN least({s}ay, {s}ey) AND greatest({s}ay, {s}ey))"
+    common = lambda c: f"least(greatest(m.a{c}, m.e{c}), greatest(n.a{c}, n.e{c})) - greatest(least(m.a{c}, m.e{c}), least(n.a{c}, n.e{c}))"
+    return f"""WITH k(kind, part, ring, v, dx, dy) AS (VALUES {rows}),
+p AS (SELECT s_suppkey AS code, part, ring, v, dx + s_suppkey % 10 * 32 AS x, dy + s_suppkey // 10 * 32 AS y FROM supplier JOIN k ON kind = s_suppkey % 9),
+s0 AS (SELECT code, part, ring, v, x AS ax, y AS ay, lead(x) OVER w AS ex, lead(y) OVER w AS ey FROM p WINDOW w AS (PARTITION BY code, part, ring ORDER BY v)),
+s AS (SELECT code, part, ring, row_number() OVER (PARTITION BY code, part, ring ORDER BY v) - 1 AS seg, count(*) OVER (PARTITION BY code, part, ring) AS segs, ax, ay, ex, ey FROM s0 WHERE ex IS NOT NULL AND (ax <> ex OR ay <> ey)),
+t AS (SELECT m.code, m.part, m.ring, m.part = n.part AND m.ring = n.ring AS same, n.seg - m.seg = 1 OR (m.seg = 0 AND n.seg = m.segs - 1) AS follows,
+ {turn("m.a", "m.e", "n.a")} AS t0, {turn("m.a", "m.e", "n.e")} AS t1, {turn("n.a", "n.e", "m.a")} AS t2, {turn("n.a", "n.e", "m.e")} AS t3, {common("x")} AS wide, {common("y")} AS high,
+ {within("m.", "n.a")} AS i0, {within("m.", "n.e")} AS i1, {within("n.", "m.a")} AS i2, {within("n.", "m.e")} AS i3
+ FROM s m JOIN s n ON m.code = n.code AND (m.part, m.ring, m.seg) < (n.part, n.ring, n.seg)),
+f AS (SELECT code, part, ring, CASE WHEN t0 * t1 < 0 AND t2 * t3 < 0 THEN 'crossing' WHEN t0 = 0 AND t1 = 0 AND greatest(wide, high) > 0 AND least(wide, high) >= 0 THEN 'overlap'
+ WHEN ((t0 = 0 AND i0) OR (t1 = 0 AND i1) OR (t2 = 0 AND i2) OR (t3 = 0 AND i3)) AND same AND NOT follows THEN 'self-touch' END AS fault FROM t),
+r AS (SELECT code, part, ring, count(*) AS n, arg_min(x, v) <> arg_max(x, v) OR arg_min(y, v) <> arg_max(y, v) AS open FROM p GROUP BY ALL),
+o AS (SELECT h.code, h.part, h.ring, h.v, h.x, h.y, bool_or({turn("s.a", "s.e", "h.")} = 0 AND h.x BETWEEN least(ax, ex) AND greatest(ax, ex) AND h.y BETWEEN least(ay, ey) AND greatest(ay, ey)) AS edge,
+ count(CASE WHEN (ay > h.y) <> (ey > h.y) AND h.x < (ex - ax) * (h.y - ay) / (ey - ay) + ax THEN 1 END) % 2 AS odd FROM p h JOIN s ON s.code = h.code AND s.part = h.part AND s.ring = 0 WHERE h.ring > 0 GROUP BY ALL)
+SELECT code, fault, part, ring, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY ALL
+UNION ALL SELECT code, 'too few vertices', part, ring, 1 FROM r WHERE n < 4 UNION ALL SELECT code, 'not closed', part, ring, 1 FROM r WHERE open
+UNION ALL SELECT code, 'hole outside', part, ring, 1 FROM (SELECT code, part, ring, arg_min(odd, v) AS odd FROM o WHERE NOT edge GROUP BY ALL) WHERE odd = 0"""
+
+
+@query("polygon_faults", _validity_sql())
+def query_polygon_faults(spark, sf):
+    return faults(cut(_shapes(spark, sf)))
+
+
 # ---- geometry: nations as squares of two degrees (every third with a hole), embeddings as points
 
 
