@@ -134,3 +134,20 @@ def _walked(base: Column, bare: Column) -> Column:
 def unescaped(path: Column) -> Column:
     """Percent escapes of a path undone; a path with a broken escape stays as it is."""
     return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
+def dealt_rank(rank: Column, n: Column, *keys: Column, rounds: int = 6, walks: int = 60) -> Column:
+    """A permutation of 0 to n - 1 for every key: where it puts a rank, the same in every engine.
+
+    A Feistel network over the bits of n, keyed by md5, is a permutation of the next power of two; a rank that leaves
+    the range is walked on until it is back (half of all steps are; 60 walks miss with probability below 2^-60).
+    """
+    bits = F.greatest(F.length(F.bin(n - 1)), F.lit(1)).cast("int")
+    low = F.ceil(bits / 2).cast("int")
+    mask = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1
+    half = lambda r, v: F.conv(F.substring(F.md5(F.concat_ws("|", *(k.cast("string") for k in keys), r.cast("string"), v.cast("string"))), 1, 8), 16, 10).cast("long")
+    high_part = lambda x: F.call_function("shiftright", x, low)
+    upper = lambda x, r: x.bitwiseXOR(F.call_function("shiftleft", half(r, x.bitwiseAND(mask(low))).bitwiseAND(mask(bits - low)), low))
+    lower = lambda x, r: x.bitwiseXOR(half(r, high_part(x)).bitwiseAND(mask(low)))
+    mixed = lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x, lambda y, r: F.when(r % 2 == 0, upper(y, r)).otherwise(lower(y, r)))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(walks)), mixed(rank.cast("long")), lambda x, _: F.when(x < n, x).otherwise(mixed(x)))

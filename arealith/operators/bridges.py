@@ -1,4 +1,4 @@
-"""Bridges of a graph and the sizes of the sides that removing one leaves, by labels of cycles."""
+"""Bridges of a graph and the sizes of the sides that removing one leaves, in rounds that grow with the logarithm of its size."""
 
 from __future__ import annotations
 
@@ -6,22 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealith.operators.components import connected_components
+from arealith.operators.ranks import numbered
 from arealith.sources.tables import cut
 
 
-def spanning_forest(edges: DataFrame, parts: DataFrame) -> tuple[DataFrame, int]:
-    """``(node, parent, depth, component)`` breadth first from each component's smallest node, and the largest depth.
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(a, b)``, a < b and distinct, that span the graph of all of them, and ``(id, component)`` of its nodes.
 
-    ``edges`` are ``(u, v)`` in both directions. A round for each level: two joins of the frontier.
+    Every part takes its edge of least hash to another part (no two parts can so close a cycle), and the parts that these
+    edges join are one from then on: each round at least halves the number of parts that have an edge left.
     """
-    front = cut(parts.filter("id = component").select(F.col("id").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), "component"))
-    reached, depth = front, 0
-    while True:
-        near = front.select(F.col("node").alias("u"), "component").join(edges, "u").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"), F.first("component").alias("component"))
-        front = cut(near.join(reached, "node", "left_anti").select("node", "parent", F.lit(depth + 1).alias("depth"), "component"))
-        if front.isEmpty():
-            return reached, depth
-        reached, depth = cut(reached.union(front)), depth + 1
+    left = cut(edges.select("a", "b", F.xxhash64("a", "b").alias("h"), F.col("a").alias("p"), F.col("b").alias("q")))
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id"))
+    forest = edges.select("a", "b").limit(0)
+    moved = lambda rows, c, parts: rows.join(parts.select(F.col("id").alias(c), F.col("component").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    while not left.isEmpty():
+        ends = left.select("p", "h", "a", "b", "q").union(left.select("q", "h", "a", "b", "p"))
+        taken = ends.groupBy("p").agg(F.min(F.struct("h", "a", "b", "q")).alias("e")).select("p", "e.*")
+        taken = cut(taken.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct())
+        parts = connected_components(taken, "p", "q")
+        left = cut(moved(moved(left, "p", parts), "q", parts).filter("p <> q"))
+        nodes, forest = cut(moved(nodes, "component", parts)), cut(forest.union(taken.select("a", "b")))
+    return forest, nodes.select("id", "component")
+
+
+def tour(tree: DataFrame, labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """Arcs of an Euler tour of every tree, ``(u, v, left, x, y)``: arcs to come, and the labels' exclusive or over these, itself included.
+
+    ``labels``: ``(node, x, y)``, ``roots``: ``(node)``. An arc is followed by that to the next neighbour of its head; the last one
+    into a root by none. A node's label is carried by one of the arcs into it. Positions come from pointer doubling: every
+    arc joins the one that it points at, so that the distance doubles in each round.
+    """
+    arcs = numbered(tree.select(F.col("a").alias("u"), F.col("b").alias("v")).union(tree.select("b", "a")), "at", "u", "v")  # around each node
+    arcs = cut(arcs)
+    first = arcs.groupBy("u").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min("v").alias("bearer"))
+    back = arcs.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("at").alias("back")).join(first.withColumnRenamed("u", "v"), "v")
+    root = roots.select(F.col("node").alias("v"), F.lit(True).alias("root"))
+    ahead = F.when(F.col("back") < F.col("high"), F.col("back") + 1).when(F.col("root").isNull(), F.col("low"))
+    here = arcs.join(back, ["u", "v"]).join(root, "v", "left").join(labels.withColumnRenamed("node", "v"), "v", "left")
+    own = lambda c: F.when(F.col("u") == F.col("bearer"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0).cast("long"))
+    s = cut(here.select("u", "v", "at", ahead.alias("next"), F.lit(1).cast("long").alias("left"), own("x").alias("x"), own("y").alias("y")))
+    while not s.filter("next is not null").isEmpty():
+        to = s.select(F.col("at").alias("next"), F.col("next").alias("beyond"), F.col("left").alias("more"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+        zero = F.lit(0).cast("long")
+        sums = {"left": F.col("left") + F.coalesce("more", zero), "x": F.col("x").bitwiseXOR(F.coalesce("x2", zero)), "y": F.col("y").bitwiseXOR(F.coalesce("y2", zero)), "next": F.col("beyond")}
+        s = cut(s.join(to, "next", "left").withColumns(sums).select("u", "v", "at", "next", "left", "x", "y"))
+    return s.drop("at", "next")
 
 
 def bridges(edges: DataFrame) -> DataFrame:
@@ -29,23 +59,18 @@ def bridges(edges: DataFrame) -> DataFrame:
 
     Every edge outside a spanning forest gets a random label of 128 bits; a tree edge's label is that of all cycles over it,
     the exclusive or of the labels at the nodes below it. A tree edge of label 0 is on no cycle (wrong with probability
-    2^-128 an edge). Labels and sizes are added up level by level, so rounds grow with the depth of the forest, not with
-    the graph's size; nothing is held whole in a task.
+    2^-128 an edge). What lies below an edge lies between its two arcs on an Euler tour, so labels and sizes are
+    differences of two positions. Rounds grow with the logarithm of the graph's size, whatever its depth; a hub's edges are numbered
+    by ranges, and nothing is held whole in a task.
     """
-    one = edges.select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b")).filter("a < b").distinct()
-    one = cut(one)
-    both = cut(one.select(F.col("a").alias("u"), F.col("b").alias("v")).union(one.select("b", "a")))
-    parts = cut(connected_components(one, "a", "b"))
-    forest, depth = spanning_forest(both, parts)
-    tree = forest.filter("parent is not null").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
-    labelled = one.join(tree, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b", F.lit(11)).alias("x"), F.xxhash64("a", "b", F.lit(23)).alias("y"))
-    ends = labelled.select(F.col("a").alias("node"), "x", "y").union(labelled.select("b", "x", "y")).groupBy("node").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    sums = cut(forest.join(ends, "node", "left").na.fill(0, ["x", "y"]).withColumn("size", F.lit(1).cast("long")))
-    for level in range(depth, 0, -1):
-        below = sums.filter(F.col("depth") == level).groupBy(F.col("parent").alias("node")).agg(F.bit_xor("x").alias("x2"), F.bit_xor("y").alias("y2"), F.sum("size").alias("size2"))
-        added = {"x": F.col("x").bitwiseXOR(F.coalesce("x2", F.lit(0))), "y": F.col("y").bitwiseXOR(F.coalesce("y2", F.lit(0))), "size": F.col("size") + F.coalesce("size2", F.lit(0))}
-        sums = cut(sums.join(below, "node", "left").withColumns(added).drop("x2", "y2", "size2"))
+    one = cut(edges.select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b")).filter("a < b").distinct())
+    tree, parts = spanning_forest(one)
+    rest = one.join(tree, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b", F.lit(11)).alias("x"), F.xxhash64("a", "b", F.lit(23)).alias("y"))
+    labels = rest.select(F.col("a").alias("node"), "x", "y").union(rest.select("b", "x", "y")).groupBy("node").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    arcs = tour(tree, labels, parts.groupBy("component").agg(F.min("id").alias("node")).select("node"))
+    up = arcs.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("left").alias("l2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    below = arcs.join(up, ["u", "v"]).filter("left > l2 and x = x2 and y = y2")
     whole = parts.groupBy("component").agg(F.count("*").alias("n"))
-    found = sums.filter("parent is not null and x = 0 and y = 0").join(whole, "component")
+    found = below.join(parts, F.col("u") == F.col("id")).join(whole, "component").withColumn("size", F.expr("(left - l2 + 1) div 2"))
     other = F.col("n") - F.col("size")
-    return found.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"), F.least("size", other).alias("small"), F.greatest("size", other).alias("large"))
+    return found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.least("size", other).alias("small"), F.greatest("size", other).alias("large"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arealith.functions.columns import erfc, upper_tail
+from arealith.functions.columns import dealt_rank, erfc, upper_tail
 from arealith.operators.ranks import numbered
 from arealith.sources.tables import cut
 
@@ -110,20 +110,19 @@ def gi_star(values: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def moran_permutations(values: DataFrame, weights: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """One row: i, draws, ge and the pseudo-p. Draw b deals the values in the order of md5(seed, b, id).
+    """One row: i, draws, ge and the pseudo-p. Draw b deals the values by a permutation of their ranks keyed by (seed, b).
 
-    A draw's areas are one window; draws are spread over tasks.
+    A draw is an expression of an area's rank and a join, so areas and draws are spread over tasks and nothing is sorted.
     """
-    from pyspark.sql import Window
-
     spark = values.sparkSession
     known = cut(numbered(values.select("id", "x"), "k", "id"))
+    size = known.agg(F.count("*").alias("n"))
     runs = spark.range(1, draws + 1).select(F.col("id").cast("int").alias("b"))
-    order = Window.partitionBy("b").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("id").cast("string"))), "id")
-    dealt = known.select("id").crossJoin(F.broadcast(runs)).withColumn("k", (F.row_number().over(order) - 1).cast("long"))  # every draw deals all areas
+    every = known.select("id", F.col("k").alias("own")).crossJoin(F.broadcast(size)).crossJoin(F.broadcast(runs))  # every draw deals all areas
+    dealt = every.select("b", "id", dealt_rank(F.col("own"), F.col("n"), F.lit(seed), F.col("b")).alias("k"))
     shuffled = dealt.join(known.select("k", "x"), "k").select("b", "id", "x").union(known.select(F.lit(0), "id", "x"))
     mean = known.agg(F.avg("x").alias("mean"))
-    z = shuffled.crossJoin(F.broadcast(mean)).select("b", "id", (F.col("x") - F.col("mean")).alias("z"))
+    z = cut(shuffled.crossJoin(F.broadcast(mean)).select("b", "id", (F.col("x") - F.col("mean")).alias("z")))
     pairs = weights.join(z.select("b", F.col("id").alias("dst"), F.col("z").alias("zj")), "dst").join(z.select("b", F.col("id").alias("src"), F.col("z").alias("zi")), ["b", "src"])
     ss = z.filter("b = 0").agg(F.sum(F.col("z") ** 2).alias("ss"))
     s0 = weights.agg(F.sum("w").alias("s0"), F.countDistinct("src").alias("n"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from arealith.functions import columns as C
 from arealith.operators import audit as A
-from arealith.operators.ranks import quantiles
+from arealith.operators.ranks import numbered, quantiles, running
 from arealith.plans.areas import NATIONS, nation_counts, nation_values, rounded
-from arealith.sources.tables import table
+from arealith.sources.tables import cut, table
 
 QUERIES, SQL = {}, {}
 
@@ -49,15 +49,14 @@ def query_nation_sir(spark, sf):
 
 @query("sir_bins", """WITH a AS (SELECT c_nationkey, c_mktsegment, count(*) AS pop FROM customer GROUP BY ALL), o AS (SELECT c_nationkey, c_mktsegment, count(*) AS obs FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
  t AS (SELECT a.*, coalesce(obs, 0) AS obs FROM a LEFT JOIN o USING (c_nationkey, c_mktsegment)), e AS (SELECT *, pop * (sum(obs) OVER ())::DOUBLE / (sum(pop) OVER ()) AS ex FROM t),
- b AS (SELECT obs, CASE WHEN ex > 0 AND ex <= 50 THEN 1 WHEN ex > 50 AND ex <= 100 THEN 2 WHEN ex > 100 AND ex <= 150 THEN 3 WHEN ex > 150 AND ex <= 1000000 THEN 4 END AS bin, obs / ex AS sir FROM e)
+ b AS (SELECT obs, CASE WHEN ex > 0 AND ex <= 50 THEN 1 WHEN ex > 50 AND ex <= 100 THEN 2 WHEN ex > 100 AND ex <= 150 THEN 3 WHEN ex > 150 THEN 4 END AS bin, obs / ex AS sir FROM e)
 SELECT bin, count(*) AS n, round(avg(sir), 6) AS mean_sir, round(avg(CASE WHEN sir > 1 THEN 100.0 ELSE 0 END), 6) AS share_above FROM b GROUP BY bin""")
 def query_sir_bins(spark, sf):
-    customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     key = ["c_nationkey", "c_mktsegment"]
-    obs = table(spark, sf, "orders").select("o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(*key).agg(F.count("*").alias("obs"))
-    t = customer.groupBy(*key).agg(F.count("*").alias("pop")).join(obs, key, "left").na.fill({"obs": 0})
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))  # before they meet customers
+    t = table(spark, sf, "customer").select("c_custkey", *key).join(orders, "c_custkey", "left").groupBy(*key).agg(F.count("*").alias("pop"), F.coalesce(F.sum("n"), F.lit(0)).alias("obs"))
     crude = t.agg((F.sum("obs").cast("double") / F.sum("pop")).alias("crude"))
-    b = t.crossJoin(F.broadcast(crude)).withColumn("ex", F.col("pop") * F.col("crude")).select(C.cut_right(F.col("ex"), [0, 50, 100, 150, 1_000_000]).alias("bin"), (F.col("obs") / F.col("ex")).alias("sir"))
+    b = t.crossJoin(F.broadcast(crude)).withColumn("ex", F.col("pop") * F.col("crude")).select(C.cut_right(F.col("ex"), [0, 50, 100, 150, float("inf")]).alias("bin"), (F.col("obs") / F.col("ex")).alias("sir"))
     return rounded(b.groupBy("bin").agg(F.count("*").alias("n"), F.avg("sir").alias("mean_sir"), F.avg(F.when(F.col("sir") > 1, 100.0).otherwise(0.0)).alias("share_above")), "mean_sir", "share_above")
 
 
@@ -239,8 +238,13 @@ ORDER BY round(s_acctbal, 0) DESC) AS place, dense_rank() OVER (PARTITION BY s_n
 ORDER BY round(s_acctbal, 0) DESC) AS dense
 FROM supplier""")
 def query_rank_min(spark, sf):
-    w = Window.partitionBy("s_nationkey").orderBy(F.round("s_acctbal", 0).desc())
-    return table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.rank().over(w).cast("long").alias("place"), F.dense_rank().over(w).cast("long").alias("dense"))
+    """Places among a nation's suppliers: counts of distinct values are added up by ranges, no window holds a nation."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", (-F.round("s_acctbal", 0)).alias("v"))
+    values = rows.groupBy("s_nationkey", "v").agg(F.count("*").alias("c"))
+    at = cut(numbered(running(values, ["s_nationkey", "v"], F.col("c"), "above"), "at", "s_nationkey", "v"))
+    first = at.groupBy("s_nationkey").agg(F.min("above").alias("above0"), F.min("at").alias("at0"))
+    places = at.join(first, "s_nationkey").select("s_nationkey", "v", (F.col("above") - F.col("above0") + 1).alias("place"), (F.col("at") - F.col("at0") + 1).alias("dense"))
+    return rows.join(places, ["s_nationkey", "v"]).select("s_suppkey", "s_nationkey", "place", "dense")
 
 
 @query("topk_per_group", "SELECT s_nationkey, s_suppkey, s_acctbal, k FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier) WHERE k <= 2")
@@ -360,8 +364,10 @@ FROM customer""")
 def query_mapped_order(spark, sf):
     """Rows in an order that a mapping of a column gives; values without a place come last, by name."""
     place = F.coalesce(F.create_map(*(F.lit(x) for kv in _MAPPED.items() for x in kv))[F.col("c_mktsegment")], F.lit(9))
-    w = Window.partitionBy("c_nationkey").orderBy(place, "c_mktsegment", "c_custkey")
-    return table(spark, sf, "customer").select("c_mktsegment", "c_custkey", F.row_number().over(w).cast("long").alias("place"))
+    rows = table(spark, sf, "customer").select("c_nationkey", place.alias("rank"), "c_mktsegment", "c_custkey")
+    at = cut(numbered(rows, "at", "c_nationkey", "rank", "c_mktsegment", "c_custkey"))
+    first = at.groupBy("c_nationkey").agg(F.min("at").alias("first"))
+    return at.join(first, "c_nationkey").select("c_mktsegment", "c_custkey", (F.col("at") - F.col("first") + 1).alias("place"))
 
 
 @query("row_count_checks", """SELECT * FROM (SELECT 'regions' AS "check", 5::BIGINT AS expected, count(*) AS actual FROM region UNION ALL SELECT 'nations', 25, count(*) FROM nation UNION ALL SELECT 'one nation of code 0', 1, count(*) FROM nation WHERE n_nationkey = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arealith.functions import columns as C
@@ -152,7 +153,8 @@ q AS (SELECT *, lengths[answer + 1] AS own, list_max(lengths) AS longest, list_m
 
 
 def _questions(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).filter(F.size("t") >= 4)
+    early = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("k"))
+    c = early.filter("k <= 4").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).filter(F.size("t") >= 4)
     choices = F.transform(F.slice("t", 1, 4), lambda x: x["text"])
     q = c.select("conv_id", (F.col("conv_id") % 8).alias("file"), (F.col("conv_id") % 4).cast("int").alias("answer"), choices.alias("choices")).withColumn("lengths", F.transform("choices", F.length))
     total = F.aggregate("lengths", F.lit(0), lambda s, x: s + x)

@@ -11,7 +11,7 @@ from arealith.operators import spatial as S
 from arealith.operators.bridges import bridges
 from arealith.operators.components import connected_components
 from arealith.operators.validity import faults
-from arealith.plans.areas import LAGGED, MORAN, NATIONS, QUEEN, SUPPLIERS, WEIGHTS, nation_values, queen, rounded, supplier_values
+from arealith.plans.areas import LAGGED, MORAN, NATIONS, QUEEN, SUPPLIERS, WEIGHTS, queen, rounded, supplier_values
 from arealith.sources.tables import cut, table
 
 QUERIES, SQL = {}, {}
@@ -231,7 +231,7 @@ def query_polygon_faults(spark, sf):
 
 
 def _polygons(spark, sf):
-    n = nation_values(spark, sf).select(F.col("id").alias("code"), F.col("id").alias("ord"), (130.0 + 2 * F.col("c")).alias("x"), (30.0 + 2 * F.col("r")).alias("y"))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_nationkey").alias("ord"), (130.0 + 2 * (F.col("n_nationkey") % 5)).alias("x"), (30.0 + 2 * F.expr("n_nationkey div 5")).alias("y"))
     at = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
     square = lambda a, b: F.array(at(a, a), at(b, a), at(b, b), at(a, b), at(a, a))
     return n.select("code", "ord", F.array(F.when(F.col("code") % 3 == 0, F.array(square(0, 2), square(0.5, 1.5))).otherwise(F.array(square(0, 2)))).alias("parts"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from arealith.operators import geometry as G
 from arealith.plans.areas import SUPPLIERS, rounded, supplier_values
 from arealith.sources import files
+from arealith.sources.features import geojson_features_of
 from arealith.sources.tables import shared_dir, table
 
 QUERIES, SQL = {}, {}
@@ -82,8 +83,8 @@ def query_geojson_geometry(spark, sf):
 
 @query("geojson_streamed", "SELECT s_suppkey::VARCHAR AS code, 5::BIGINT AS vertices FROM supplier")
 def query_geojson_streamed(spark, sf):
-    """The collection parsed feature by feature."""
-    f = files.geojson_stream(spark, _collection(spark, sf), chunk=4096)
+    """Collections read in byte ranges, feature by feature."""
+    f = geojson_features_of(spark, _collection(spark, sf))
     at = F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<array<array<array<double>>>>")
     return f.select(F.get_json_object("feature", "$.properties.code").alias("code"), F.size(F.flatten(F.flatten(at))).cast("long").alias("vertices"))
 

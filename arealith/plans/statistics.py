@@ -154,17 +154,25 @@ def query_gi_counterfactual(spark, sf):
     return rounded(S.gi_star(v, queen(v)), "x", "gi")
 
 
-@query("moran_permutation", f"""WITH {NATIONS}, {QUEEN}, {WEIGHTS},
- n AS (SELECT id, x, row_number() OVER (ORDER BY id) AS k FROM v), b AS (SELECT range AS b FROM range(1, 200)),
- d AS (SELECT b, id, row_number() OVER (PARTITION BY b ORDER BY md5('1|' || b || '|' || id), id) AS k FROM n, b),
+#: The keyed permutation of ranks, with the number so far as the state of two folds: over rounds, and over walks.
+_HALF = "('0x' || substr(md5('1|' || b || '|' || r || '|' || {v}), 1, 8))::BIGINT"
+_MIXED = f"""list_reduce(list_prepend({{x}}, [0, 1, 2, 3, 4, 5]::BIGINT[]), lambda y, r: CASE WHEN r % 2 = 0 THEN xor(y, ({_HALF.format(v='(y & ((1::BIGINT << low) - 1))')} & ((1::BIGINT << (bits - low)) - 1)) << low)
+ ELSE xor(y, {_HALF.format(v='(y >> low)')} & ((1::BIGINT << low) - 1)) END)"""
+_WALKED = f"list_reduce(list_prepend({_MIXED.format(x='own')}, range(2, 61)), lambda x, w: CASE WHEN x < n THEN x ELSE {_MIXED.format(x='x')} END)"
+
+
+@query("moran_permutation", f"""WITH {SUPPLIERS}, {QUEEN}, {WEIGHTS},
+ n AS (SELECT id, x, row_number() OVER (ORDER BY id) - 1 AS k FROM v), b AS (SELECT range AS b FROM range(1, 1000)),
+ q AS (SELECT b, id, k AS own, n, bits, ceil(bits / 2)::INTEGER AS low FROM n, b, (SELECT n, greatest(length(bin(n - 1)), 1) AS bits FROM (SELECT count(*) AS n FROM v))),
+ d AS (SELECT b, id, {_WALKED} AS k FROM q),
  a AS (SELECT d.b, d.id, n.x FROM d JOIN n USING (k) UNION ALL SELECT 0, id, x FROM v),
  z AS (SELECT b, id, x - (SELECT avg(x) FROM v) AS z FROM a),
  i AS (SELECT zi.b, (SELECT count(DISTINCT src) / sum(w) FROM w) * sum(w * zi.z * zj.z) / (SELECT sum(z * z) FROM z WHERE b = 0) AS i FROM w JOIN z zi ON zi.id = src JOIN z zj ON zj.id = dst AND zj.b = zi.b GROUP BY zi.b),
  o AS (SELECT i AS own FROM i WHERE b = 0)
 SELECT round(any_value(own), 6) AS i, count(*) AS draws, sum(CASE WHEN round(i, 10) >= round(own, 10) THEN 1 ELSE 0 END)::BIGINT AS ge, round((sum(CASE WHEN round(i, 10) >= round(own, 10) THEN 1 ELSE 0 END) + 1.0) / (count(*) + 1), 6) AS p FROM i, o WHERE b > 0""")
 def query_moran_permutation(spark, sf):
-    v = nation_values(spark, sf).select("id", "r", "c", "x")
-    return rounded(S.moran_permutations(v, queen_weights(v), 199), "i", "p")
+    v = supplier_values(spark, sf)
+    return rounded(S.moran_permutations(v, queen_weights(v), 999), "i", "p")
 
 
 _COND = """ k AS (SELECT sum(z * z) / count(*) AS m2, count(*) - 1 AS others FROM l), n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS nr FROM l),

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arealith.sources.tables import cut
+
 GEOJSON = "type string, features array<struct<type: string, properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
 
 
@@ -105,59 +107,12 @@ def input_path(given: str | None, variable: str, option: str) -> str:
 
 def write_audit(audit: DataFrame, path: str, fail: bool = True) -> None:
     """Audit rows are always written, header and all; then a failed check is an error."""
+    audit = cut(audit)  # computed once
     audit.write.option("header", True).csv(path)
     if fail and not audit.isEmpty():
         raise ValueError(f"checks failed, see {path}")
 
 
-def geojson_stream(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
-    """``(path, feature)``: features of large collections as JSON texts, decoded chunk by chunk.
-
-    A file is read by one task, whose memory holds its bytes (2 GB at most), beside them a chunk and the feature at
-    hand, never the parsed collection. The content comes in through Spark, so any store works.
-    """
-
-    def features(text: Iterator[str]) -> Iterator[str]:
-        import json
-
-        decoder, held, inside = json.JSONDecoder(), "", False
-        for part in text:
-            held += part
-            if not inside:
-                at = held.find('"features"')
-                at = held.find("[", at) if at >= 0 else -1
-                if at < 0:
-                    continue
-                held, inside = held[at + 1 :], True
-            at = 0
-            while True:
-                while at < len(held) and held[at] in " \t\r\n,":
-                    at += 1
-                if at == len(held) or held[at] == "]":
-                    break
-                try:
-                    _, end = decoder.raw_decode(held, at)
-                except ValueError:
-                    break  # not whole yet
-                yield held[at:end]
-                at = end
-            held = held[at:]  # once a chunk
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                wrapped = io.TextIOWrapper(io.BytesIO(data), "utf-8-sig")
-                rows: list[str] = []
-                for f in features(iter(lambda: wrapped.read(chunk), "")):
-                    rows.append(f)
-                    if len(rows) == 5000:
-                        yield pd.DataFrame({"path": name, "feature": rows})
-                        rows = []
-                yield pd.DataFrame({"path": [name] * len(rows), "feature": rows})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, feature string")
-
-
 _CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 

@@ -35,7 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage, survives lost executors, is cleaned up by Spark."""
+    """Reliable checkpoint: cuts the lineage, survives lost executors.
+
+    Spark deletes it only where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on; else the folder's owner does.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

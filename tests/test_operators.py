@@ -19,6 +19,7 @@ from arealith.operators.bridges import bridges
 from arealith.operators.components import connected_components
 from arealith.operators.ranks import numbered, quantiles
 from arealith.sources import files
+from arealith.sources.features import geojson_features_of
 
 
 def lattice(spark, n):
@@ -279,7 +280,7 @@ def test_feature_stream_and_sheets(spark, tmp_path):
 
     feats = [{"type": "Feature", "properties": {"k": f"[{i}], \"features\": é"}, "geometry": None} for i in range(50)]
     (tmp_path / "big.json").write_text(json.dumps({"type": "FeatureCollection", "features": feats}, ensure_ascii=False), encoding="utf-8")
-    got = files.geojson_stream(spark, str(tmp_path / "big.json"), chunk=37).collect()
+    got = geojson_features_of(spark, str(tmp_path / "big.json")).collect()
     assert [json.loads(r.feature) for r in got] == feats
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
