@@ -40,15 +40,19 @@ def solved(nodes: DataFrame, edges: DataFrame, diagonal: Column, pull: list[floa
     edges and a one-row aggregate, with the diagonal as preconditioner; it ends when no residual exceeds ``tolerance``.
     """
     lanes = range(len(rhs))
-    every = lambda f: F.array(*(f(k) for k in lanes))
     at = lambda c, k: F.col(c)[k]
-    zero = every(lambda k: F.lit(0.0))
+    # Factors go in as arrays, so that every step has the plan and the compiled code of the one before.
+    factors = lambda values: F.array(*(F.lit(float(v)) for v in values))
+    plus = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
+    times = lambda x, y: F.zip_with(x, y, lambda a, b: a * b)
+    zero = factors([0.0] * len(rhs))
     s = nodes.select("id", diagonal.alias("d"), F.array(*(c.cast("double") for c in rhs)).alias("r")).withColumns({"x": zero, "p": zero, "s": zero})
     alpha, gamma = [0.0] * len(rhs), [0.0] * len(rhs)
     for n in range(steps):
         s = s.withColumn("u", F.transform("r", lambda v: v / F.col("d")))
         near = edges.join(s.select(F.col("id").alias("dst"), "u"), "dst").groupBy(F.col("src").alias("id")).agg(*(F.sum(at("u", k)).alias(f"n{k}") for k in lanes))
-        w = every(lambda k: F.col("d") * at("u", k) - pull[k] * F.coalesce(F.col(f"n{k}"), F.lit(0.0)))
+        pulled = times(F.array(*(F.coalesce(F.col(f"n{k}"), F.lit(0.0)) for k in lanes)), factors([-v for v in pull]))
+        w = plus(F.transform("u", lambda v: v * F.col("d")), pulled)
         s = cut(s.join(near, "id", "left").withColumn("w", w).select(*s.columns, "w"))
         one = s.agg(*(F.sum(at("r", k) * at("u", k)).alias(f"g{k}") for k in lanes), *(F.sum(at("w", k) * at("u", k)).alias(f"e{k}") for k in lanes), F.max(F.array_max(F.transform("r", F.abs))).alias("worst")).first()
         if one["worst"] is None or one["worst"] <= tolerance:
@@ -57,10 +61,8 @@ def solved(nodes: DataFrame, edges: DataFrame, diagonal: Column, pull: list[floa
         down = [one[f"e{k}"] - (beta[k] * one[f"g{k}"] / alpha[k] if alpha[k] else 0.0) for k in lanes]
         gamma = [one[f"g{k}"] for k in lanes]
         alpha = [g / e if e else 0.0 for g, e in zip(gamma, down, strict=True)]
-        p = every(lambda k: at("u", k) + beta[k] * at("p", k))  # noqa: B023
-        q = every(lambda k: at("w", k) + beta[k] * at("s", k))  # noqa: B023
-        s = s.withColumns({"p": p, "s": q})
-        s = s.withColumns({"x": every(lambda k: at("x", k) + alpha[k] * at("p", k)), "r": every(lambda k: at("r", k) - alpha[k] * at("s", k))}).drop("u", "w")  # noqa: B023
+        s = s.withColumns({"p": plus("u", times("p", factors(beta))), "s": plus("w", times("s", factors(beta)))})
+        s = s.withColumns({"x": plus("x", times("p", factors(alpha))), "r": plus("r", times("s", factors([-v for v in alpha])))}).drop("u", "w")
     raise RuntimeError(f"conjugate gradients did not settle in {steps} steps")
 
 
