@@ -5,8 +5,9 @@ epsilon. A projection onto principal axes never lengthens a distance. Distinct v
 the cells of an epsilon grid on leading axes, and the sequence is cut into blocks that keep the bounds
 of their projections. Intervals of the sequence are joined recursively: two intervals whose bounds are
 farther apart than epsilon are skipped with all they hold, others are split into smaller intervals.
-Spark joins intervals down to tiles of some 32 blocks; blocks are sent once for each pair of tiles that they are
-near to, and a task goes on from there: pairs of blocks that are too far apart by their bounds are skipped, pairs
+Spark joins intervals down to tiles of some 32 blocks. Two tiles that lie in one ball so small that all links hold
+are settled by their weights and smallest nodes, so a dense group's vectors are not sent from tile to tile; of other pairs,
+blocks are sent once for each pair of tiles that they are near to, and a task goes on from there: pairs of blocks that are too far apart by their bounds are skipped, pairs
 that lie in one ball so small that all links hold are counted at once, others are compared by one matrix
 product in double precision. What a task holds is two tiles, a fixed number of vectors.
 
@@ -65,6 +66,9 @@ def connected(linked: np.ndarray, low_x: np.ndarray, low_y: np.ndarray) -> tuple
         low_x, low_y = new_x, new_y
 
 
+COLUMNS = ["label", "n", "cell", "first", "lo", "hi", "ids", "weights", "vectors", "centre", "radius", "weight", "least"]
+
+
 def grid_blocks(distinct: DataFrame, axes: dict[int, np.ndarray], epsilon: float, dims: int, block: int) -> DataFrame:
     """Blocks of the sequence in grid order: ``(block, set, lo, hi, ids, weights, vectors)``."""
 
@@ -91,9 +95,12 @@ def grid_blocks(distinct: DataFrame, axes: dict[int, np.ndarray], epsilon: float
 
         def made() -> pd.DataFrame:
             v, p = np.array([r[2] for r in held]), np.array([r[3] for r in held])
-            row = {"label": held[0][4], "n": v.shape[1], "cell": [int(c) for c in held[0][5]], "first": held[0][0], "lo": p.min(0).tolist(), "hi": p.max(0).tolist(), "ids": np.array([r[0] for r in held], np.int64).tobytes(), "weights": np.array([r[1] for r in held], np.int64).tobytes(), "vectors": v.tobytes()}
+            x = unit(v)
+            centre = x.mean(0)
+            ball = {"centre": centre.tolist(), "radius": float(np.sqrt(((x - centre) ** 2).sum(1).max())), "weight": sum(r[1] for r in held), "least": min(r[0] for r in held)}
+            row = ball | {"label": held[0][4], "n": v.shape[1], "cell": [int(c) for c in held[0][5]], "first": held[0][0], "lo": p.min(0).tolist(), "hi": p.max(0).tolist(), "ids": np.array([r[0] for r in held], np.int64).tobytes(), "weights": np.array([r[1] for r in held], np.int64).tobytes(), "vectors": v.tobytes()}
             held.clear()
-            return pd.DataFrame([row])
+            return pd.DataFrame([row])[COLUMNS]
 
         for pdf in batches:
             for r in zip(pdf["node"], pdf["weight"], pdf["v"], pdf["p"], pdf["label"], pdf["cell"], strict=True):
@@ -103,7 +110,7 @@ def grid_blocks(distinct: DataFrame, axes: dict[int, np.ndarray], epsilon: float
         if held:
             yield made()
 
-    packed = ordered.mapInPandas(pack, f"label {kind}, n int, cell array<long>, first long, lo array<double>, hi array<double>, ids binary, weights binary, vectors binary")
+    packed = ordered.mapInPandas(pack, f"label {kind}, n int, cell array<long>, first long, lo array<double>, hi array<double>, ids binary, weights binary, vectors binary, centre array<double>, radius double, weight long, least long")
     return packed
 
 
@@ -204,6 +211,50 @@ def tile_pairs(blocks: DataFrame, epsilon: float, dims: int, tile: int, fan: int
     return top
 
 
+def tile_balls(held: DataFrame) -> DataFrame:
+    """``(set, t, centre, radius, weight, least)`` of every tile: a ball around its blocks' balls, its vectors' weight and smallest node."""
+    added = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    balls = held.groupBy("set", "t").agg(F.collect_list(F.struct("centre", "radius")).alias("balls"), F.sum("weight").alias("weight"), F.min("least").alias("least"))  # at most a tile's blocks
+    total = F.aggregate("balls", F.transform(F.get("balls", F.lit(0))["centre"], lambda _: F.lit(0.0)), lambda s, b: added(s, b["centre"]))
+    balls = balls.withColumn("centre", F.transform(total, lambda c: c / F.size("balls")))
+    radius = F.array_max(F.transform("balls", lambda b: F.sqrt(distance(b["centre"], F.col("centre"))) + b["radius"]))
+    return balls.select("set", "t", "centre", radius.alias("radius"), "weight", "least")
+
+
+def distance(x: Column, y: Column) -> Column:
+    """Squared distance of two arrays."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
+
+
+def settled(pairs: DataFrame, balls: DataFrame, epsilon: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of tiles that are not all linked, and ``(set, t, more, low)``: links that a tile's vectors have by pairs that are.
+
+    All vectors of two tiles in one ball of epsilon's diameter are linked: their weights are added up and their marks merged by the
+    tiles' smallest nodes, without sending vectors.
+    """
+    side = lambda s: balls.select("set", *(F.col(c).alias(s if c == "t" else f"{s}_{c}") for c in ("t", "centre", "radius", "weight", "least")))
+    both = pairs.join(side("a"), ["set", "a"]).join(side("b"), ["set", "b"])
+    far = F.when(F.col("a") == F.col("b"), 2 * F.col("a_radius")).otherwise(F.sqrt(distance(F.col("a_centre"), F.col("b_centre"))) + F.col("a_radius") + F.col("b_radius"))
+    both = cut(both.select(*pairs.columns, (far <= epsilon * (1 - 1e-6)).alias("one"), "a_weight", "b_weight", "a_least", "b_least"))
+    whole = both.filter("one")
+    rows = whole.select("set", F.col("a").alias("t"), F.col("b_weight").alias("more"), F.col("b_least").alias("low"), (F.col("a") == F.col("b")).alias("own"))
+    rows = rows.union(whole.filter("a <> b").select("set", "b", "a_weight", "a_least", F.lit(False)))
+    return both.filter("not one").select(*pairs.columns), rows.groupBy("set", "t").agg(F.sum("more").alias("more"), F.min("low").alias("low"), F.max("own").alias("own"))
+
+
+def settled_links(held: DataFrame, whole: DataFrame) -> DataFrame:
+    """``(node, links, low)`` of the vectors of tiles with settled pairs; a vector is no link of itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, weights, more, low, own in zip(*(batch.column(c).to_pylist() for c in ("ids", "weights", "more", "low", "own")), strict=True):
+                node, weight = np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(more - weight * own), pa.array(np.minimum(low, node))], names=["node", "links", "low"])
+
+    rows = held.select("set", "t", "ids", "weights").join(whole, ["set", "t"])
+    return bounded(rows).select("ids", "weights", "more", "low", "own").mapInArrow(run, "node long, links long, low long")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, dims: int = 8, block: int = 128, tile: int = 32, tile_bytes: int = 16_000_000) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row."""
     epsilon = (2 - 2 * cosine) ** 0.5
@@ -218,11 +269,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, dims: int = 8, block:
     numbered = sequence_numbers(packed)
     pairs = tile_pairs(numbered, epsilon, dims, tile)
     of_tile = numbered.select(F.col("set.label").alias("label"), F.col("set.n").alias("n"), "first", "set", "seq", F.floor(F.col("seq") / tile).alias("t"))
-    held = packed.join(of_tile, ["label", "n", "first"]).select("set", "t", "seq", "lo", "hi", "ids", "weights", "vectors")
+    placed = packed.join(of_tile, ["label", "n", "first"])
+    pairs, together = settled(pairs, tile_balls(placed.select("set", "t", "centre", "radius", "weight", "least")), epsilon)
+    together = cut(together)
+    held = placed.select("set", "t", "seq", "lo", "hi", "ids", "weights", "vectors")
     whole = pairs.filter("a <> b").select("set", "a", "b", F.explode(F.array(*(F.struct(F.col(s).alias("t"), F.col(f"{o}_lo").alias("o_lo"), F.col(f"{o}_hi").alias("o_hi")) for s, o in ("ab", "ba")))).alias("s")).select("set", "a", "b", "s.*")
     whole = whole.union(pairs.filter("a = b").select("set", "a", "b", "a", "a_lo", "a_hi"))
     sent = whole.join(held, ["set", "t"]).filter(gap_of("lo", "hi", "o_lo", "o_hi") <= epsilon**2 * (1 + 1e-9)).drop("o_lo", "o_hi")
-    found = stored(tile_counts(sent, cosine), "tile-links")
+    found = stored(tile_counts(sent, cosine).union(settled_links(placed, together)), "tile-links")
     counts = found.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(found.filter("node <> low").select("node", "low"), "node", "low")
 

@@ -248,3 +248,24 @@ def test_dense_groups_over_many_tiles(spark):
 
 def test_empty_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_dense_groups_are_settled_by_tiles(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(3, 12))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    spread = [0.005] * 120 + [0.03] * 80 + [0.06] * 60  # one ball, several balls, and loose
+    rows = [(i, int(i % 2), (centres[i % 3] + s * rng.normal(size=12)).tolist()) for i, s in enumerate(spread)]
+    rows += [(1000 + i, *rows[i][1:]) for i in range(10)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), block=6, tile=2).collect()}
+    x = np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, label = [r[0] for r in rows], np.array([r[1] for r in rows])
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(rows), dtype=bool)
+    low = np.array(ids)
+    while True:
+        new = np.minimum(low, np.where(linked, low[None], 10**9).min(1))
+        if (new == low).all():
+            break
+        low = new
+    assert got == {i: (int(n), int(c)) for i, n, c in zip(ids, linked.sum(1), low, strict=True)}
