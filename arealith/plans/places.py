@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arealith.functions.columns import EARTH_KM
 from arealith.operators import geometry as G
 from arealith.operators import linkage as L
+from arealith.operators import pyramid
 from arealith.operators import spatial as S
 from arealith.operators.bridges import bridges
 from arealith.operators.components import connected_components
@@ -252,7 +253,7 @@ ed AS (SELECT code, x0 AS ax, y0 AS ay, x1 AS gx, y0 AS gy FROM ri UNION ALL SEL
 h AS (SELECT pt.id, code FROM pt JOIN ed ON ((ay > lat) <> (gy > lat)) AND lon < (gx - ax) * (lat - ay) / (gy - ay) + ax GROUP BY pt.id, code HAVING count(*) % 2 = 1)
 SELECT pt.id, min(code) AS code FROM pt LEFT JOIN h ON h.id = pt.id GROUP BY pt.id""")
 def query_pip_assign(spark, sf):
-    return G.assign_points(_points(spark, sf).select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), _polygons(spark, sf))
+    return pyramid.assign_points(_points(spark, sf).select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), _polygons(spark, sf))
 
 
 @query("distance_band", f"WITH {_POINTS} SELECT * FROM (SELECT a.id AS src, b.id AS dst, round({_KM}, 6) AS km FROM pt a JOIN pt b ON a.id <> b.id) WHERE km > 0 AND km <= 60")
@@ -270,7 +271,7 @@ SELECT src, dst, round(km, 6) AS km, rank
 FROM k
 WHERE rank <= 4""")
 def query_knn(spark, sf):
-    return rounded(G.nearest(_points(spark, sf), 4, 40.0), "km")
+    return rounded(pyramid.nearest(_points(spark, sf), 4), "km")
 
 
 @query("weight_sensitivity", f"""WITH {_POINTS}, v AS (SELECT vec_id AS id, embedding[3]::DOUBLE AS x FROM embeddings), d AS (SELECT a.id AS src, b.id AS dst, {_KM} AS km FROM pt a JOIN pt b ON a.id <> b.id),
@@ -335,7 +336,7 @@ def query_weight_choices(spark, sf):
     v = cut(supplier_values(spark, sf).select("id", "x", "r", "c", (130 + 0.1 * F.col("c")).alias("lon"), (-60 + 0.1 * (F.col("r") % 1200)).alias("lat")))
     edges = {"queen": queen(v)}
     edges |= {f"{b:g} km": G.close_pairs(v, b) for b in _BANDS}
-    near = cut(G.nearest(v, max(_NEAREST), 12.0))
+    near = cut(pyramid.nearest(v, max(_NEAREST)))
     edges |= {f"k = {k}": near.filter(F.col("rank") <= k) for k in _NEAREST}
     out = None
     for name, e in edges.items():

@@ -14,6 +14,7 @@ from arealith.functions import columns as C
 from arealith.operators import geometry as G
 from arealith.operators import linkage as L
 from arealith.operators import models as M
+from arealith.operators import pyramid
 from arealith.operators import spatial as S
 from arealith.operators.bridges import bridges
 from arealith.operators.components import connected_components
@@ -71,7 +72,7 @@ def test_points_in_holes_and_parts(spark):
     sq = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
     poly = [("A", 1, [[sq(0.0, 4.0), sq(1.0, 2.0)], [sq(10.0, 11.0)]]), ("B", 2, [[sq(3.0, 6.0)]])]
     pts = [(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 10.5, 10.5), (4, 3.5, 3.5), (5, 50.0, 0.0), (6, 5.0, 5.0)]
-    got = G.assign_points(spark.createDataFrame(pts, "id int, x double, y double"), spark.createDataFrame(poly, f"code string, ord int, parts {G.RINGS}")).collect()
+    got = pyramid.assign_points(spark.createDataFrame(pts, "id int, x double, y double"), spark.createDataFrame(poly, f"code string, ord int, parts {G.RINGS}")).collect()
     assert {r.id: r.code for r in got} == {1: "A", 2: None, 3: "A", 4: "A", 5: None, 6: "B"}
 
 
@@ -177,7 +178,7 @@ def test_close_pairs_and_nearest_anywhere_on_the_sphere(spark):
         got = {(r.src, r.dst) for r in G.close_pairs(d, most).collect()}
         sure = {k for k, v in km.items() if 1e-6 < v <= most - 1e-6}
         assert sure <= got and all(km[k] <= most + 1e-6 for k in got)
-    got = {(r.src, r["rank"]): r.km for r in G.nearest(d, 5, 100.0).collect()}
+    got = {(r.src, r["rank"]): r.km for r in pyramid.nearest(d, 5).collect()}
     for i in range(len(places)):
         want = sorted(v for (a, _), v in km.items() if a == i)[:5]
         assert np.allclose([got[i, k] for k in range(1, 6)], want, atol=1e-6)
@@ -292,10 +293,9 @@ def test_feature_stream_and_sheets(spark, tmp_path):
 
 def test_nearest_of_fewer_points_than_asked_for(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 179.0, -60.0)], "id long, lon double, lat double")
-    for rounds in (1, 12):
-        got = {(r.src, r["rank"]): r.dst for r in G.nearest(points, 3, rounds=rounds).collect()}
-        assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 1}
-    assert G.nearest(points.filter("id = 1"), 3).count() == 0
+    got = {(r.src, r["rank"]): r.dst for r in pyramid.nearest(points, 3).collect()}
+    assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 1}
+    assert pyramid.nearest(points.filter("id = 1"), 3).count() == 0
 
 
 def test_scratch_tables_go_when_their_result_is_written(spark, tmp_path):
