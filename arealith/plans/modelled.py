@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arealith.operators import models as M
 from arealith.operators import spatial as S
 from arealith.operators.scan import clusters
+from arealith.operators.standard import standardised
 from arealith.plans.areas import LAGGED, MORAN, NATIONS, QUEEN, SUPPLIERS, WEIGHTS, nation_counts, queen, queen_weights, rounded, supplier_values
 from arealith.sources.tables import cut, table
 
@@ -169,6 +170,36 @@ def query_scan_clusters(spark, sf):
     return rounded(clusters(cut(areas), _RADIUS, 0.5, _CLUSTERS, _DRAWS), "expected", "llr")
 
 
+def _quantile_sql(name: str, p: float, shape: str) -> str:
+    """Quantiles of gamma variables by halving, over Simpson's rule in the variable's logarithm: another way than Newton's on a series."""
+    f = "exp(a * u - exp(u) - lgamma(a))"
+    return f"""{name}0 AS (SELECT id, {shape} AS a FROM ys WHERE {shape} > 0),
+{name}b AS (
+  SELECT 0 AS round, id, a, ln(a) - 6 / sqrt(a) - 8 / a AS lo, ln(a + 8 * sqrt(a) + 8) AS hi FROM {name}0
+  UNION ALL
+  SELECT round + 1, id, a, CASE WHEN below < {p} THEN mid ELSE lo END, CASE WHEN below < {p} THEN hi ELSE mid END
+  FROM (SELECT *, (SELECT h / 3 * sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {f}) FROM (SELECT k, foot + k * h AS u FROM range(4001) t(k))) AS below
+        FROM (SELECT *, (mid - foot) / 4000 AS h FROM (SELECT *, (lo + hi) / 2 AS mid, (lo + hi) / 2 - greatest(40 / a, 40 / sqrt(a)) AS foot FROM {name}b WHERE round < 48)))
+),
+{name} AS (SELECT id, exp((lo + hi) / 2) AS q FROM {name}b WHERE round = 48)"""
+
+
+@query("standardised_rates", f"""WITH RECURSIVE oc AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1),
+st AS (SELECT c_nationkey AS id, least(greatest(floor((c_acctbal + 1000) / 525), 0), 20) AS band, count(*)::DOUBLE AS n, coalesce(sum(oc.n), 0)::DOUBLE AS d FROM customer LEFT JOIN oc ON o_custkey = c_custkey GROUP BY ALL),
+wt AS (SELECT band, sum(n) AS w FROM st GROUP BY 1),
+ys AS (SELECT id, sum(d)::BIGINT AS events, sum(n)::BIGINT AS people, sum(w * d / n) / sum(w) AS y, sum(w * w * d / (n * n)) / pow(sum(w), 2) AS v, max(w / n) / sum(w) AS m FROM st JOIN wt USING (band) GROUP BY id),
+{_quantile_sql("ql", 0.025, "y * y / nullif(v, 0)")}, {_quantile_sql("qh", 0.975, "(y + m) * (y + m) / (v + m * m)")}
+SELECT ys.id, events, people, round(1000.0 * events / people, 4) AS crude, round(1000 * y, 4) AS rate, round(coalesce(1000 * v / nullif(y, 0) * ql.q, 0), 4) AS low, round(1000 * (v + m * m) / (y + m) * qh.q, 4) AS high
+FROM ys LEFT JOIN ql USING (id) LEFT JOIN qh USING (id)""")
+def query_standardised_rates(spark, sf):
+    """Dear orders per thousand customers of each nation, standardised over 21 bands of balance by the bands of all customers."""
+    dear = table(spark, sf, "orders").filter("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    band = F.least(F.greatest(F.floor((F.col("c_acctbal") + 1000) / 525), F.lit(0)), F.lit(20)).alias("band")
+    people = table(spark, sf, "customer").join(dear, "c_custkey", "left")
+    strata = cut(people.groupBy(F.col("c_nationkey").alias("id"), band).agg(F.count("*").alias("people"), F.coalesce(F.sum("n"), F.lit(0)).alias("events")))
+    return rounded(standardised(strata, strata.select("band", F.col("people").alias("weight")), 1000.0), "crude", "rate", "low", "high", digits=4)
+
+
 @query("surveillance_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS at, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def query_surveillance_windows(spark, sf):
     e = table(spark, sf, "events")
