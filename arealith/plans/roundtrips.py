@@ -13,7 +13,7 @@ from arealith.operators import geometry as G
 from arealith.plans.areas import SUPPLIERS, rounded, supplier_values
 from arealith.sources import files
 from arealith.sources.features import geojson_features_of
-from arealith.sources.tables import shared_dir, table
+from arealith.sources.tables import shared_dir, stored, table
 
 QUERIES, SQL = {}, {}
 
@@ -119,3 +119,46 @@ def query_audit_written(spark, sf):
     except ValueError:
         pass  # failed checks are an error of the sink; the rows are what is asked for here
     return files.csv_table(spark, path, "check string, code string")
+
+
+_NAMED = """s AS (SELECT s_suppkey, lpad(s_nationkey::VARCHAR, 4, '0') AS code, s_name || ', "<' || s_nationkey || '>"' AS name FROM supplier)"""
+
+
+def _named(spark, sf):
+    """Suppliers with codes that start with zeros and names full of marks, in blocks of 500."""
+    s = table(spark, sf, "supplier")
+    name = F.concat("s_name", F.lit(', "<'), "s_nationkey", F.lit('>"'))
+    return s.select("s_suppkey", F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("code"), name.alias("name"), F.expr("s_suppkey div 500").alias("block"))
+
+
+@query("csv_zipped", f"WITH {_NAMED} SELECT s_suppkey::VARCHAR AS s_suppkey, name FROM s")
+def query_csv_zipped(spark, sf):
+    """Zip archives of one CSV file each, stored as bytes, and two of their columns."""
+    archives = stored(files.zip_archives(_named(spark, sf), "block", ["s_suppkey", "code", "name"]), "archives")
+    return files.zipped_rows(archives, ["s_suppkey", "name"])
+
+
+@query("sheet_cells", f"WITH {_NAMED} SELECT (s_suppkey // 500)::VARCHAR AS path, s_suppkey, code, name FROM s")
+def query_sheet_cells(spark, sf):
+    """Workbooks stored as bytes, their sheets read below the row of names."""
+    books = stored(files.workbooks(_named(spark, sf), "block", ["s_suppkey", "code", "name"]), "workbooks")
+    at = F.col("cells")
+    return files.workbook_rows(books, first_row=2).select("path", at["A"].cast("long").alias("s_suppkey"), at["B"].alias("code"), at["C"].alias("name"))
+
+
+@query("json_whole", """SELECT s_nationkey AS nation, s_suppkey // 500 AS block, CASE WHEN s_nationkey % 10 <> 9 THEN count(*) END AS suppliers, CASE WHEN s_nationkey % 10 <> 9 THEN round(sum(s_acctbal), 4) END AS balance, s_nationkey % 10 = 9 AS unreadable
+FROM supplier
+GROUP BY s_nationkey, s_suppkey // 500""")
+def query_json_whole(spark, sf):
+    """Documents of JSON over many lines, a file each; those of some nations lack their end and are kept as text."""
+    path = _folder(spark, "documents")
+    one = F.to_json(F.struct(F.col("s_suppkey").alias("code"), F.col("s_acctbal").alias("balance")))
+    lists = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation"), F.expr("s_suppkey div 500").alias("block")).agg(F.array_join(F.collect_list(one), ",\n").alias("list"))
+    text = F.concat(F.lit('{"nation": '), "nation", F.lit(',\n"block": '), "block", F.lit(',\n"suppliers": ['), "list", F.when(F.col("nation") % 10 == 9, F.lit("")).otherwise(F.lit("]}")))
+    lists.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    d = files.json_documents(spark, path, "nation int, block long, suppliers array<struct<code: long, balance: double>>")
+    broken = F.col("_corrupt_record").isNotNull()
+    kept = lambda name: F.regexp_extract("_corrupt_record", f'"{name}": ([0-9]+)', 1)
+    nation, block = F.when(broken, kept("nation").cast("int")).otherwise(F.col("nation")), F.when(broken, kept("block").cast("long")).otherwise(F.col("block"))
+    balance = F.aggregate("suppliers", F.lit(0.0), lambda s, x: s + x["balance"])
+    return d.select(nation.alias("nation"), block.alias("block"), F.when(~broken, F.size("suppliers").cast("long")).alias("suppliers"), F.when(~broken, F.round(balance, 4)).alias("balance"), broken.alias("unreadable"))

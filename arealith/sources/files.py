@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +27,12 @@ def csv_strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zipped_csv(spark: SparkSession, path: str, columns: list[str], rows: int = 20_000) -> DataFrame:
-    """CSV files, each the one member of a zip archive, any byte-order mark dropped; rows come in bounded batches.
+    """CSV files, each the one member of a zip archive, any byte-order mark dropped; rows come in bounded batches."""
+    return zipped_rows(spark.read.format("binaryFile").load(path), columns, rows)
+
+
+def zipped_rows(archives: DataFrame, columns: list[str], rows: int = 20_000) -> DataFrame:
+    """Rows of archives given as rows with their bytes in ``content``; more or less than one member is an error.
 
     An archive is read by one task, whose memory holds its (packed) bytes, 2 GB at most; rows are never held together.
     """
@@ -42,8 +47,7 @@ def zipped_csv(spark: SparkSession, path: str, columns: list[str], rows: int = 2
                     with z.open(names[0]) as f:
                         yield from pd.read_csv(io.TextIOWrapper(f, "utf-8-sig"), dtype=str, keep_default_na=False, usecols=columns, chunksize=rows)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(lambda it: (p[columns] for p in read(it)), ", ".join(f"`{c}` string" for c in columns))
+    return archives.select("content").mapInPandas(lambda it: (p[columns] for p in read(it)), ", ".join(f"`{c}` string" for c in columns))
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +121,12 @@ _CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def sheet_rows(spark: SparkSession, path: str, sheet: int = 1, first_row: int = 1) -> DataFrame:
-    """``(path, row, cells)`` of a workbook's sheet from a row on; cells map column letters to texts.
+    """``(path, row, cells)`` of a workbook's sheet from a row on; cells map column letters to texts."""
+    return workbook_rows(spark.read.format("binaryFile").load(path), sheet, first_row)
+
+
+def workbook_rows(workbooks: DataFrame, sheet: int = 1, first_row: int = 1) -> DataFrame:
+    """The same of workbooks given as rows with their bytes in ``content``.
 
     A workbook is read by one task, whose memory holds its packed bytes and its shared texts.
     """
@@ -148,4 +157,42 @@ def sheet_rows(spark: SparkSession, path: str, sheet: int = 1, first_row: int =
                         e.clear()
                     yield pd.DataFrame(rows, columns=["path", "row", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells map<string,string>")
+    return workbooks.select("path", "content").mapInPandas(run, "path string, row int, cells map<string,string>")
+
+
+def _packed(df: DataFrame, block: str, columns: list[str], fill: Callable[[zipfile.ZipFile, pd.DataFrame], None]) -> DataFrame:
+    """``(path, content)``: an archive for each block, whose rows (as texts, in the order of the first column) one task holds."""
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            fill(z, pdf[columns].sort_values(columns, kind="stable"))
+        return pd.DataFrame({"path": [str(key[0])], "content": [out.getvalue()]})
+
+    texts = df.select(F.col(block).alias("_block"), *(F.col(c).cast("string").alias(c) for c in columns))
+    return texts.groupBy("_block").applyInPandas(pack, "path string, content binary")
+
+
+def zip_archives(df: DataFrame, block: str, columns: list[str]) -> DataFrame:
+    """The rows of each block as a CSV file with a byte-order mark, the one member of an archive; nulls become empty texts."""
+    return _packed(df, block, columns, lambda z, pdf: z.writestr("rows.csv", pdf.to_csv(index=False).encode("utf-8-sig")))
+
+
+def workbooks(df: DataFrame, block: str, columns: list[str]) -> DataFrame:
+    """The rows of each block as the first sheet of a workbook, under a row of names; columns are lettered, 26 at most, nulls have no cell."""
+    from string import ascii_uppercase
+    from xml.sax.saxutils import escape
+
+    if len(columns) > len(ascii_uppercase):
+        raise ValueError("a workbook takes 26 columns at most")
+
+    def fill(z: zipfile.ZipFile, pdf: pd.DataFrame) -> None:
+        cell = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f'<worksheet xmlns="{_CELL[1:-1]}"><sheetData>'.encode())
+            for n, row in enumerate([columns, *pdf.itertuples(index=False)], 1):
+                cells = "".join(cell(f"{a}{n}", v) for a, v in zip(ascii_uppercase, row, strict=False) if isinstance(v, str))
+                f.write(f'<row r="{n}">{cells}</row>'.encode())
+            f.write(b"</sheetData></worksheet>")
+
+    return _packed(df, block, columns, fill)

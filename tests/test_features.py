@@ -1,9 +1,11 @@
-"""Collections in byte ranges against the whole document."""
+"""Collections in byte ranges against the whole document; archives and workbooks written and read back."""
 
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from arealith.sources import files
 from arealith.sources.features import geojson_features_of
 
 
@@ -39,3 +41,17 @@ def test_broken_collections_are_errors(spark, tmp_path, text):
     (tmp_path / "c.json").write_text(text, encoding="utf-8")
     with pytest.raises(Exception):
         geojson_features_of(spark, str(tmp_path / "c.json")).collect()
+
+
+def test_archives_and_workbooks_keep_marks_and_empty_cells(spark):
+    rows = [(2, "01", 'a, "b" <c> & d'), (1, "02", "two\nlines "), (3, None, "ü"), (4, "", None)]
+    d = spark.createDataFrame(rows, "n long, code string, name string").withColumn("block", (F.col("n") % 2))
+    archives = files.zip_archives(d, "block", ["n", "code", "name"]).cache()
+    got = files.zipped_rows(archives, ["name", "n"], rows=1).collect()
+    assert sorted((int(r.n), r.name) for r in got) == [(n, name or "") for n, _, name in sorted(rows)]
+    books = files.workbooks(d, "block", ["n", "code", "name"])
+    got = {int(r.cells["A"]): (r.row, r.cells.get("B"), r.cells.get("C")) for r in files.workbook_rows(books, first_row=2).collect()}
+    assert got == {1: (2, "02", "two\nlines "), 2: (2, "01", rows[0][2]), 3: (3, None, "ü"), 4: (3, "", None)}
+    assert files.zipped_rows(files.zip_archives(d.limit(0), "block", ["n"]), ["n"]).count() == 0
+    with pytest.raises(ValueError, match="26 columns"):
+        files.workbooks(d, "block", ["n"] * 27)
